@@ -1,4 +1,4 @@
-"""Query catalogue: one entry per operator of the survey inventory."""
+"""Query catalogue: importing this module registers every query."""
 
 from __future__ import annotations
 
@@ -9,4 +9,8 @@ from churnlab.sources.fixture import policyholders
 
 @register("fixture_policyholders", with_ctes("SELECT * FROM policyholders"))
 def q_fixture(spark, sf_dir):
+    """The derived 40-column policyholder table itself (FIXTURES.md)."""
     return policyholders(spark, sf_dir)
+
+
+from churnlab.plans import q_base  # noqa: E402,F401
