@@ -178,8 +178,8 @@ def rate_by_quantile(df: DataFrame, column: str, q: int = 5) -> DataFrame:
     buckets = edges.select(F.posexplode(F.slice(F.col("edges"), 2, 1 << 20)).alias("pos", "upper"),
                            F.col("edges"))
     buckets = buckets.select((F.col("pos") + 1).cast("int").alias("bucket"),
-                             F.round(F.element_at("edges", (F.col("pos") + 1).cast("int")), 6).alias("lower"),
-                             F.round("upper", 6).alias("upper"))
+                             F.round(F.element_at("edges", (F.col("pos") + 1).cast("int")), 9).alias("lower"),
+                             F.round("upper", 9).alias("upper"))
     return (buckets.join(agg, "bucket", "left")
             .select(F.lit(column).alias("feature"), "bucket", "lower", "upper",
                     F.coalesce("customers", F.lit(0)).cast("long").alias("customers"), "churn_rate"))

@@ -49,8 +49,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
     rows = ", ".join(
         f"'{c}', " + ", ".join(f"cast(`{c}|{s}` as double)" for s in stats) for c in cols)
     out = wide.selectExpr(f"stack({len(cols)}, {rows}) as (`column`, {', '.join(stats)})")
+    # Quartiles interpolate between values; 9 places keeps them off the rounding edge.
     return out.select("column", F.col("count").cast("long").alias("count"),
-                      *[F.round(s, 6).alias(s) for s in stats[1:]])
+                      *[F.round(s, 6 if s in ("mean", "std") else 9).alias(s) for s in stats[1:]])
 
 
 def info(df: DataFrame) -> DataFrame:
@@ -79,7 +80,7 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str], approx: bool = Fal
         F.min(F.when(v >= lo, v)).alias("whisker_low"), F.max(F.when(v <= hi, v)).alias("whisker_high"),
         F.count_if((v < lo) | (v > hi)).alias("outliers"))
     return q.join(w, list(keys)).select(
-        *keys, "n", *[F.round(c, 6).alias(c) for c in ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"]],
+        *keys, "n", *[F.round(c, 9).alias(c) for c in ["q1", "median", "q3", "iqr", "whisker_low", "whisker_high"]],
         "outliers")
 
 
@@ -103,17 +104,67 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     return wide.selectExpr(f"stack({len(cols)}, {rows}) as (`column`, outliers)")
 
 
+def _gram_partials(cols: Sequence[str], means: Sequence[float]):
+    """Per-partition sums for pairwise-complete Pearson r, via numpy matrix
+    products: with X the centred values (missing -> 0) and M the presence mask,
+    N = M'M (pair counts), S = X'M (sum of x_i where x_j present),
+    Q = (X*X)'M (sum of x_i^2 where x_j present), P = X'X (sum of x_i x_j)."""
+    import numpy as np
+    import pandas as pd
+
+    mu = np.asarray(means, dtype="float64")
+
+    def fn(batches):
+        d = len(cols)
+        n = np.zeros((d, d)); sx = np.zeros((d, d)); sq = np.zeros((d, d)); sp = np.zeros((d, d))
+        for pdf in batches:
+            x = pdf[list(cols)].to_numpy(dtype="float64", na_value=np.nan)
+            m = ~np.isnan(x)
+            x = np.where(m, x - mu, 0.0)
+            mf = m.astype("float64")
+            n += mf.T @ mf
+            sx += x.T @ mf
+            sq += (x * x).T @ mf
+            sp += x.T @ x
+        yield pd.DataFrame({"n": [n.ravel()], "sx": [sx.ravel()], "sq": [sq.ravel()], "sp": [sp.ravel()]})
+    return fn
+
+
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, include_diagonal: bool = False) -> DataFrame:
-    """Pearson r for every column pair (i < j), pairwise-complete like pandas,
-    all pairs in one aggregate; NaN (zero variance) reported as null."""
+    """Pearson r for every column pair (i < j), pairwise-complete like pandas.
+
+    One scan: each task folds its rows into four d x d moment matrices with
+    numpy (Arrow batches), so work per row is O(d^2) vectorized; the per-task
+    matrices (size fixed by the column count, not the data) are summed by cell
+    in a small aggregate and turned into r there. Values are centred by the
+    column means (one-row aggregate) to keep the sums well conditioned.
+    NaN (zero variance) is reported as null."""
     cols = list(columns or numeric_columns(df))
-    pairs = list(combinations(cols, 2))
-    if include_diagonal:
-        pairs += [(c, c) for c in cols]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}|{b}") for a, b in pairs])
-    rows = ", ".join(f"'{a}', '{b}', `{a}|{b}`" for a, b in pairs)
-    long = wide.selectExpr(f"stack({len(pairs)}, {rows}) as (col_i, col_j, r)")
-    return long.select("col_i", "col_j", F.round(F.when(~F.isnan("r"), F.col("r")), 6).alias("r"))
+    d = len(cols)
+    mean_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
+    means = [float(mean_row[c]) if mean_row[c] is not None else 0.0 for c in cols]
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    parts = src.mapInPandas(_gram_partials(cols, means),
+                            "n array<double>, sx array<double>, sq array<double>, sp array<double>")
+    cells = (parts.select(F.posexplode(F.arrays_zip("n", "sx", "sq", "sp")).alias("pos", "v"))
+                  .groupBy("pos").agg(F.sum("v.n").alias("n"), F.sum("v.sx").alias("sx"),
+                                      F.sum("v.sq").alias("sq"), F.sum("v.sp").alias("sp")))
+    ij = cells.select((F.col("pos") / d).cast("int").alias("i"), (F.col("pos") % d).cast("int").alias("j"),
+                      "n", "sx", "sq", "sp")
+    t = ij.alias("t")
+    u = ij.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sq").alias("syy"))
+    both = t.join(u, ["i", "j"])
+    keep = (F.col("i") <= F.col("j")) if include_diagonal else (F.col("i") < F.col("j"))
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ["n", "sx", "sy", "sq", "syy", "sp"])
+    cov = sxy - sx * sy / n
+    r = F.try_divide(cov, F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))
+    names = F.array(*[F.lit(c) for c in cols])
+    out = both.where(keep & (n > 1)).select(
+        F.element_at(names, F.col("i") + 1).alias("col_i"), F.element_at(names, F.col("j") + 1).alias("col_j"),
+        F.round(F.when(~F.isnan(r), r), 6).alias("r"))
+    pairs_all = both.where(keep).select(F.element_at(names, F.col("i") + 1).alias("col_i"),
+                                        F.element_at(names, F.col("j") + 1).alias("col_j"))
+    return pairs_all.join(out, ["col_i", "col_j"], "left")
 
 
 def strong_pairs(corr: DataFrame, min_abs: float = 0.6) -> DataFrame:
@@ -122,12 +173,10 @@ def strong_pairs(corr: DataFrame, min_abs: float = 0.6) -> DataFrame:
 
 
 def label_correlations(df: DataFrame, label: str = "churn_flag", exclude: Sequence[str] = ()) -> DataFrame:
-    """Correlation of each numeric column with the label (one aggregate)."""
+    """Correlation of each numeric column with the label (same one-scan moments)."""
     cols = [c for c in numeric_columns(df, exclude) if c != label]
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(label).cast("double")).alias(c) for c in cols])
-    rows = ", ".join(f"'{c}', `{c}`" for c in cols)
-    long = wide.selectExpr(f"stack({len(cols)}, {rows}) as (feature, r)")
-    return long.select("feature", F.round(F.when(~F.isnan("r"), F.col("r")), 6).alias("r"))
+    long = correlation_long(df, cols + [label])
+    return long.where(F.col("col_j") == label).select(F.col("col_i").alias("feature"), "r")
 
 
 def strong_label_correlations(df: DataFrame, label: str = "churn_flag", min_abs: float = 0.6,

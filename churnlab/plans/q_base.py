@@ -142,9 +142,9 @@ def _describe_sql(cols):
         x = f"CAST({c} AS DOUBLE)"
         parts.append(
             f"SELECT {q(c)} AS \"column\", count({c}) AS count, round(avg({x}), 6) AS mean,"
-            f" round(stddev_samp({x}), 6) AS std, round(min({x}), 6) AS min,"
-            f" round(quantile_cont({x}, 0.25), 6) AS p25, round(quantile_cont({x}, 0.5), 6) AS p50,"
-            f" round(quantile_cont({x}, 0.75), 6) AS p75, round(max({x}), 6) AS max FROM policyholders")
+            f" round(stddev_samp({x}), 6) AS std, round(min({x}), 9) AS min,"
+            f" round(quantile_cont({x}, 0.25), 9) AS p25, round(quantile_cont({x}, 0.5), 9) AS p50,"
+            f" round(quantile_cont({x}, 0.75), 9) AS p75, round(max({x}), 9) AS max FROM policyholders")
     return " UNION ALL ".join(parts)
 
 
