@@ -15,3 +15,4 @@ def q_fixture(spark, sf_dir):
 
 from churnlab.plans import q_base  # noqa: E402,F401
 from churnlab.plans import q_rates  # noqa: E402,F401
+from churnlab.plans import q_scoring  # noqa: E402,F401

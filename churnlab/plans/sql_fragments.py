@@ -113,7 +113,7 @@ def reason_sql() -> str:
         f"CASE WHEN customer_tenure_months <= 12 THEN {q(sc.REASON_SHORT_TENURE)} END",
         f"CASE WHEN multi_policy_flag = 0 THEN {q(sc.REASON_SINGLE_POLICY)} END",
     ]
-    lst = f"list_filter([{', '.join(rules)}], x -> x IS NOT NULL)"
+    lst = f"list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL)"
     return f"CASE WHEN len({lst}) = 0 THEN {q(sc.REASON_FALLBACK)} ELSE array_to_string({lst}[1:3], ', ') END"
 
 
