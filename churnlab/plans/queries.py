@@ -17,3 +17,4 @@ from churnlab.plans import q_base  # noqa: E402,F401
 from churnlab.plans import q_rates  # noqa: E402,F401
 from churnlab.plans import q_scoring  # noqa: E402,F401
 from churnlab.plans import q_evaluate  # noqa: E402,F401
+from churnlab.plans import q_whatif  # noqa: E402,F401
