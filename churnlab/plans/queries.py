@@ -19,3 +19,4 @@ from churnlab.plans import q_scoring  # noqa: E402,F401
 from churnlab.plans import q_evaluate  # noqa: E402,F401
 from churnlab.plans import q_whatif  # noqa: E402,F401
 from churnlab.plans import q_profiles  # noqa: E402,F401
+from churnlab.plans import q_models  # noqa: E402,F401
