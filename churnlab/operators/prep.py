@@ -26,9 +26,8 @@ def stratified_split(df: DataFrame, fractions: Sequence[tuple[str, float]], labe
     Ranking uses range-partitioned numbering, so a class holding half the table
     is not gathered into one task."""
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    ranked = rank_within_groups(df.withColumn("_h", h), label, [F.col("_h"), F.col(key)], "_rk")
-    n = ranked.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = ranked.join(F.broadcast(n), label)  # one row per class
+    ranked = rank_within_groups(df.withColumn("_h", h), label, [F.col("_h"), F.col(key)], "_rk",
+                                count_col="_n", count_if=F.lit(True))
     names = [name for name, _ in fractions]
     expr = None
     edge = F.lit(0)

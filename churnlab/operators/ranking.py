@@ -99,17 +99,30 @@ def previous_in_group(df: DataFrame, group_col: str, order: Sequence[str], value
 
 
 def rank_within_groups(df: DataFrame, group_col: str, order: Sequence[str | Column],
-                       out_col: str = "rank_in_group", num_partitions: int | None = None) -> DataFrame:
+                       out_col: str = "rank_in_group", num_partitions: int | None = None,
+                       count_col: str | None = None, count_if: Column | None = None) -> DataFrame:
     """1..n_g numbering inside each group, balanced even when a group is huge.
 
-    Numbers globally by (group, order); the first global number of each group is a
-    partial-aggregated ``min`` (one row per group), joined back on the group key.
+    Range-partitions on (group, order) so a group spans as many tasks as its size
+    needs. The per-(partition, group) stats table has at most
+    ``partitions + groups`` rows; a window over it (partitioned by group, each
+    group holding at most one row per partition) turns it into the offset of
+    every (partition, group) slice. Optionally also attaches the group's count of
+    rows meeting ``count_if`` as ``count_col`` (e.g. candidates per scenario).
     """
-    numbered = global_row_number(df, [F.col(group_col), *_as_cols(order)], "_gid", num_partitions)
-    first = numbered.groupBy(group_col).agg(F.min("_gid").alias("_g0"))
-    return (numbered.join(first, group_col)
-                    .withColumn(out_col, F.col("_gid") - F.col("_g0") + F.lit(1))
-                    .drop("_gid", "_g0"))
+    r = ranged(df, [F.col(group_col), *_as_cols(order)], num_partitions)
+    extra = [F.count_if(count_if).alias("_cnt")] if count_if is not None else []
+    stats = r.groupBy(_PID, group_col).agg(F.count(F.lit(1)).alias("_n"), F.min(_MID).alias("_m0"), *extra)
+    w = Window.partitionBy(group_col).orderBy(_PID)
+    offs = stats.select(
+        _PID, group_col, "_m0",
+        F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        *([F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+           .alias(count_col)] if count_if is not None else []))
+    out = (r.join(offs, [_PID, group_col])
+             .withColumn(out_col, F.col("_off") + (F.col(_MID) - F.col("_m0")) + F.lit(1))
+             .drop(_PID, _MID, "_m0", "_off"))
+    return out
 
 
 def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:

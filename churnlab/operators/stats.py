@@ -41,10 +41,11 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std"),
-                 F.min(x).alias(f"{c}|min"), _q(c, 0.25, approx).alias(f"{c}|p25"),
-                 _q(c, 0.5, approx).alias(f"{c}|p50"), _q(c, 0.75, approx).alias(f"{c}|p75"),
+                 F.min(x).alias(f"{c}|min"), _q(c, [0.25, 0.5, 0.75], approx).alias(f"{c}|q"),
                  F.max(x).alias(f"{c}|max")]
-    wide = df.agg(*aggs)
+    # One percentile buffer per column serves all three quartiles.
+    wide = df.agg(*aggs).select("*", *[F.col(f"{c}|q")[i].alias(f"{c}|{s}") for c in cols
+                                       for i, s in enumerate(["p25", "p50", "p75"])])
     stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
     rows = ", ".join(
         f"'{c}', " + ", ".join(f"cast(`{c}|{s}` as double)" for s in stats) for c in cols)
@@ -89,9 +90,8 @@ def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bo
     Pass 1 computes all quartiles in one aggregate (one row), pass 2 counts in
     one aggregate against that broadcast row."""
     cols = list(columns or numeric_columns(df))
-    quart = df.agg(*[F.struct(_q(c, 0.25, approx).alias("q1"), _q(c, 0.75, approx).alias("q3")).alias(c)
-                     for c in cols])
-    quart = quart.select(*[F.col(c).alias(f"_qt_{c}") for c in cols])
+    quart = df.agg(*[_q(c, [0.25, 0.75], approx).alias(c) for c in cols])
+    quart = quart.select(*[F.struct(F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3")).alias(f"_qt_{c}") for c in cols])
     joined = df.select(*cols).crossJoin(F.broadcast(quart))
     aggs = []
     for c in cols:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.functions import features as fx
-from churnlab.operators.ranking import global_row_number
+from churnlab.operators.ranking import global_row_number, rank_within_groups
 from churnlab.session import cut_lineage
 
 SIM_COLUMNS = ["premium_change_pct", "num_price_increases_last_3y", "late_payment_count_12m",
@@ -99,18 +99,19 @@ def select_top_pct(fan: DataFrame, candidate: Column, pct_col: str, out_col: str
                    key: str = "customer_id") -> DataFrame:
     """Per scenario, flag the top ``ceil(n * pct / 100)`` candidates by
     priority (desc), ties by ``key``. Candidates sort first inside a scenario,
-    so a candidate's rank is its position from the scenario's first row."""
-    cand = (F.coalesce(candidate, F.lit(False)) & (F.col(pct_col) > 0) & ~F.col("is_base")).cast("int")
-    x = fan.withColumn("_cand", cand).withColumn("_prio", priority_score(set(fan.columns)))
-    numbered = global_row_number(x, [F.col("scenario"), F.col("_cand").desc(), F.col("_prio").desc(),
-                                     F.col(key)], "_gid")
-    # One row per scenario (bounded by the scenario literal): safe to broadcast.
-    per = numbered.groupBy("scenario").agg(F.min("_gid").alias("_g0"), F.sum("_cand").alias("_ncand"))
+    so a candidate's rank inside its scenario is its selection order; the
+    candidate count per scenario comes out of the same per-partition stats."""
+    cand = F.coalesce(candidate, F.lit(False)) & (F.col(pct_col) > 0) & ~F.col("is_base")
+    x = fan.withColumn("_cand", cand)
+    # Only candidates of scenarios that pull this lever can be chosen, so only
+    # they go through the range shuffle; every other row passes by union.
+    cands = x.where(F.col("_cand")).withColumn("_prio", priority_score(set(fan.columns)))
+    others = x.where(~F.col("_cand")).withColumn(out_col, F.lit(False))
+    ranked = rank_within_groups(cands, "scenario", [F.col("_prio").desc(), F.col(key)], "_rk",
+                                count_col="_ncand", count_if=F.lit(True))
     k = F.least(F.greatest(F.ceil(F.col("_ncand") * F.col(pct_col) / F.lit(100.0)), F.lit(0)), F.col("_ncand"))
-    chosen = (F.col("_cand") == 1) & ((F.col("_gid") - F.col("_g0") + 1) <= k)
-    return (numbered.join(F.broadcast(per), "scenario")
-                    .withColumn(out_col, chosen)
-                    .drop("_cand", "_prio", "_gid", "_g0", "_ncand"))
+    chosen = ranked.withColumn(out_col, F.col("_rk") <= k).drop("_prio", "_rk", "_ncand")
+    return chosen.unionByName(others).drop("_cand")
 
 
 def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increases: bool = True,
@@ -119,7 +120,12 @@ def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increas
     are kept as ``orig_<col>`` so before/after comparisons need no join (J1).
     ``active`` (the scenario literal) lets plan-time skip all-zero steps."""
     present = [c for c in SIM_COLUMNS if c in df.columns]
-    fan = df.withColumns({f"orig_{c}": F.col(c) for c in present}).crossJoin(F.broadcast(scenarios))
+    # Only the columns the steps read travel through the ranking shuffles; the
+    # rest joins back once at the end on the (unique) key.
+    needed = set(SIM_COLUMNS) | {"multi_policy_flag", "customer_tenure_months", key}
+    rest = [c for c in df.columns if c not in needed]
+    narrow = df.select(*[c for c in df.columns if c in needed])
+    fan = narrow.withColumns({f"orig_{c}": F.col(c) for c in present}).crossJoin(F.broadcast(scenarios))
     base = F.col("is_base")
 
     def used(param: str) -> bool:
@@ -134,7 +140,7 @@ def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increas
             fan = select_top_pct(fan, F.col("premium_change_pct") >= 0.12, "reduce_price_jump_pct", key=key)
             fan = fan.withColumn("premium_change_pct",
                                  F.when(F.col("_chosen"), F.lit(JUMP_CAP)).otherwise(F.col("premium_change_pct")))
-            fan = cut_lineage(fan.drop("_chosen"))
+            fan = fan.drop("_chosen")
     if "num_price_increases_last_3y" in present and decrement_price_increases:
         inc = F.col("num_price_increases_last_3y")
         fan = fan.withColumn("num_price_increases_last_3y",
@@ -153,7 +159,9 @@ def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increas
         fan = select_top_pct(fan, cand, param, key=key)
         fan = fan.withColumns({c: F.when(F.col("_chosen"), F.lit(v)).otherwise(F.col(c))
                                for c, v in sets.items() if c in present})
-        fan = cut_lineage(fan.drop("_chosen"))
+        fan = fan.drop("_chosen")
+    if rest:
+        fan = fan.join(df.select(key, *rest), key)
     return fan
 
 
