@@ -71,9 +71,9 @@ def population_scaling(df: DataFrame, cols: Sequence[str], suffix: str = "__scal
 def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], scale: bool = False,
                      features_col: str = "features") -> PipelineModel:
     """L2/L3: numeric -> median impute (exact: relativeError 0) [-> population
-    standardize]; string -> mode fill -> alphabetical index -> one-hot where an
-    unseen category becomes all zeros (``handleInvalid='keep'`` + ``dropLast``
-    drops exactly the unseen slot)."""
+    standardize]; string -> mode fill -> alphabetical index (unseen values kept
+    as an extra last index) -> one-hot dropping that last slot, so an unseen
+    category becomes all zeros (``handle_unknown='ignore'``)."""
     stages = []
     num_out = [f"{c}__imp" for c in num_cols]
     if num_cols:
@@ -89,7 +89,9 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
         cat_vec = [f"{c}__ohe" for c in cat_cols]
         stages.append(StringIndexer(inputCols=[f"{c}__filled" for c in cat_cols], outputCols=idx,
                                     handleInvalid="keep", stringOrderType="alphabetAsc"))
-        stages.append(OneHotEncoder(inputCols=idx, outputCols=cat_vec, handleInvalid="keep", dropLast=True))
+        # The indexer's metadata ends with its "__unknown" label; dropLast removes
+        # exactly that slot, so an unseen category encodes as all zeros.
+        stages.append(OneHotEncoder(inputCols=idx, outputCols=cat_vec, dropLast=True))
     pre = Pipeline(stages=stages).fit(train)
     if scale and num_cols:
         scaler = population_scaling(pre.transform(train), num_out)

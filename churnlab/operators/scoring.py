@@ -117,7 +117,7 @@ INSIGHT_EMPTY = "해당 그룹의 데이터가 없습니다."
 
 def one_decimal(x: Column) -> Column:
     """Half-up to one decimal, then printed."""
-    return F.format_string("%.1f", F.round(x, 1))
+    return F.format_string("%.1f", F.round(F.round(x, 9), 1))
 
 
 def tier_insight(df: DataFrame) -> DataFrame:
@@ -142,8 +142,8 @@ def tier_insight(df: DataFrame) -> DataFrame:
     for tier in TIERS:
         sentence = sentence.when(F.col("risk_tier") == tier, fill(INSIGHT_TEMPLATES[tier]))
     return t.select("risk_tier", "tier_order", F.coalesce("customers", F.lit(0)).cast("long").alias("customers"),
-                    F.round("prem", 6).alias("premium_change_mean_pct"), F.round("comp", 6).alias("complaint_pct"),
-                    F.round("quote", 6).alias("quote_pct"), sentence.alias("insight"))
+                    F.round("prem", 9).alias("premium_change_mean_pct"), F.round("comp", 9).alias("complaint_pct"),
+                    F.round("quote", 9).alias("quote_pct"), sentence.alias("insight"))
 
 
 def keyword_filter(df: DataFrame, keyword: str | None, scope: str = "all") -> DataFrame:

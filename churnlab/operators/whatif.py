@@ -188,7 +188,7 @@ def scenario_summary(scored: DataFrame, threshold: float, prob_col: str = "sim_p
     pred = (F.col(prob_col) >= F.lit(float(threshold))).cast("int")
     return scored.groupBy("scenario", "policy_ko", "is_base", "is_single").agg(
         F.round(F.avg(pred) * 100, 6).alias("churn_rate_pct"),
-        F.round(F.avg(prob_col) * 100, 6).alias("avg_prob_pct"),
+        F.round(F.avg(prob_col) * 100, 9).alias("avg_prob_pct"),
         F.sum(pred).cast("long").alias("churn_count"))
 
 
@@ -223,9 +223,9 @@ def raw_means(fan: DataFrame, scenario: str, cols: Sequence[str] = RAW_CHECK_COL
     wide = one.agg(*aggs)
     rows = ", ".join(f"'{c}', cast(`{c}|b` as double), cast(`{c}|a` as double), `{c}|n`" for c in cols)
     long = wide.selectExpr(f"stack({len(cols)}, {rows}) as (`column`, before_mean, after_mean, rows_changed)")
-    return long.select("column", F.round("before_mean", 6).alias("before_mean"),
-                       F.round("after_mean", 6).alias("after_mean"),
-                       F.round(F.col("after_mean") - F.col("before_mean"), 6).alias("diff"), "rows_changed")
+    return long.select("column", F.round("before_mean", 9).alias("before_mean"),
+                       F.round("after_mean", 9).alias("after_mean"),
+                       F.round(F.col("after_mean") - F.col("before_mean"), 9).alias("diff"), "rows_changed")
 
 
 def engineered_means(fan: DataFrame, scenario: str, cols: Sequence[str] = ENGINEERED_CHECK_COLUMNS) -> DataFrame:
@@ -241,8 +241,8 @@ def engineered_means(fan: DataFrame, scenario: str, cols: Sequence[str] = ENGINE
     lb = b.selectExpr(f"stack({len(cols)}, {rows_b}) as (feature, before_mean)")
     la = a.selectExpr(f"stack({len(cols)}, {rows_b}) as (feature, after_mean)")
     return lb.join(la, "feature").select(
-        "feature", F.round("before_mean", 6).alias("before_mean"), F.round("after_mean", 6).alias("after_mean"),
-        F.round(F.col("after_mean") - F.col("before_mean"), 6).alias("diff"))
+        "feature", F.round("before_mean", 9).alias("before_mean"), F.round("after_mean", 9).alias("after_mean"),
+        F.round(F.col("after_mean") - F.col("before_mean"), 9).alias("diff"))
 
 
 def prediction_comparison(summary: DataFrame, scenario: str) -> DataFrame:

@@ -109,7 +109,7 @@ def q_r13(spark, d):
 
 
 def _od(x: str) -> str:
-    return f"coalesce(printf('%.1f', round({x}, 1)), 'nan')"
+    return f"coalesce(printf('%.1f', round(round({x}, 9), 1)), 'nan')"
 
 
 def _insight_sql() -> str:
@@ -120,8 +120,8 @@ def _insight_sql() -> str:
         return out
     cases = " ".join(f"WHEN t.risk_tier = {q(k)} THEN {fill(v)}" for k, v in so.INSIGHT_TEMPLATES.items())
     return (f"SELECT t.risk_tier, CAST(t.tier_order AS INTEGER) AS tier_order,"
-            f" CAST(coalesce(a.customers, 0) AS BIGINT) AS customers, round(a.prem, 6) AS premium_change_mean_pct,"
-            f" round(a.comp, 6) AS complaint_pct, round(a.quote, 6) AS quote_pct,"
+            f" CAST(coalesce(a.customers, 0) AS BIGINT) AS customers, round(a.prem, 9) AS premium_change_mean_pct,"
+            f" round(a.comp, 9) AS complaint_pct, round(a.quote, 9) AS quote_pct,"
             f" CASE WHEN a.customers IS NULL THEN {q(so.INSIGHT_EMPTY)} {cases} END AS insight"
             f" FROM {_TIERS_VALUES} LEFT JOIN (SELECT risk_tier, count(*) AS customers,"
             " avg(premium_change_pct) * 100 AS prem, avg(complaint_flag) * 100 AS comp,"

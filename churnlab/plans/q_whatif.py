@@ -94,7 +94,7 @@ def _chain_ctes(scenarios=wi.DEFAULT_SCENARIOS, decrement: bool = True) -> list[
 CHAIN = _chain_ctes()
 SUMMARY_CTE = (f"summ AS (SELECT scenario, policy_ko, is_base, is_single,"
                f" round(avg(CAST(sim_probability >= {T!r}e0 AS INTEGER)) * 100, 6) AS churn_rate_pct,"
-               " round(avg(sim_probability) * 100, 6) AS avg_prob_pct,"
+               " round(avg(sim_probability) * 100, 9) AS avg_prob_pct,"
                f" CAST(sum(CAST(sim_probability >= {T!r}e0 AS INTEGER)) AS BIGINT) AS churn_count"
                " FROM fan GROUP BY scenario, policy_ko, is_base, is_single)")
 EFFECTS_CTE = ("eff AS (SELECT s.scenario, s.policy_ko, s.is_single, round(b.avg_prob_pct - s.avg_prob_pct, 6)"
@@ -138,8 +138,8 @@ def q_n13(spark, d):
 
 def _raw_sql(scenario: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT {q(c)} AS \"column\", round(avg(orig_{c}), 6) AS before_mean, round(avg({c}), 6) AS after_mean,"
-        f" round(avg({c}) - avg(orig_{c}), 6) AS diff,"
+        f"SELECT {q(c)} AS \"column\", round(avg(orig_{c}), 9) AS before_mean, round(avg({c}), 9) AS after_mean,"
+        f" round(avg({c}) - avg(orig_{c}), 9) AS diff,"
         f" count(*) FILTER (WHERE orig_{c} IS DISTINCT FROM {c}) AS rows_changed FROM fan WHERE scenario = {q(scenario)}"
         for c in wi.RAW_CHECK_COLUMNS)
 
@@ -157,8 +157,8 @@ def _eng_sql(scenario: str) -> str:
         eb = e
         for s in sorted(wi.SIM_COLUMNS, key=len, reverse=True):
             eb = eb.replace(s, f"orig_{s}")
-        parts.append(f"SELECT {q(c)} AS feature, round(avg({eb}), 6) AS before_mean, round(avg({e}), 6) AS after_mean,"
-                     f" round(avg({e}) - avg({eb}), 6) AS diff FROM fan WHERE scenario = {q(scenario)}")
+        parts.append(f"SELECT {q(c)} AS feature, round(avg({eb}), 9) AS before_mean, round(avg({e}), 9) AS after_mean,"
+                     f" round(avg({e}) - avg({eb}), 9) AS diff FROM fan WHERE scenario = {q(scenario)}")
     return " UNION ALL ".join(parts)
 
 
