@@ -159,9 +159,16 @@ def q_c16(spark, d):
     return stats.describe(PH(spark, d), DESCRIBE_COLS)
 
 
-@register("c18_info")
+def _info_sql() -> str:
+    from churnlab.sources.io import POLICYHOLDER_SCHEMA
+    return " UNION ALL ".join(
+        f"SELECT {q(f.name)} AS \"column\", {i} AS position, {q(f.dataType.simpleString())} AS dtype,"
+        f" count({f.name}) AS non_null FROM policyholders" for i, f in enumerate(POLICYHOLDER_SCHEMA.fields))
+
+
+@register("c18_info", with_ctes(_info_sql()))
 def q_c18(spark, d):
-    """Schema + non-null counts. Rows-only check: dtype names are engine-specific."""
+    """Schema (Spark type names) + non-null counts per column."""
     return stats.info(PH(spark, d))
 
 
