@@ -70,7 +70,7 @@ def population_scaling(df: DataFrame, cols: Sequence[str], suffix: str = "__scal
 
 def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], scale: bool = False,
                      features_col: str = "features") -> PipelineModel:
-    """L2/L3: numeric -> median impute (exact: relativeError 0) [-> population
+    """L2/L3: numeric -> median impute (0.1% sketch) [-> population
     standardize]; string -> mode fill -> alphabetical index (unseen values kept
     as an extra last index) -> one-hot dropping that last slot, so an unseen
     category becomes all zeros (``handle_unknown='ignore'``)."""
@@ -80,7 +80,9 @@ def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequen
         cast = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}__dbl`"
                                                                 for c in num_cols) + " FROM __THIS__")
         stages.append(cast)
-        stages.append(Imputer(strategy="median", relativeError=0.0, inputCols=[f"{c}__dbl" for c in num_cols],
+        # relativeError 0 would keep every value in one summary; a 0.1% sketch
+        # keeps memory bounded at any size (imputation only, not a checked output).
+        stages.append(Imputer(strategy="median", relativeError=0.001, inputCols=[f"{c}__dbl" for c in num_cols],
                               outputCols=num_out))
     cat_vec = []
     if cat_cols:
@@ -119,14 +121,17 @@ def adaptive_scaling(df: DataFrame, cols: Sequence[str], key: str = "customer_id
     1.5 IQR outlier -> robust (x - median) / IQR; else standardize (population
     std). Pass 1: quartiles, medians, outlier counts and log moments in one
     aggregate; pass 2: expressions. Columns keep their names (B4)."""
+    from churnlab.operators.ranking import exact_percentiles
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        aggs += [F.percentile(x, 0.25).alias(f"{c}|q1"), F.percentile(x, 0.5).alias(f"{c}|med"),
-                 F.percentile(x, 0.75).alias(f"{c}|q3"), F.avg(x).alias(f"{c}|mean"),
-                 F.stddev_pop(x).alias(f"{c}|std"), F.avg(F.log1p(x)).alias(f"{c}|lmean"),
+        aggs += [F.avg(x).alias(f"{c}|mean"), F.stddev_pop(x).alias(f"{c}|std"), F.avg(F.log1p(x)).alias(f"{c}|lmean"),
                  F.stddev_pop(F.log1p(x)).alias(f"{c}|lstd")]
-    stats = df.agg(*aggs)
+    qs = exact_percentiles(df, cols, [0.25, 0.5, 0.75])
+    wide_q = qs.groupBy().pivot("column", list(cols)).agg(F.first(F.struct("q0", "q1", "q2")))
+    wide_q = wide_q.select(*[F.col(c)[k].alias(f"{c}|{n}") for c in cols
+                             for k, n in (("q0", "q1"), ("q1", "med"), ("q2", "q3"))])
+    stats = df.agg(*aggs).crossJoin(wide_q)
     outl = df.crossJoin(F.broadcast(stats)).agg(*[
         F.count_if((F.col(c) < F.col(f"{c}|q1") - 1.5 * (F.col(f"{c}|q3") - F.col(f"{c}|q1")))
                    | (F.col(c) > F.col(f"{c}|q3") + 1.5 * (F.col(f"{c}|q3") - F.col(f"{c}|q1")))).alias(f"{c}|out")

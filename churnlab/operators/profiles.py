@@ -24,15 +24,15 @@ PARTIAL_COLUMNS = ["profile_id", "age", "policy_type", "tenure", "premium", "lat
 def base_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row; numeric columns -> median (interpolated, exact unless
     ``approx``), string columns -> most frequent value, smallest on ties."""
+    from churnlab.operators.stats import quartiles
     feats = drop_present(df, PROFILE_DROP)
-    aggs = []
-    for f in feats.schema.fields:
-        if isinstance(f.dataType, NumericType):
-            x = F.col(f.name).cast("double")
-            aggs.append((F.percentile_approx(x, 0.5, 100000) if approx else F.median(x)).alias(f.name))
-        else:
-            aggs.append(F.mode(F.col(f.name), True).alias(f.name))
-    return feats.agg(*aggs)
+    nums = [f.name for f in feats.schema.fields if isinstance(f.dataType, NumericType)]
+    strs = [f.name for f in feats.schema.fields if f.name not in nums]
+    # Medians: distributed exact sort, then one row (pivot over the known names).
+    med = quartiles(feats, nums, [0.5], approx).groupBy().pivot("column", nums).agg(F.first("q0"))
+    modes = feats.agg(*[F.mode(F.col(c), True).alias(c) for c in strs])
+    row = med.crossJoin(modes)
+    return row.select(*[F.col(f.name).cast("double") if f.name in nums else F.col(f.name) for f in feats.schema.fields])
 
 
 def partial_profiles(df: DataFrame) -> DataFrame:

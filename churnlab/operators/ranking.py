@@ -125,6 +125,44 @@ def rank_within_groups(df: DataFrame, group_col: str, order: Sequence[str | Colu
     return out
 
 
+def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                      group_cols: Sequence[str] = (), num_partitions: int | None = None) -> DataFrame:
+    """Exact, linearly interpolated percentiles (``percentile`` semantics:
+    position ``p * (n - 1)``) without holding a group's values in one buffer.
+
+    The columns are unpivoted to (group, column, value) and ranked inside each
+    (group, column) by one range-partitioned sort for all columns; only the two
+    neighbouring ranks of every requested position are kept and interpolated.
+    Nulls are skipped; rows whose group key is null are dropped. Output: one row
+    per (group..., column) with ``q0, q1, ...`` for ``probs`` in order, and ``n``.
+    """
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("_col"), F.col(c).cast("double").alias("_v"))
+                             for c in columns])).alias("_kv")
+    long = df.select(*group_cols, kv).select(*group_cols, "_kv._col", "_kv._v").where(F.col("_v").isNotNull())
+    for g in group_cols:
+        long = long.where(F.col(g).isNotNull())
+    long = long.withColumn("_g", F.struct(*[F.col(g) for g in group_cols], F.col("_col")))
+    ranked = rank_within_groups(long, "_g", [F.col("_v")], "_rk", num_partitions, count_col="_n",
+                                count_if=F.lit(True))
+    pos = {i: (F.col("_n") - 1) * F.lit(float(p)) for i, p in enumerate(probs)}
+    lo = {i: F.floor(pos[i]) + 1 for i in pos}
+    hi = {i: F.ceil(pos[i]) + 1 for i in pos}
+    need = None
+    for i in pos:
+        c = (F.col("_rk") == lo[i]) | (F.col("_rk") == hi[i])
+        need = c if need is None else need | c
+    picked = ranked.where(need)
+    aggs = [F.first("_n").alias("n")]
+    for i in pos:
+        aggs += [F.max(F.when(F.col("_rk") == lo[i], F.col("_v"))).alias(f"_lo{i}"),
+                 F.max(F.when(F.col("_rk") == hi[i], F.col("_v"))).alias(f"_hi{i}"),
+                 F.first(pos[i] - F.floor(pos[i])).alias(f"_fr{i}")]
+    out = picked.groupBy("_g").agg(*aggs)
+    qs = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_fr{i}")).alias(f"q{i}") for i in pos]
+    return out.select(*[F.col(f"_g.{g}").alias(g) for g in group_cols], F.col("_g._col").alias("column"),
+                      F.col("n").cast("long").alias("n"), *qs)
+
+
 def top_k(df: DataFrame, order: Sequence[str | Column], k: int) -> DataFrame:
     """Top-k report: ``orderBy(...).limit(k)`` plans as TakeOrderedAndProject
     (per-partition top-k, then a k-row merge); k is the feature, not a cap."""

@@ -157,9 +157,10 @@ def hypothesis_curve(df: DataFrame) -> DataFrame:
 def quantile_edges(df: DataFrame, column: str, q: int = 5) -> DataFrame:
     """One-row frame with ``edges``: exact linear-interpolated quantiles at
     0, 1/q, ..., 1 with duplicates dropped (``qcut(duplicates='drop')``, S6)."""
+    from churnlab.operators.ranking import exact_percentiles
     probs = [i / q for i in range(q + 1)]
-    return df.where(F.col(column).isNotNull()).agg(
-        F.array_distinct(F.percentile(F.col(column), F.array(*[F.lit(p) for p in probs]))).alias("edges"))
+    qs = exact_percentiles(df, [column], probs)
+    return qs.select(F.array_distinct(F.array(*[F.col(f"q{i}") for i in range(len(probs))])).alias("edges"))
 
 
 def qcut_bucket(x: Column, edges: Column) -> Column:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from churnlab.operators.ranking import exact_percentiles
+
 LEAKAGE = ["customer_id", "as_of_date", "churn_type", "churn_probability_true"]
 
 
@@ -35,24 +37,38 @@ def _q(c: str, p, approx: bool) -> Column:
 
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, mean, std (sample), min, 25%, 50%, 75%, max per numeric column."""
+    """Count, mean, std (sample), min, 25%, 50%, 75%, max per numeric column.
+    Moments come from one aggregate; quartiles from the sort-based exact
+    percentiles (or a bounded sketch with ``approx``)."""
     cols = list(columns or numeric_columns(df))
     aggs = []
     for c in cols:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"{c}|count"), F.avg(x).alias(f"{c}|mean"), F.stddev_samp(x).alias(f"{c}|std"),
-                 F.min(x).alias(f"{c}|min"), _q(c, [0.25, 0.5, 0.75], approx).alias(f"{c}|q"),
-                 F.max(x).alias(f"{c}|max")]
-    # One percentile buffer per column serves all three quartiles.
-    wide = df.agg(*aggs).select("*", *[F.col(f"{c}|q")[i].alias(f"{c}|{s}") for c in cols
-                                       for i, s in enumerate(["p25", "p50", "p75"])])
-    stats = ["count", "mean", "std", "min", "p25", "p50", "p75", "max"]
-    rows = ", ".join(
-        f"'{c}', " + ", ".join(f"cast(`{c}|{s}` as double)" for s in stats) for c in cols)
-    out = wide.selectExpr(f"stack({len(cols)}, {rows}) as (`column`, {', '.join(stats)})")
+                 F.min(x).alias(f"{c}|min"), F.max(x).alias(f"{c}|max")]
+    moments = ["count", "mean", "std", "min", "max"]
+    rows = ", ".join(f"'{c}', " + ", ".join(f"cast(`{c}|{m}` as double)" for m in moments) for c in cols)
+    mom = df.agg(*aggs).selectExpr(f"stack({len(cols)}, {rows}) as (`column`, {', '.join(moments)})")
+    qs = quartiles(df, cols, [0.25, 0.5, 0.75], approx).select(
+        "column", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"))
+    out = mom.join(qs, "column", "left")
     # Quartiles interpolate between values; 9 places keeps them off the rounding edge.
-    return out.select("column", F.col("count").cast("long").alias("count"),
-                      *[F.round(s, 6 if s in ("mean", "std") else 9).alias(s) for s in stats[1:]])
+    return out.select("column", F.col("count").cast("long").alias("count"), F.round("mean", 6).alias("mean"),
+                      F.round("std", 6).alias("std"), F.round("min", 9).alias("min"), F.round("p25", 9).alias("p25"),
+                      F.round("p50", 9).alias("p50"), F.round("p75", 9).alias("p75"), F.round("max", 9).alias("max"))
+
+
+def quartiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], approx: bool = False,
+              group_cols: Sequence[str] = ()) -> DataFrame:
+    """Long (group..., column, n, q0..) percentiles: exact by a distributed sort
+    (default), or ``percentile_approx`` sketches (bounded memory) on request."""
+    if not approx:
+        return exact_percentiles(df, cols, probs, group_cols)
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
+    long = df.select(*group_cols, kv.alias("kv")).select(*group_cols, "kv.column", "kv.v").where(F.col("v").isNotNull())
+    agg = long.groupBy(*group_cols, "column").agg(F.count(F.lit(1)).alias("n"),
+                                                  F.percentile_approx("v", list(probs), 10000).alias("_q"))
+    return agg.select(*group_cols, "column", "n", *[F.col("_q")[i].alias(f"q{i}") for i in range(len(probs))])
 
 
 def info(df: DataFrame) -> DataFrame:
@@ -65,14 +81,13 @@ def info(df: DataFrame) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, keys: Sequence[str], approx: bool = False) -> DataFrame:
     """A10: quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and
-    outlier count per group. Two passes: quartiles per group, then a keyed join
-    back (one row per group) for whiskers and outliers."""
+    outlier count per group. Quartiles per group by the distributed exact sort;
+    then one aggregate over the data joined to its group's row (one per group)."""
     base = df.where(F.col(value).isNotNull())
     for k in keys:
         base = base.where(F.col(k).isNotNull())
-    q = base.groupBy(*keys).agg(
-        _q(value, 0.25, approx).alias("q1"), _q(value, 0.5, approx).alias("median"),
-        _q(value, 0.75, approx).alias("q3"), F.count(F.lit(1)).alias("n"))
+    q = quartiles(base, [value], [0.25, 0.5, 0.75], approx, keys).select(
+        *keys, "n", F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
     q = q.withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - F.lit(1.5) * F.col("iqr")
     hi = F.col("q3") + F.lit(1.5) * F.col("iqr")
@@ -87,21 +102,20 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str], approx: bool = Fal
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column, count of values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR].
-    Pass 1 computes all quartiles in one aggregate (one row), pass 2 counts in
-    one aggregate against that broadcast row."""
+    Quartiles by the distributed exact sort; the count pass unpivots the data to
+    (column, value) and joins each value to its column's quartile row (one row
+    per column, so that side is bounded by the schema width)."""
     cols = list(columns or numeric_columns(df))
-    quart = df.agg(*[_q(c, [0.25, 0.75], approx).alias(c) for c in cols])
-    quart = quart.select(*[F.struct(F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3")).alias(f"_qt_{c}") for c in cols])
-    joined = df.select(*cols).crossJoin(F.broadcast(quart))
-    aggs = []
-    for c in cols:
-        q1, q3 = F.col(f"_qt_{c}.q1"), F.col(f"_qt_{c}.q3")
-        iqr = q3 - q1
-        x = F.col(c).cast("double")
-        aggs.append(F.count_if((x < q1 - F.lit(1.5) * iqr) | (x > q3 + F.lit(1.5) * iqr)).alias(c))
-    wide = joined.agg(*aggs)
-    rows = ", ".join(f"'{c}', `{c}`" for c in cols)
-    return wide.selectExpr(f"stack({len(cols)}, {rows}) as (`column`, outliers)")
+    q = quartiles(df, cols, [0.25, 0.75], approx).select("column", F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
+    long = df.select(kv.alias("kv")).select("kv.column", "kv.v")
+    iqr = F.col("_q3") - F.col("_q1")
+    x = F.col("v")
+    counts = long.join(F.broadcast(q), "column").groupBy("column").agg(
+        F.count_if((x < F.col("_q1") - F.lit(1.5) * iqr) | (x > F.col("_q3") + F.lit(1.5) * iqr)).alias("outliers"))
+    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return F.broadcast(names).join(counts, "column", "left").select(
+        "column", F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"))
 
 
 def _gram_partials(cols: Sequence[str], means: Sequence[float]):

@@ -274,10 +274,9 @@ def q_n10m(spark, d):
 
 @register("p03_profile_model_scores")
 def q_p03m(spark, d):
+    from churnlab.plans.q_profiles import completed
     res = main_model(spark, d)
-    p = policyholders(spark, d)
-    comp = pr.complete_profiles(pr.partial_profiles(p), pr.base_profile(p)).withColumnRenamed("profile_id",
-                                                                                              "customer_id")
+    comp = completed(spark, d).withColumnRenamed("profile_id", "customer_id")
     s = ml.probability(res.model, fx.add_engineered_features(comp).withColumn("label", F.lit(0.0)),
                        keep=("customer_id",))
     from churnlab.functions.scoring import predicted_class, risk_tier

@@ -11,6 +11,7 @@ from churnlab.operators.whatif import linear_probability
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import AGE_BAND_SQL, q, tier_sql
+from churnlab.session import cut_lineage
 from churnlab.sources.fixture import POLICYHOLDER_COLUMNS, policyholders
 
 STRING_COLS = {"region_name", "age_band", "marital_status", "policy_type", "payment_frequency"}
@@ -60,9 +61,19 @@ def _completed_sql() -> str:
 COMPLETED_CTE = f"completed AS ({_completed_sql()})"
 
 
+_BASE: dict = {}
+
+
+def base(spark, d):
+    """Base profile (one row), checkpointed once per session and folder."""
+    key = (id(spark.sparkContext), d.rstrip("/"))
+    if key not in _BASE:
+        _BASE[key] = cut_lineage(pr.base_profile(policyholders(spark, d)))
+    return _BASE[key]
+
+
 def completed(spark, d):
-    p = policyholders(spark, d)
-    return pr.complete_profiles(pr.partial_profiles(p), pr.base_profile(p))
+    return pr.complete_profiles(pr.partial_profiles(policyholders(spark, d)), base(spark, d))
 
 
 @register("p01_base_profile", with_ctes("SELECT * FROM base", BASE_CTE))

@@ -457,3 +457,26 @@ def q_a38(spark, d):
     "SELECT CAST(floor(avg(current_premium) * 12) AS BIGINT) AS customer_value FROM policyholders"))
 def q_a39(spark, d):
     return rates.default_customer_value(PH(spark, d))
+
+
+@register("a36_top2_scatter_rows", with_ctes(
+    "SELECT u.customer_id, u.feature, u.value, u.churn_flag FROM (UNPIVOT (SELECT customer_id, churn_flag, "
+    + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _TOP2_FEATS)
+    + " FROM policyholders) ON " + ", ".join(_TOP2_FEATS) + " INTO NAME feature VALUE value) u"
+    " JOIN (SELECT feature FROM (SELECT split_part(pair, '|', 1) AS feature,"
+    " CASE WHEN isnan(r) THEN NULL ELSE round(r, 6) END AS r FROM (UNPIVOT (SELECT "
+    + ", ".join(f"coalesce(corr(CAST({c} AS DOUBLE), CAST(churn_flag AS DOUBLE)), 'NaN'::DOUBLE) AS \"{c}|\""
+                for c in _TOP2_FEATS)
+    + " FROM policyholders) ON COLUMNS(*) INTO NAME pair VALUE r)) WHERE r IS NOT NULL"
+    " ORDER BY abs(r) DESC, feature LIMIT 2) t ON u.feature = t.feature"))
+def q_a36s(spark, d):
+    """The scatter rows of the top-2 label-correlated features, long form
+    (customer, feature, value, label) over the whole table."""
+    p = PH(spark, d)
+    top2 = stats.top_label_correlations(p.select(*NUMERIC_COLS)).select("feature")
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
+                             for c in _TOP2_FEATS]))
+    long = p.select("customer_id", "churn_flag", kv.alias("kv")).select("customer_id", "kv.feature", "kv.value",
+                                                                         "churn_flag")
+    return (long.where(F.col("value").isNotNull()).join(F.broadcast(top2), "feature")
+                .select("customer_id", "feature", "value", "churn_flag"))
