@@ -90,12 +90,26 @@ def previous_in_group(df: DataFrame, group_col: str, order: Sequence[str], value
     group into one task: number rows globally by (group, order) and equi-join each
     row to its predecessor number. A group holding a third of the table is spread
     over many ranges; the join key is unique, so no join partition is skewed."""
-    numbered = global_row_number(df, [group_col, *order], "_gid", num_partitions)
-    prev = numbered.select((F.col("_gid") + 1).alias("_gid"), F.col(group_col).alias("_pgrp"),
-                           *[F.col(v).alias(f"_pv_{v}") for v in value_cols])
-    out = numbered.join(prev, "_gid", "left")
-    same = F.col("_pgrp") == F.col(group_col)
-    return out.select(*df.columns, *[F.when(same, F.col(f"_pv_{v}")).alias(f"{prefix}{v}") for v in value_cols])
+    r = ranged(df, [group_col, *order], num_partitions)
+    # Inside a range partition a group's rows are contiguous and sorted: a window
+    # over (partition, group) gives lag for every row but the first of each
+    # slice. The hash exchange on (partition id, group) stays balanced because
+    # the partition id already splits a hot group.
+    w = Window.partitionBy(_PID, group_col).orderBy(_MID)
+    local = r.select("*", F.row_number().over(w).alias("_slice_rn"),
+                     *[F.lag(v).over(w).alias(f"_lag_{v}") for v in value_cols])
+    # Only a partition's first slice can continue a group from an earlier
+    # partition: take the last row of the nearest earlier non-empty partition
+    # (one row per partition, so this table is bounded by the partition count).
+    last = r.groupBy(_PID).agg(F.max_by(F.struct(F.col(group_col).alias("g"), *[F.col(v) for v in value_cols]),
+                                         F.col(_MID)).alias("_last"), F.min(_MID).alias("_pmin"))
+    bounds = last.select(_PID, "_pmin", F.lag("_last").over(Window.orderBy(_PID)).alias("_prev"))
+    joined = local.join(F.broadcast(bounds), _PID)
+    carry = ((F.col("_slice_rn") == 1) & (F.col(_MID) == F.col("_pmin"))
+             & (F.col("_prev.g") == F.col(group_col)))
+    return joined.select(*df.columns, *[
+        F.when(F.col("_slice_rn") > 1, F.col(f"_lag_{v}")).when(carry, F.col(f"_prev.{v}")).alias(f"{prefix}{v}")
+        for v in value_cols])
 
 
 def rank_within_groups(df: DataFrame, group_col: str, order: Sequence[str | Column],

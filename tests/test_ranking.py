@@ -83,3 +83,16 @@ def test_zero_scenario_changes_nothing(ph):
     out = wi.apply_scenarios(ph, wi.scenario_table(spark, scen), decrement_price_increases=False, active=scen)
     for c in wi.SIM_COLUMNS:
         assert out.where(~F.col(f"orig_{c}").eqNullSafe(F.col(c))).count() == 0
+
+
+def test_previous_in_group_hot_group_spans_partitions(spark):
+    # 90% of rows in one group -> it spans many range partitions; values include nulls.
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") < 2700, F.lit(0)).otherwise(F.col("id") % 7).alias("g"),
+        ((F.col("id") * 7919) % 3001).alias("t"), F.col("id").alias("k"),
+        F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(F.col("id") * 0.5).alias("v"))
+    got = ranking.previous_in_group(df, "g", ["t", "k"], ["v"], num_partitions=9)
+    exp = df.withColumn("prev_v", F.lag("v").over(Window.partitionBy("g").orderBy("t", "k")))
+    assert got.count() == 3000
+    diff = got.join(exp, ["g", "t", "k"]).where(~got["prev_v"].eqNullSafe(exp["prev_v"]))
+    assert diff.count() == 0
