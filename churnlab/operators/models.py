@@ -299,22 +299,33 @@ def stacking(df: DataFrame, feature_set: str = "lockin_2", folds: int = 3, overr
 def permutation_importance(result: TrainResult, test: DataFrame, columns: Sequence[str], repeats: int = 5,
                            seed: int = 42) -> DataFrame:
     """EV15/EV16: mean drop of average precision when one column is shuffled.
-    The shuffle is a join of two global numberings (by key, and by a seeded
-    hash of the key), so the permuted values move between rows without any
-    collect; the baseline and every shuffled copy are scored by the pipeline."""
+
+    Rows are numbered once in a seeded hash order (range-partitioned numbering,
+    no single-task window). A shuffle is the bijection r -> (a*r + b) mod n with
+    gcd(a, n) = 1, so every value moves to exactly one other row by an equi-join
+    on the row number (no collect); each (column, repeat) uses its own (a, b).
+    """
+    import math
+    import random
+
     from churnlab.operators.ranking import global_row_number
-    base_ap = ev.auc_scores(probability(result.model, test)).select("pr_auc").first()["pr_auc"]
-    numbered = global_row_number(test, [F.col("customer_id")], "_r1")
+    h = F.md5(F.concat(F.col("customer_id"), F.lit(f"|{seed}")))
+    numbered = global_row_number(test.withColumn("_h", h), [F.col("_h"), F.col("customer_id")], "_r").drop("_h")
+    n = numbered.count()
+    base_ap = ev.auc_scores(probability(result.model, numbered)).first()["pr_auc"]
+    rng = random.Random(seed)
     rows = []
     for c in columns:
         drops = []
-        for rep in range(repeats):
-            h = F.md5(F.concat(F.col("customer_id"), F.lit(f"|{seed}|{rep}|{c}")))
-            perm = global_row_number(numbered.select("customer_id", c, "_r1").withColumn("_h", h),
-                                     [F.col("_h"), F.col("customer_id")], "_r2")
-            moved = perm.select(F.col("_r2").alias("_r1"), F.col(c).alias("_shuffled"))
-            shuffled = numbered.join(moved, "_r1").withColumn(c, F.col("_shuffled")).drop("_shuffled", "_r1")
-            ap = ev.auc_scores(probability(result.model, shuffled)).select("pr_auc").first()["pr_auc"]
+        for _ in range(repeats):
+            a = rng.randrange(1, max(n, 2))
+            while math.gcd(a, n) != 1:
+                a = rng.randrange(1, max(n, 2))
+            b = rng.randrange(0, max(n, 1))
+            target = ((F.lit(a) * (F.col("_r") - 1) + F.lit(b)) % F.lit(n)) + 1
+            moved = numbered.select(target.alias("_r"), F.col(c).alias("_shuffled"))
+            shuffled = numbered.join(moved, "_r").withColumn(c, F.col("_shuffled")).drop("_shuffled")
+            ap = ev.auc_scores(probability(result.model, shuffled)).first()["pr_auc"]
             drops.append(base_ap - ap)
         rows.append((c, float(sum(drops) / len(drops))))
     spark = test.sparkSession

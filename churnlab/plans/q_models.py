@@ -26,15 +26,8 @@ def _ov(recipe: ml.Recipe) -> dict:
     return CHECK[recipe.estimator]
 
 
-_MAIN: dict = {}
-
-
 def main_model(spark, d):
-    key = (id(spark.sparkContext), d.rstrip("/"))
-    if key not in _MAIN:
-        r = ml.RECIPES["main"]
-        _MAIN[key] = ml.train_evaluate(r, policyholders(spark, d), _ov(r))
-    return _MAIN[key]
+    return trained(spark, d, "main")
 
 
 # ------------------------------------------------------------------ preparation (SQL)
@@ -126,10 +119,21 @@ def q_l06r(spark, d):
 
 
 # ------------------------------------------------------------------ models (rows-only)
+_TRAINED: dict = {}
+
+
+def trained(spark, d, name: str) -> ml.TrainResult:
+    """Recipe trained once per session and folder (small iteration counts)."""
+    key = (id(spark.sparkContext), d.rstrip("/"), name)
+    if key not in _TRAINED:
+        r = ml.RECIPES[name]
+        _TRAINED[key] = ml.train_evaluate(r, policyholders(spark, d), _ov(r))
+    return _TRAINED[key]
+
+
 def _record(name: str):
     def fn(spark, d):
-        r = ml.RECIPES[name]
-        return ml.train_evaluate(r, policyholders(spark, d), _ov(r)).record
+        return trained(spark, d, name).record
     return fn
 
 
@@ -153,8 +157,7 @@ for _name, _qname in [("rf_claims", "l10_rf_claims_record"), ("rf_claimants_ange
 
 @register("l09_price_lr_coefficients")
 def q_l09(spark, d):
-    r = ml.RECIPES["price_lr"]
-    return ml.lr_coefficients(ml.train_evaluate(r, policyholders(spark, d), _ov(r)))
+    return ml.lr_coefficients(trained(spark, d, "price_lr"))
 
 
 @register("l19_stacking_record")
@@ -234,10 +237,7 @@ def q_ev16(spark, d):
 @register("ev17_stage_comparison")
 def q_ev17(spark, d):
     p = policyholders(spark, d)
-    recs = {"main": main_model(spark, d).record}
-    for name in ("rf_claims", "rf_claimants_anger"):
-        r = ml.RECIPES[name]
-        recs[name] = ml.train_evaluate(r, p, _ov(r)).record
+    recs = {name: trained(spark, d, name).record for name in ("main", "rf_claims", "rf_claimants_anger")}
     return ml.stage_comparison(recs)
 
 
