@@ -25,18 +25,15 @@ def _as_cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
-def _partitions(df: DataFrame, num_partitions: int | None) -> int:
-    if num_partitions:
-        return num_partitions
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ranged(df: DataFrame, order: Sequence[str | Column], num_partitions: int | None = None) -> DataFrame:
     """Range-partition on ``order``, sort inside partitions, tag partition id and
     in-partition position, then checkpoint so later passes see identical ids."""
     cols = _as_cols(order)
-    n = _partitions(df, num_partitions)
-    out = (df.repartitionByRange(n, *cols)
+    # Without an explicit count the range exchange uses the session's shuffle
+    # partitions and AQE may merge adjacent (small) ranges; merged ranges stay
+    # contiguous, and the sort and ids below apply to the merged partitions.
+    parted = df.repartitionByRange(num_partitions, *cols) if num_partitions else df.repartitionByRange(*cols)
+    out = (parted
              .sortWithinPartitions(*cols)
              .withColumn(_PID, F.spark_partition_id())
              .withColumn(_MID, F.monotonically_increasing_id()))
@@ -87,9 +84,10 @@ def prefix_sums(df: DataFrame, order: Sequence[str | Column], sum_cols: Sequence
 def previous_in_group(df: DataFrame, group_col: str, order: Sequence[str], value_cols: Sequence[str],
                       prefix: str = "prev_", num_partitions: int | None = None) -> DataFrame:
     """``lag(value) over (partition by group order by ...)`` without clustering a
-    group into one task: number rows globally by (group, order) and equi-join each
-    row to its predecessor number. A group holding a third of the table is spread
-    over many ranges; the join key is unique, so no join partition is skewed."""
+    group into one task. Rows are range-partitioned on (group, order), so a group
+    holding a third of the table is spread over many ranges; lag is computed
+    inside each (range, group) slice and carried across range boundaries from a
+    one-row-per-partition table. Null keys form one group, as in SQL."""
     r = ranged(df, [group_col, *order], num_partitions)
     # Inside a range partition a group's rows are contiguous and sorted: a window
     # over (partition, group) gives lag for every row but the first of each
@@ -106,7 +104,7 @@ def previous_in_group(df: DataFrame, group_col: str, order: Sequence[str], value
     bounds = last.select(_PID, "_pmin", F.lag("_last").over(Window.orderBy(_PID)).alias("_prev"))
     joined = local.join(F.broadcast(bounds), _PID)
     carry = ((F.col("_slice_rn") == 1) & (F.col(_MID) == F.col("_pmin"))
-             & (F.col("_prev.g") == F.col(group_col)))
+             & F.col("_prev.g").eqNullSafe(F.col(group_col)))
     return joined.select(*df.columns, *[
         F.when(F.col("_slice_rn") > 1, F.col(f"_lag_{v}")).when(carry, F.col(f"_prev.{v}")).alias(f"{prefix}{v}")
         for v in value_cols])

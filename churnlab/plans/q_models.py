@@ -16,6 +16,7 @@ from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import q
 from churnlab.sources import io
+from churnlab.session import memo_key
 from churnlab.sources.fixture import policyholders
 
 # Small iteration counts for checks; recipes keep the reference values as defaults.
@@ -124,7 +125,7 @@ _TRAINED: dict = {}
 
 def trained(spark, d, name: str) -> ml.TrainResult:
     """Recipe trained once per session and folder (small iteration counts)."""
-    key = (id(spark.sparkContext), d.rstrip("/"), name)
+    key = memo_key(spark, d, name)
     if key not in _TRAINED:
         r = ml.RECIPES[name]
         _TRAINED[key] = ml.train_evaluate(r, policyholders(spark, d), _ov(r))

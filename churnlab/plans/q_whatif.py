@@ -13,7 +13,7 @@ from churnlab.operators.rates import default_customer_value
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import F1_SQL, q
-from churnlab.session import cut_lineage
+from churnlab.session import cut_lineage, memo_key
 from churnlab.sources.fixture import policyholders
 
 T = DEFAULT_THRESHOLD
@@ -23,7 +23,7 @@ _FAN: dict = {}
 def fan(spark, d):
     """Population x default scenarios after N2-N8, with the linear probability;
     checkpointed once per session and folder."""
-    key = (id(spark.sparkContext), d.rstrip("/"))
+    key = memo_key(spark, d)
     if key not in _FAN:
         sims = wi.apply_scenarios(policyholders(spark, d), wi.scenario_table(spark), active=wi.DEFAULT_SCENARIOS)
         _FAN[key] = cut_lineage(sims.withColumn("sim_probability", wi.linear_probability()))

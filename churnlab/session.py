@@ -58,3 +58,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def memo_key(spark: SparkSession, *parts) -> tuple:
+    """Key for per-application memoized derived tables (the application id is
+    unique per SparkContext, unlike ``id()`` of a recycled object)."""
+    return (spark.sparkContext.applicationId, *[p.rstrip("/") if isinstance(p, str) else p for p in parts])

@@ -230,9 +230,9 @@ def policyholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     every analytics query reuses it without recomputing the order/lineitem joins,
     and the checkpoint (not a local cache) survives executor loss.
     """
-    from churnlab.session import cut_lineage
+    from churnlab.session import cut_lineage, memo_key
 
-    key = (id(spark.sparkContext), sf_dir.rstrip("/"))
+    key = memo_key(spark, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = cut_lineage(build_policyholders(spark, sf_dir))
     return _CACHE[key]
