@@ -313,3 +313,19 @@ def q_io09(spark, d):
     path = io.scratch_path(spark, "test-split")
     io.save_split(s, path, "test")
     return spark.read.parquet(path).select("customer_id", "churn_flag")
+
+
+@register("ev12_validation_recall", with_ctes(
+    "SELECT 0.2e0 AS threshold, count(*) FILTER (WHERE churn_flag = 1 AND churn_probability_true >= 0.2e0)"
+    " / nullif(CAST(count(*) FILTER (WHERE churn_flag = 1) AS DOUBLE), 0) AS recall, count(*) AS valid_size"
+    " FROM (SELECT *, row_number() OVER (PARTITION BY churn_flag ORDER BY md5(customer_id || '42'), customer_id)"
+    " AS rk, count(*) OVER (PARTITION BY churn_flag) AS n FROM policyholders)"
+    " WHERE rk > ceil(n * 0.2e0) AND rk <= ceil(n * 0.2e0) + ceil(n * 0.2e0)"))
+def q_ev12(spark, d):
+    """EV12: recall of the rule ``score >= t`` on the validation part of the 60/20/20 split."""
+    s = prep.stratified_split(policyholders(spark, d), [("test", 0.2), ("valid", 0.2), ("train", 0.6)])
+    v = s.where(F.col("split") == "valid")
+    y, hit = F.col("churn_flag") == 1, F.col("churn_probability_true") >= 0.2
+    return v.agg(F.lit(0.2).alias("threshold"),
+                 F.try_divide(F.count_if(y & hit).cast("double"), F.count_if(y)).alias("recall"),
+                 F.count(F.lit(1)).alias("valid_size"))

@@ -182,3 +182,13 @@ def q_r17(spark, d):
 def q_r17f(spark, d):
     return so.watchlist_b(scored(spark, d), predicted_only=False, policy_type="Auto", region="EUROPE",
                           keyword="customer", top_n=20)
+
+
+@register("r17_watchlist_b_csv_export", S(_wb_sql("predicted_churn = 1", 100)))
+def q_r17csv(spark, d):
+    """IO6: the watchlist exported as header CSV (UTF-8) and read back with its schema."""
+    from churnlab.sources import io
+    wl = so.watchlist_b(scored(spark, d), top_n=100)
+    path = io.scratch_path(spark, "watchlist")
+    io.export_watchlist_csv(wl, path)
+    return spark.read.schema(wl.schema).option("header", True).csv(path)
