@@ -115,14 +115,17 @@ def select_top_pct(fan: DataFrame, candidate: Column, pct_col: str, out_col: str
 
 
 def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increases: bool = True,
-                    active: Sequence[Scenario] | None = None, key: str = "customer_id") -> DataFrame:
+                    active: Sequence[Scenario] | None = None, key: str = "customer_id",
+                    carry: Sequence[str] | None = None) -> DataFrame:
     """Population x scenarios with N2-N8 applied in order. Original values
     are kept as ``orig_<col>`` so before/after comparisons need no join (J1).
-    ``active`` (the scenario literal) lets plan-time skip all-zero steps."""
+    ``active`` (the scenario literal) lets plan-time skip all-zero steps.
+    ``carry``: extra columns to keep; ``None`` keeps every input column (joined
+    back once on the key at the end), a list keeps just those (no join)."""
     present = [c for c in SIM_COLUMNS if c in df.columns]
     # Only the columns the steps read travel through the ranking shuffles; the
-    # rest joins back once at the end on the (unique) key.
-    needed = set(SIM_COLUMNS) | {"multi_policy_flag", "customer_tenure_months", key}
+    # rest joins back once at the end on the (unique) key, unless not wanted.
+    needed = set(SIM_COLUMNS) | {"multi_policy_flag", "customer_tenure_months", key} | set(carry or ())
     rest = [c for c in df.columns if c not in needed]
     narrow = df.select(*[c for c in df.columns if c in needed])
     fan = narrow.withColumns({f"orig_{c}": F.col(c) for c in present}).crossJoin(F.broadcast(scenarios))
@@ -160,7 +163,7 @@ def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increas
         fan = fan.withColumns({c: F.when(F.col("_chosen"), F.lit(v)).otherwise(F.col(c))
                                for c, v in sets.items() if c in present})
         fan = fan.drop("_chosen")
-    if rest:
+    if rest and carry is None:
         fan = fan.join(df.select(key, *rest), key)
     return fan
 

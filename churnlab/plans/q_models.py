@@ -267,7 +267,10 @@ def q_n10m(spark, d):
     """N10/N11 with the trained model over all scenarios in one transform."""
     from churnlab.plans.q_whatif import fan
     res = main_model(spark, d)
-    f = fan(spark, d)
+    p = policyholders(spark, d)
+    narrow = fan(spark, d)
+    # The model needs every feature: join the unchanged columns back on the key.
+    f = narrow.join(p.select("customer_id", *[c for c in p.columns if c not in narrow.columns]), "customer_id")
     prob = ml.probability(res.model, fx.add_engineered_features(f).withColumn("label", F.lit(0.0)),
                           keep=("customer_id", "scenario", "policy_ko", "is_base", "is_single"))
     return wi.compare_to_base(wi.scenario_summary(prob, res.threshold, "score"))

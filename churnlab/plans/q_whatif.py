@@ -18,6 +18,8 @@ from churnlab.sources.fixture import policyholders
 
 T = DEFAULT_THRESHOLD
 _FAN: dict = {}
+# Besides the scenario inputs, the checked consumers read only these (F1 inputs).
+CARRY = ["payment_frequency", "policy_type"]
 
 
 def fan(spark, d):
@@ -25,7 +27,8 @@ def fan(spark, d):
     checkpointed once per session and folder."""
     key = memo_key(spark, d)
     if key not in _FAN:
-        sims = wi.apply_scenarios(policyholders(spark, d), wi.scenario_table(spark), active=wi.DEFAULT_SCENARIOS)
+        sims = wi.apply_scenarios(policyholders(spark, d), wi.scenario_table(spark), active=wi.DEFAULT_SCENARIOS,
+                                  carry=CARRY)
         _FAN[key] = cut_lineage(sims.withColumn("sim_probability", wi.linear_probability()))
     return _FAN[key]
 
