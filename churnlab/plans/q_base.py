@@ -258,3 +258,21 @@ def q_d04(spark, d):
 @register("d_all_checks", with_ctes(" UNION ALL ".join([_D1, _D2, _D3, _D4])))
 def q_dall(spark, d):
     return quality.all_checks(PH(spark, d))
+
+
+@register("io07_encoding_map_roundtrip", with_ctes(
+    "SELECT customer_id, marital_status, policy_type FROM policyholders"))
+def q_io07(spark, d):
+    """IO7/J3: encode (C3), save the code map as JSON lines, load it back and
+    decode the codes to labels by a broadcast join against the map."""
+    from churnlab.sources import io
+    p = PH(spark, d)
+    cols = ["marital_status", "policy_type"]
+    codes = clean.encoding_table(p, cols)
+    path = io.scratch_path(spark, "encoding-map")
+    io.save_encoding_map(codes, path)
+    back = io.load_encoding_map(spark, path)
+    enc = clean.label_encode(p.select("customer_id", *cols), cols)
+    for c in cols:
+        enc = io.decode(enc, back, c)
+    return enc.select("customer_id", *cols)
