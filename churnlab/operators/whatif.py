@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 
 from churnlab.functions import features as fx
 from churnlab.operators.ranking import global_row_number, rank_within_groups
-from churnlab.session import cut_lineage
 
 SIM_COLUMNS = ["premium_change_pct", "num_price_increases_last_3y", "late_payment_count_12m",
                "missed_payment_flag", "complaint_flag", "quote_requested_flag", "coverage_downgrade_flag"]

@@ -11,7 +11,7 @@ from churnlab.operators.whatif import linear_probability
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import AGE_BAND_SQL, q, tier_sql
-from churnlab.session import cut_lineage, memo_key
+from churnlab.session import materialize, memo_key
 from churnlab.sources.fixture import POLICYHOLDER_COLUMNS, policyholders
 
 STRING_COLS = {"region_name", "age_band", "marital_status", "policy_type", "payment_frequency"}
@@ -68,7 +68,7 @@ def base(spark, d):
     """Base profile (one row), checkpointed once per session and folder."""
     key = memo_key(spark, d)
     if key not in _BASE:
-        _BASE[key] = cut_lineage(pr.base_profile(policyholders(spark, d)))
+        _BASE[key] = materialize(pr.base_profile(policyholders(spark, d)))
     return _BASE[key]
 
 

@@ -9,7 +9,7 @@ from churnlab.operators import scoring as so
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import q, scored_cte
-from churnlab.session import cut_lineage, memo_key
+from churnlab.session import materialize, memo_key
 from churnlab.sources.fixture import policyholders
 
 _SCORED: dict = {}
@@ -20,7 +20,7 @@ def scored(spark, d):
     checkpointed once per session and folder."""
     key = memo_key(spark, d)
     if key not in _SCORED:
-        _SCORED[key] = cut_lineage(so.score_table(policyholders(spark, d), "churn_probability_true",
+        _SCORED[key] = materialize(so.score_table(policyholders(spark, d), "churn_probability_true",
                                                   DEFAULT_THRESHOLD))
     return _SCORED[key]
 

@@ -13,7 +13,7 @@ from churnlab.operators.rates import default_customer_value
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import F1_SQL, q
-from churnlab.session import cut_lineage, memo_key
+from churnlab.session import materialize, memo_key
 from churnlab.sources.fixture import policyholders
 
 T = DEFAULT_THRESHOLD
@@ -29,7 +29,7 @@ def fan(spark, d):
     if key not in _FAN:
         sims = wi.apply_scenarios(policyholders(spark, d), wi.scenario_table(spark), active=wi.DEFAULT_SCENARIOS,
                                   carry=CARRY)
-        _FAN[key] = cut_lineage(sims.withColumn("sim_probability", wi.linear_probability()))
+        _FAN[key] = materialize(sims.withColumn("sim_probability", wi.linear_probability()))
     return _FAN[key]
 
 

@@ -55,11 +55,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
+    """Reliable checkpoint into the shared checkpoint dir (survives executor
+    loss). Used for internal cut points whose consumers read every column."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in a fresh folder under the shared
+    checkpoint directory and return a scan of it.
+
+    For derived tables that many queries read: like a reliable checkpoint it
+    survives executor loss and cuts the lineage, and in addition later queries
+    get column pruning (ReadSchema), pushed filters and file statistics for AQE.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/churnlab-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def memo_key(spark: SparkSession, *parts) -> tuple:
     """Key for per-application memoized derived tables (the application id is
     unique per SparkContext, unlike ``id()`` of a recycled object)."""
