@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnlab.llm import simhash
+from churnlab.llm import packing, records, simhash, warc
 from churnlab.llm.common import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,38 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, read back from the record files by their offset index."""
+    folder, index = records.write_token_files(read_table(spark, sf_dir, "documents"), end_id=0)
+    read = records.read_token_files(folder, records.with_global_start(index), keep=("start",))
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
+    folder, index = warc.write_archives(read_table(spark, sf_dir, "pages"), min_bytes=100)
+    read = warc.read_archives(folder, index)
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_page FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page <> page_id THEN first_page END AS refers_to
+FROM f
+"""
+
+
+@query
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece: 1024 ids, end id 2."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), capacity=1024, end_id=2)
+
+
 @query
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document: 3-word shingles, 3 bits."""
