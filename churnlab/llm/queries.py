@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnlab.llm import packing, records, simhash, warc
-from churnlab.llm.common import read_table
+from churnlab.llm import langid, licenses, packing, records, simhash, toxicity, warc
+from churnlab.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -18,6 +18,21 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every document."""
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; learned from rows with crc32(doc_id) mod 3 other than 1."""
+    docs = read_table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 3, 1)
+    found = langid.predict(docs, langid.learn(docs.where(~held)))
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the record files by their offset index."""
@@ -26,6 +41,15 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document; learned from rows with crc32(doc_id) mod 4 other than 2."""
+    docs = read_table(spark, sf_dir, "documents")
+    held = held_out(F.col("doc_id"), 4, 2)
+    model = toxicity.learn(docs.where(~held), read_table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
