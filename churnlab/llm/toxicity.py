@@ -13,7 +13,8 @@ stem of a longer one, enters it where it is used in significantly more
 different contexts (word before, word after) of toxic documents than its use in
 clean ones explains. Contexts, not occurrences, are counted on the toxic side,
 so copies of one document add nothing. A part of the labelled rows is kept back
-to turn clause scores into probabilities.
+to turn the clause scores of a text, and their density in it, into a probability
+(a ridge logistic regression on a bounded sample).
 """
 
 from __future__ import annotations
@@ -44,11 +45,11 @@ THREAT_WEIGHT = 2.0
 #: Words that a negation or a target governs, to its right.
 NEGATION_REACH, TARGET_REACH = 3, 4
 NEGATED, REPORTED, AIMED = 0.25, 0.5, 1.5
-#: Likelihood ratio that a word must reach to enter the lexicon, least weight of an entry, and the size of the lexicon.
+#: Likelihood ratio that a word must reach to enter the lexicon, least weight of an entry, size of the lexicon.
 MIN_G2, MIN_WEIGHT, MAX_LEXICON = 20.0, 1.5, 20_000
 STEM = 5
-#: Steps of the calibration curve (clause scores are binned on a square-root scale).
-BINS = 64
+#: Labelled rows that the calibration is fitted to at most (a sample by hash of the id), and its Newton steps.
+CALIBRATION_ROWS, NEWTON_STEPS, RIDGE = 50_000, 25, 1e-2
 PREDICT_AT = 0.3
 #: Words that a learning task counts before it hands them on.
 FLUSH = 400_000
@@ -117,12 +118,14 @@ def seed_classes() -> dict[str, tuple[int, float]]:
     return {w: (kind, THREAT_WEIGHT) for kind, line in SEEDS.items() for w in line.split()}
 
 
-def clause_scores(text: str, classes: dict[str, tuple[int, float]], triggers: frozenset, after, factor) -> list[float]:
-    """Scores of the clauses that hold an insult or a threat."""
+def clause_scores(text: str, classes: dict[str, tuple[int, float]], triggers: frozenset, after,
+                  factor) -> tuple[list[float], int]:
+    """(scores of the clauses that hold an insult or a threat, words of the text)."""
     low = text.lower()
-    words = set(_WORD.findall(low))
+    every = _WORD.findall(low)
+    words = set(every)
     if triggers.isdisjoint(words) and triggers.isdisjoint({w[:STEM] + "-" for w in words if len(w) > STEM}):
-        return []
+        return [], len(every)
     scores = []
     for clause in _CLAUSE.split(low):
         state, score, fired = 0, 0.0, False
@@ -134,7 +137,7 @@ def clause_scores(text: str, classes: dict[str, tuple[int, float]], triggers: fr
             state = after[state][kind]
         if fired:
             scores.append(score)
-    return scores
+    return scores, len(every)
 
 
 # ---- learning ----------------------------------------------------------------------------------------------------
@@ -142,17 +145,12 @@ def clause_scores(text: str, classes: dict[str, tuple[int, float]], triggers: fr
 @dataclass(frozen=True)
 class Model:
     insults: dict[str, float]
-    curve: tuple[float, ...]
+    coefficients: tuple[float, ...]
 
     def classes(self) -> dict[str, tuple[int, float]]:
         return seed_classes() | {w: (INSULT, v) for w, v in self.insults.items()}
 
 
-def raw_score(scores: list[float]) -> float:
-    """The strongest clause counts in full, the others at a decreasing rate."""
-    return sum(s / (1 + i) for i, s in enumerate(sorted(scores, reverse=True)[:8]))
-
-
 def _units(text: str) -> list[tuple[str, str]]:
     """(unit, context) of every word: the word and its stem, with the words around it."""
     words = ["", *_WORD.findall(text.lower()), ""]
@@ -209,23 +207,26 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r.unit: r.weight for r in entries if r.unit not in seeds}
 
 
-def pooled(positive: np.ndarray, total: np.ndarray) -> tuple[float, ...]:
-    """Rising probability per bin: pool adjacent violators over the smoothed rates, empty bins take their left neighbour."""
-    overall = (positive.sum() + 0.5) / (total.sum() + 1.0)
-    blocks: list[list[float]] = []  # sum, weight, bins
-    for p, n in zip(positive, total):
-        blocks.append([p + 0.5 * overall, n + 0.5, 1])
-        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    return tuple(s / w for s, w, bins in blocks for _ in range(int(bins)))
+def features(raw, words, log1p=np.log1p) -> list:
+    """What the calibration sees, from the clause score and the number of words (arrays or columns)."""
+    return [log1p(raw), log1p(100 * raw / (words + 20))]
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Intercept and coefficients by Newton's method with a small ridge, so that separable data stay finite."""
+    x = np.column_stack([np.ones(len(x)), x])
+    beta, ridge = np.zeros(x.shape[1]), RIDGE * np.eye(x.shape[1])
+    for _ in range(NEWTON_STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        beta = beta + np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge, x.T @ (y - p) - ridge @ beta)
+    return tuple(beta.tolist())
 
 
 def raw_scores(docs: DataFrame, insults: dict[str, float], keep: list[str]) -> DataFrame:
-    """``raw`` clause score of every row after the columns ``keep``; reads column text."""
+    """Clause score ``raw`` and number of ``words`` of every row after the columns ``keep``; reads column text."""
     model = Model(insults, ())
     fields = [docs.schema[c] for c in keep]
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", raw double"
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", raw double, words long"
     names = [f"c{i}" for i in range(len(fields))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,34 +234,36 @@ def raw_scores(docs: DataFrame, insults: dict[str, float], keep: list[str]) -> D
         triggers = frozenset(w for w, (kind, _) in classes.items() if kind in (INSULT, THREAT))
         for batch in batches:
             for part in slices(batch, "text"):
-                raw = [raw_score(clause_scores(t, classes, triggers, after, factor)) for t in texts(part.column("text"))]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], pa.array(raw, pa.float64())], [*names, "raw"])
+                rows = [clause_scores(t, classes, triggers, after, factor) for t in texts(part.column("text"))]
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(n) for n in names], pa.array([sum(r) for r, _ in rows], pa.float64()),
+                     pa.array([n for _, n in rows], pa.int64())], [*names, "raw", "words"])
 
     given = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, fields)], "text")
     out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, fields)], "raw")
+    return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, fields)], "raw", "words")
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit lexicon and calibration on the labelled documents.
 
     Two thirds of them (by hash of the id) teach the lexicon, one third the
-    curve. Rows without a label or id are ignored; a document with several
+    calibration. Rows without a label or id are ignored; a document with several
     labels counts as toxic if one of them says so. Without a toxic or a clean
-    document the lexicon is empty and the curve flat.
+    document the lexicon is empty and all scores are equal.
     """
     label = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
              .agg(F.max(label_col).cast("int").alias("toxic")))
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(label, "id")
     third = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0
     insults = learn_lexicon(joined.where(~third))
-    bins = (raw_scores(joined.where(third), insults, ["toxic"])
-            .groupBy(F.least(F.lit(BINS - 1), F.floor(8 * F.sqrt("raw"))).cast("int").alias("bin"))
-            .agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).collect())  # BINS rows at most
-    positive, total = np.zeros(BINS), np.zeros(BINS)
-    for r in bins:
-        positive[r["bin"]], total[r["bin"]] = r["p"], r["n"]
-    return Model(insults, pooled(positive, total))
+    share = min(1.0, CALIBRATION_ROWS / max(1, label.where(third).count()))
+    sample = joined.where(third & (F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))))
+    rows = raw_scores(sample, insults, ["toxic"]).toPandas()
+    if not len(rows):
+        return Model(insults, (0.0, 0.0, 0.0))
+    x = np.column_stack(features(rows.raw.to_numpy(), rows.words.to_numpy()))
+    return Model(insults, fit_logistic(x, rows.toxic.to_numpy(float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -271,6 +274,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     as given; an empty table gives no rows. Nothing is shuffled.
     """
     raw = raw_scores(docs.select(F.col(id_col), F.col(text_col).alias("text")), model.insults, [id_col])
-    place = F.least(F.lit(BINS - 1), F.floor(8 * F.sqrt("raw"))).cast("int") + 1
-    probability = F.round(F.element_at(F.array(*[F.lit(float(p)) for p in model.curve]), place), 6)
-    return raw.select(id_col, probability.alias("score")).withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int"))
+    first, *rest = model.coefficients
+    x = sum((F.lit(b) * f for b, f in zip(rest, features(F.col("raw"), F.col("words"), F.log1p))), F.lit(first))
+    return (raw.select(id_col, F.round(1 / (1 + F.exp(-x)), 6).alias("score"))
+            .withColumn("predicted", (F.col("score") >= PREDICT_AT).cast("int")))
