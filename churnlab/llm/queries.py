@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnlab.llm import decontaminate, embeddings, langid, licenses, packing, records, simhash, toxicity, warc
+from churnlab.llm import decontaminate, embeddings, langid, licenses, packing, records, simhash, substring, toxicity, warc
 from churnlab.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +18,14 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
+@query
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, length, words, first_doc_id: one row per passage of 25 words or more that goes because a document
+    with a smaller id (first_doc_id) holds it."""
+    found = substring.repeated_passages(read_table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("first_id", "first_doc_id")
+
+
 @query
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector; links at cosine 0.95 or more."""
