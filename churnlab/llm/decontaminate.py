@@ -270,7 +270,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return found.withColumnsRenamed({"id": id_col, "item": item_id_col})
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **columns: str) -> DataFrame:
-    """The documents that share no passage with the benchmark (all columns; rows with a null id stay)."""
-    leaks = find_leaks(docs, items, id_col=id_col, **columns).select(id_col).distinct()
-    return docs.join(leaks, id_col, "left_anti")
+def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id",
+                  item_text_col: str = "text") -> DataFrame:
+    """The rows (all columns) whose text shares no passage with the benchmark, as ``find_leaks`` defines it.
+
+    Each block of items is a filter in the scan tasks, one behind the other: nothing is shuffled.
+    """
+    for ids, texts in item_blocks(items, item_id_col, item_text_col):
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+            index = build_index(ids, texts)
+            for batch in batches:
+                for part in slices(batch, text_col):
+                    data, at = normalize(part.column(text_col))
+                    clean = np.ones(part.num_rows, bool)
+                    for row in (*find_regions(index, data, at), *short_regions(index, data, at)):
+                        clean[row[0]] = False
+                    yield part.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

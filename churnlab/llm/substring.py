@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import materialize, slices, utf8
+from churnlab.llm.common import slices, utf8
 
 #: Bytes that the rolling hash covers, and how far a cut must be the least on either side (powers of two, the first not
 #: the larger one).
@@ -171,27 +171,27 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Passages are matched to rows by id; null ids and texts stay as they are.
     """
-    spans = materialize(repeated_passages(docs, id_col, text_col, min_words))
-    per_doc = (spans.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans")))
-    joined = docs.join(per_doc, id_col, "left")
-    touched = joined.where(F.col("_spans").isNotNull())
-    kept = joined.where(F.col("_spans").isNull()).drop("_spans")
-    names = docs.columns
+    spans = repeated_passages(docs, id_col, text_col, min_words)
+    per_doc = spans.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
+    names, where = docs.columns, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where = names.index(text_col)
         for batch in batches:
-            for part in slices(batch, text_col):
-                new = []
-                for text, rows in zip(part.column(text_col).to_pylist(), part.column("_spans").to_pylist()):
-                    raw, pieces, at = text.encode("utf-8"), [], 0
-                    for s in rows:
+            marked = batch.column("_spans").is_valid().to_numpy(zero_copy_only=False)
+            columns = [batch.column(c) for c in names]
+            if marked.any():
+                text, stays = columns[where].to_pylist(), ~marked
+                for i in np.flatnonzero(marked):
+                    raw, pieces, at = text[i].encode("utf-8"), [], 0
+                    for s in batch.column("_spans")[i].as_py():
                         pieces.append(raw[at: s["start"]])
                         at = max(at, s["start"] + s["length"])
-                    new.append(b"".join([*pieces, raw[at:]]).decode("utf-8"))
-                columns = [part.column(c) for c in names]
-                columns[where] = pa.array(new, part.column(text_col).type)
-                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array([bool(t.strip()) for t in new]))
-
-    cut = touched.select(*names, "_spans").mapInArrow(run, docs.schema)
-    return kept.select(*names).unionByName(cut)
+                    text[i] = b"".join([*pieces, raw[at:]]).decode("utf-8")
+                    stays[i] = bool(text[i].strip())
+                columns[where] = pa.array(text, columns[where].type)
+                yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(stays))
+            else:
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    joined = docs.join(per_doc, docs[id_col] == per_doc["_id"], "left").select(*[docs[c] for c in names], "_spans")
+    return joined.mapInArrow(run, docs.schema)
