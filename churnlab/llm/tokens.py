@@ -19,7 +19,7 @@ import numpy as np
 from churnlab.llm.common import ragged
 
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
-MAX_PIECES = 400_000
+MAX_PIECES = 1_000_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = 512
 
@@ -32,13 +32,16 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 class _Pieces(dict):
-    """Piece -> row number; a piece seen for the first time gets the next number."""
+    """Piece -> row number; a piece seen for the first time gets the next number.
+
+    The words of a text are keyed without the space that opens them, the beginning of a text as a 1-tuple.
+    """
 
     def __init__(self) -> None:
         super().__init__()
-        self.new: list[str] = []
+        self.new: list = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece) -> int:
         self[piece] = at = len(self)
         self.new.append(piece)
         return at
@@ -72,14 +75,16 @@ class Encoder:
             self._reset()
         number, counts, rows = self.pieces.__getitem__, [], []
         for text in texts:
-            if "  " in text or "<|" in text:  # a special token's string must reach the library whole
-                parts = _CUT.split(text) if "<|" not in text else [text]
+            if "<|" in text:  # a special token's string must reach the library whole
+                head, tail = text, []
+            elif "  " in text:
+                head, *tail = _CUT.split(text)
+                tail = [w[1:] for w in tail]
             else:
                 head, *tail = text.split(" ")
-                parts = [head, *[" " + w for w in tail]]
-            row = list(map(number, parts))
-            counts.append(len(row))
-            rows += row
+            rows.append(number((head,)))
+            rows += map(number, tail)
+            counts.append(len(tail) + 1)
         self._learn()
         at = np.array(rows, np.int64)
         lengths = self.length[at]
@@ -88,30 +93,37 @@ class Encoder:
         return ids, np.diff(ends)
 
     def _learn(self) -> None:
-        """Encode the pieces that are new. Words opened by a space and without other white space are joined into
-        longer texts first: each of them begins with an id that opens with a space, so the ids fall apart again."""
+        """Encode the pieces that are new.
+
+        Pieces with a single space, at their beginning and before a solid character, are joined into longer texts
+        first: the pre-tokens at their ends stay as they are, and each begins with the only ids that open with a space,
+        so the ids fall apart again.
+        """
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        found: list = [None] * len(new)
-        words = [i for i, p in enumerate(new) if p[:1] == " " and len(p) > 1 and not re.search(r"\s", p[1:])]
-        batches = [words[a: a + _JOINED] for a in range(0, len(words), _JOINED)]
-        for batch, row in zip(batches, self._plain(["".join(new[i] for i in b) for b in batches])):
+        length, start = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        joined = [i for i, p in enumerate(new) if type(p) is str and p and " " not in p and not p[0].isspace()]
+        batches = [joined[a: a + _JOINED] for a in range(0, len(joined), _JOINED)]
+        rest = sorted(set(range(len(new))).difference(joined))
+        found, size = [self.ids], len(self.ids)
+        for batch, row in zip(batches, self._plain([" " + " ".join([new[i] for i in b]) for b in batches])):
+            row = np.array(row, np.int32)
             cut = np.flatnonzero(self.opens[row])
-            if len(cut) != len(batch):  # a piece fell apart differently: encode this batch piece by piece
-                for i, ids in zip(batch, self._plain([new[i] for i in batch])):
-                    found[i] = ids
+            if len(cut) != len(batch):  # a piece fell apart differently: encode these one by one
+                rest += batch
                 continue
-            cut = [*cut.tolist(), len(row)]
-            for i, a, b in zip(batch, cut, cut[1:]):
-                found[i] = row[a:b]
-        rest = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(rest, self._plain([new[i] for i in rest])):
-            found[i] = ids
-        length = np.array([len(ids) for ids in found], np.int64)
-        self.start = np.concatenate((self.start, len(self.ids) + np.cumsum(length) - length))
+            length[batch] = np.diff(cut, append=len(row))
+            start[batch] = size + cut
+            size += len(row)
+            found.append(row)
+        for i, row in zip(rest, self._plain([" " + new[i] if type(new[i]) is str else new[i][0] for i in rest])):
+            length[i], start[i] = len(row), size
+            size += len(row)
+            found.append(np.array(row, np.int32))
+        self.ids = np.concatenate(found)
+        self.start = np.concatenate((self.start, start))
         self.length = np.concatenate((self.length, length))
-        self.ids = np.concatenate((self.ids, np.array([i for ids in found for i in ids], np.int32)))
 
 
 @lru_cache(maxsize=4)
