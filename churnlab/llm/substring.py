@@ -172,18 +172,19 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Passages are matched to rows by id; null ids and texts stay as they are.
     """
     spans = repeated_passages(docs, id_col, text_col, min_words)
-    per_doc = spans.groupBy(F.col(id_col).alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias("_spans"))
     names, where = docs.columns, docs.columns.index(text_col)
+    mark = "_".join(["spans", *names])  # no column of the table has this name
+    per_doc = spans.groupBy(F.col(id_col).alias(f"{mark}_id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = batch.column("_spans").is_valid().to_numpy(zero_copy_only=False)
+            marked = batch.column(mark).is_valid().to_numpy(zero_copy_only=False)
             columns = [batch.column(c) for c in names]
             if marked.any():
                 text, stays = columns[where].to_pylist(), ~marked
                 for i in np.flatnonzero(marked):
                     raw, pieces, at = text[i].encode("utf-8"), [], 0
-                    for s in batch.column("_spans")[i].as_py():
+                    for s in batch.column(mark)[i].as_py():
                         pieces.append(raw[at: s["start"]])
                         at = max(at, s["start"] + s["length"])
                     text[i] = b"".join([*pieces, raw[at:]]).decode("utf-8")
@@ -193,5 +194,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(per_doc, docs[id_col] == per_doc["_id"], "left").select(*[docs[c] for c in names], "_spans")
+    joined = docs.join(per_doc, docs[id_col] == per_doc[f"{mark}_id"], "left").select(*names, mark)
     return joined.mapInArrow(run, docs.schema)
