@@ -26,9 +26,11 @@ MIN_LANGUAGE_SCORE = 0.25
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents with a predicted language; learned from the labelled ones outside the held-out third."""
     filters = langid.learn(docs.where(~held_out(F.col("doc_id"), 3, 1)))
-    found = langid.predict(docs, filters, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return (found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-            .select(*docs.columns))
+    given = docs.toDF(*[f"col{i}" for i in range(len(docs.columns))])  # whatever the extra columns are called
+    id_col, text_col = (f"col{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    found = langid.predict(given, filters, id_col, text_col, keep=tuple(c for c in given.columns if c != id_col))
+    kept = found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*given.columns).toDF(*docs.columns)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
