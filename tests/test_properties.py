@@ -17,7 +17,7 @@ def test_exact_percentiles_match_numpy(spark):
     rows = [(int(a), float(b), None if np.isnan(c) else float(c)) for a, b, c in zip(g, x, y)]
     df = spark.createDataFrame(rows, "g int, x double, y double")
     probs = [0.0, 0.25, 0.5, 0.75, 1.0]
-    out = ranking.exact_percentiles(df, ["x", "y"], probs, ["g"], num_partitions=5).collect()
+    out = ranking.exact_percentiles(df, ["x", "y"], probs, ["g"]).collect()
     assert len(out) == 6
     for r in out:
         vals = (x if r.column == "x" else y)[g == r.g]
