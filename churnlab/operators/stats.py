@@ -1,17 +1,15 @@
 """Column profiles and statistics (survey C16, C18, A10, A33-A37).
 
-Each statistic is one global ``agg`` over all requested columns (partial
-aggregation per task, a single small final merge), unpivoted to long form.
-Exact ``percentile`` keeps a per-value map per group; ``approx=True`` switches
-to ``percentile_approx`` for unbounded domains at scale.
+Moments are one global ``agg`` over all requested columns (partial aggregation
+per task, a single small final merge), unpivoted to long form. Quartiles are
+exact (``ranking.exact_percentiles``); ``approx=True`` takes sketches instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
@@ -29,17 +27,10 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, StringType) and f.name not in exclude]
 
 
-def _q(c: str, p, approx: bool) -> Column:
-    x = F.col(c).cast("double")
-    if approx:
-        return F.percentile_approx(x, p, 100000)
-    return F.percentile(x, p)
-
-
 def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, std (sample), min, 25%, 50%, 75%, max per numeric column.
-    Moments come from one aggregate; quartiles from the sort-based exact
-    percentiles (or a bounded sketch with ``approx``)."""
+    Moments come from one aggregate; quartiles from the exact percentiles
+    (or a bounded sketch with ``approx``)."""
     cols = list(columns or numeric_columns(df))
     aggs = []
     for c in cols:
@@ -60,8 +51,8 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, approx: bool =
 
 def quartiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], approx: bool = False,
               group_cols: Sequence[str] = ()) -> DataFrame:
-    """Long (group..., column, n, q0..) percentiles: exact by a distributed sort
-    (default), or ``percentile_approx`` sketches (bounded memory) on request."""
+    """Long (group..., column, n, q0..) percentiles: exact (default), or
+    ``percentile_approx`` sketches on request."""
     if not approx:
         return exact_percentiles(df, cols, probs, group_cols)
     kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
@@ -81,8 +72,7 @@ def info(df: DataFrame) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, keys: Sequence[str], approx: bool = False) -> DataFrame:
     """A10: quartiles, 1.5 IQR whiskers (most extreme data inside the fences) and
-    outlier count per group. Quartiles per group by the distributed exact sort;
-    then one aggregate over the data joined to its group's row (one per group)."""
+    outlier count per group. Exact quartiles per group, then one aggregate over the data joined to its group's row (one per group)."""
     base = df.where(F.col(value).isNotNull())
     for k in keys:
         base = base.where(F.col(k).isNotNull())
@@ -102,27 +92,28 @@ def box_stats(df: DataFrame, value: str, keys: Sequence[str], approx: bool = Fal
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
     """Per column, count of values outside [Q1 - 1.5 IQR, Q3 + 1.5 IQR].
-    Quartiles by the distributed exact sort; the count pass unpivots the data to
-    (column, value) and joins each value to its column's quartile row (one row
-    per column, so that side is bounded by the schema width)."""
+    Exact quartiles first, then one aggregate of conditional counts next to the
+    one-row table of all fences."""
     cols = list(columns or numeric_columns(df))
-    q = quartiles(df, cols, [0.25, 0.75], approx).select("column", F.col("q0").alias("_q1"), F.col("q1").alias("_q3"))
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in cols]))
-    long = df.select(kv.alias("kv")).select("kv.column", "kv.v")
-    iqr = F.col("_q3") - F.col("_q1")
-    x = F.col("v")
-    counts = long.join(F.broadcast(q), "column").groupBy("column").agg(
-        F.count_if((x < F.col("_q1") - F.lit(1.5) * iqr) | (x > F.col("_q3") + F.lit(1.5) * iqr)).alias("outliers"))
-    names = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return F.broadcast(names).join(counts, "column", "left").select(
-        "column", F.coalesce("outliers", F.lit(0)).cast("long").alias("outliers"))
+    q = quartiles(df, cols, [0.25, 0.75], approx)
+    fences = q.groupBy().agg(*[F.max(F.when(F.col("column") == c, F.col(k))).alias(f"_{k}_{n}")
+                               for n, c in enumerate(cols) for k in ("q0", "q1")])  # one row
+    aggs = []
+    for n, c in enumerate(cols):
+        x, q1, q3 = F.col(c).cast("double"), F.col(f"_q0_{n}"), F.col(f"_q1_{n}")
+        iqr = q3 - q1
+        aggs.append(F.count_if((x < q1 - F.lit(1.5) * iqr) | (x > q3 + F.lit(1.5) * iqr)).alias(f"_o{n}"))
+    wide = df.select(*cols).crossJoin(F.broadcast(fences)).agg(*aggs)
+    rows = ", ".join(f"'{c}', _o{n}" for n, c in enumerate(cols))
+    return wide.selectExpr(f"stack({len(cols)}, {rows}) as (`column`, outliers)")
 
 
 def _gram_partials(cols: Sequence[str], means: Sequence[float]):
     """Per-partition sums for pairwise-complete Pearson r, via numpy matrix
     products: with X the centred values (missing -> 0) and M the presence mask,
     N = M'M (pair counts), S = X'M (sum of x_i where x_j present),
-    Q = (X*X)'M (sum of x_i^2 where x_j present), P = X'X (sum of x_i x_j)."""
+    Q = (X*X)'M (sum of x_i^2 where x_j present), P = X'X (sum of x_i x_j).
+    The transposes of S and Q are the same sums for x_j."""
     import numpy as np
     import pandas as pd
 
@@ -140,45 +131,38 @@ def _gram_partials(cols: Sequence[str], means: Sequence[float]):
             sx += x.T @ mf
             sq += (x * x).T @ mf
             sp += x.T @ x
-        yield pd.DataFrame({"n": [n.ravel()], "sx": [sx.ravel()], "sq": [sq.ravel()], "sp": [sp.ravel()]})
+        cells = {"n": n, "sx": sx, "sy": sx.T, "sxx": sq, "syy": sq.T, "sxy": sp}
+        yield pd.DataFrame({k: [v.ravel()] for k, v in cells.items()})
     return fn
 
 
+MOMENTS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None, include_diagonal: bool = False) -> DataFrame:
     """Pearson r for every column pair (i < j), pairwise-complete like pandas.
 
-    One scan: each task folds its rows into four d x d moment matrices with
+    One Python scan: each task folds its rows into d x d moment matrices with
     numpy (Arrow batches), so work per row is O(d^2) vectorized; the per-task
     matrices (size fixed by the column count, not the data) are summed by cell
     in a small aggregate and turned into r there. Values are centred by the
-    column means (one-row aggregate) to keep the sums well conditioned.
-    NaN (zero variance) is reported as null."""
+    column means (a one-row aggregate, run first) to keep the sums well
+    conditioned. Pairs without two common rows or without variance give null."""
     cols = list(columns or numeric_columns(df))
     d = len(cols)
     mean_row = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols]).first()
     means = [float(mean_row[c]) if mean_row[c] is not None else 0.0 for c in cols]
     src = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
-    parts = src.mapInPandas(_gram_partials(cols, means),
-                            "n array<double>, sx array<double>, sq array<double>, sp array<double>")
-    cells = (parts.select(F.posexplode(F.arrays_zip("n", "sx", "sq", "sp")).alias("pos", "v"))
-                  .groupBy("pos").agg(F.sum("v.n").alias("n"), F.sum("v.sx").alias("sx"),
-                                      F.sum("v.sq").alias("sq"), F.sum("v.sp").alias("sp")))
-    ij = cells.select((F.col("pos") / d).cast("int").alias("i"), (F.col("pos") % d).cast("int").alias("j"),
-                      "n", "sx", "sq", "sp")
-    t = ij.alias("t")
-    u = ij.select(F.col("i").alias("j"), F.col("j").alias("i"), F.col("sx").alias("sy"), F.col("sq").alias("syy"))
-    both = t.join(u, ["i", "j"])
-    keep = (F.col("i") <= F.col("j")) if include_diagonal else (F.col("i") < F.col("j"))
-    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ["n", "sx", "sy", "sq", "syy", "sp"])
-    cov = sxy - sx * sy / n
-    r = F.try_divide(cov, F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))
+    parts = src.mapInPandas(_gram_partials(cols, means), ", ".join(f"{m} array<double>" for m in MOMENTS))
+    cells = (parts.select(F.posexplode(F.arrays_zip(*MOMENTS)).alias("pos", "v"))
+                  .groupBy("pos").agg(*[F.sum(f"v.{m}").alias(m) for m in MOMENTS]))
+    i, j = (F.col("pos") / d).cast("int"), (F.col("pos") % d).cast("int")
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in MOMENTS)
+    r = F.try_divide(sxy - sx * sy / n, F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)))
     names = F.array(*[F.lit(c) for c in cols])
-    out = both.where(keep & (n > 1)).select(
-        F.element_at(names, F.col("i") + 1).alias("col_i"), F.element_at(names, F.col("j") + 1).alias("col_j"),
-        F.round(F.when(~F.isnan(r), r), 6).alias("r"))
-    pairs_all = both.where(keep).select(F.element_at(names, F.col("i") + 1).alias("col_i"),
-                                        F.element_at(names, F.col("j") + 1).alias("col_j"))
-    return pairs_all.join(out, ["col_i", "col_j"], "left")
+    return cells.where((i <= j) if include_diagonal else (i < j)).select(
+        F.element_at(names, i + 1).alias("col_i"), F.element_at(names, j + 1).alias("col_j"),
+        F.round(F.when((n > 1) & ~F.isnan(r), r), 6).alias("r"))
 
 
 def strong_pairs(corr: DataFrame, min_abs: float = 0.6) -> DataFrame:
@@ -197,13 +181,13 @@ def strong_label_correlations(df: DataFrame, label: str = "churn_flag", min_abs:
                               fallback_top: int = 5) -> DataFrame:
     """Features with |r| >= min_abs; when none, the top ``fallback_top`` by r
     (descending, as the reference sorts the signed series)."""
-    lc = label_correlations(df, label).where(F.col("r").isNotNull())
-    strong = lc.where(F.abs("r") >= min_abs).withColumn("kind", F.lit("strong"))
-    top = lc.orderBy(F.col("r").desc(), "feature").limit(fallback_top).withColumn("kind", F.lit("top"))
-    n_strong = strong.agg(F.count(F.lit(1)).alias("_n"))
-    return (strong.unionByName(top).crossJoin(F.broadcast(n_strong))
-            .where(((F.col("_n") > 0) & (F.col("kind") == "strong")) | ((F.col("_n") == 0) & (F.col("kind") == "top")))
-            .drop("_n"))
+    lc = label_correlations(df, label).where(F.col("r").isNotNull())  # one row per column
+    every = Window.partitionBy(F.lit(0))
+    ranked = lc.select("feature", "r", F.count_if(F.abs("r") >= min_abs).over(every).alias("_n"),
+                       F.row_number().over(every.orderBy(F.col("r").desc(), "feature")).alias("_rk"))
+    strong = F.abs("r") >= min_abs
+    return ranked.where(F.when(F.col("_n") > 0, strong).otherwise(F.col("_rk") <= fallback_top)).select(
+        "feature", "r", F.when(F.col("_n") > 0, "strong").otherwise("top").alias("kind"))
 
 
 def top_label_correlations(df: DataFrame, label: str = "churn_flag", k: int = 2) -> DataFrame:

@@ -20,11 +20,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import astuple, dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions import features as fx
-from churnlab.operators.ranking import global_row_number, rank_within_groups
+from churnlab.operators.ranking import SKETCH, SMALL_GROUP, global_row_number, rank_within_groups
 
 SIM_COLUMNS = ["premium_change_pct", "num_price_increases_last_3y", "late_payment_count_12m",
                "missed_payment_flag", "complaint_flag", "quote_requested_flag", "coverage_downgrade_flag"]
@@ -94,23 +94,59 @@ def priority_score(cols: set[str] | None = None) -> Column:
     return score
 
 
+def top_cuts(cands: DataFrame, pct_col: str, key: str) -> list[tuple[str, float, object]]:
+    """(scenario, priority, key) of the last candidate that each scenario selects; key is None if all rows with that
+    priority are selected. Reads columns scenario, ``pct_col``, ``_prio`` and ``key``.
+
+    A selection needs a cut, not a ranking: a sketch per scenario gives a bracket that is sure to hold the cut, the
+    rows above and the priorities inside are counted exactly, and only rows tied at the cut are ordered by key. One
+    row per scenario reaches the driver.
+    """
+    edges = [min(1.0, max(0.0, 1 - p / 100 + side * 2 / SKETCH)) for p in range(101) for side in (-1, 1)]
+    stats = cands.groupBy("scenario", pct_col).agg(
+        F.count("*").alias("_n"), F.min("_prio").alias("_min"), F.max("_prio").alias("_max"),
+        F.percentile_approx("_prio", edges, SKETCH).alias("_e"))
+    pct, whole = F.least(F.greatest(F.col(pct_col), F.lit(0)), F.lit(100)), F.col("_n") < SMALL_GROUP
+    stats = stats.select(
+        "scenario", F.least(F.ceil(F.col("_n") * F.col(pct_col) / F.lit(100.0)), F.col("_n")).alias("_k"),
+        F.when(whole, F.col("_min")).otherwise(F.element_at("_e", 2 * pct + 1)).alias("_lo"),
+        F.when(whole, F.col("_max")).otherwise(F.element_at("_e", 2 * pct + 2)).alias("_hi"))
+    inside = (cands.join(F.broadcast(stats), "scenario").where(F.col("_prio") >= F.col("_lo"))  # one row per scenario
+              .groupBy("scenario", "_k", F.when(F.col("_prio") <= F.col("_hi"), F.col("_prio")).alias("_cut"))
+              .agg(F.count("*").alias("_c")))
+    upto = (Window.partitionBy("scenario").orderBy(F.col("_cut").desc_nulls_first())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cut = (inside.withColumn("_upto", F.sum("_c").over(upto)).withColumn("_before", F.col("_upto") - F.col("_c"))
+           .where((F.col("_upto") >= F.col("_k")) & (F.col("_before") < F.col("_k"))))
+    rows = cut.select("scenario", "_cut", (F.col("_k") - F.col("_before")).alias("_m"), "_c").collect()
+    if any(r["_cut"] is None for r in rows):
+        raise AssertionError("the bracket missed the cut")
+    tied = [r for r in rows if r["_m"] < r["_c"]]
+    last: dict[str, object] = {}
+    if tied:
+        at_cut = F.lit(False)
+        take = F.lit(0)
+        for r in tied:
+            own = F.col("scenario") == r["scenario"]
+            at_cut = at_cut | (own & (F.col("_prio") == F.lit(r["_cut"])))
+            take = F.when(own, F.lit(r["_m"])).otherwise(take)
+        ranked = rank_within_groups(cands.where(at_cut).select("scenario", key), "scenario", [F.col(key)], "_rk")
+        last = {r["scenario"]: r[key] for r in ranked.where(F.col("_rk") == take).select("scenario", key).collect()}
+    return [(r["scenario"], r["_cut"], last.get(r["scenario"])) for r in rows]
+
+
 def select_top_pct(fan: DataFrame, candidate: Column, pct_col: str, out_col: str = "_chosen",
                    key: str = "customer_id") -> DataFrame:
     """Per scenario, flag the top ``ceil(n * pct / 100)`` candidates by
-    priority (desc), ties by ``key``. Candidates sort first inside a scenario,
-    so a candidate's rank inside its scenario is its selection order; the
-    candidate count per scenario comes out of the same per-partition stats."""
+    priority (desc), ties by ``key``. The cuts are found first (small jobs); the
+    flag itself is a projection."""
     cand = F.coalesce(candidate, F.lit(False)) & (F.col(pct_col) > 0) & ~F.col("is_base")
-    x = fan.withColumn("_cand", cand)
-    # Only candidates of scenarios that pull this lever can be chosen, so only
-    # they go through the range shuffle; every other row passes by union.
-    cands = x.where(F.col("_cand")).withColumn("_prio", priority_score(set(fan.columns)))
-    others = x.where(~F.col("_cand")).withColumn(out_col, F.lit(False))
-    ranked = rank_within_groups(cands, "scenario", [F.col("_prio").desc(), F.col(key)], "_rk",
-                                count_col="_ncand", count_if=F.lit(True))
-    k = F.least(F.greatest(F.ceil(F.col("_ncand") * F.col(pct_col) / F.lit(100.0)), F.lit(0)), F.col("_ncand"))
-    chosen = ranked.withColumn(out_col, F.col("_rk") <= k).drop("_prio", "_rk", "_ncand")
-    return chosen.unionByName(others).drop("_cand")
+    prio = priority_score(set(fan.columns))
+    chosen = F.lit(False)
+    for scenario, cut, last in top_cuts(fan.where(cand).select("scenario", pct_col, key, prio.alias("_prio")), pct_col, key):
+        at = (prio == F.lit(cut)) if last is None else (prio == F.lit(cut)) & (F.col(key) <= F.lit(last))
+        chosen = chosen | ((F.col("scenario") == scenario) & ((prio > F.lit(cut)) | at))
+    return fan.withColumn(out_col, cand & chosen)
 
 
 def apply_scenarios(df: DataFrame, scenarios: DataFrame, decrement_price_increases: bool = True,
@@ -233,16 +269,18 @@ def raw_means(fan: DataFrame, scenario: str, cols: Sequence[str] = RAW_CHECK_COL
 def engineered_means(fan: DataFrame, scenario: str, cols: Sequence[str] = ENGINEERED_CHECK_COLUMNS) -> DataFrame:
     """F1 on the before and after versions of the same rows, means and diff."""
     one = fan.where(F.col("scenario") == scenario)
-    after = fx.engineered_feature_exprs()
-    before_df = one.select(*[F.col(f"orig_{c}").alias(c) if f"orig_{c}" in one.columns else F.col(c)
-                             for c in one.columns if not c.startswith("orig_")])
-    before = before_df.select(*[after[c].alias(c) for c in cols])
-    b = before.agg(*[F.avg(c).alias(c) for c in cols])
-    a = one.select(*[after[c].alias(c) for c in cols]).agg(*[F.avg(c).alias(c) for c in cols])
-    rows_b = ", ".join(f"'{c}', cast(`{c}` as double)" for c in cols)
-    lb = b.selectExpr(f"stack({len(cols)}, {rows_b}) as (feature, before_mean)")
-    la = a.selectExpr(f"stack({len(cols)}, {rows_b}) as (feature, after_mean)")
-    return lb.join(la, "feature").select(
+    exprs = fx.engineered_feature_exprs()
+    names = [c for c in one.columns if not c.startswith("orig_")]
+    # Both versions of a row come out of one scan: an array of two structs, exploded.
+    versions = F.explode(F.array(
+        F.struct(*[F.col(f"orig_{c}" if f"orig_{c}" in one.columns else c).alias(c) for c in names], F.lit(True).alias("_before")),
+        F.struct(*[F.col(c).alias(c) for c in names], F.lit(False).alias("_before"))))
+    wide = one.select(versions.alias("v")).select("v.*").agg(
+        *[F.avg(F.when(F.col("_before") == side, exprs[c])).alias(f"{c}|{tag}")
+          for c in cols for side, tag in ((True, "b"), (False, "a"))])
+    rows = ", ".join(f"'{c}', cast(`{c}|b` as double), cast(`{c}|a` as double)" for c in cols)
+    long = wide.selectExpr(f"stack({len(cols)}, {rows}) as (feature, before_mean, after_mean)")
+    return long.select(
         "feature", F.round("before_mean", 9).alias("before_mean"), F.round("after_mean", 9).alias("after_mean"),
         F.round(F.col("after_mean") - F.col("before_mean"), 9).alias("diff"))
 

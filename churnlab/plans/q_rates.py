@@ -473,10 +473,7 @@ def q_a36s(spark, d):
     """The scatter rows of the top-2 label-correlated features, long form
     (customer, feature, value, label) over the whole table."""
     p = PH(spark, d)
-    top2 = stats.top_label_correlations(p.select(*NUMERIC_COLS)).select("feature")
-    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
-                             for c in _TOP2_FEATS]))
-    long = p.select("customer_id", "churn_flag", kv.alias("kv")).select("customer_id", "kv.feature", "kv.value",
-                                                                         "churn_flag")
-    return (long.where(F.col("value").isNotNull()).join(F.broadcast(top2), "feature")
-                .select("customer_id", "feature", "value", "churn_flag"))
+    names = [r.feature for r in stats.top_label_correlations(p.select(*NUMERIC_COLS)).collect()]  # two rows
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in names]))
+    long = p.select("customer_id", "churn_flag", *names).select("customer_id", "churn_flag", kv.alias("kv"))
+    return long.select("customer_id", "kv.feature", "kv.value", "churn_flag").where(F.col("value").isNotNull())
