@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.functions.features import clip_upper
+from churnlab.operators.ranking import rank_within_groups
 
 # The column drop lists of the reference.
 UNUSED_COLUMNS = ["customer_id", "region_name", "as_of_date", "renewal_month", "payment_frequency",
@@ -44,7 +45,8 @@ def drop_redundant(df: DataFrame) -> DataFrame:
 def encoding_table(df: DataFrame, cols: Sequence[str] = CATEGORICAL_COLUMNS) -> DataFrame:
     """C3 map (column, code, label): alphabetical codes over the distinct values
     rendered as strings (null -> 'nan'), like ``LabelEncoder`` on ``astype(str)``.
-    Distinct values are small; the window runs per column over them."""
+    The labels are numbered by ``rank_within_groups``, so a column with very many
+    labels is not gathered into one task."""
     parts = None
     for c in cols:
         if c not in df.columns:
@@ -52,13 +54,13 @@ def encoding_table(df: DataFrame, cols: Sequence[str] = CATEGORICAL_COLUMNS) ->
         vals = df.select(F.coalesce(F.col(c).cast("string"), F.lit("nan")).alias("label")).distinct()
         p = vals.select(F.lit(c).alias("column"), "label")
         parts = p if parts is None else parts.unionByName(p)
-    w = Window.partitionBy("column").orderBy("label")
-    return parts.select("column", (F.row_number().over(w) - 1).cast("int").alias("code"), "label")
+    ranked = rank_within_groups(parts, "column", ["label"], "_rk")
+    return ranked.select("column", (F.col("_rk") - 1).cast("int").alias("code"), "label")
 
 
 def label_encode(df: DataFrame, cols: Sequence[str] = CATEGORICAL_COLUMNS) -> DataFrame:
-    """Replace each categorical column by its alphabetical code (broadcast
-    join against the code table; its size is the number of distinct labels)."""
+    """Replace each categorical column by its alphabetical code (a join
+    against the code table; Spark broadcasts it only if its size allows)."""
     present = [c for c in cols if c in df.columns]
     if not present:
         return df
@@ -66,7 +68,7 @@ def label_encode(df: DataFrame, cols: Sequence[str] = CATEGORICAL_COLUMNS) -> Da
     out = df
     for c in present:
         m = codes.where(F.col("column") == c).select(F.col("label").alias(f"_lbl_{c}"), F.col("code").alias(f"_code_{c}"))
-        out = (out.join(F.broadcast(m), F.coalesce(F.col(c).cast("string"), F.lit("nan")) == F.col(f"_lbl_{c}"), "left")
+        out = (out.join(m, F.coalesce(F.col(c).cast("string"), F.lit("nan")) == F.col(f"_lbl_{c}"), "left")
                   .withColumn(c, F.col(f"_code_{c}")).drop(f"_lbl_{c}", f"_code_{c}"))
     return out.select(*df.columns)
 

@@ -136,13 +136,13 @@ def auc_scores(df: DataFrame, label: str = "label", score: str = "score") -> Dat
 
 
 def evaluation_record(df: DataFrame, threshold: float, label: str = "label", score: str = "score") -> DataFrame:
-    """EV9: long (metric, value) table: threshold, six metrics, confusion cells,
+    """EV9: long (metric, value) table: threshold, seven metrics, confusion cells,
     sizes and positives."""
     c = confusion_counts(df, threshold, label, score)
     m = _metric_cols(*(F.col(k) for k in ("tp", "fp", "tn", "fn")))
     wide = c.crossJoin(auc_scores(df, label, score)).select(
         F.lit(float(threshold)).alias("threshold"), m["accuracy"].alias("accuracy"), m["precision"].alias("precision"),
-        m["recall"].alias("recall"), m["f1"].alias("f1"), "roc_auc", "pr_auc",
+        m["recall"].alias("recall"), m["f1"].alias("f1"), m["f2"].alias("f2"), "roc_auc", "pr_auc",
         "tn", "fp", "fn", "tp", (F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")).alias("test_size"),
         (F.col("tp") + F.col("fp")).alias("predicted_positive"), (F.col("tp") + F.col("fn")).alias("actual_positive"))
     names = wide.columns
@@ -181,15 +181,18 @@ def fn_reduction(df: DataFrame, high: float, low: float, label: str = "label", s
 def choose_threshold_fbeta(df: DataFrame, beta: float = 2.0, min_precision: float = 0.0, min_recall: float = 0.0,
                            label: str = "label", score: str = "score") -> DataFrame:
     """EV11(a): max F-beta among thresholds meeting both minimums; if none
-    qualifies, max F-beta overall. Ties -> lowest threshold (argmax order)."""
-    pr = pr_curve(df, label, score)
-    fcol = "f2" if beta == 2.0 else "f1"
-    ok = (F.col("precision") >= min_precision) & (F.col("recall") >= min_recall)
-    flagged = pr.withColumn("ok", ok)
+    qualifies, max F-beta overall. Ties -> lowest threshold (argmax order).
+    Any beta; the choice is made on unrounded values."""
+    c = cumulative_counts(df, label, score)
+    p, r, b2 = F.col("precision"), F.col("recall"), float(beta) ** 2
+    pr = c.select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
+                  _div(F.col("tp"), F.col("P")).alias("recall"))
+    flagged = pr.withColumn("f", (1 + b2) * (p * r) / (b2 * p + r + F.lit(EPS))).withColumn(
+        "ok", (p >= min_precision) & (r >= min_recall))
     n_ok = flagged.agg(F.count_if("ok").alias("_n"))
     pick = flagged.crossJoin(F.broadcast(n_ok)).where((F.col("_n") == 0) | F.col("ok"))
-    key = F.struct(F.col(fcol), (-F.col("threshold")).alias("neg_t"))
-    return pick.agg(F.max_by("threshold", key).alias("threshold"), F.max(fcol).alias("score"),
+    key = F.struct(F.col("f"), (-F.col("threshold")).alias("neg_t"))
+    return pick.agg(F.max_by("threshold", key).alias("threshold"), F.round(F.max("f"), 6).alias("score"),
                     F.first(F.col("_n") > 0).alias("constrained"))
 
 

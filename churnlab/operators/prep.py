@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Imputer, OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,9 @@ def stratified_split(df: DataFrame, fractions: Sequence[tuple[str, float]], labe
     by ``md5(key || seed)``; the first ``ceil(n_c * f)`` go to the first named
     part, the next ``ceil(n_c * f)`` to the second, the rest to the last part.
     Ranking uses range-partitioned numbering, so a class holding half the table
-    is not gathered into one task."""
+    is not gathered into one task. A row without a label raises an error."""
+    known = F.when(F.col(label).isNull(), F.raise_error(F.lit(f"{label} is null: a stratified split needs a label")))
+    df = df.withColumn(label, known.otherwise(F.col(label)).cast(df.schema[label].dataType))
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     ranked = rank_within_groups(df.withColumn("_h", h), label, [F.col("_h"), F.col(key)], "_rk",
                                 count_col="_n", count_if=F.lit(True))
@@ -38,14 +40,29 @@ def stratified_split(df: DataFrame, fractions: Sequence[tuple[str, float]], labe
     return ranked.withColumn("split", expr).drop("_h", "_rk", "_n")
 
 
+def modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """One row with the most frequent value per string column (smallest on
+    ties). Values are counted by (column, value) with map-side combine, so no
+    task ever holds the values of a column."""
+    kv = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in cols])).alias("kv")
+    counts = df.select(kv).select("kv.*").where(F.col("value").isNotNull()).groupBy("column", "value").count()
+    best = counts.groupBy("column").agg(F.min_by("value", F.struct((-F.col("count")).alias("c"), "value")).alias("mode"))
+    return best.agg(*[F.max(F.when(F.col("column") == c, F.col("mode"))).alias(c) for c in cols])
+
+
 def mode_values(df: DataFrame, cols: Sequence[str]) -> dict[str, str]:
-    """Most frequent value per string column (smallest on ties); one row."""
     if not cols:
         return {}
-    row = df.agg(*[F.mode(F.col(c), True).alias(c) for c in cols]).first()
+    row = modes(df, cols).first()
     return {c: row[c] for c in cols}
 
 
+def median_values(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Exact median per numeric column, as the reference's imputer (a column without values has none)."""
+    from churnlab.operators.ranking import exact_percentiles
+    return {r["column"]: r["q0"] for r in exact_percentiles(df, cols, [0.5]).collect()} if cols else {}
+
+
 def _fill_stage(fills: dict[str, str]) -> SQLTransformer:
     def lit(v):
         return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
@@ -70,20 +87,17 @@ def population_scaling(df: DataFrame, cols: Sequence[str], suffix: str = "__scal
 
 def fit_preprocessor(train: DataFrame, num_cols: Sequence[str], cat_cols: Sequence[str], scale: bool = False,
                      features_col: str = "features") -> PipelineModel:
-    """L2/L3: numeric -> median impute (0.1% sketch) [-> population
+    """L2/L3: numeric -> exact median impute [-> population
     standardize]; string -> mode fill -> alphabetical index (unseen values kept
     as an extra last index) -> one-hot dropping that last slot, so an unseen
     category becomes all zeros (``handle_unknown='ignore'``)."""
     stages = []
     num_out = [f"{c}__imp" for c in num_cols]
     if num_cols:
-        cast = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}__dbl`"
-                                                                for c in num_cols) + " FROM __THIS__")
-        stages.append(cast)
-        # relativeError 0 would keep every value in one summary; a 0.1% sketch
-        # keeps memory bounded at any size (imputation only, not a checked output).
-        stages.append(Imputer(strategy="median", relativeError=0.001, inputCols=[f"{c}__dbl" for c in num_cols],
-                              outputCols=num_out))
+        medians = median_values(train, num_cols)
+        filled = ", ".join(f"coalesce(nullif(CAST(`{c}` AS DOUBLE), double('NaN')), {medians.get(c, 0.0)!r}D) AS `{o}`"
+                           for c, o in zip(num_cols, num_out))
+        stages.append(SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__"))
     cat_vec = []
     if cat_cols:
         stages.append(_fill_stage(mode_values(train, cat_cols)))
@@ -154,13 +168,26 @@ def adaptive_scaling(df: DataFrame, cols: Sequence[str], key: str = "customer_id
     return out.select(key, *[exprs[c].alias(c) for c in cols])
 
 
-def dummies(df: DataFrame, cat_cols: Sequence[str], key: str = "customer_id") -> DataFrame:
+def dummy_levels(df: DataFrame, cat_cols: Sequence[str], most: int = 1000) -> dict[str, list]:
+    """Sorted levels of each categorical column; more than ``most`` raise an error, since each becomes a column."""
+    out = {}
+    for c in cat_cols:
+        values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(most + 1).collect()]
+        if len(values) > most:
+            raise ValueError(f"{c} has more than {most} levels")
+        out[c] = values
+    return out
+
+
+def dummies(df: DataFrame, cat_cols: Sequence[str], key: str = "customer_id",
+            levels: dict[str, list] | None = None) -> DataFrame:
     """One 0/1 column per category except the alphabetically first.
-    Category labels (a small distinct set) become column names at plan time."""
+    ``levels`` fixes the categories (those of the training part); otherwise they
+    are read from ``df``."""
     out = [F.col(key)]
+    levels = levels or dummy_levels(df, cat_cols)
     for c in cat_cols:
-        values = [r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).collect()]
-        for v in values[1:]:
+        for v in levels[c][1:]:
             out.append((F.col(c) == F.lit(v)).cast("int").alias(f"{c}_{v}"))
     return df.select(*out)
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import NumericType
 
 from churnlab.functions import scoring as sc
 from churnlab.operators.clean import drop_present
+from churnlab.operators.prep import modes
 from churnlab.sources.fixture import age_band_expr
 
 PROFILE_DROP = ["customer_id", "as_of_date", "churn_flag", "churn_type", "churn_probability_true"]
@@ -28,10 +29,9 @@ def base_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     feats = drop_present(df, PROFILE_DROP)
     nums = [f.name for f in feats.schema.fields if isinstance(f.dataType, NumericType)]
     strs = [f.name for f in feats.schema.fields if f.name not in nums]
-    # Medians: distributed exact sort, then one row (pivot over the known names).
+    # Exact medians, then one row (pivot over the known names).
     med = quartiles(feats, nums, [0.5], approx).groupBy().pivot("column", nums).agg(F.first("q0"))
-    modes = feats.agg(*[F.mode(F.col(c), True).alias(c) for c in strs])
-    row = med.crossJoin(modes)
+    row = med.crossJoin(F.broadcast(modes(feats, strs)))  # one row each
     return row.select(*[F.col(f.name).cast("double") if f.name in nums else F.col(f.name) for f in feats.schema.fields])
 
 

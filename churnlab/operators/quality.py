@@ -11,44 +11,72 @@ from pyspark.sql import functions as F
 from churnlab.operators.clean import LEAKAGE_COLUMNS, LABEL
 
 
-def _check(df: DataFrame, name: str, applicable: Column, ok: Column) -> DataFrame:
-    return df.agg(
-        F.lit(name).alias("check"),
-        F.count_if(applicable).alias("total"),
-        F.count_if(applicable & F.coalesce(ok, F.lit(False))).alias("matching"),
-    ).withColumn("failing", F.col("total") - F.col("matching"))
+Rule = tuple[str, Column, Column]
 
 
-def check_change_pct(df: DataFrame, tol: float = 1e-4) -> DataFrame:
+def _run(df: DataFrame, *rules: Rule) -> DataFrame:
+    """All rules in one aggregate, one row per rule."""
+    aggs = []
+    for i, (_, applicable, ok) in enumerate(rules):
+        aggs += [F.count_if(applicable).alias(f"t{i}"), F.count_if(applicable & F.coalesce(ok, F.lit(False))).alias(f"m{i}")]
+    rows = ", ".join(f"'{name}', t{i}, m{i}" for i, (name, _, _) in enumerate(rules))
+    return df.agg(*aggs).selectExpr(f"stack({len(rules)}, {rows}) as (`check`, total, matching)").withColumn(
+        "failing", F.col("total") - F.col("matching"))
+
+
+def change_pct_rule(tol: float = 1e-4) -> Rule:
     """Pct ~ (premium - last) / last, where all three are present."""
     cur, last, pct = F.col("current_premium"), F.col("premium_last_year"), F.col("premium_change_pct")
     app = cur.isNotNull() & last.isNotNull() & pct.isNotNull() & (last != 0)
-    return _check(df, "premium_change_pct", app, F.abs(pct - (cur - last) / last) < tol)
+    return "premium_change_pct", app, F.abs(pct - (cur - last) / last) < tol
 
 
-def check_missed_flag(df: DataFrame) -> DataFrame:
+def missed_flag_rule() -> Rule:
     """Missed flag <=> late >= 4."""
     ok = F.col("missed_payment_flag") == (F.col("late_payment_count_12m") >= 4).cast("int")
-    return _check(df, "missed_payment_flag", F.lit(True), ok)
+    return "missed_payment_flag", F.lit(True), ok
 
 
-def check_coverage_ratio(df: DataFrame, tol: float = 0.01) -> DataFrame:
+def coverage_ratio_rule(tol: float = 0.01) -> Rule:
     """D3: ratio ~ premium / coverage within +/- tol (absolute, B6)."""
     cur, cov, ratio = F.col("current_premium"), F.col("coverage_amount"), F.col("premium_to_coverage_ratio")
     app = cur.isNotNull() & cov.isNotNull() & ratio.isNotNull() & (cov != 0)
-    return _check(df, "premium_to_coverage_ratio", app, F.abs(ratio - cur / cov) < tol)
+    return "premium_to_coverage_ratio", app, F.abs(ratio - cur / cov) < tol
 
 
-def check_claim_split(df: DataFrame) -> DataFrame:
+def claim_split_rule() -> Rule:
     """claims = approved + rejected + pending."""
     ok = F.col("num_claims_12m") == (F.col("num_approved_claims_12m") + F.col("num_rejected_claims_12m")
                                      + F.col("num_pending_claims_12m"))
-    return _check(df, "claim_split", F.lit(True), ok)
+    return "claim_split", F.lit(True), ok
+
+
+def check_change_pct(df: DataFrame, tol: float = 1e-4) -> DataFrame:
+    return _run(df, change_pct_rule(tol))
+
+
+def check_missed_flag(df: DataFrame) -> DataFrame:
+    return _run(df, missed_flag_rule())
+
+
+def check_coverage_ratio(df: DataFrame, tol: float = 0.01) -> DataFrame:
+    return _run(df, coverage_ratio_rule(tol))
+
+
+def check_claim_split(df: DataFrame) -> DataFrame:
+    return _run(df, claim_split_rule())
 
 
 def all_checks(df: DataFrame) -> DataFrame:
-    return (check_change_pct(df).unionByName(check_missed_flag(df))
-            .unionByName(check_coverage_ratio(df)).unionByName(check_claim_split(df)))
+    """D1-D4 in one scan."""
+    return _run(df, change_pct_rule(), missed_flag_rule(), coverage_ratio_rule(), claim_split_rule())
+
+
+def leakage_check(df: DataFrame, features: DataFrame) -> DataFrame:
+    """D5 as a table: one row per column of ``df`` that must not reach a model, and whether it is among ``features``."""
+    present = set(leakage_columns_present(features.columns))
+    rows = [(c, c in present) for c in sorted({*LEAKAGE_COLUMNS, LABEL}) if c in df.columns]
+    return df.sparkSession.createDataFrame(rows, "column string, among_features boolean")
 
 
 def leakage_columns_present(feature_columns: Sequence[str]) -> list[str]:

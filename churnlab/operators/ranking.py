@@ -131,8 +131,11 @@ def rank_within_groups(df: DataFrame, group_col: str, order: Sequence[str | Colu
         F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
         *([F.sum("_cnt").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
            .alias(count_col)] if count_if is not None else []))
-    out = (r.join(offs, [_PID, group_col])
-             .withColumn(out_col, F.col("_off") + (F.col(_MID) - F.col("_m0")) + F.lit(1))
+    # Null-safe on the group: rows without one are a group of their own, as in SQL.
+    slices = offs.select(F.col(_PID).alias("_spid"), F.col(group_col).alias("_sgroup"), "_m0", "_off",
+                         *([count_col] if count_if is not None else []))
+    out = (r.join(slices, (F.col(_PID) == F.col("_spid")) & F.col(group_col).eqNullSafe(F.col("_sgroup")))
+             .drop("_spid", "_sgroup").withColumn(out_col, F.col("_off") + (F.col(_MID) - F.col("_m0")) + F.lit(1))
              .drop(_PID, _MID, "_m0", "_off"))
     return out
 

@@ -176,7 +176,7 @@ def rate_by_quantile(df: DataFrame, column: str, q: int = 5) -> DataFrame:
                .withColumn("bucket", qcut_bucket(F.col(column), F.col("edges"))))
     agg = keyed.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(
         F.count(F.lit(1)).alias("customers"), F.round(F.avg(LABEL), 6).alias("churn_rate"))
-    buckets = edges.select(F.posexplode(F.slice(F.col("edges"), 2, 1 << 20)).alias("pos", "upper"),
+    buckets = edges.select(F.posexplode(F.slice(F.col("edges"), 2, F.greatest(F.size("edges") - 1, F.lit(0)))).alias("pos", "upper"),
                            F.col("edges"))
     buckets = buckets.select((F.col("pos") + 1).cast("int").alias("bucket"),
                              F.round(F.element_at("edges", (F.col("pos") + 1).cast("int")), 9).alias("lower"),

@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from churnlab.operators.clean import LEAKAGE_COLUMNS
 from churnlab.operators.ranking import exact_percentiles
 
-LEAKAGE = ["customer_id", "as_of_date", "churn_type", "churn_probability_true"]
-
 
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric columns by schema (plan-time)."""
@@ -192,5 +191,5 @@ def strong_label_correlations(df: DataFrame, label: str = "churn_flag", min_abs:
 
 def top_label_correlations(df: DataFrame, label: str = "churn_flag", k: int = 2) -> DataFrame:
     """The k features with the largest |r| with the label (leakage columns dropped)."""
-    lc = label_correlations(df.drop(*[c for c in LEAKAGE if c in df.columns]), label)
+    lc = label_correlations(df.drop(*[c for c in LEAKAGE_COLUMNS if c in df.columns]), label)
     return lc.where(F.col("r").isNotNull()).orderBy(F.abs("r").desc(), "feature").limit(k)

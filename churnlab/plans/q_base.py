@@ -10,6 +10,8 @@ from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import (AGE_BAND_SQL, ANALYSIS_SQL, F1_SELECT, FEATURES_CTE, HYP_SQL, flag, q)
 from churnlab.sources.fixture import POLICYHOLDER_COLUMNS, age_band_expr, policyholders
+from churnlab.sources.io import POLICYHOLDER_SCHEMA
+from churnlab.sources import io
 from churnlab.sources.lookups import column_dictionary
 
 PH = policyholders
@@ -71,14 +73,15 @@ def q_c07(spark, d):
     return clean.cap_rate(PH(spark, d)).select("customer_id", "premium_change_pct")
 
 
-@register("c08_inf_to_zero", with_ctes(
-    "SELECT customer_id, coalesce(CASE WHEN NOT isnan(premium_change_pct) AND abs(premium_change_pct) <> 'inf'::DOUBLE"
-    " THEN premium_change_pct END, 0.0e0) AS premium_change_pct,"
-    " coalesce(CASE WHEN NOT isnan(premium_to_coverage_ratio) AND abs(premium_to_coverage_ratio) <> 'inf'::DOUBLE"
-    " THEN premium_to_coverage_ratio END, 0.0e0) AS premium_to_coverage_ratio FROM policyholders"))
+DOUBLE_COLS = [f.name for f in POLICYHOLDER_SCHEMA.fields if f.dataType.simpleString() == "double"]
+NUMERIC_COLS = [f.name for f in POLICYHOLDER_SCHEMA.fields if f.dataType.simpleString() in ("double", "int")]
+
+
+@register("c08_inf_to_zero", with_ctes("SELECT customer_id, " + ", ".join(
+    f"coalesce(CASE WHEN NOT isnan({c}) AND abs({c}) <> 'inf'::DOUBLE THEN {c} END, 0.0e0) AS {c}" for c in DOUBLE_COLS)
+    + " FROM policyholders"))
 def q_c08(spark, d):
-    return clean.inf_to_zero(PH(spark, d), ["premium_change_pct", "premium_to_coverage_ratio"]).select(
-        "customer_id", "premium_change_pct", "premium_to_coverage_ratio")
+    return clean.inf_to_zero(PH(spark, d), DOUBLE_COLS).select("customer_id", *DOUBLE_COLS)
 
 
 @register("c09_claimants", with_ctes("SELECT * FROM policyholders WHERE num_claims_12m > 0"))
@@ -130,6 +133,22 @@ def q_c14(spark, d):
     return clean.distinct_values(PH(spark, d), "region_name")
 
 
+@register("c14_distinct_policies", with_ctes(
+    "SELECT DISTINCT policy_type FROM policyholders WHERE policy_type IS NOT NULL ORDER BY policy_type"))
+def q_c14p(spark, d):
+    return clean.distinct_values(PH(spark, d), "policy_type")
+
+
+@register("c05_column_kinds", with_ctes(" UNION ALL ".join(
+    f"SELECT {q(f.name)} AS \"column\", CASE WHEN data_type IN ('INTEGER', 'DOUBLE') THEN 'numeric' ELSE 'string' END AS kind"
+    f" FROM (SELECT typeof({f.name}) AS data_type FROM policyholders LIMIT 1)" for f in POLICYHOLDER_SCHEMA.fields)))
+def q_c05(spark, d):
+    """Every column of the table by kind, from its schema."""
+    p = PH(spark, d)
+    rows = [(c, "numeric") for c in stats.numeric_columns(p)] + [(c, "string") for c in stats.string_columns(p)]
+    return spark.createDataFrame(rows, "column string, kind string")
+
+
 @register("c15_distinct_count", with_ctes(
     "SELECT count(DISTINCT customer_id) AS distinct_count FROM policyholders"))
 def q_c15(spark, d):
@@ -148,19 +167,13 @@ def _describe_sql(cols):
     return " UNION ALL ".join(parts)
 
 
-DESCRIBE_COLS = ["age", "customer_tenure_months", "num_policies", "current_premium", "premium_last_year",
-                 "premium_change_pct", "coverage_amount", "late_payment_count_12m", "num_claims_12m",
-                 "total_claim_amount_12m", "payout_ratio_12m", "avg_settlement_time_days", "days_since_last_claim",
-                 "num_contacts_12m", "churn_flag", "churn_probability_true"]
-
-
-@register("c16_describe", with_ctes(_describe_sql(DESCRIBE_COLS)))
+@register("c16_describe", with_ctes(_describe_sql(NUMERIC_COLS)))
 def q_c16(spark, d):
-    return stats.describe(PH(spark, d), DESCRIBE_COLS)
+    """All numeric columns, found by type."""
+    return stats.describe(PH(spark, d))
 
 
 def _info_sql() -> str:
-    from churnlab.sources.io import POLICYHOLDER_SCHEMA
     return " UNION ALL ".join(
         f"SELECT {q(f.name)} AS \"column\", {i} AS position, {q(f.dataType.simpleString())} AS dtype,"
         f" count({f.name}) AS non_null FROM policyholders" for i, f in enumerate(POLICYHOLDER_SCHEMA.fields))
@@ -261,13 +274,12 @@ def q_dall(spark, d):
 
 
 @register("io07_encoding_map_roundtrip", with_ctes(
-    "SELECT customer_id, marital_status, policy_type FROM policyholders"))
+    "SELECT customer_id, age_band, marital_status, policy_type FROM policyholders"))
 def q_io07(spark, d):
     """IO7/J3: encode (C3), save the code map as JSON lines, load it back and
-    decode the codes to labels by a broadcast join against the map."""
-    from churnlab.sources import io
+    decode the codes to labels by a join with the map."""
     p = PH(spark, d)
-    cols = ["marital_status", "policy_type"]
+    cols = clean.CATEGORICAL_COLUMNS
     codes = clean.encoding_table(p, cols)
     path = io.scratch_path(spark, "encoding-map")
     io.save_encoding_map(codes, path)
@@ -276,3 +288,52 @@ def q_io07(spark, d):
     for c in cols:
         enc = io.decode(enc, back, c)
     return enc.select("customer_id", *cols)
+
+
+def _csv_copy(spark, d) -> str:
+    path = io.scratch_path(spark, "policyholders-csv")
+    io.write_policyholders_csv(PH(spark, d), path)
+    return path
+
+
+@register("io01_csv_roundtrip", with_ctes("SELECT * FROM policyholders"))
+def q_io01(spark, d):
+    """IO1: the table written as CSV with a header and read with the fixed schema."""
+    return io.read_policyholders_csv(spark, _csv_copy(spark, d))
+
+
+@register("io02_load_default", with_ctes(f"SELECT * EXCLUDE ({_excl(clean.UNUSED_COLUMNS)}) FROM policyholders"))
+def q_io02(spark, d):
+    """IO2 without a level: unused columns dropped."""
+    return io.load_policyholders(spark, _csv_copy(spark, d))
+
+
+@register("io02_load_raw", with_ctes("SELECT * FROM policyholders"))
+def q_io02r(spark, d):
+    """IO2 with another level than 1: the raw table."""
+    return io.load_policyholders(spark, _csv_copy(spark, d), level=0)
+
+
+@register("io03_dictionary_coverage", with_ctes(
+    "SELECT d.\"column\", d.description, count(i.n) AS rows_with_value FROM (VALUES " + _dict_sql()
+    + ") d(\"column\", description, description_ko) LEFT JOIN (UNPIVOT (SELECT "
+    + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in POLICYHOLDER_COLUMNS)
+    + " FROM policyholders) ON COLUMNS(*) INTO NAME \"column\" VALUE n) i ON i.\"column\" = d.\"column\" GROUP BY ALL"))
+def q_io03(spark, d):
+    """IO3: the dictionary as CSV, read back, next to the values that the table has of each column."""
+    path = io.scratch_path(spark, "dictionary")
+    column_dictionary(spark).select("column", "description").write.option("header", True).csv(path)
+    info = stats.info(PH(spark, d)).select("column", F.col("non_null").alias("rows_with_value"))
+    return io.read_column_dictionary(spark, path).join(info, "column", "left").select(
+        "column", "description", F.coalesce("rows_with_value", F.lit(0)).cast("long").alias("rows_with_value"))
+
+
+_LEAKS = sorted({*clean.LEAKAGE_COLUMNS, clean.LABEL})
+
+
+@register("d05_leakage_columns", with_ctes(" UNION ALL ".join(
+    f"SELECT {q(c)} AS \"column\", count(COLUMNS('^{c}$')) < 0 AS among_features FROM policyholders" for c in _LEAKS)))
+def q_d05(spark, d):
+    """No identifier, label or leakage column is left in the feature frame of the models."""
+    p = PH(spark, d)
+    return quality.leakage_check(p, fx.add_engineered_features(clean.feature_frame(p)))

@@ -114,6 +114,8 @@ def q_ev07(spark, d):
     return ev.roc_curve(labelled(spark, d))
 
 
+_PR_RAW = ("SELECT score AS threshold, p AS precision, r AS recall, 5 * (p * r) / (4 * p + r + 1e-12) AS f2"
+           f" FROM (SELECT score, CAST(tp AS DOUBLE) / (tp + fp) AS p, {_d('tp', 'P')} AS r FROM cum)")
 _PR = ("SELECT score AS threshold, round(p, 6) AS precision, round(r, 6) AS recall,"
        " round(2 * (p * r) / (1 * p + r + 1e-12), 6) AS f1, round(5 * (p * r) / (4 * p + r + 1e-12), 6) AS f2"
        f" FROM (SELECT score, CAST(tp AS DOUBLE) / (tp + fp) AS p, {_d('tp', 'P')} AS r FROM cum)")
@@ -127,7 +129,7 @@ def q_ev08(spark, d):
 def _record_sql():
     m = _metrics_sql()
     cols = {"threshold": f"{T!r}e0", "accuracy": m["accuracy"], "precision": m["precision"], "recall": m["recall"],
-            "f1": m["f1"], "roc_auc": "roc_auc", "pr_auc": "pr_auc", "tn": "tn", "fp": "fp", "fn": "fn",
+            "f1": m["f1"], "f2": m["f2"], "roc_auc": "roc_auc", "pr_auc": "pr_auc", "tn": "tn", "fp": "fp", "fn": "fn",
             "tp": "tp", "test_size": "tp + fp + tn + fn", "predicted_positive": "tp + fp",
             "actual_positive": "tp + fn"}
     return " UNION ALL ".join(f"SELECT '{k}' AS metric, round(CAST({v} AS DOUBLE), 6) AS value FROM c, a"
@@ -155,9 +157,9 @@ def q_ev10(spark, d):
 
 
 @register("ev11a_threshold_max_f2", E(
-    "SELECT arg_max(threshold, (f2, -threshold)) AS threshold, max(f2) AS score, first(n_ok > 0) AS constrained"
+    "SELECT arg_max(threshold, (f2, -threshold)) AS threshold, round(max(f2), 6) AS score, first(n_ok > 0) AS constrained"
     " FROM (SELECT * FROM pr CROSS JOIN (SELECT count(*) FILTER (WHERE precision >= 0.3e0 AND recall >= 0.85e0)"
-    " AS n_ok FROM pr)) WHERE n_ok = 0 OR (precision >= 0.3e0 AND recall >= 0.85e0)", CUM, f"pr AS ({_PR})"))
+    " AS n_ok FROM pr)) WHERE n_ok = 0 OR (precision >= 0.3e0 AND recall >= 0.85e0)", CUM, f"pr AS ({_PR_RAW})"))
 def q_ev11a(spark, d):
     return ev.choose_threshold_fbeta(labelled(spark, d), 2.0, min_precision=0.3, min_recall=0.85)
 

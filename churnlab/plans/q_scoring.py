@@ -192,3 +192,18 @@ def q_r17csv(spark, d):
     path = io.scratch_path(spark, "watchlist")
     io.export_watchlist_csv(wl, path)
     return spark.read.schema(wl.schema).option("header", True).csv(path)
+
+
+@register("io04_scored_roundtrip", S("SELECT * FROM scored"))
+def q_io04(spark, d):
+    """IO4/IO5: the scored table written as Parquet and read back."""
+    from churnlab.sources import io
+    path = io.scratch_path(spark, "scored-copy")
+    io.write_scored(scored(spark, d), path)
+    return io.read_scored(spark, path)
+
+
+@register("c14_distinct_tiers", S("SELECT DISTINCT risk_tier_ko FROM scored WHERE risk_tier_ko IS NOT NULL"))
+def q_c14t(spark, d):
+    from churnlab.operators.clean import distinct_values
+    return distinct_values(scored(spark, d), "risk_tier_ko")

@@ -216,3 +216,14 @@ def q_d06(spark, d):
     zero = [wi.Scenario("zero", "zero", False, False)]
     after = wi.apply_scenarios(p, wi.scenario_table(spark, zero), decrement_price_increases=False, active=zero)
     return quality.unchanged(p, after.select(*p.columns), "customer_id", wi.SIM_COLUMNS)
+
+
+_SIM = list(wi.SIM_COLUMNS)
+
+
+@register("d06_combined_scenario_changes", W(
+    "SELECT count(*) = 0 AS identical, count(*) AS rows_changed FROM fan f JOIN policyholders p USING (customer_id)"
+    " WHERE f.scenario = 'combined' AND (" + " OR ".join(f"f.{c} IS DISTINCT FROM p.{c}" for c in _SIM) + ")"))
+def q_d06c(spark, d):
+    """D6 for a scenario that does change rows."""
+    return quality.unchanged(policyholders(spark, d), fan(spark, d).where(F.col("scenario") == "combined"), "customer_id", _SIM)

@@ -40,8 +40,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (local tests)
-    fall back to a fresh scratch folder under /tmp."""
+    """Use the cluster's ``spark.checkpoint.dir``. Only a ``local`` master, whose
+    tasks share the driver's disk, gets a fresh scratch folder under /tmp when
+    the setting is absent; on a cluster that is an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -49,6 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="churnlab-ckpt-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(path)
     return path
@@ -78,7 +82,22 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def memo_key(spark: SparkSession, *parts) -> tuple:
-    """Key for per-application memoized derived tables (the application id is
-    unique per SparkContext, unlike ``id()`` of a recycled object)."""
-    return (spark.sparkContext.applicationId, *[p.rstrip("/") if isinstance(p, str) else p for p in parts])
+def input_version(spark: SparkSession, folder: str) -> int:
+    """Hash of names, sizes and times of the files below a folder of tables: new files make a new version."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen, todo = [], [root]
+    while todo:
+        for status in fs.listStatus(todo.pop()):
+            seen.append((status.getPath().getName(), status.getLen(), status.getModificationTime()))
+            if status.isDirectory():
+                todo.append(status.getPath())
+    return hash(tuple(sorted(seen)))
+
+
+def memo_key(spark: SparkSession, folder: str, *parts) -> tuple:
+    """Key for per-application memoized derived tables of a folder of input tables
+    (the application id is unique per SparkContext, unlike ``id()`` of a recycled
+    object). Changed input files make a new key."""
+    return (spark.sparkContext.applicationId, folder.rstrip("/"), input_version(spark, folder), *parts)

@@ -2,8 +2,8 @@
 
 Readers take an explicit schema (no inference pass over the data); writers
 overwrite whole directories. Model artefacts and scratch tables go under the
-session's checkpoint folder (the shared folder the cluster configures), never
-a machine-local temp path.
+session's checkpoint folder (the shared folder that the cluster configures; a
+local scratch folder only with a local master).
 """
 
 from __future__ import annotations
@@ -90,9 +90,9 @@ def load_encoding_map(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decode(df: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
-    """IO7/J3: code -> label by broadcast join (the map holds one row per category)."""
+    """IO7/J3: code -> label by a join with the map (one row per category)."""
     m = mapping.where(F.col("column") == column).select(F.col("code").alias("_code"), F.col("label").alias("_label"))
-    return (df.join(F.broadcast(m), df[column] == F.col("_code"), "left")
+    return (df.join(m, df[column] == F.col("_code"), "left")
               .withColumn(column, F.coalesce(F.col("_label"), F.col(column).cast("string")))
               .drop("_code", "_label"))
 
