@@ -4,8 +4,8 @@
 Estimators are Spark ML (distributed tree/LR training). A recipe names a
 feature set, an estimator with parameters, a class-weight rule and a threshold
 rule; ``train_evaluate`` runs split -> fit -> choose threshold on validation
--> refit on train+validation -> evaluate on test. Iteration counts are
-parameters (checks pass small values; recipes keep the reference values).
+-> refit on train+validation -> evaluate on test. The recipes hold the
+reference's parameters, and the registered queries train with them.
 """
 
 from __future__ import annotations
@@ -13,20 +13,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from churnlab.functions import features as fx
 from churnlab.operators import evaluate as ev
+from churnlab.session import materialize
 from churnlab.operators.clean import LEAKAGE_COLUMNS
-from churnlab.operators.prep import class_weights, feature_names, fit_preprocessor, stratified_split
+from churnlab.operators.clean import inf_to_zero
+from churnlab.operators.prep import class_weights, dummy_levels, feature_names, fit_preprocessor, stratified_split
 
 LABEL = "churn_flag"
 STRING_COLUMNS = ["region_name", "age_band", "marital_status", "policy_type", "payment_frequency"]
@@ -39,6 +41,10 @@ CONTACT_FEATURES = ["num_contacts_12m"] + TENURE_FEATURES
 LOCKIN_1 = ["multi_policy_flag", "num_policies", "policy_type", "is_auto", "is_home"]
 LOCKIN_2 = ["multi_policy_flag", "policy_type", "customer_tenure_months", "premium_change_pct",
             "late_payment_count_12m", "quote_requested_flag", "complaint_flag", "payout_ratio_12m"]
+DUMMIES_DROP = ["customer_id", "as_of_date", "age_band", "churn_flag", "churn_type", "churn_probability_true",
+                "num_approved_claims_12m", "num_pending_claims_12m", "current_premium", "premium_last_year"]
+NUMERIC_DROP = ["churn_flag", "churn_type", "churn_probability_true", "total_payout_amount_12m", "premium_last_year",
+                "customer_id"]
 PRICE_FEATURES = ["current_premium", "premium_last_year", "premium_change_pct", "num_price_increases_last_3y",
                   "policy_type"]
 
@@ -50,20 +56,25 @@ def model_frame(df: DataFrame, feature_set: str) -> tuple[DataFrame, list[str],
     if feature_set == "main":
         x = fx.add_engineered_features(df)
         cols = [c for c in x.columns if c not in LEAKAGE_COLUMNS + [LABEL]]
-    elif feature_set in ("claims", "claimants_anger"):
+    elif feature_set == "claims":
         x = df.withColumns({"is_rejected": a["is_rejected"], "unpaid_ratio": a["unpaid_ratio"]})
-        if feature_set == "claimants_anger":
-            x = x.where(F.col("num_claims_12m") > 0).withColumn("anger_index", a["anger_index_binary"])
         cols = [c for c in x.columns if c not in LEAKAGE_COLUMNS + [LABEL]]
-    elif feature_set == "derived":
-        x = df.withColumns({"anger_index": a["anger_index_count"], "claim_approval_rate": a["claim_approval_rate"],
-                            "loyalty_pain_score": a["loyalty_pain_score"]})
-        x = fx.recent_activity_ratio(x)
+    elif feature_set == "claimants_anger":
+        x = df.where(F.col("num_claims_12m") > 0).withColumns(
+            {"is_rejected": a["is_rejected"], "anger_index": a["anger_index_binary"]})
         cols = [c for c in x.columns if c not in LEAKAGE_COLUMNS + [LABEL]]
-    elif feature_set == "numeric_only":
-        x = df
+    elif feature_set in ("dummies", "derived"):
+        x, cols = _with_dummies(df, DUMMIES_DROP)
+        if feature_set == "derived":
+            x, cols = _with_derived(x, cols)
+            x = fx.recent_activity_ratio(x)
+            cols += [c for c in ("recent_activity_ratio",) if c in x.columns]
+    elif feature_set in ("numeric", "numeric_derived"):
         cols = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name != LABEL
                 and f.name not in LEAKAGE_COLUMNS]
+        x = df
+        if feature_set == "numeric_derived":
+            x, cols = _with_derived(df, [c for c in cols if c not in NUMERIC_DROP])
     elif feature_set in ("lockin_1", "lockin_2"):
         x = df.withColumns({"is_auto": a["is_auto"], "is_home": a["is_home"]})
         cols = LOCKIN_1 if feature_set == "lockin_1" else LOCKIN_2
@@ -81,6 +92,22 @@ def model_frame(df: DataFrame, feature_set: str) -> tuple[DataFrame, list[str],
     return x, nums, cats
 
 
+def _with_dummies(df: DataFrame, drop: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """Drop-first dummies (L5) of the string columns that are left, next to the numeric ones."""
+    kept = [f for f in df.schema.fields if f.name not in [*drop, LABEL]]
+    strings = [f.name for f in kept if not isinstance(f.dataType, NumericType)]
+    levels = dummy_levels(df, strings)
+    made = {f"{c}_{v}": (F.col(c) == F.lit(v)).cast("int") for c in strings for v in levels[c][1:]}
+    return df.withColumns(made), [f.name for f in kept if f.name not in strings] + list(made)
+
+
+def _with_derived(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    a = fx.analysis_feature_exprs()
+    made = {"anger_index": a["anger_index_count"], "claim_approval_rate": a["claim_approval_rate"],
+            "loyalty_pain_score": a["loyalty_pain_score"]}
+    return df.withColumns(made), cols + list(made)
+
+
 @dataclass(frozen=True)
 class Recipe:
     name: str
@@ -89,47 +116,53 @@ class Recipe:
     params: dict = field(default_factory=dict)
     weight: tuple | None = None         # ("fixed", w) | ("balanced",) | ("ratio", k)
     threshold: tuple = ("fixed", 0.5)   # ("fixed", t) | ("fbeta", beta, min_p, min_r) | ("recall", r) | ("accuracy",)
-    split: tuple = (("test", 0.2), ("valid", 0.2), ("train", 0.6))
+    split: tuple = (("test", 0.2), ("train", 0.8))
     scale: bool = False
-
-
-RECIPES = {
-    "main": Recipe("main", "gbt", "main", {"stepSize": 0.05, "maxIter": 400, "maxDepth": 5,
-                                           "minInstancesPerNode": 20, "maxBins": 255},
-                   threshold=("fbeta", 2.0, 0.3, 0.85)),
-    "price_lr": Recipe("price_lr", "lr", "price", {"maxIter": 1000}, scale=True),
-    "rf_claims": Recipe("rf_claims", "rf", "claims", {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5},
-                        weight=("fixed", 3.0)),
-    "rf_claimants_anger": Recipe("rf_claimants_anger", "rf", "claimants_anger",
-                                 {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5}, weight=("fixed", 3.0),
-                                 threshold=("fixed", 0.4)),
-    "gbt_claims": Recipe("gbt_claims", "gbt", "claims", {"maxIter": 500, "stepSize": 0.01, "maxDepth": 6},
-                         weight=("fixed", 3.0), threshold=("fixed", 0.44)),
-    "rf_dummies": Recipe("rf_dummies", "rf", "main", {"numTrees": 100, "maxDepth": 10}),
-    "rf_derived": Recipe("rf_derived", "rf", "derived", {"numTrees": 100, "maxDepth": 12}, weight=("fixed", 5.0)),
-    "rf_numeric": Recipe("rf_numeric", "rf", "numeric_only", {"numTrees": 100, "maxDepth": 10},
-                         weight=("fixed", 4.0), threshold=("fixed", 0.45)),
-    "gbt_deep": Recipe("gbt_deep", "gbt", "numeric_only", {"maxIter": 200, "stepSize": 0.1, "maxDepth": 10},
-                       weight=("fixed", 4.0)),
-    "gbt_subsample": Recipe("gbt_subsample", "gbt", "numeric_only",
-                            {"maxIter": 300, "stepSize": 0.05, "subsamplingRate": 0.8,
-                             "featureSubsetStrategy": "0.8"}),
-    "lockin_1": Recipe("lockin_1", "gbt", "lockin_1", {"maxIter": 100}, weight=("ratio", 2.5),
-                       threshold=("recall", 0.80)),
-    "lockin_2": Recipe("lockin_2", "gbt", "lockin_2", {"maxIter": 100}, weight=("ratio", 2.5),
-                       threshold=("recall", 0.80)),
-    "rf_balanced": Recipe("rf_balanced", "rf", "numeric_only", {"numTrees": 100, "minInstancesPerNode": 30,
-                                                                 "maxDepth": 30}, weight=("balanced",)),
-    "gbt_ratio": Recipe("gbt_ratio", "gbt", "numeric_only", {"maxIter": 100}, weight=("ratio", 1.0)),
-    "tenure_lr": Recipe("tenure_lr", "lr", "tenure", {"maxIter": 1000}, split=(("test", 0.25), ("train", 0.75)),
-                        scale=True),
-    "tenure_rf": Recipe("tenure_rf", "rf", "tenure", {"numTrees": 100}, split=(("test", 0.25), ("train", 0.75))),
-    "tenure_gbt": Recipe("tenure_gbt", "gbt", "tenure", {"maxIter": 100}, split=(("test", 0.25), ("train", 0.75))),
-    "contacts_lr": Recipe("contacts_lr", "lr", "contacts", {"maxIter": 1000},
-                          split=(("test", 0.25), ("train", 0.75)), scale=True),
-    "contacts_rf": Recipe("contacts_rf", "rf", "contacts", {"numTrees": 100}, split=(("test", 0.25), ("train", 0.75))),
-    "contacts_gbt": Recipe("contacts_gbt", "gbt", "contacts", {"maxIter": 100},
-                           split=(("test", 0.25), ("train", 0.75))),
+    zero_fill: bool = False             # missing and infinite values become 0 before the split
+
+
+# The recipes of the reference. A tree without a depth limit takes Spark's limit of 30; a minimum of 5 rows
+# to split a node has no counterpart in Spark and is left out; boosted trees stand in for the boosting libraries.
+NO_LIMIT = 30
+_QUARTER = (("test", 0.25), ("train", 0.75))
+RECIPES = {r.name: r for r in [
+    Recipe("main", "gbt", "main", {"stepSize": 0.05, "maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255},
+           threshold=("fbeta", 2.0, 0.3, 0.85), split=(("test", 0.2), ("valid", 0.2), ("train", 0.6))),
+    Recipe("price_lr", "lr", "price", {"maxIter": 2000}, scale=True),
+    Recipe("rf_claims", "rf", "claims", {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5}, weight=("fixed", 3.0)),
+    Recipe("rf_claimants_anger", "rf", "claimants_anger", {"numTrees": 100, "maxDepth": 10}, weight=("fixed", 3.0),
+           threshold=("fixed", 0.4)),
+    Recipe("gbt_claims", "gbt", "claims", {"maxIter": 500, "stepSize": 0.01, "maxDepth": 6}, weight=("fixed", 3.0),
+           threshold=("fixed", 0.44)),
+    Recipe("rf_dummies", "rf", "dummies", {"numTrees": 100, "maxDepth": NO_LIMIT}, weight=("fixed", 3.0)),
+    Recipe("rf_derived", "rf", "derived", {"numTrees": 200, "maxDepth": 12}, weight=("fixed", 5.0)),
+    Recipe("rf_numeric", "rf", "numeric_derived", {"numTrees": 300, "maxDepth": 12}, weight=("fixed", 4.0),
+           threshold=("fixed", 0.45), zero_fill=True),
+    Recipe("gbt_deep", "gbt", "numeric_derived", {"maxIter": 200, "stepSize": 0.1, "maxDepth": 10}, weight=("fixed", 4.0),
+           threshold=("fixed", 0.45)),
+    Recipe("gbt_subsample", "gbt", "numeric_derived",
+           {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+           weight=("ratio", 1.5), threshold=("fixed", 0.45)),
+    Recipe("lockin_1", "gbt", "lockin_1", {"maxIter": 200, "stepSize": 0.05, "maxDepth": 6}, weight=("ratio", 2.5)),
+    Recipe("lockin_2", "gbt", "lockin_2", {"maxIter": 300, "stepSize": 0.03, "maxDepth": 5}, weight=("ratio", 2.5)),
+    Recipe("rf_balanced", "rf", "numeric", {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 30,
+                                            "featureSubsetStrategy": "sqrt"}, weight=("balanced",)),
+    Recipe("gbt_ratio", "gbt", "numeric", {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}, weight=("ratio", 1.0)),
+    *[Recipe(f"{name}_{kind}", kind, name, params, split=_QUARTER)
+      for name in ("tenure", "contacts")
+      for kind, params in (("lr", {"maxIter": 5000}), ("rf", {"numTrees": 200, "maxDepth": NO_LIMIT}),
+                           ("gbt", {"maxIter": 200, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
+                                    "featureSubsetStrategy": "0.8"}))],
+]}
+
+# The two stacks of the reference (base learners, folds, threshold).
+STACKS = {
+    "stack_1": ((Recipe("s1_gbt", "gbt", "lockin_2", {"maxIter": 200, "stepSize": 0.03, "maxDepth": 5}, weight=("fixed", 3.47)),
+                 Recipe("s1_rf", "rf", "lockin_2", {"numTrees": 200, "maxDepth": 8}, weight=("fixed", 5.0))),
+                3, ("fixed", 0.5)),
+    "stack_2": ((Recipe("s2_gbt", "gbt", "lockin_2", {"maxIter": 250, "stepSize": 0.02, "maxDepth": 6}, weight=("fixed", 4.0)),
+                 Recipe("s2_rf", "rf", "lockin_2", {"numTrees": 250, "maxDepth": 10}, weight=("fixed", 7.0))),
+                5, ("recall", 0.80)),
 }
 
 
@@ -161,8 +194,12 @@ def fit(recipe: Recipe, train: DataFrame, nums: Sequence[str], cats: Sequence[st
         overrides: dict | None = None) -> PipelineModel:
     """Preprocessor fitted on ``train`` only, then the estimator; one PipelineModel."""
     pre = fit_preprocessor(train, nums, cats, scale=recipe.scale)
-    data = _with_weights(pre.transform(train), recipe)
-    est = make_estimator(recipe, recipe.weight is not None, overrides).fit(data)
+    columns = ["features", "label", *(["weight"] if recipe.weight else [])]
+    data = _with_weights(pre.transform(train), recipe).select(*columns).persist()  # read once per tree level
+    try:
+        est = make_estimator(recipe, recipe.weight is not None, overrides).fit(data)
+    finally:
+        data.unpersist()
     return PipelineModel(stages=list(pre.stages) + [est])
 
 
@@ -183,7 +220,9 @@ def choose_threshold(recipe: Recipe, scores: DataFrame) -> float:
         row = ev.choose_threshold_recall(scores, rule[1]).first()
     else:
         row = ev.choose_threshold_accuracy(scores).first()
-    return float(row["threshold"]) if row and row["threshold"] is not None else 0.5
+    if row is None or row["threshold"] is None:
+        raise ValueError(f"{recipe.name}: no threshold meets {rule}")
+    return float(row["threshold"])
 
 
 @dataclass
@@ -198,27 +237,51 @@ class TrainResult:
 def train_evaluate(recipe: Recipe, df: DataFrame, overrides: dict | None = None, seed: int = 42) -> TrainResult:
     """Split -> fit on train -> threshold on validation (if the split has
     one) -> refit on train + validation -> evaluation record on test (EV9)."""
-    x, nums, cats = model_frame(df, recipe.feature_set)
-    x = x.withColumn("label", F.col(LABEL).cast("double"))
-    parts = stratified_split(x, list(recipe.split), label=LABEL, seed=seed)
-    train = parts.where(F.col("split") == "train")
-    test = parts.where(F.col("split") == "test")
-    has_valid = any(n == "valid" for n, _ in recipe.split)
-    threshold = float(recipe.threshold[1]) if recipe.threshold[0] == "fixed" else None
-    if has_valid:
-        valid = parts.where(F.col("split") == "valid")
-        if threshold is None:
-            m1 = fit(recipe, train, nums, cats, overrides)
-            threshold = choose_threshold(recipe, probability(m1, valid))
-        train = parts.where(F.col("split").isin("train", "valid"))
-    model = fit(recipe, train, nums, cats, overrides)
-    test_scores = probability(model, test)
-    if threshold is None:
-        threshold = choose_threshold(recipe, test_scores)
+    x, nums, cats = labelled_frame(recipe, df)
+    parts = materialize(stratified_split(x, list(recipe.split), label=LABEL, seed=seed))
+    train, test = (parts.where(F.col("split") == name) for name in ("train", "test"))
+    if recipe.threshold[0] == "fixed":
+        threshold = float(recipe.threshold[1])
+    elif any(n == "valid" for n, _ in recipe.split):
+        first = fit(recipe, train, nums, cats, overrides)
+        threshold = choose_threshold(recipe, probability(first, parts.where(F.col("split") == "valid")))
+    else:
+        raise ValueError(f"{recipe.name}: a threshold rule needs a validation part")
+    model = fit(recipe, parts.where(F.col("split") != "test"), nums, cats, overrides)
+    test_scores = materialize(probability(model, test))
     names = feature_names(model.transform(test.limit(1)))
     return TrainResult(model, threshold, ev.evaluation_record(test_scores, threshold), test_scores, names)
 
 
+def labelled_frame(recipe: Recipe, df: DataFrame) -> tuple[DataFrame, list[str], list[str]]:
+    x, nums, cats = model_frame(df, recipe.feature_set)
+    if recipe.zero_fill:
+        x = inf_to_zero(x.withColumns({c: F.col(c).cast("double") for c in nums}), nums).fillna(0, nums)
+    return x.withColumn("label", F.col(LABEL).cast("double")), nums, cats
+
+
+def record_check(result: TrainResult) -> DataFrame:
+    """The record's sizes, and how many of its own figures contradict each other: what holds for any model.
+
+    One row: test_size, actual_positive, matrix_total (cells of the confusion matrix), bad_scores (probabilities
+    outside [0, 1] or missing), bad_metrics (accuracy, precision, recall, F1 and F2 that differ from the matrix by over
+    1e-6, or an AUC outside [0, 1]).
+    """
+    r = {m.metric: m.value for m in result.record.collect()}  # 15 rows
+    tp, fp, tn, fn = (r[k] for k in ("tp", "fp", "tn", "fn"))
+    share = lambda a, b: a / b if b else 0.0
+    p, q = share(tp, tp + fp), share(tp, tp + fn)
+    want = {"accuracy": share(tp + tn, tp + fp + tn + fn), "precision": p, "recall": q,
+            "f1": share(2 * p * q, p + q), "f2": share(5 * p * q, 4 * p + q)}
+    bad = sum(abs(r[k] - v) > 1e-6 for k, v in want.items()) + sum(not 0 <= r[k] <= 1 for k in ("roc_auc", "pr_auc"))
+    s = F.col("score")
+    return result.test_scores.agg(
+        F.count("*").alias("test_size"), F.count_if(F.col("label") == 1).alias("actual_positive"),
+        F.lit(int(tp + fp + tn + fn)).cast("long").alias("matrix_total"),
+        F.count_if(s.isNull() | F.isnan(s) | (s < 0) | (s > 1)).alias("bad_scores"),
+        F.lit(int(bad)).cast("long").alias("bad_metrics"))
+
+
 def tree_importances(result: TrainResult, k: int | None = None) -> DataFrame:
     """EV13: feature importances of a tree model by name, top k (EV14 filters it)."""
     est = result.model.stages[-1]
@@ -229,6 +292,49 @@ def tree_importances(result: TrainResult, k: int | None = None) -> DataFrame:
     return df.where(F.col("rank") <= k) if k else df
 
 
+def rank_label(top: int = 7):
+    """EV14: the rank as text, or that it lies outside the top."""
+    return F.when(F.col("rank") <= top, F.col("rank").cast("string")).otherwise(F.lit(f"outside top {top}"))
+
+
+def early_stopping(df: DataFrame, recipe: Recipe, most: int = 5000, patience: int = 20, valid: float = 0.2,
+                   seed: int = 42) -> TrainResult:
+    """Boosting that stops after ``patience`` rounds without a better validation loss.
+
+    The loss of every round of one fit is known (``evaluateEachIteration``), so rounds are fitted in runs that double
+    until a run holds ``patience`` rounds behind its best one, or ``most`` rounds. The model keeps the rounds up to the
+    best one.
+    """
+    x, nums, cats = labelled_frame(recipe, df)
+    parts = materialize(stratified_split(x, [("test", 0.2), ("train", 0.8)], label=LABEL, seed=seed))
+    train, test = (parts.where(F.col("split") == name) for name in ("train", "test"))
+    inner = materialize(stratified_split(train.drop("split"), [("valid", valid), ("fit", 1 - valid)], label=LABEL, seed=seed + 1))
+    pre = fit_preprocessor(train, nums, cats)
+    fit_on = pre.transform(inner.where(F.col("split") == "fit")).select("features", "label").persist()
+    held = pre.transform(inner.where(F.col("split") == "valid")).select("features", "label").persist()
+    base = {k: v for k, v in recipe.params.items() if k != "maxIter"}
+    rounds = min(most, 4 * patience)
+    while True:
+        model = GBTClassifier(seed=seed, labelCol="label", featuresCol="features", maxIter=rounds, **base).fit(fit_on)
+        loss = list(model.evaluateEachIteration(held))
+        best = stop = 0
+        for i, v in enumerate(loss):
+            if v < loss[best]:
+                best = i
+            stop = i
+            if i - best >= patience:
+                break
+        if stop - best >= patience or rounds >= most:
+            break
+        rounds = min(most, 2 * rounds)
+    if best + 1 < len(loss):
+        model = GBTClassifier(seed=seed, labelCol="label", featuresCol="features", maxIter=best + 1, **base).fit(fit_on)
+    fit_on.unpersist(), held.unpersist()
+    whole = PipelineModel(stages=list(pre.stages) + [model])
+    scores = materialize(probability(whole, test))
+    return TrainResult(whole, 0.5, ev.evaluation_record(scores, 0.5), scores, feature_names(whole.transform(test.limit(1))))
+
+
 def lr_coefficients(result: TrainResult) -> DataFrame:
     """Coefficient per feature with its absolute value rank."""
     est = result.model.stages[-1]
@@ -238,62 +344,73 @@ def lr_coefficients(result: TrainResult) -> DataFrame:
     return df.withColumn("abs_rank", F.row_number().over(Window.orderBy(F.abs("coefficient").desc(), "feature")))
 
 
-def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds: int = 3, metric: str = "auc",
-                   overrides: dict | None = None, parallelism: int = 2) -> DataFrame:
-    """``CrossValidator`` over a parameter grid on the preprocessed
-    frame; returns (params, mean metric). ``metric='f2'`` uses the per-label
-    F-measure with beta 2 for class 1 (L28)."""
-    x, nums, cats = model_frame(df, recipe.feature_set)
-    x = x.withColumn("label", F.col(LABEL).cast("double"))
-    pre = fit_preprocessor(x, nums, cats, scale=recipe.scale)
-    data = _with_weights(pre.transform(x), recipe)
+def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds: int = 3, metric: str = "f1",
+                   overrides: dict | None = None, parallelism: int = 2, seed: int = 42) -> tuple[DataFrame, TrainResult]:
+    """Grid search on the training part alone; (params, mean metric per point; refit of the best point).
+
+    The preprocessor is fitted inside each fold. ``metric``: ``f1`` or ``f2`` of class 1 at 0.5, or ``auc``. The first
+    of the best points is fitted to the whole training part and evaluated on the test part.
+    """
+    x, nums, cats = labelled_frame(recipe, df)
+    parts = materialize(stratified_split(x, list(recipe.split), label=LABEL, seed=seed))
+    train = parts.where(F.col("split") != "test").withColumn(
+        "fold", F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(folds)).cast("int"))
+    points = ParamGridBuilder()
     est = make_estimator(recipe, recipe.weight is not None, overrides)
-    pg = ParamGridBuilder()
     for name, values in grid.items():
-        pg = pg.addGrid(est.getParam(name), values)
-    maps = pg.build()
-    if metric == "f2":
-        evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=2.0, metricLabel=1.0)
-    else:
+        points = points.addGrid(est.getParam(name), values)
+    points = points.build()
+    if metric == "auc":
         evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
-    cv = CrossValidator(estimator=est, estimatorParamMaps=maps, evaluator=evaluator, numFolds=folds, seed=42,
-                        parallelism=parallelism)
-    cvm = cv.fit(data)
-    rows = [(", ".join(f"{p.name}={v}" for p, v in m.items()), float(s)) for m, s in zip(maps, cvm.avgMetrics)]
-    return df.sparkSession.createDataFrame(rows, "params string, mean_metric double")
-
-
-def stacking(df: DataFrame, feature_set: str = "lockin_2", folds: int = 3, overrides: dict | None = None,
-             seed: int = 42) -> DataFrame:
-    """Out-of-fold probabilities of a boosted and a random-forest model
-    (fold = hash of the key), then a balanced logistic meta-model on them.
-    Returns the meta-model's evaluation record on the held-out test part."""
-    x, nums, cats = model_frame(df, feature_set)
-    x = x.withColumn("label", F.col(LABEL).cast("double"))
-    parts = stratified_split(x, [("test", 0.25), ("train", 0.75)], label=LABEL, seed=seed)
+    else:
+        evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=float(metric[1:]), metricLabel=1.0)
+    columns = ["features", "label", *(["weight"] if recipe.weight else [])]
+    sums = [0.0] * len(points)
+    for k in range(folds):
+        inner = train.where(F.col("fold") != k)
+        pre = fit_preprocessor(inner, nums, cats, scale=recipe.scale)
+        fit_on = _with_weights(pre.transform(inner), recipe).select(*columns).persist()
+        held = pre.transform(train.where(F.col("fold") == k)).select("features", "label").persist()
+        for i, point in enumerate(points):
+            sums[i] += evaluator.evaluate(est.fit(fit_on, point).transform(held))
+        fit_on.unpersist(), held.unpersist()
+    means = [s / folds for s in sums]
+    names = [", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda t: t[0].name)) for m in points]
+    table = df.sparkSession.createDataFrame(list(zip(names, means)), "params string, mean_metric double")
+    best = points[max(range(len(points)), key=lambda i: (means[i], -i))]
+    tuned = replace(recipe, params={**recipe.params, **(overrides or {}), **{p.name: v for p, v in best.items()}})
+    return table, train_evaluate(tuned, df, seed=seed)
+
+
+def stacking(df: DataFrame, base: Sequence[Recipe], folds: int = 3, threshold: tuple = ("fixed", 0.5),
+             seed: int = 42) -> TrainResult:
+    """Out-of-fold probabilities of the base models (fold = hash of the key), then a balanced logistic meta-model on
+    them, evaluated on the held-out test part. As in the reference, a recall threshold is read off the test scores."""
+    x, nums, cats = labelled_frame(base[0], df)
+    parts = materialize(stratified_split(x, [("test", 0.2), ("train", 0.8)], label=LABEL, seed=seed))
     train = parts.where(F.col("split") == "train").withColumn(
         "fold", F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(folds)))
     test = parts.where(F.col("split") == "test")
-    base = [Recipe("s_gbt", "gbt", feature_set, {"maxIter": 100}), Recipe("s_rf", "rf", feature_set, {"numTrees": 100})]
+
+    def scores(fit_on: DataFrame, on: DataFrame) -> DataFrame:
+        out = None
+        for r in base:
+            s = probability(fit(r, fit_on, nums, cats), on).withColumnRenamed("score", f"p_{r.estimator}")
+            out = s if out is None else out.join(s.drop("label"), "customer_id")
+        return materialize(out)
+
     oof = None
     for i in range(folds):
-        fold_scores = None
-        for r in base:
-            m = fit(r, train.where(F.col("fold") != i), nums, cats, overrides.get(r.estimator) if overrides else None)
-            s = probability(m, train.where(F.col("fold") == i)).withColumnRenamed("score", f"p_{r.estimator}")
-            fold_scores = s if fold_scores is None else fold_scores.join(s.drop("label"), "customer_id")
-        oof = fold_scores if oof is None else oof.unionByName(fold_scores)
-    test_scores = None
-    for r in base:
-        m = fit(r, train, nums, cats, overrides.get(r.estimator) if overrides else None)
-        s = probability(m, test).withColumnRenamed("score", f"p_{r.estimator}")
-        test_scores = s if test_scores is None else test_scores.join(s.drop("label"), "customer_id")
-    assembler = VectorAssembler(inputCols=["p_gbt", "p_rf"], outputCol="features")
+        part = scores(train.where(F.col("fold") != i), train.where(F.col("fold") == i))
+        oof = part if oof is None else oof.unionByName(part)
+    assembler = VectorAssembler(inputCols=[f"p_{r.estimator}" for r in base], outputCol="features")
     meta_train = class_weights(assembler.transform(oof), "label", "balanced")
     meta = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(meta_train)
-    scored = meta.transform(assembler.transform(test_scores)).select(
-        "customer_id", "label", vector_to_array(F.col("probability"))[1].alias("score"))
-    return ev.evaluation_record(scored, 0.5)
+    scored = materialize(meta.transform(assembler.transform(scores(train, test))).select(
+        "customer_id", "label", vector_to_array(F.col("probability"))[1].alias("score")))
+    at = choose_threshold(Recipe("stack", "lr", base[0].feature_set, threshold=threshold), scored)
+    return TrainResult(PipelineModel(stages=[assembler, meta]), at, ev.evaluation_record(scored, at), scored,
+                       [f"p_{r.estimator}" for r in base])
 
 
 def permutation_importance(result: TrainResult, test: DataFrame, columns: Sequence[str], repeats: int = 5,
@@ -322,7 +439,9 @@ def permutation_importance(result: TrainResult, test: DataFrame, columns: Sequen
             while math.gcd(a, n) != 1:
                 a = rng.randrange(1, max(n, 2))
             b = rng.randrange(0, max(n, 1))
-            target = ((F.lit(a) * (F.col("_r") - 1) + F.lit(b)) % F.lit(n)) + 1
+            # Decimal product: a * r exceeds a long beyond some three billion rows.
+            target = ((F.lit(a).cast("decimal(19,0)") * (F.col("_r") - 1).cast("decimal(19,0)") + F.lit(b)) % F.lit(n)
+                      ).cast("long") + 1
             moved = numbered.select(target.alias("_r"), F.col(c).alias("_shuffled"))
             shuffled = numbered.join(moved, "_r").withColumn(c, F.col("_shuffled")).drop("_shuffled")
             ap = ev.auc_scores(probability(result.model, shuffled)).first()["pr_auc"]
@@ -346,7 +465,7 @@ def logistic_trend(df: DataFrame, column: str) -> DataFrame:
                        F.round(vector_to_array(F.col("probability"))[1], 6).alias("churn_probability"))
 
 
-def stage_comparison(records: dict[str, DataFrame], metrics: Sequence[str] = ("roc_auc", "recall", "threshold")) -> DataFrame:
+def stage_comparison(records: dict[str, DataFrame], metrics: Sequence[str] = ("roc_auc", "f2", "recall", "threshold")) -> DataFrame:
     """EV17: stage name x selected metrics from several evaluation records."""
     out = None
     for stage, rec in records.items():
@@ -354,8 +473,3 @@ def stage_comparison(records: dict[str, DataFrame], metrics: Sequence[str] = ("r
         out = part if out is None else out.unionByName(part)
     return out.groupBy("stage").pivot("metric", list(metrics)).agg(F.first("value"))
 
-
-def with_overrides(recipe: Recipe, **params) -> Recipe:
-    p = dict(recipe.params)
-    p.update(params)
-    return replace(recipe, params=p)

@@ -56,6 +56,80 @@ def test_preprocessor_unknown_category_is_all_zero(spark):
     assert v == [2.0, 0.0, 0.0]
 
 
-def test_cross_validate_returns_grid(ph):
-    out = ml.cross_validate(ml.RECIPES["tenure_lr"], ph, {"regParam": [0.0, 0.1]}, folds=2, overrides={"maxIter": 10})
-    assert out.count() == 2
+def test_cross_validate_refits_the_best_point(ph):
+    table, best = ml.cross_validate(ml.RECIPES["tenure_lr"], ph, {"regParam": [0.0, 0.1]}, folds=2, overrides={"maxIter": 10})
+    rows = table.collect()
+    assert [r.params for r in rows] == ["regParam=0.0", "regParam=0.1"] and all(0 <= r.mean_metric <= 1 for r in rows)
+    check = ml.record_check(best).first()
+    assert check.bad_scores == check.bad_metrics == 0 and check.test_size == check.matrix_total > 0
+
+
+def test_cross_validation_never_sees_the_test_part(ph, monkeypatch):
+    """The label of every test row is broken; the fold scores don't move."""
+    recipe = ml.RECIPES["tenure_lr"]
+    plain, _ = ml.cross_validate(recipe, ph, {"regParam": [0.1]}, folds=2, overrides={"maxIter": 5})
+    real = ml.stratified_split
+    monkeypatch.setattr(ml, "stratified_split", lambda *a, **k: real(*a, **k).withColumn(
+        "label", F.when(F.col("split") == "test", 1 - F.col("label")).otherwise(F.col("label"))))
+    moved, _ = ml.cross_validate(recipe, ph, {"regParam": [0.1]}, folds=2, overrides={"maxIter": 5})
+    assert plain.collect() == moved.collect()
+
+
+def test_early_stopping_keeps_the_best_round(ph):
+    res = ml.early_stopping(ph, ml.RECIPES["gbt_ratio"], most=12, patience=3)
+    assert 1 <= res.model.stages[-1].getNumTrees <= 12
+    assert ml.record_check(res).first().bad_metrics == 0
+
+
+def test_stack_of_two_models(ph):
+    base, folds, threshold = ml.STACKS["stack_1"]
+    from dataclasses import replace
+    small = [replace(r, params={**r.params, **({"maxIter": 3} if r.estimator == "gbt" else {"numTrees": 5})}) for r in base]
+    assert ml.record_check(ml.stacking(ph, small, 2, threshold)).first().bad_scores == 0
+
+
+def test_threshold_rules_never_fall_back_silently(spark, ph):
+    import pytest
+    scores = spark.createDataFrame([(0, 0.2), (0, 0.9)], "label int, score double")
+    with pytest.raises(ValueError, match="no threshold"):
+        ml.choose_threshold(ml.Recipe("x", "lr", "tenure", threshold=("recall", 0.8)), scores)
+    with pytest.raises(ValueError, match="validation part"):
+        ml.train_evaluate(ml.Recipe("x", "lr", "tenure", {"maxIter": 2}, threshold=("recall", 0.8)), ph)
+
+
+def test_null_labels_raise_and_null_groups_rank(spark):
+    import pytest
+    from churnlab.operators import ranking
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", 0)], "customer_id string, churn_flag int")
+    with pytest.raises(Exception, match="needs a label"):
+        prep.stratified_split(df, [("test", 0.5), ("train", 0.5)]).collect()
+    ranked = ranking.rank_within_groups(df, "churn_flag", ["customer_id"], "rk").collect()
+    assert sorted((r.customer_id, r.rk) for r in ranked) == [("a", 1), ("b", 1), ("c", 1)]
+
+
+def test_recipes_hold_the_reference_parameters():
+    """The values of the reference's training cells, as far as Spark has the parameter."""
+    want = {
+        "main": ("gbt", 400, 5, None, 0.05), "price_lr": ("lr", 2000, None, None, None), "rf_claims": ("rf", 100, 10, 3.0, None),
+        "rf_claimants_anger": ("rf", 100, 10, 3.0, None), "gbt_claims": ("gbt", 500, 6, 3.0, 0.01),
+        "rf_dummies": ("rf", 100, 30, 3.0, None), "rf_derived": ("rf", 200, 12, 5.0, None), "rf_numeric": ("rf", 300, 12, 4.0, None),
+        "gbt_deep": ("gbt", 200, 10, 4.0, 0.1), "gbt_subsample": ("gbt", 300, 6, 1.5, 0.05), "lockin_1": ("gbt", 200, 6, 2.5, 0.05),
+        "lockin_2": ("gbt", 300, 5, 2.5, 0.03), "rf_balanced": ("rf", 100, 10, None, None), "gbt_ratio": ("gbt", 100, 6, 1.0, 0.1),
+        "tenure_lr": ("lr", 5000, None, None, None), "tenure_rf": ("rf", 200, 30, None, None), "tenure_gbt": ("gbt", 200, 5, None, 0.05),
+        "contacts_lr": ("lr", 5000, None, None, None), "contacts_rf": ("rf", 200, 30, None, None),
+        "contacts_gbt": ("gbt", 200, 5, None, 0.05)}
+    got = {n: (r.estimator, r.params.get("maxIter", r.params.get("numTrees")), r.params.get("maxDepth"),
+               r.weight[1] if r.weight and len(r.weight) > 1 else None, r.params.get("stepSize")) for n, r in ml.RECIPES.items()}
+    assert got == want
+    assert {n: r.threshold[1] for n, r in ml.RECIPES.items() if r.threshold[0] == "fixed" and r.threshold[1] != 0.5} == {
+        "rf_claimants_anger": 0.4, "gbt_claims": 0.44, "rf_numeric": 0.45, "gbt_deep": 0.45, "gbt_subsample": 0.45}
+
+
+def test_any_beta_has_its_own_threshold(spark):
+    from churnlab.operators import evaluate as ev
+    import random
+    rng = random.Random(4)
+    rows = [(int(rng.random() < s), s) for s in (rng.random() for _ in range(400))]
+    df = spark.createDataFrame(rows, "label int, score double")
+    cuts = [ev.choose_threshold_fbeta(df, b).first().threshold for b in (0.25, 0.5, 1.0, 2.0, 4.0)]
+    assert cuts == sorted(cuts, reverse=True) and len(set(cuts)) > 2
