@@ -48,8 +48,11 @@ NEGATED, REPORTED, AIMED = 0.25, 0.5, 1.5
 #: Likelihood ratio that a word must reach to enter the lexicon, least weight of an entry, size of the lexicon.
 MIN_G2, MIN_WEIGHT, MAX_LEXICON = 20.0, 1.5, 20_000
 STEM = 5
-#: Labelled rows that the calibration is fitted to at most (a sample by hash of the id), and its Newton steps.
-CALIBRATION_ROWS, NEWTON_STEPS, RIDGE = 50_000, 25, 1e-2
+#: Labelled rows that are learned from at most (a sample by hash of the id; its ids and labels are broadcast, so no text
+#: is shuffled at any size).
+LEARN_ROWS = 60_000
+#: Newton steps and ridge of the calibration.
+NEWTON_STEPS, RIDGE = 25, 1e-2
 PREDICT_AT = 0.3
 #: Words that a learning task counts before it hands them on.
 FLUSH = 400_000
@@ -245,7 +248,7 @@ def raw_scores(docs: DataFrame, insults: dict[str, float], keep: list[str]) -> D
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit lexicon and calibration on the labelled documents.
+    """Fit lexicon and calibration on at most ``LEARN_ROWS`` labelled documents.
 
     Two thirds of them (by hash of the id) teach the lexicon, one third the
     calibration. Rows without a label or id are ignored; a document with several
@@ -254,12 +257,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     label = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
              .agg(F.max(label_col).cast("int").alias("toxic")))
-    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(label, "id")
+    share = min(1.0, LEARN_ROWS / max(1, label.count()))
+    chosen = label.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
+    joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     third = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0
     insults = learn_lexicon(joined.where(~third))
-    share = min(1.0, CALIBRATION_ROWS / max(1, label.where(third).count()))
-    sample = joined.where(third & (F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20))))
-    rows = raw_scores(sample, insults, ["toxic"]).toPandas()
+    rows = raw_scores(joined.where(third), insults, ["toxic"]).toPandas()
     if not len(rows):
         return Model(insults, (0.0, 0.0, 0.0))
     x = np.column_stack(features(rows.raw.to_numpy(), rows.words.to_numpy()))
