@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from itertools import product
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -345,43 +345,74 @@ def lr_coefficients(result: TrainResult) -> DataFrame:
 
 
 def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds: int = 3, metric: str = "f1",
-                   overrides: dict | None = None, parallelism: int = 2, seed: int = 42) -> tuple[DataFrame, TrainResult]:
+                   overrides: dict | None = None, seed: int = 42) -> tuple[DataFrame, TrainResult]:
     """Grid search on the training part alone; (params, mean metric per point; refit of the best point).
 
-    The preprocessor is fitted inside each fold. ``metric``: ``f1`` or ``f2`` of class 1 at 0.5, or ``auc``. The first
+    The preprocessor is fitted inside each fold. A grid key is a Spark parameter, ``C`` or ``weight`` (rules as in
+    ``Recipe``). ``metric``: ``f1`` or ``f2`` of class 1 at 0.5, or ``auc``. The first
     of the best points is fitted to the whole training part and evaluated on the test part.
     """
     x, nums, cats = labelled_frame(recipe, df)
     parts = materialize(stratified_split(x, list(recipe.split), label=LABEL, seed=seed))
     train = parts.where(F.col("split") != "test").withColumn(
         "fold", F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(folds)).cast("int"))
-    points = ParamGridBuilder()
-    est = make_estimator(recipe, recipe.weight is not None, overrides)
-    for name, values in grid.items():
-        points = points.addGrid(est.getParam(name), values)
-    points = points.build()
+    rules = grid.get("weight", [recipe.weight])
+    points = [dict(zip([k for k in grid if k != "weight"], values))
+              for values in product(*[v for k, v in grid.items() if k != "weight"])]
     if metric == "auc":
         evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
     else:
         evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=float(metric[1:]), metricLabel=1.0)
-    columns = ["features", "label", *(["weight"] if recipe.weight else [])]
-    sums = [0.0] * len(points)
+    sums = {(w, i): 0.0 for w in range(len(rules)) for i in range(len(points))}
     for k in range(folds):
         inner = train.where(F.col("fold") != k)
         pre = fit_preprocessor(inner, nums, cats, scale=recipe.scale)
-        fit_on = _with_weights(pre.transform(inner), recipe).select(*columns).persist()
+        vectors = pre.transform(inner).select("features", "label").persist()
         held = pre.transform(train.where(F.col("fold") == k)).select("features", "label").persist()
-        for i, point in enumerate(points):
-            sums[i] += evaluator.evaluate(est.fit(fit_on, point).transform(held))
-        fit_on.unpersist(), held.unpersist()
-    means = [s / folds for s in sums]
-    names = [", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda t: t[0].name)) for m in points]
-    table = df.sparkSession.createDataFrame(list(zip(names, means)), "params string, mean_metric double")
-    best = points[max(range(len(points)), key=lambda i: (means[i], -i))]
-    tuned = replace(recipe, params={**recipe.params, **(overrides or {}), **{p.name: v for p, v in best.items()}})
+        n = vectors.count()
+        for w, rule in enumerate(rules):
+            own = replace(recipe, weight=rule)
+            fit_on = _with_weights(vectors, own)
+            for i, point in enumerate(points):
+                est = make_estimator(own, rule is not None, {**(overrides or {}), **_spark_params(point, n)})
+                sums[w, i] += evaluator.evaluate(est.fit(fit_on).transform(held))
+        vectors.unpersist(), held.unpersist()
+    described = lambda w, i: ", ".join(f"{k}={v}" for k, v in sorted(
+        {**points[i], **({"weight": rules[w]} if "weight" in grid else {})}.items()))
+    rows = [(described(w, i), total / folds) for (w, i), total in sums.items()]
+    table = df.sparkSession.createDataFrame(rows, "params string, mean_metric double")
+    w, i = max(sums, key=lambda key: (sums[key], -key[0], -key[1]))
+    params = _spark_params(points[i], train.count())
+    tuned = replace(recipe, weight=rules[w], params={**recipe.params, **(overrides or {}), **params})
     return table, train_evaluate(tuned, df, seed=seed)
 
 
+def _spark_params(point: dict, rows: int) -> dict:
+    """Parameters of a grid point; ``C`` (weight of the summed loss) becomes ``regParam`` (weight of the penalty next to
+    the mean loss)."""
+    return {k: v for k, v in point.items() if k != "C"} | ({"regParam": 1.0 / (point["C"] * rows)} if "C" in point else {})
+
+
+# The search grids of the reference (recipe, grid, folds, metric). Solvers that reach the same optimum and the
+# minimum of rows to split a node have no counterpart in Spark.
+_LR_GRID = {"C": [0.01, 0.1, 1.0, 10.0], "weight": [None, ("fixed", 2.0), ("fixed", 3.0)]}
+_RF_GRID = {"numTrees": [100, 200], "maxDepth": [10, 15, NO_LIMIT], "featureSubsetStrategy": ["sqrt", "log2"]}
+_GBT_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.8, 1.0],
+             "featureSubsetStrategy": ["0.8", "all"]}
+GRIDS = {
+    "tenure_lr": ("tenure_lr", _LR_GRID, 3, "f1"), "contacts_lr": ("contacts_lr", _LR_GRID, 3, "f1"),
+    "claims_rf": ("rf_claims", _RF_GRID, 3, "f1"), "tenure_rf": ("tenure_rf", _RF_GRID, 3, "f1"),
+    "contacts_rf": ("contacts_rf", _RF_GRID, 3, "f1"),
+    "balanced_rf": ("rf_balanced", {"numTrees": [100, 150, 200, 250, 300, 350, 400], "maxDepth": [10, 15, 20],
+                                    "minInstancesPerNode": [10, 20, 30], "featureSubsetStrategy": ["sqrt", "log2"]}, 5, "f1"),
+    "dummies_rf_f2": ("rf_dummies", {"numTrees": [100, 200], "maxDepth": [10, 15, NO_LIMIT],
+                                     "weight": [("fixed", 3.0), ("fixed", 5.0)]}, 5, "f2"),
+    "lockin_gbt": ("lockin_2", {"maxIter": [200, 300], "stepSize": [0.03, 0.05], "maxDepth": [4, 5, 6],
+                                "weight": [("ratio", 1.5), ("ratio", 2.0), ("ratio", 2.5)]}, 3, "f1"),
+    "tenure_gbt": ("tenure_gbt", _GBT_GRID, 3, "f1"), "contacts_gbt": ("contacts_gbt", _GBT_GRID, 3, "f1"),
+}
+
+
 def stacking(df: DataFrame, base: Sequence[Recipe], folds: int = 3, threshold: tuple = ("fixed", 0.5),
              seed: int = 42) -> TrainResult:
     """Out-of-fold probabilities of the base models (fold = hash of the key), then a balanced logistic meta-model on

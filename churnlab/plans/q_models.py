@@ -188,27 +188,27 @@ def q_a40(spark, d):
     return shape.crossJoin(F.broadcast(fitted))
 
 
-LR_GRID = {"regParam": [0.0, 0.001, 0.01, 0.1, 1.0, 10.0], "elasticNetParam": [0.0, 1.0], "standardization": [True, False]}
+def _grid(spark, d, name: str, points: dict | None = None):
+    recipe, grid, folds, metric = ml.GRIDS[name]
+    return ml.record_check(ml.cross_validate(ml.RECIPES[recipe], policyholders(spark, d), {**grid, **(points or {})}, folds, metric)[1])
 
 
 @register("l25_cv_lr_grid", _check_sql(0.25))
 def q_l25(spark, d):
-    """Grid of 24 points x 3 folds scored by F1 on the training part; the best point is refitted and tested."""
-    return ml.record_check(ml.cross_validate(ml.RECIPES["tenure_lr"], policyholders(spark, d), LR_GRID, folds=3)[1])
+    """All points of the grid, 3 folds, F1 on the training part; the best point is refitted and tested."""
+    return _grid(spark, d, "tenure_lr")
 
 
 @register("l26_cv_rf_grid", _check_sql(0.2))
 def q_l26(spark, d):
-    """A slice of the forest grid (``scripts/tune.py`` runs all of it), F1, 3 folds, refit and test."""
-    return ml.record_check(ml.cross_validate(ml.RECIPES["rf_claims"], policyholders(spark, d),
-                                             {"maxDepth": [10, 15], "featureSubsetStrategy": ["sqrt"]}, folds=3)[1])
+    """One side of the forest grid (``scripts/tune.py claims_rf`` runs all of it), F1, 3 folds, refit and test."""
+    return _grid(spark, d, "claims_rf", {"numTrees": [100], "featureSubsetStrategy": ["sqrt"]})
 
 
 @register("l28_cv_rf_f2", _check_sql(0.2))
 def q_l28(spark, d):
-    """The F2 scorer, 5 folds, on a slice of the grid."""
-    return ml.record_check(ml.cross_validate(ml.RECIPES["rf_balanced"], policyholders(spark, d), {"maxDepth": [5, 10]},
-                                             folds=5, metric="f2")[1])
+    """The F2 scorer, 5 folds, one side of the grid (``scripts/tune.py dummies_rf_f2`` runs all of it)."""
+    return _grid(spark, d, "dummies_rf_f2", {"numTrees": [100], "maxDepth": [10]})
 
 
 @register("l21_gbt_ratio_record", _check_sql(0.2))
