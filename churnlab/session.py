@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +57,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not (master == "local" or master.startswith("local[")):
         raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="churnlab-ckpt-", dir="/tmp")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(path)
     return path
 
@@ -73,15 +77,25 @@ def materialize(df: DataFrame) -> DataFrame:
     survives executor loss and cuts the lineage, and in addition later queries
     get column pruning (ReadSchema), pushed filters and file statistics for AQE.
     """
-    import uuid
-
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/churnlab-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _TABLES.append(path)
     return spark.read.parquet(path)
 
 
+_TABLES: list[str] = []
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete the tables that ``materialize`` has written. For the end of a job: frames that read them stop working."""
+    jvm = spark._jvm
+    while _TABLES:
+        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def input_version(spark: SparkSession, folder: str) -> int:
     """Hash of names, sizes and times of the files below a folder of tables: new files make a new version."""
     jvm = spark._jvm
