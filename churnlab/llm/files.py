@@ -20,7 +20,11 @@ READ_BYTES = 4 << 20
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
+    """Spark's names of a folder in pyarrow's terms: ``s3a`` and ``s3n`` are S3, a path without a scheme is local."""
+    scheme, _, rest = uri.partition("://")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3://{rest}"
+    return pafs.FileSystem.from_uri(uri) if rest or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
 def new_file(folder: str, suffix: str) -> tuple[str, object]:

