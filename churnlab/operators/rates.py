@@ -80,16 +80,19 @@ def pivot_rate(df: DataFrame, row_key: str, col_key: str, values: Sequence, labe
     return p.select(row_key, *[F.round(F.col(str(v)) * scale, digits).alias(str(v)) for v in values])
 
 
-def summary_union(parts: Sequence[tuple[str, DataFrame]]) -> DataFrame:
-    """Stack per-section rate tables into one long table (section, group_key)."""
-    out = None
-    for section, part in parts:
-        keys = [c for c in part.columns if c not in ("customers", "churned", "churn_rate")]
-        key_str = F.concat_ws(" / ", *[F.col(k).cast("string") for k in keys])
-        p = part.select(F.lit(section).alias("section"), key_str.alias("group_key"),
-                        "customers", "churned", "churn_rate")
-        out = p if out is None else out.unionByName(p)
-    return out
+def stacked_rates(df: DataFrame, sections: Sequence[tuple[str, Sequence[Column]]], label: str = LABEL) -> DataFrame:
+    """The rate tables of several sections as one long table (section, group_key), from one scan: every row
+    yields its key of each section, and the counts combine map-side. A key with a null part drops out of its section."""
+    made = []
+    for section, keys in sections:
+        known = F.lit(True)
+        for k in keys:
+            known = known & k.isNotNull()
+        key = F.when(known, F.concat_ws(" / ", *[k.cast("string") for k in keys]))
+        made.append(F.struct(F.lit(section).alias("section"), key.alias("group_key")))
+    long = df.select(F.explode(F.array(*made)).alias("s"), F.col(label).alias("_y")).where(F.col("s.group_key").isNotNull())
+    return long.groupBy("s.section", "s.group_key").agg(
+        F.count("*").alias("customers"), F.sum("_y").cast("long").alias("churned"), F.round(F.avg("_y"), 6).alias("churn_rate"))
 
 
 def tenure_window_rates(df: DataFrame) -> DataFrame:

@@ -84,13 +84,10 @@ def q_a05(spark, d):
     return rates.pivot_rate(df, "policy_type", "lbl", _INC, scale=100.0, digits=2)
 
 
-def _a06_parts(df):
-    return [
-        ("premium_increase", rates.rate(df, [fx.premium_increased_label().alias("k")])),
-        ("premium_change_bin", rates.rate(df, [fx.premium_change_bin().alias("k")])),
-        ("price_increases", rates.rate(df, ["num_price_increases_last_3y"])),
-        ("policy_x_increase", rates.rate(df, ["policy_type", fx.premium_increased_label().alias("k")])),
-    ]
+def _a06_sections():
+    label = fx.premium_increased_label()
+    return [("premium_increase", [label]), ("premium_change_bin", [fx.premium_change_bin()]),
+            ("price_increases", [F.col("num_price_increases_last_3y")]), ("policy_x_increase", [F.col("policy_type"), label])]
 
 
 def _a06_sql():
@@ -108,7 +105,7 @@ def _a06_sql():
 
 @register("a06_premium_summary", with_ctes(_a06_sql()))
 def q_a06(spark, d):
-    return rates.summary_union(_a06_parts(PH(spark, d)))
+    return rates.stacked_rates(PH(spark, d), _a06_sections())
 
 
 simple_rate("a07_rate_by_age_band", "age_band")

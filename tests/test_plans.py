@@ -33,5 +33,6 @@ def test_percentiles_need_no_range_sort_or_checkpoint(spark, name):
     assert "rangepartitioning" not in text and "ExistingRDD" not in text
 
 
-def test_checks_share_one_scan(spark):
-    assert plan(QS["d_all_checks"](spark, SF)).split("== Initial Plan ==")[0].count("FileScan") == 1
+@pytest.mark.parametrize("name", ["d_all_checks", "a06_premium_summary", "n16_engineered_means_combined"])
+def test_one_scan(spark, name):
+    assert plan(QS[name](spark, SF)).split("== Initial Plan ==")[0].count("FileScan") == 1
