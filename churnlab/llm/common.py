@@ -8,7 +8,7 @@ limit (or one document, if that is larger), not the batch or the partition.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,9 @@ from churnlab.sources.tables import table_path
 
 #: Bytes of text that a task turns into numpy arrays at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of an Arrow batch between Spark and a Python worker.
+BATCH_BYTES = 8 << 20
+_BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +34,15 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+    """``mapInArrow`` whose batches hold at most ``BATCH_BYTES`` (Spark's default is 64 MB, once in the JVM and once in
+    Python for every task). A session that has another bound than the default keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_CONF, "") in ("", _BATCH_DEFAULT):
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df.mapInArrow(fn, schema)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut ``batch`` so that each part holds about ``limit`` bytes of ``column`` (one row at least)."""
     if batch.num_rows == 0:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import ragged, slices, utf8
+from churnlab.llm.common import map_arrow, ragged, slices, utf8
 
 #: Characters of a q-gram.
 Q = 12
@@ -263,7 +263,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                              *[pa.array(c, pa.int64()) for c in (doc_start, item_start, [int(index.passage[k]) for k in i], edits)]],
                             ["id", "item", "doc_start", "item_start", "length", "edits"])
 
-        block = given.mapInArrow(run, schema)
+        block = map_arrow(given, run, schema)
         found = block if found is None else found.unionByName(block)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
@@ -287,5 +287,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
                         clean[row[0]] = False
                     yield part.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_arrow(docs, run, docs.schema)
     return docs

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import materialize
+from churnlab.llm.common import map_arrow, materialize
 from churnlab.llm.components import component_roots
 
 #: Reference vectors (at most 128: two mask words), how many describe a vector, how many a pair must share.
@@ -70,7 +70,7 @@ def vector_table(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
                                              ["id", "digest", "dim", "vec"])
 
     given = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    return given.mapInArrow(run, "id long, digest binary, dim int, vec binary")
+    return map_arrow(given, run, "id long, digest binary, dim int, vec binary")
 
 
 def describe(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -95,7 +95,7 @@ def describe(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
                                               *[pa.array(bits[:, w].copy().view(np.int64)) for w in (0, 1)], lists],
                                              ["rep", "n", "vec", "m0", "m1", "keys"])
 
-    return classes.mapInArrow(run, "rep long, n long, vec binary, m0 long, m1 long, keys array<long>")
+    return map_arrow(classes, run, "rep long, n long, vec binary, m0 long, m1 long, keys array<long>")
 
 
 def _key_masks(keys: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,7 +189,7 @@ def _verify(units: DataFrame, threshold: float, shared: int) -> DataFrame:
         if held is not None:
             yield links(held)
 
-    return units.mapInArrow(run, "a long, b long, w long")
+    return map_arrow(units, run, "a long, b long, w long")
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
@@ -260,6 +260,6 @@ def recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vec_co
                     x = unit(batch.column("vec").to_pylist())
                     yield pa.RecordBatch.from_arrays([pa.array([int((x @ q.T >= threshold).sum())])], ["n"])
 
-        total += (table.select("vec").mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0) - len(q)
+        total += (map_arrow(table.select("vec"), count, "n long").agg(F.sum("n")).first()[0] or 0) - len(q)
     found = result.where(F.col(id_col) % every == 0).agg(F.sum("n_links")).first()[0] or 0
     return found / total if total else 1.0

@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from churnlab.llm.common import slices, utf8
+from churnlab.llm.common import map_arrow, slices, utf8
 
 #: Lengths of the n-grams in bytes of the padded, lower-cased text.
 ORDERS = (3, 5)
@@ -130,7 +130,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                             [pa.array(np.full(len(code), lang, np.int32)), pa.array(np.full(len(code), order, np.int32)),
                              pa.array(code.view(np.int64)), pa.array(n)], ["k", "o", "code", "n"])
 
-    grams = sample.mapInArrow(run, "k int, o int, code long, n long").groupBy("k", "o", "code").agg(F.sum("n").alias("n"))
+    grams = map_arrow(sample, run, "k int, o int, code long, n long").groupBy("k", "o", "code").agg(F.sum("n").alias("n"))
     grams = grams.where(~F.col("code").isin([int("20" * order, 16) for order in ORDERS]))  # white space alone
     total = grams.groupBy("k", "o").agg(F.sum("n").alias("total"))
     rate = grams.join(F.broadcast(total), ["k", "o"]).withColumn("rate", F.col("n") / F.col("total"))  # at most 64 x 2 rows
@@ -156,19 +156,23 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
     every text if nothing was learned. Ties go to the language that sorts
     first; null ids and repeated rows are returned as given.
     """
-    fields = [docs.schema[id_col], *[docs.schema[c] for c in keep]]
-    given = docs.select(*[F.col(f.name).alias(f"c{i}") for i, f in enumerate(fields)], F.col(text_col).alias("text"))
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)) + ", lang_pred string, score double"
+    columns = [id_col, *keep]
+    if text_col not in columns:
+        columns.append(text_col)  # a text that is kept travels once
+    names = [f"c{i}" for i in range(len(columns))]
+    out_names, text_name = names[: 1 + len(keep)], names[columns.index(text_col)]
+    given = docs.select(*[F.col(c).alias(n) for c, n in zip(columns, names)])
+    schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip([id_col, *keep], out_names))
+    schema += ", lang_pred string, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array([*filters.languages, UNKNOWN], object)
+        labels = np.array([*filters.languages, UNKNOWN], object)
         for batch in batches:
-            for part in slices(batch, "text"):
-                column = part.column("text")
+            for part in slices(batch, text_name):
+                column = part.column(text_name)
                 data, at = padded(column)
                 letters = np.concatenate(([0], np.cumsum((data >= 97) & (data <= 122))))
-                ascii_letters = letters[at[1:]] - letters[at[:-1]]
-                has = ascii_letters > 0
+                has = letters[at[1:]] > letters[at[:-1]]
                 for i in np.flatnonzero(~has):  # no a-z: look at the other letters
                     has[i] = any(map(str.isalpha, column[i].as_py() or ""))
                 best = np.full(len(has), len(filters.languages))
@@ -178,8 +182,8 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
                     best = np.where(has, votes.argmax(1), best)
                     score = np.where(has, votes.max(1) / np.maximum(grams, 1), 0.0)
                 yield pa.RecordBatch.from_arrays(
-                    [*[part.column(f"c{i}") for i in range(len(fields))], pa.array(names[best].tolist(), pa.string()),
-                     pa.array(np.clip(score, 0.0, 1.0))], [f"c{i}" for i in range(len(fields))] + ["lang_pred", "score"])
+                    [*[part.column(n) for n in out_names], pa.array(labels[best].tolist(), pa.string()),
+                     pa.array(np.clip(score, 0.0, 1.0))], [*out_names, "lang_pred", "score"])
 
-    out = given.mapInArrow(run, schema)
-    return out.select(*[F.col(f"c{i}").alias(f.name) for i, f in enumerate(fields)], "lang_pred", "score")
+    out = map_arrow(given, run, schema)
+    return out.select(*[F.col(n).alias(c) for c, n in zip([id_col, *keep], out_names)], "lang_pred", "score")

@@ -17,7 +17,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import slices, texts
+from churnlab.llm.common import map_arrow, slices, texts
 
 # The base phrases of the contract.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -209,5 +209,5 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*rows), types)]], names)
 
-    found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    found = map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), run, schema)
     return found.withColumnRenamed("doc_id", id_col)

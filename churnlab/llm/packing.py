@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from churnlab.llm.common import materialize, slices, texts
+from churnlab.llm.common import map_arrow, materialize, slices, texts
 from churnlab.llm.tokens import encoder, tokenizer_path
 
 #: Columns of the fit: patterns that leave at most this many places empty.
@@ -201,7 +201,7 @@ def document_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str,
                                                  ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return given.mapInArrow(run, PIECES.format(id=given.schema["doc_id"].dataType.simpleString()))
+    return map_arrow(given, run, PIECES.format(id=given.schema["doc_id"].dataType.simpleString()))
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id",
@@ -230,5 +230,4 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str
                                              ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return pieces.join(base.drop("n"), ["task", "length"]).mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return map_arrow(pieces.join(base.drop("n"), ["task", "length"]), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from churnlab.llm import files
-from churnlab.llm.common import materialize, shared_folder, slices, texts
+from churnlab.llm.common import map_arrow, materialize, shared_folder, slices, texts
 from churnlab.llm.tokens import encoder, tokenizer_path
 
 _HEAD = struct.Struct("<QI")
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, end_id: int = 0, tokenizer: str | None =
 
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
-    return folder, materialize(ordered.mapInArrow(run, INDEX))
+    return folder, materialize(map_arrow(ordered, run, INDEX))
 
 
 def with_global_start(index: DataFrame) -> DataFrame:
@@ -160,4 +160,4 @@ def read_token_files(folder: str, index: DataFrame, keep: tuple[str, ...] = ())
     chunk = F.floor(F.col("offset") / CHUNK_BYTES).alias("chunk")
     picked = (index.select("file", "offset", "length", *keep, chunk).repartition("file", "chunk")
               .sortWithinPartitions("file", "offset").drop("chunk"))
-    return picked.mapInArrow(run, schema)
+    return map_arrow(picked, run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import materialize, slices, texts
+from churnlab.llm.common import map_arrow, materialize, slices, texts
 from churnlab.llm.components import component_roots
 
 #: Fingerprints that one key may hold before it is cut into finer keys.
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     from pyspark.sql.types import LongType, StructField, StructType
 
     schema = StructType([StructField("id", kind), StructField("fingerprint", LongType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return map_arrow(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
 def block_masks(blocks: int, max_bits: int, bits: int = 64) -> list[int]:
@@ -155,7 +155,7 @@ def _list_links(lists: DataFrame, max_bits: int) -> DataFrame:
             pair = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    return lists.mapInArrow(run, "a long, b long")
+    return map_arrow(lists, run, "a long, b long")
 
 
 def fingerprint_links(prints: DataFrame, max_bits: int = 3) -> DataFrame:

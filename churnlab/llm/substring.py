@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import slices, utf8
+from churnlab.llm.common import map_arrow, slices, utf8
 
 #: Bytes that the rolling hash covers, and how far a cut must be the least on either side (powers of two, the first not
 #: the larger one).
@@ -116,7 +116,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                                  ["id", "d0", "d1", "at", "length", "words"])
 
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    return given.mapInArrow(run, CHUNKS.format(id=docs.schema[id_col].dataType.simpleString()))
+    return map_arrow(given, run, CHUNKS.format(id=docs.schema[id_col].dataType.simpleString()))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -150,7 +150,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *[pa.array(c, pa.int64()) for c in (start, length, words)], pa.array(first, id_type)],
                                                  ["id", "start", "length", "words", "first_id"])
 
-    return per_doc.mapInArrow(run, schema).withColumnsRenamed({"id": id_col})
+    return map_arrow(per_doc, run, schema).withColumnsRenamed({"id": id_col})
 
 
 def passages(at: np.ndarray, length: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> list[tuple]:
@@ -195,4 +195,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = docs.join(per_doc, docs[id_col] == per_doc[f"{mark}_id"], "left").select(*names, mark)
-    return joined.mapInArrow(run, docs.schema)
+    return map_arrow(joined, run, docs.schema)

@@ -19,7 +19,7 @@ import numpy as np
 from churnlab.llm.common import ragged
 
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
-MAX_PIECES = 1_000_000
+MAX_PIECES = 750_000
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = 512
 

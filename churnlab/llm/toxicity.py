@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import materialize, slices, texts
+from churnlab.llm.common import map_arrow, materialize, slices, texts
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
 
@@ -192,7 +192,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
                         yield flush()
         yield flush()
 
-    rows = labelled.select("text", "toxic").mapInArrow(run, "unit string, context long, uses long")
+    rows = map_arrow(labelled.select("text", "toxic"), run, "unit string, context long, uses long")
     per_context = rows.groupBy("unit", "context").agg(F.sum("uses").alias("uses"))
     units = materialize(per_context.groupBy("unit").agg(F.count("context").alias("t"), F.sum("uses").alias("c")))
     words = ~F.col("unit").endswith("-")
@@ -243,7 +243,7 @@ def raw_scores(docs: DataFrame, insults: dict[str, float], keep: list[str]) -> D
                      pa.array([n for _, n in rows], pa.int64())], [*names, "raw", "words"])
 
     given = docs.select(*[F.col(f.name).alias(n) for n, f in zip(names, fields)], "text")
-    out = given.mapInArrow(run, schema)
+    out = map_arrow(given, run, schema)
     return out.select(*[F.col(n).alias(f.name) for n, f in zip(names, fields)], "raw", "words")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from churnlab.llm import files
-from churnlab.llm.common import materialize, shared_folder, slices
+from churnlab.llm.common import map_arrow, materialize, shared_folder, slices
 
 VERSION = b"WARC/1.1"
 #: Fixed instant of the records: archives of equal tables are equal, byte for byte.
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
 
     joined = known.join(types, "page_id").select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
-    index = materialize(joined.mapInArrow(run, INDEX))
+    index = materialize(map_arrow(joined, run, INDEX))
     total, different = index.agg(F.count("*"), F.count_distinct("page_id")).first()
     if total != different:
         raise ValueError("page ids must be unique")
@@ -162,4 +162,4 @@ def read_archives(folder: str, index: DataFrame, payloads: bool = False) -> Data
 
     picked = (index.select("file", "offset", "length", F.floor(F.col("offset") / CHUNK_BYTES).alias("chunk"))
               .repartition("file", "chunk").sortWithinPartitions("file", "offset").drop("chunk"))
-    return picked.mapInArrow(run, schema)
+    return map_arrow(picked, run, schema)
