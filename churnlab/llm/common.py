@@ -38,7 +38,7 @@ def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
     """``mapInArrow`` whose batches hold at most ``BATCH_BYTES`` (Spark's default is 64 MB, once in the JVM and once in
     Python for every task). A session that has another bound than the default keeps it."""
     conf = df.sparkSession.conf
-    if conf.get(_BATCH_CONF, "") in ("", _BATCH_DEFAULT):
+    if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
     return df.mapInArrow(fn, schema)
 
