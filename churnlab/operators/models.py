@@ -451,36 +451,58 @@ def permutation_importance(result: TrainResult, test: DataFrame, columns: Sequen
     Rows are numbered once in a seeded hash order (range-partitioned numbering,
     no single-task window). A shuffle is the bijection r -> (a*r + b) mod n with
     gcd(a, n) = 1, so every value moves to exactly one other row by an equi-join
-    on the row number (no collect); each (column, repeat) uses its own (a, b).
+    on the row number; each (column, repeat) uses its own (a, b). All shuffles
+    go through one join, one transform and one grouped average precision: the
+    test part times the list of shuffles, whose length is fixed by the arguments.
     """
     import math
     import random
 
     from churnlab.operators.ranking import global_row_number
+
     h = F.md5(F.concat(F.col("customer_id"), F.lit(f"|{seed}")))
-    numbered = global_row_number(test.withColumn("_h", h), [F.col("_h"), F.col("customer_id")], "_r").drop("_h")
+    numbered = materialize(global_row_number(test.withColumn("_h", h), [F.col("_h"), F.col("customer_id")], "_r").drop("_h"))
     n = numbered.count()
-    base_ap = ev.auc_scores(probability(result.model, numbered)).first()["pr_auc"]
-    rng = random.Random(seed)
-    rows = []
+    rng, plans = random.Random(seed), []
     for c in columns:
-        drops = []
         for _ in range(repeats):
             a = rng.randrange(1, max(n, 2))
             while math.gcd(a, n) != 1:
                 a = rng.randrange(1, max(n, 2))
-            b = rng.randrange(0, max(n, 1))
-            # Decimal product: a * r exceeds a long beyond some three billion rows.
-            target = ((F.lit(a).cast("decimal(19,0)") * (F.col("_r") - 1).cast("decimal(19,0)") + F.lit(b)) % F.lit(n)
-                      ).cast("long") + 1
-            moved = numbered.select(target.alias("_r"), F.col(c).alias("_shuffled"))
-            shuffled = numbered.join(moved, "_r").withColumn(c, F.col("_shuffled")).drop("_shuffled")
-            ap = ev.auc_scores(probability(result.model, shuffled)).first()["pr_auc"]
-            drops.append(base_ap - ap)
-        rows.append((c, float(sum(drops) / len(drops))))
+            plans.append((len(plans), c, a, rng.randrange(0, max(n, 1))))
     spark = test.sparkSession
-    return spark.createDataFrame(rows, "feature string, importance_mean double").withColumn(
-        "rank", F.row_number().over(Window.orderBy(F.col("importance_mean").desc(), "feature")))
+    shuffles = spark.createDataFrame(plans, "_g int, _c string, _a long, _b long")
+    # Decimal product: a * r exceeds a long beyond some three billion rows.
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
+    target = ((wide("_a") * (wide("_r") - 1) + wide("_b")) % F.lit(n)).cast("long") + 1
+    moved = numbered.select(F.col("_r").alias("_t"), F.struct(*columns).alias("_s"))
+    fan = numbered.crossJoin(F.broadcast(shuffles)).withColumn("_t", target).join(moved, "_t")
+    fan = fan.withColumns({c: F.when(F.col("_c") == c, F.col(f"_s.{c}")).otherwise(F.col(c)) for c in columns})
+    ap = grouped_average_precision(probability(result.model, fan, keep=("_g", "label")), "_g")
+    base = average_precision(result, numbered)
+    drops = shuffles.join(ap, "_g").groupBy(F.col("_c").alias("feature")).agg(
+        F.avg(F.lit(base) - F.col("ap")).alias("importance_mean"))
+    return drops.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance_mean").desc(), "feature")))
+
+
+def average_precision(result: TrainResult, rows: DataFrame) -> float:
+    scored = probability(result.model, rows).withColumn("_g", F.lit(0))
+    return float(grouped_average_precision(scored, "_g").first()["ap"])
+
+
+def grouped_average_precision(scored: DataFrame, group: str) -> DataFrame:
+    """(group, ap) from (group, label, score): sum over scores of (pos / P) * tp / (tp + fp).
+
+    Positives and negatives are counted per (group, score), and one range-partitioned running sum over all groups gives
+    the cumulative counts; what the groups before a group hold (one row per group) is taken off."""
+    from churnlab.operators.ranking import prefix_sums
+
+    counts = scored.groupBy(group, "score").agg(F.sum("label").cast("long").alias("pos"), F.count("*").alias("n"))
+    running = prefix_sums(counts, [F.col(group), F.col("score").desc()], ["pos", "n"])
+    totals = running.groupBy(group).agg(F.sum("pos").alias("P"), F.min(F.col("cum_pos") - F.col("pos")).alias("pos0"),
+                                        F.min(F.col("cum_n") - F.col("n")).alias("n0"))
+    term = F.col("pos") / F.col("P") * ((F.col("cum_pos") - F.col("pos0")) / (F.col("cum_n") - F.col("n0")))
+    return running.join(F.broadcast(totals), group).groupBy(group).agg(F.sum(term).alias("ap"))
 
 
 def logistic_trend(df: DataFrame, column: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from churnlab.functions import features as fx
+from churnlab.operators import clean
 from churnlab.operators import evaluate as ev
 from churnlab.operators import models as ml
 from churnlab.operators import prep
@@ -266,6 +267,16 @@ def q_ev16(spark, d):
     return _importance_check(spark, d, fx.ENGINEERED_FEATURES)
 
 
+@register("ev15_permutation_importance_all", with_ctes(
+    "SELECT count(*) AS features, count(*) AS last_rank, CAST(0 AS BIGINT) AS bad_values FROM (SELECT unnest(['"
+    + "', '".join(c for c in io.POLICYHOLDER_SCHEMA.names if c not in [*clean.LEAKAGE_COLUMNS, clean.LABEL])
+    + "', '" + "', '".join(fx.ENGINEERED_FEATURES) + "']) AS f) CROSS JOIN (SELECT count(*) FROM policyholders)"))
+def q_ev15(spark, d):
+    """EV15: all features of the main model, 5 repeats."""
+    _, nums, cats = ml.labelled_frame(ml.RECIPES["main"], policyholders(spark, d))
+    return _importance_check(spark, d, [*nums, *cats])
+
+
 @register("r06_model_scored_table", with_ctes(
     "SELECT count(*) AS customers, CAST(0 AS BIGINT) AS bad_class, CAST(0 AS BIGINT) AS bad_tier, CAST(0 AS BIGINT) AS bad_label,"
     " true AS ranks_are_complete FROM policyholders"))

@@ -75,6 +75,17 @@ def test_cross_validation_never_sees_the_test_part(ph, monkeypatch):
     assert plain.collect() == moved.collect()
 
 
+def test_permutation_importance_in_one_pass(ph):
+    """A column that the model doesn't use has no importance; grouped average precision equals the plain one."""
+    from churnlab.operators import evaluate as ev
+    res = ml.train_evaluate(ml.RECIPES["tenure_lr"], ph, {"maxIter": 20})
+    x, _, _ = ml.labelled_frame(ml.RECIPES["tenure_lr"], ph)
+    got = {r.feature: r for r in ml.permutation_importance(res, x, ["late_payment_count_12m", "autopay_enabled", "region_name"], 3).collect()}
+    assert got["autopay_enabled"].importance_mean == got["region_name"].importance_mean == 0.0
+    assert got["late_payment_count_12m"].importance_mean > 0 and got["late_payment_count_12m"].rank == 1
+    assert abs(ml.average_precision(res, x) - ev.auc_scores(ml.probability(res.model, x)).first().pr_auc) < 1e-6
+
+
 def test_early_stopping_keeps_the_best_round(ph):
     res = ml.early_stopping(ph, ml.RECIPES["gbt_ratio"], most=12, patience=3)
     assert 1 <= res.model.stages[-1].getNumTrees <= 12
