@@ -19,7 +19,7 @@ from churnlab.session import ensure_checkpoint_dir, materialize  # noqa: F401 -
 from churnlab.sources.tables import table_path
 
 #: Bytes of text that a task turns into numpy arrays at once.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes of an Arrow batch between Spark and a Python worker.
 BATCH_BYTES = 8 << 20
 _BATCH_CONF, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
@@ -34,13 +34,31 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def map_arrow(df: DataFrame, fn: Callable, schema) -> DataFrame:
+#: What Python workers keep from task to task, by name: a function that empties it.
+WORKER_CACHES: dict[str, Callable[[], None]] = {}
+
+
+def map_arrow(df: DataFrame, fn: Callable, schema, cache: str = "") -> DataFrame:
     """``mapInArrow`` whose batches hold at most ``BATCH_BYTES`` (Spark's default is 64 MB, once in the JVM and once in
-    Python for every task). A session that has another bound than the default keeps it."""
+    Python for every task). A session that has another bound than the default keeps it.
+
+    Workers live on from one operator to the next. A task empties all caches but the one that it names, so memory
+    follows the operator at work.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches(cache)
+        yield from fn(batches)
+
     conf = df.sparkSession.conf
     if conf.get(_BATCH_CONF) == _BATCH_DEFAULT:
         conf.set(_BATCH_CONF, str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
+
+
+def release_caches(keep: str = "") -> None:
+    for name, empty in WORKER_CACHES.items():
+        if name != keep:
+            empty()
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

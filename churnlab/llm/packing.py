@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from churnlab.llm.common import map_arrow, materialize, slices, texts
-from churnlab.llm.tokens import encoder, tokenizer_path
+from churnlab.llm.tokens import TEXT_BYTES, encoder, tokenizer_path
 
 #: Columns of the fit: patterns that leave at most this many places empty.
 SLACK = 0
@@ -187,7 +187,7 @@ def document_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, task, seen = encoder(tokenizer), TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", TEXT_BYTES):
                 ids, counts = enc.encode(texts(part.column("text")))
                 ends, rows, row_of = np.cumsum(counts), [], []
                 for i, (a, b) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
@@ -201,7 +201,7 @@ def document_pieces(docs: DataFrame, capacity: int, end_id: int, tokenizer: str,
                                                  ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
 
     given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return map_arrow(given, run, PIECES.format(id=given.schema["doc_id"].dataType.simpleString()))
+    return map_arrow(given, run, PIECES.format(id=given.schema["doc_id"].dataType.simpleString()), cache="tokens")
 
 
 def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, tokenizer: str | None = None, id_col: str = "doc_id",

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from churnlab.llm import files
 from churnlab.llm.common import map_arrow, materialize, shared_folder, slices, texts
-from churnlab.llm.tokens import encoder, tokenizer_path
+from churnlab.llm.tokens import TEXT_BYTES, encoder, tokenizer_path
 
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
@@ -92,7 +92,7 @@ def write_token_files(docs: DataFrame, end_id: int = 0, tokenizer: str | None =
         name, out, at, ordinal, before = "", None, 0, 0, 0
         try:
             for batch in batches:
-                for part in slices(batch, "text"):
+                for part in slices(batch, "text", TEXT_BYTES):
                     ids, counts = enc.encode(texts(part.column("text")))
                     ends = np.cumsum(counts)
                     rows = []
@@ -114,7 +114,7 @@ def write_token_files(docs: DataFrame, end_id: int = 0, tokenizer: str | None =
 
     ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
                .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
-    return folder, materialize(map_arrow(ordered, run, INDEX))
+    return folder, materialize(map_arrow(ordered, run, INDEX, cache="tokens"))
 
 
 def with_global_start(index: DataFrame) -> DataFrame:

@@ -16,10 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 
-from churnlab.llm.common import ragged
+from churnlab.llm.common import WORKER_CACHES, ragged
 
 #: Distinct pieces that a worker keeps; beyond that it starts afresh.
 MAX_PIECES = 750_000
+#: Bytes of text that are encoded at once.
+TEXT_BYTES = 2 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
 _JOINED = 512
 
@@ -128,5 +130,8 @@ class Encoder:
 
 @lru_cache(maxsize=4)
 def encoder(path: str, split: bool = True) -> Encoder:
-    """The worker's encoder for a tokenizer file (kept between tasks of a reused worker)."""
+    """The worker's encoder for a tokenizer file (kept between tasks that name the cache ``tokens``)."""
     return Encoder(path, split)
+
+
+WORKER_CACHES["tokens"] = encoder.cache_clear
