@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.session import cut_lineage
+from churnlab.session import cut_lineage, materialize
 
 _PID = "_rk_pid"
 _MID = "_rk_mid"
@@ -149,63 +149,47 @@ def exact_percentiles(df: DataFrame, columns: Sequence[str], probs: Sequence[flo
     """Exact, linearly interpolated percentiles (``percentile`` semantics: position
     ``p * (n - 1)``) without sorting the data or holding a group's values in one buffer.
 
-    Scan 1 sketches all columns at once and asks for the values two sketch errors below and above every position, a
-    bracket that is sure to hold both neighbouring ranks. Scan 2 counts the rows below each bracket, scan 3 the distinct
-    values inside (about 0.2% of the rows; equal values combine map-side). The ranks are then picked from these counts.
-    Nulls are skipped; rows whose group key is null are dropped. Output: one row per (group..., column) with
-    ``q0, q1, ...`` for ``probs`` in order, and ``n``.
+    Scan 1 sketches every (group, column) and asks for the values two sketch errors below and above every position, a
+    bracket that is sure to hold both neighbouring ranks. The brackets (one row per group and column) are written, so
+    Spark knows their size when it joins them. Scan 2 counts the rows below each bracket and the distinct values inside
+    (about 0.2% of the rows; equal values combine map-side), and the ranks are picked from these counts. Values are
+    unpivoted inside the tasks; only counts are shuffled. Nulls are skipped; rows whose group key is null are dropped.
+    Output: one row per (group..., column) with ``q0, q1, ...`` for ``probs`` in order, and ``n``.
     """
     keys = [f"_g{i}" for i in range(len(group_cols))]
-    cells = [f"_v{j}" for j in range(len(columns))]
-    data = df.select(*[F.col(g).alias(k) for g, k in zip(group_cols, keys)],
-                     *[F.col(c).cast("double").alias(v) for c, v in zip(columns, cells)])
-    for k in keys:
-        data = data.where(F.col(k).isNotNull())
+    by = [*keys, "j"]
+    cells = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("v")) for j, c in enumerate(columns)]))
+    long = df.select(*[F.col(g).alias(k) for g, k in zip(group_cols, keys)], cells.alias("s")).select(*keys, "s.*")
+    for k in [*keys, "v"]:
+        long = long.where(F.col(k).isNotNull())
     edges = [min(1.0, max(0.0, p + side * 2 / SKETCH)) for p in probs for side in (-1, 1)]
-    spots = [(j, i) for j in range(len(columns)) for i in range(len(probs))]
-
-    sketch = data.groupBy(*keys).agg(*[a for v in cells for a in (
-        F.count(v).alias(f"n{v}"), F.min(v).alias(f"min{v}"), F.max(v).alias(f"max{v}"),
-        F.percentile_approx(v, edges, SKETCH).alias(f"e{v}"))])
-    bounds = []
-    for j, i in spots:
-        v = cells[j]
-        whole = F.col(f"n{v}") < SMALL_GROUP
-        bounds += [F.when(whole, F.col(f"min{v}")).otherwise(F.col(f"e{v}")[2 * i]).alias(f"lo{j}_{i}"),
-                   F.when(whole, F.col(f"max{v}")).otherwise(F.col(f"e{v}")[2 * i + 1]).alias(f"hi{j}_{i}")]
-    brackets = sketch.select(*keys, *[f"n{v}" for v in cells], *bounds)
-    placed = data.join(brackets, keys) if keys else data.crossJoin(F.broadcast(brackets))  # one row without groups
-
-    below = placed.groupBy(*keys).agg(*[F.first(f"n{v}").alias(f"n{v}") for v in cells],
-                                      *[F.count_if(F.col(cells[j]) < F.col(f"lo{j}_{i}")).alias(f"b{j}_{i}") for j, i in spots])
-    spot = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.col(f"n{cells[j]}").alias("n"),
-                                        F.col(f"b{j}_{i}").alias("below")) for j, i in spots])).alias("s")
-    # A group taken whole has one bracket for all its positions, kept under position 0.
-    wanted = below.select(*keys, spot).select(*keys, "s.*").where("n > 0").withColumn(
-        "kept", F.when(F.col("n") < SMALL_GROUP, 0).otherwise(F.col("i")))
-    inside = []
-    for j, i in spots:
-        v = F.col(cells[j])
-        own = v.between(F.col(f"lo{j}_{i}"), F.col(f"hi{j}_{i}"))
-        if i:
-            own = own & (F.col(f"n{cells[j]}") >= SMALL_GROUP)
-        inside.append(F.when(own, F.struct(F.lit(j).alias("j"), F.lit(i).alias("kept"), v.alias("v"))))
-    values = (placed.select(*keys, F.explode(F.filter(F.array(*inside), lambda x: x.isNotNull())).alias("s"))
-              .groupBy(*keys, "s.j", "s.kept", "s.v").agg(F.count("*").alias("c")))
-    upto = Window.partitionBy(*keys, "j", "kept").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = values.withColumn("last", F.sum("c").over(upto))
-
-    # Positions as literals of the same expressions that the interpolation uses.
-    position = F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("i") + 1) * (F.col("n") - 1)
-    joined = wanted.withColumn("pos", position).join(ranked, [*keys, "j", "kept"])
-    first, last = F.col("below") + F.col("last") - F.col("c") + 1, F.col("below") + F.col("last")
-    at = lambda rank: F.max(F.when(rank.between(first, last), F.col("v")))
-    picked = joined.groupBy(*keys, "j", "i").agg(
+    sketch = long.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"),
+                                   F.percentile_approx("v", edges, SKETCH).alias("e"))
+    whole, spots = F.col("n") < SMALL_GROUP, range(len(probs))
+    brackets = materialize(sketch.select(
+        *by, "n", F.array(*[F.when(whole, F.col("least")).otherwise(F.col("e")[2 * i]) for i in spots]).alias("lo"),
+        F.array(*[F.when(whole, F.col("most")).otherwise(F.col("e")[2 * i + 1]) for i in spots]).alias("hi")))
+
+    # A group taken whole has one bracket for all its positions, kept under position 0. Rows below a bracket count under null.
+    v, near = F.col("v"), []
+    for i in spots:
+        own = v <= F.col("hi")[i] if i == 0 else (v <= F.col("hi")[i]) & ~whole
+        near.append(F.when(own, F.struct(F.lit(i).alias("kept"), F.when(v >= F.col("lo")[i], v).alias("v"))))
+    values = (long.join(brackets, by).select(*by, F.explode(F.filter(F.array(*near), lambda x: x.isNotNull())).alias("s"))
+              .groupBy(*by, "s.kept", "s.v").agg(F.count("*").alias("c")))
+    upto = Window.partitionBy(*by, "kept").orderBy(F.col("v").asc_nulls_first()).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    ranked = values.withColumn("last", F.sum("c").over(upto)).where(F.col("v").isNotNull())
+
+    position = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs)]))
+    wanted = brackets.select(*by, "n", position.alias("s")).select(
+        *by, "n", "s.i", F.when(whole, 0).otherwise(F.col("s.i")).alias("kept"), (F.col("s.p") * (F.col("n") - 1)).alias("pos"))
+    at = lambda rank: F.max(F.when(rank.between(F.col("last") - F.col("c") + 1, F.col("last")), F.col("v")))
+    picked = wanted.join(ranked, [*by, "kept"]).groupBy(*by, "i").agg(
         F.first("n").alias("n"), F.first(F.col("pos") - F.floor("pos")).alias("part"),
         at(F.floor("pos") + 1).alias("a"), at(F.ceil("pos") + 1).alias("b"))
     value = F.col("a") + (F.col("b") - F.col("a")) * F.col("part")
-    wide = picked.groupBy(*keys, "j").agg(F.first("n").alias("n"), *[
-        F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+    wide = picked.groupBy(*by).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in spots])
     name = F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("j") + 1)
     return wide.select(*[F.col(k).alias(g) for g, k in zip(group_cols, keys)], name.alias("column"),
-                       F.col("n").cast("long").alias("n"), *[f"q{i}" for i in range(len(probs))])
+                       F.col("n").cast("long").alias("n"), *[f"q{i}" for i in spots])
