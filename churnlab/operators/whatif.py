@@ -94,6 +94,10 @@ def priority_score(cols: set[str] | None = None) -> Column:
     return score
 
 
+#: Rows tied at a cut that one task may order; more go through the range-partitioned ranking (the result is the same).
+FEW_TIES = 100_000
+
+
 def top_cuts(cands: DataFrame, pct_col: str, key: str) -> list[tuple[str, float, object]]:
     """(scenario, priority, key) of the last candidate that each scenario selects; key is None if all rows with that
     priority are selected. Reads columns scenario, ``pct_col``, ``_prio`` and ``key``.
@@ -130,7 +134,11 @@ def top_cuts(cands: DataFrame, pct_col: str, key: str) -> list[tuple[str, float,
             own = F.col("scenario") == r["scenario"]
             at_cut = at_cut | (own & (F.col("_prio") == F.lit(r["_cut"])))
             take = F.when(own, F.lit(r["_m"])).otherwise(take)
-        ranked = rank_within_groups(cands.where(at_cut).select("scenario", key), "scenario", [F.col(key)], "_rk")
+        ties = cands.where(at_cut).select("scenario", key)
+        if max(r["_c"] for r in tied) <= FEW_TIES:
+            ranked = ties.withColumn("_rk", F.row_number().over(Window.partitionBy("scenario").orderBy(key)))
+        else:
+            ranked = rank_within_groups(ties, "scenario", [F.col(key)], "_rk")
         last = {r["scenario"]: r[key] for r in ranked.where(F.col("_rk") == take).select("scenario", key).collect()}
     return [(r["scenario"], r["_cut"], last.get(r["scenario"])) for r in rows]
 

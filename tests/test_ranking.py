@@ -96,3 +96,16 @@ def test_previous_in_group_hot_group_spans_partitions(spark):
     assert got.count() == 3000
     diff = got.join(exp, ["g", "t", "k"]).where(~got["prev_v"].eqNullSafe(exp["prev_v"]))
     assert diff.count() == 0
+
+
+def test_selection_is_the_same_with_few_and_many_ties(ph, monkeypatch):
+    spark = ph.sparkSession
+    scen = [wi.Scenario("s", "s", False, False, 0, 0, 33, 50, 20, 40)]
+
+    def run():
+        out = wi.apply_scenarios(ph, wi.scenario_table(spark, scen), decrement_price_increases=False, active=scen)
+        return sorted(tuple(r) for r in out.select("customer_id", *wi.SIM_COLUMNS).collect())
+
+    few = run()
+    monkeypatch.setattr(wi, "FEW_TIES", 0)
+    assert run() == few
