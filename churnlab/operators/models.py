@@ -11,6 +11,7 @@ reference's parameters, and the registered queries train with them.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from itertools import product
 
@@ -345,7 +346,7 @@ def lr_coefficients(result: TrainResult) -> DataFrame:
 
 
 def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds: int = 3, metric: str = "f1",
-                   overrides: dict | None = None, seed: int = 42) -> tuple[DataFrame, TrainResult]:
+                   overrides: dict | None = None, seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, TrainResult]:
     """Grid search on the training part alone; (params, mean metric per point; refit of the best point).
 
     The preprocessor is fitted inside each fold. A grid key is a Spark parameter, ``C`` or ``weight`` (rules as in
@@ -373,9 +374,13 @@ def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds:
         for w, rule in enumerate(rules):
             own = replace(recipe, weight=rule)
             fit_on = _with_weights(vectors, own)
-            for i, point in enumerate(points):
+
+            def value(point: dict, own=own, rule=rule, fit_on=fit_on, held=held, n=n) -> float:
                 est = make_estimator(own, rule is not None, {**(overrides or {}), **_spark_params(point, n)})
-                sums[w, i] += evaluator.evaluate(est.fit(fit_on).transform(held))
+                return evaluator.evaluate(est.fit(fit_on).transform(held))
+
+            for i, v in enumerate(_at_once(value, points, parallelism)):
+                sums[w, i] += v
         vectors.unpersist(), held.unpersist()
     described = lambda w, i: ", ".join(f"{k}={v}" for k, v in sorted(
         {**points[i], **({"weight": rules[w]} if "weight" in grid else {})}.items()))
@@ -413,8 +418,14 @@ GRIDS = {
 }
 
 
+def _at_once(fn, jobs: Sequence, parallelism: int) -> list:
+    """Results of independent Spark jobs that are submitted from several threads, in order."""
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        return list(pool.map(fn, jobs))
+
+
 def stacking(df: DataFrame, base: Sequence[Recipe], folds: int = 3, threshold: tuple = ("fixed", 0.5),
-             seed: int = 42) -> TrainResult:
+             seed: int = 42, parallelism: int = 4) -> TrainResult:
     """Out-of-fold probabilities of the base models (fold = hash of the key), then a balanced logistic meta-model on
     them, evaluated on the held-out test part. As in the reference, a recall threshold is read off the test scores."""
     x, nums, cats = labelled_frame(base[0], df)
@@ -423,21 +434,29 @@ def stacking(df: DataFrame, base: Sequence[Recipe], folds: int = 3, threshold: t
         "fold", F.pmod(F.xxhash64(F.col("customer_id"), F.lit(seed)), F.lit(folds)))
     test = parts.where(F.col("split") == "test")
 
-    def scores(fit_on: DataFrame, on: DataFrame) -> DataFrame:
-        out = None
-        for r in base:
-            s = probability(fit(r, fit_on, nums, cats), on).withColumnRenamed("score", f"p_{r.estimator}")
-            out = s if out is None else out.join(s.drop("label"), "customer_id")
-        return materialize(out)
-
-    oof = None
-    for i in range(folds):
-        part = scores(train.where(F.col("fold") != i), train.where(F.col("fold") == i))
-        oof = part if oof is None else oof.unionByName(part)
+    # One fit per fold and base model, and one per base model on the whole training part: independent, so several at once.
+    parts_of = [(train.where(F.col("fold") != i), train.where(F.col("fold") == i)) for i in range(folds)] + [(train, test)]
+
+    def scores(job: tuple[int, Recipe]) -> DataFrame:
+        fit_on, on = parts_of[job[0]]
+        return materialize(probability(fit(job[1], fit_on, nums, cats), on).withColumnRenamed("score", f"p_{job[1].estimator}"))
+
+    jobs = [(k, r) for k in range(len(parts_of)) for r in base]
+    done = dict(zip([(k, r.name) for k, r in jobs], _at_once(scores, jobs, parallelism)))
+    joined = []
+    for k in range(len(parts_of)):
+        out = done[k, base[0].name]
+        for r in base[1:]:
+            out = out.join(done[k, r.name].drop("label"), "customer_id")
+        joined.append(out)
+    *folded, test_scores = joined
+    oof = folded[0]
+    for part in folded[1:]:
+        oof = oof.unionByName(part)
     assembler = VectorAssembler(inputCols=[f"p_{r.estimator}" for r in base], outputCol="features")
     meta_train = class_weights(assembler.transform(oof), "label", "balanced")
     meta = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight").fit(meta_train)
-    scored = materialize(meta.transform(assembler.transform(scores(train, test))).select(
+    scored = materialize(meta.transform(assembler.transform(test_scores)).select(
         "customer_id", "label", vector_to_array(F.col("probability"))[1].alias("score")))
     at = choose_threshold(Recipe("stack", "lr", base[0].feature_set, threshold=threshold), scored)
     return TrainResult(PipelineModel(stages=[assembler, meta]), at, ev.evaluation_record(scored, at), scored,
