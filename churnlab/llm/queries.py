@@ -68,7 +68,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the record files by their offset index."""
-    folder, index = records.write_token_files(read_table(spark, sf_dir, "documents"), end_id=0)
+    folder, index = records.write_token_files(read_table(spark, sf_dir, "documents"), end_id=0, any_ids=True)
     read = records.read_token_files(folder, records.with_global_start(index), keep=("start",))
     return read.select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -85,7 +85,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives."""
-    folder, index = warc.write_archives(read_table(spark, sf_dir, "pages"), min_bytes=100)
+    folder, index = warc.write_archives(read_table(spark, sf_dir, "pages"), min_bytes=100, any_ids=True)
     read = warc.read_archives(folder, index)
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

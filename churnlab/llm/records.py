@@ -5,7 +5,8 @@ A record is, all little-endian::
     uint64 payload length | uint32 masked crc32 of these 8 bytes | payload | uint32 masked crc32 of the payload
 
 and its payload is ``int64 document id, uint8 bytes per id, ids``. Ids take two
-bytes where the vocabulary fits and four otherwise. A checksum is masked by
+bytes where the vocabulary fits and four otherwise; the highest bit of that byte
+says that the document has no id. A checksum is masked by
 rotating it 15 bits to the right and adding a constant, so that a checksum of
 data that holds checksums stays meaningful.
 
@@ -32,6 +33,8 @@ from churnlab.llm.tokens import TEXT_BYTES, encoder, tokenizer_path
 _HEAD = struct.Struct("<QI")
 _ID = struct.Struct("<qB")
 _CRC = struct.Struct("<I")
+#: Flag in the byte of the id width: a document without an id.
+_NO_ID = 0x80
 #: Bytes of records that one reading task takes from one file.
 CHUNK_BYTES = 32 << 20
 INDEX = ("doc_id long, file string, ordinal long, offset long, length long, n_tokens long, tokens_before long")
@@ -64,24 +67,28 @@ def unframe(record: bytes) -> bytes:
     return payload
 
 
-def pack_ids(doc_id: int, ids: np.ndarray, width: int) -> bytes:
-    return _ID.pack(doc_id, width) + ids.astype(f"<u{width}").tobytes()
+def pack_ids(doc_id: int | None, ids: np.ndarray, width: int) -> bytes:
+    head = _ID.pack(0, width | _NO_ID) if doc_id is None else _ID.pack(doc_id, width)
+    return head + ids.astype(f"<u{width}").tobytes()
 
 
-def unpack_ids(payload: bytes) -> tuple[int, np.ndarray]:
+def unpack_ids(payload: bytes) -> tuple[int | None, np.ndarray]:
     doc_id, width = _ID.unpack_from(payload)
-    return doc_id, np.frombuffer(payload, f"<u{width}", offset=_ID.size).astype("<u4")
+    ids = np.frombuffer(payload, f"<u{width & ~_NO_ID}", offset=_ID.size).astype("<u4")
+    return None if width & _NO_ID else doc_id, ids
 
 
 def write_token_files(docs: DataFrame, end_id: int = 0, tokenizer: str | None = None, id_col: str = "doc_id",
-                      text_col: str = "text") -> tuple[str, DataFrame]:
+                      text_col: str = "text", any_ids: bool = False) -> tuple[str, DataFrame]:
     """Encode every whole text, append ``end_id`` and write the records; (folder, index table).
 
     The index has one row per record: doc_id, file, ordinal (place in the file),
     offset and length in bytes, n_tokens (end id included), tokens_before (ids
     of all earlier records of the same file). A null text gives a record with
-    the end id alone; a null id cannot be framed and raises; repeated ids keep
-    a record each; an empty table gives an empty index; other columns are ignored.
+    the end id alone; repeated ids keep a record each; with ``any_ids``, so do
+    rows without an id, before all others and with a null in the index, and
+    otherwise they raise; an empty table gives an empty index; other columns
+    are ignored.
     """
     spark = docs.sparkSession
     folder, path = shared_folder(spark, "tokens"), tokenizer or tokenizer_path()
@@ -99,7 +106,7 @@ def write_token_files(docs: DataFrame, end_id: int = 0, tokenizer: str | None =
                     if out is None:
                         name, out = files.new_file(folder, ".rec")
                     for doc, a, b in zip(part.column("doc_id").to_pylist(), (ends - counts).tolist(), ends.tolist()):
-                        if doc is None:
+                        if doc is None and not any_ids:
                             raise ValueError("a record needs a document id")
                         record = frame(pack_ids(doc, np.append(ids[a:b], end_id), width))
                         out.write(record)
@@ -112,18 +119,19 @@ def write_token_files(docs: DataFrame, end_id: int = 0, tokenizer: str | None =
             if out is not None:
                 out.close()
 
-    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-               .repartitionByRange("doc_id").sortWithinPartitions("doc_id"))
+    # The row number lets equal and null ids spread over several ranges.
+    ordered = (docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+               .repartitionByRange("doc_id", "row").drop("row").sortWithinPartitions("doc_id"))
     return folder, materialize(map_arrow(ordered, run, INDEX, cache="tokens"))
 
 
 def with_global_start(index: DataFrame) -> DataFrame:
-    """Add ``start``: ids of all records before this one, files taken in the order of their first document.
+    """Add ``start``: ids of all records before this one, files taken in the order of their documents (nulls first).
 
     The running total goes over one row per file, never over the records.
     """
-    per_file = index.groupBy("file").agg(F.min("doc_id").alias("first_doc"), F.sum("n_tokens").alias("n"))
-    upto = Window.orderBy("first_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
+    per_file = index.groupBy("file").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.sum("n_tokens").alias("n"))
+    upto = Window.orderBy("first_doc", "last_doc", "file").rowsBetween(Window.unboundedPreceding, -1)
     before = per_file.select("file", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("file_start"))
     return (index.join(before, "file").withColumn("start", F.col("file_start") + F.col("tokens_before"))
             .drop("file_start", "tokens_before"))

@@ -35,13 +35,13 @@ class CorruptRecord(ValueError):
     pass
 
 
-def record_bytes(page_id: int, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
-    """One WARC record: a response with the payload as its block, or a revisit without it."""
+def record_bytes(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None) -> bytes:
+    """One WARC record: a response with the payload as its block, or a revisit without it. A page without an id is ``urn:page:null``."""
     block = payload if refers_to is None else b""
     # Line breaks inside a URL would end the header line; they are percent-encoded, as URLs ask for.
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A").encode("utf-8")
     lines = [VERSION, b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"),
-             b"WARC-Record-ID: <urn:page:%d>" % page_id, b"WARC-Date: " + DATE, b"WARC-Target-URI: " + target,
+             b"WARC-Record-ID: <urn:page:%s>" % (b"null" if page_id is None else b"%d" % page_id), b"WARC-Date: " + DATE, b"WARC-Target-URI: " + target,
              b"WARC-Payload-Digest: sha256:" + digest.encode(), b"WARC-Payload-Length: %d" % size]
     if refers_to is not None:
         lines += [b"WARC-Refers-To: <urn:page:%d>" % refers_to, b"WARC-Profile: " + REVISIT_PROFILE]
@@ -63,9 +63,10 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def record_types(pages: DataFrame, min_bytes: int = 100) -> DataFrame:
-    """(page_id, size, digest, refers_to) of (page_id, payload binary): refers_to is the smallest page with an equal
-    payload of at least ``min_bytes``, null for that page itself and for smaller payloads."""
-    meta = materialize(pages.select("page_id", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest")))
+    """(page_id, size, digest, refers_to) of (page_id, payload binary), one row per page id and payload: refers_to is the
+    smallest page with an equal payload of at least ``min_bytes``, null for that page itself, for pages without an id and
+    for smaller payloads."""
+    meta = materialize(pages.select("page_id", F.length("payload").cast("long").alias("size"), F.sha2("payload", 256).alias("digest")).distinct())
     firsts = (meta.where(F.col("size") >= min_bytes).groupBy("digest")
               .agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"))
     refers = F.when((F.col("size") >= min_bytes) & (F.col("first") != F.col("page_id")), F.col("first"))
@@ -76,17 +77,21 @@ INDEX = "page_id long, url string, file string, offset long, length long, digest
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html",
-                   min_bytes: int = 100) -> tuple[str, DataFrame]:
-    """Write one record per page; (folder, index table).
-
-    A null payload is an empty one and a null URL an empty one. Page ids are
-    the key of the table: rows without an id, and ids that occur twice, raise
-    an error, since a revisit could not name its page. An empty table gives an
-    empty index; other columns are ignored.
+                   min_bytes: int = 100, any_ids: bool = False) -> tuple[str, DataFrame]:
+    """Write one record per row; (folder, index table).
+
+    A null payload is an empty one and a null URL an empty one. With
+    ``any_ids``, every row keeps a record of its own: one without an id is a
+    response whose id is null in the index, and rows that repeat an id are all
+    responses or all revisits for equal payloads (a revisit names the page id
+    and the digest of its payload). Otherwise page ids are the key of the
+    table, and rows without an id or ids that occur twice raise an error. An
+    empty table gives an empty index; other columns are ignored.
     """
     spark, folder = pages.sparkSession, shared_folder(pages.sparkSession, "warc")
+    page_id = F.col(id_col) if any_ids else F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a page needs an id"))).otherwise(F.col(id_col))
     known = pages.select(
-        F.when(F.col(id_col).isNull(), F.raise_error(F.lit("a page needs an id"))).otherwise(F.col(id_col)).cast("long").alias("page_id"),
+        page_id.cast("long").alias("page_id"),
         F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     types = record_types(known, min_bytes)
 
@@ -112,12 +117,16 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             if out is not None:
                 out.close()
 
-    joined = known.join(types, "page_id").select(
+    # A row finds its digest again by id and payload: ids may be null or repeat.
+    t = types.withColumnsRenamed({"page_id": "type_page", "digest": "type_digest"})
+    same = F.col("page_id").eqNullSafe(F.col("type_page")) & (F.col("digest") == F.col("type_digest"))
+    joined = known.withColumn("digest", F.sha2("payload", 256)).join(t, same).select(
         "page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
     index = materialize(map_arrow(joined, run, INDEX))
-    total, different = index.agg(F.count("*"), F.count_distinct("page_id")).first()
-    if total != different:
-        raise ValueError("page ids must be unique")
+    if not any_ids:
+        total, different = index.agg(F.count("*"), F.count_distinct("page_id")).first()
+        if total != different:
+            raise ValueError("page ids must be unique")
     return folder, index
 
 
@@ -131,8 +140,9 @@ def read_archives(folder: str, index: DataFrame, payloads: bool = False) -> Data
     schema = ("page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
               + ", payload binary" * payloads)
 
-    def page_of(urn: str) -> int:
-        return int(urn.strip("<>").rpartition(":")[2])
+    def page_of(urn: str) -> int | None:
+        name = urn.strip("<>").rpartition(":")[2]
+        return None if name == "null" else int(name)
 
     def one(member: bytes) -> tuple:
         headers, block = parse_record(zlib.decompress(member, 31))
