@@ -96,6 +96,23 @@ def held_out(doc_id, modulus: int, remainder: int):
     return (F.crc32(doc_id.cast("string").cast("binary")) % modulus) == remainder
 
 
+def row_keys(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = True) -> DataFrame:
+    """All rows with a long ``key`` that tells rows of one id apart by their text.
+
+    A row with an id gets the XXH64 of its text: rows that repeat an id and its
+    text have one key. Rows without an id are numbered, each for itself, and
+    written once, so that every plan over the result sees the same numbers; with
+    ``null_ids`` off they get the XXH64 too.
+    """
+    from pyspark.sql import functions as F
+
+    digest = F.xxhash64(F.col(text_col))
+    if not null_ids:
+        return docs.withColumn(key, digest)
+    numbered = materialize(docs.where(F.col(id_col).isNull()).withColumn(key, F.monotonically_increasing_id()))
+    return docs.where(F.col(id_col).isNotNull()).withColumn(key, digest).unionByName(numbered)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices ``starts[i] .. starts[i]+lengths[i]-1`` of every row, concatenated."""
     lengths = np.asarray(lengths, np.int64)

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import map_arrow, slices, utf8
+from churnlab.llm.common import map_arrow, row_keys, slices, utf8
 
 #: Bytes that the rolling hash covers, and how far a cut must be the least on either side (powers of two, the first not
 #: the larger one).
@@ -90,11 +90,11 @@ def cut_places(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
     return np.flatnonzero(cut)
 
 
-CHUNKS = "id {id}, d0 long, d1 long, at int, length int, words int"
+CHUNKS = "id {id}, k long, d0 long, d1 long, at int, length int, words int"
 
 
-def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk: id, digest (d0, d1), offset and length in bytes, words that begin in it."""
+def chunk_table(docs: DataFrame) -> DataFrame:
+    """One row per chunk of (id, k, text): id, k, digest (d0, d1), offset and length in bytes, words that begin in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -112,11 +112,27 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 opens = np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
                 columns = [digests[:, 0].copy(), digests[:, 1].copy(), (cuts - start[row]).astype(np.int32),
                            (ends - cuts).astype(np.int32), (opens[ends] - opens[cuts]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(row)), *map(pa.array, columns)],
-                                                 ["id", "d0", "d1", "at", "length", "words"])
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(row)) for c in ("id", "k")], *map(pa.array, columns)],
+                                                 ["id", "k", "d0", "d1", "at", "length", "words"])
 
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    return map_arrow(given, run, CHUNKS.format(id=docs.schema[id_col].dataType.simpleString()))
+    return map_arrow(docs, run, CHUNKS.format(id=docs.schema["id"].dataType.simpleString()))
+
+
+def _held_before(rows: DataFrame, null_ids: bool) -> DataFrame:
+    """The rows whose digest (d0, d1) a document with a smaller id holds too, with the smallest such id (``first``).
+
+    With ``null_ids``, rows without an id come after all others, in the order of
+    their numbers ``k``; ``first`` is null where no row with an id holds the digest.
+    """
+    found = [F.min("id").alias("first"), F.max("id").alias("last")]
+    shared, later = F.col("first") != F.col("last"), F.col("id") != F.col("first")
+    if null_ids:
+        number = F.when(F.col("id").isNull(), F.col("k"))
+        found += [F.min(number).alias("first_row"), F.max(number).alias("last_row")]
+        shared = F.coalesce(shared, F.lit(False)) | (F.col("first_row") != F.col("last_row")) | (F.col("first").isNotNull() & F.col("first_row").isNotNull())
+        later = F.when(F.col("id").isNotNull(), later).otherwise(F.col("first").isNotNull() | (F.col("k") != F.col("first_row")))
+    held = rows.groupBy("d0", "d1").agg(*found).where(shared).drop("last", "last_row")
+    return rows.join(held, ["d0", "d1"]).where(later)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -125,61 +141,70 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     A chunk goes where a document with a smaller id holds it too; first_id is
     the smallest such id of the passage's chunks. Repetition inside one document
     stays. Null and empty texts and rows without an id have no passages; rows
-    that repeat an id and its text are one document; empty tables give no rows;
-    other columns are ignored.
+    that repeat an id and its text are one document, those that repeat an id
+    with another text one each; empty tables give no rows; other columns are
+    ignored.
     """
-    chunks = chunk_table(docs, id_col, text_col)
-    held = chunks.groupBy("d0", "d1").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    shared = held.where(F.col("first") != F.col("last")).drop("last")
-    marked = chunks.join(shared, ["d0", "d1"]).where(F.col("id") != F.col("first"))
+    keyed = row_keys(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "k", "id", null_ids=False)
+    return keyed_passages(keyed.where(F.col("id").isNotNull()), min_words).drop("k").withColumnsRenamed({"id": id_col})
+
+
+def keyed_passages(docs: DataFrame, min_words: int = MIN_WORDS, null_ids: bool = False) -> DataFrame:
+    """``repeated_passages`` of (id, k, text) with ``row_keys`` k: id, k, start, length, words, first_id."""
+    marked = _held_before(chunk_table(docs), null_ids)
     # A document's marked chunks are bounded by its own text.
-    per_doc = marked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("at", "length", "words", "first"))).alias("chunks"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, start long, length long, words long, first_id {kind}"
+    per_doc = marked.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "length", "words", "first"))).alias("chunks"))
+    kind = docs.schema["id"].dataType.simpleString()
+    schema = f"id {kind}, k long, start long, length long, words long, first_id {kind}"
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, rows in zip(batch.column("id").to_pylist(), batch.column("chunks")):
+            for doc, key, rows in zip(batch.column("id").to_pylist(), batch.column("k").to_pylist(), batch.column("chunks")):
                 part = rows.values
-                out += [(doc, *p) for p in passages(part.field("at").to_numpy(), part.field("length").to_numpy(),
-                                                    part.field("words").to_numpy(), part.field("first").to_numpy(zero_copy_only=False), min_words)]
+                out += [(doc, key, *p) for p in passages(part.field("at").to_numpy(), part.field("length").to_numpy(),
+                                                    part.field("words").to_numpy(), part.field("first").to_pylist(), min_words)]
             if out:
-                ids, start, length, words, first = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *[pa.array(c, pa.int64()) for c in (start, length, words)], pa.array(first, id_type)],
-                                                 ["id", "start", "length", "words", "first_id"])
+                ids, *numbers, first = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *[pa.array(c, pa.int64()) for c in numbers], pa.array(first, id_type)],
+                                                 ["id", "k", "start", "length", "words", "first_id"])
 
-    return map_arrow(per_doc, run, schema).withColumnsRenamed({"id": id_col})
+    return map_arrow(per_doc, run, schema)
 
 
-def passages(at: np.ndarray, length: np.ndarray, words: np.ndarray, first: np.ndarray, min_words: int) -> list[tuple]:
+def passages(at: np.ndarray, length: np.ndarray, words: np.ndarray, first: list, min_words: int) -> list[tuple]:
     """(start, length, words, smallest first id) of the runs of neighbouring chunks with enough words (sorted input)."""
     at, one = np.unique(at, return_index=True)  # rows that repeat an id and its text
-    length, words, first = length[one], words[one], first[one]
+    length, words, first = length[one], words[one], [first[i] for i in one]
     if not len(at):
         return []
     begin = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + length[:-1])))
     end = np.append(begin[1:], len(at)) - 1
     total = np.add.reduceat(words.astype(np.int64), begin)
-    return [(int(at[a]), int(at[b] + length[b] - at[a]), int(n), min(first[a: b + 1].tolist()))
+    return [(int(at[a]), int(at[b] + length[b] - at[a]), int(n), min((f for f in first[a: b + 1] if f is not None), default=None))
             for a, b, n in zip(begin, end, total) if n >= min_words]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                    null_ids: bool = False) -> DataFrame:
     """All rows and columns, with the repeated passages cut out of the text; a document left without a word goes.
 
-    Passages are matched to rows by id; null ids and texts stay as they are.
+    Passages are matched to rows by id and text; null texts stay as they are.
+    Rows without an id stay too, or with ``null_ids`` count as documents of
+    their own that come after all others.
     """
-    spans = repeated_passages(docs, id_col, text_col, min_words)
     names, where = docs.columns, docs.columns.index(text_col)
     mark = "_".join(["spans", *names])  # no column of the table has this name
-    per_doc = spans.groupBy(F.col(id_col).alias(f"{mark}_id")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(mark))
+    docs = row_keys(docs, f"{mark}_k", id_col, text_col, null_ids)
+    given = docs.select(F.col(id_col).alias("id"), F.col(f"{mark}_k").alias("k"), F.col(text_col).alias("text"))
+    spans = keyed_passages(given if null_ids else given.where(F.col("id").isNotNull()), min_words, null_ids)
+    per_doc = spans.groupBy(F.col("id").alias(f"{mark}_id"), F.col("k").alias(f"{mark}_key")).agg(F.array_sort(F.collect_list(F.struct("start", "length"))).alias(mark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marked = batch.column(mark).is_valid().to_numpy(zero_copy_only=False)
             columns = [batch.column(c) for c in names]
+            marked = pc.and_(batch.column(mark).is_valid(), columns[where].is_valid()).to_numpy(zero_copy_only=False)
             if marked.any():
                 text, stays = columns[where].to_pylist(), ~marked
                 for i in np.flatnonzero(marked):
@@ -194,5 +219,5 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             else:
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    joined = docs.join(per_doc, docs[id_col] == per_doc[f"{mark}_id"], "left").select(*names, mark)
-    return map_arrow(joined, run, docs.schema)
+    same = F.col(id_col).eqNullSafe(F.col(f"{mark}_id")) & (F.col(f"{mark}_k") == F.col(f"{mark}_key"))
+    return map_arrow(docs.join(per_doc, same, "left").select(*names, mark), run, docs.select(*names).schema)

@@ -8,8 +8,9 @@
 
 All stages but the last return the columns of ``documents``. Every decision is
 taken over all rows that the stage is given, with the parameters of the
-registered queries. Null ids stay what they are: such documents are judged by
-their text alone and are no copies of others.
+registered queries. Null ids stay what they are: each such row is a document of
+its own that comes after all documents with ids. Rows that repeat an id are told
+apart by their text.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from churnlab.llm import decontaminate, langid, packing, simhash, substring
-from churnlab.llm.common import held_out, materialize, read_table
+from churnlab.llm.common import held_out, materialize, read_table, row_keys
 
 #: Least share of a text's n-grams that its language must contain.
 MIN_LANGUAGE_SCORE = 0.25
@@ -34,16 +35,20 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group linked by fingerprints (rows that repeat an id stay or go
-    together)."""
-    found = simhash.near_duplicates(docs, words_per_shingle=3, max_bits=3)
-    copies = found.where(F.col("component_id") != F.col("doc_id")).select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    """Keep the document with the smallest id of each group linked by fingerprints (rows that repeat an id and its text
+    stay or go together); a row without an id stays where its group has no other before it."""
+    key = "_".join(["key", *docs.columns])  # no column of the table has this name
+    keyed = row_keys(docs, key)
+    row = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), F.col(key).alias("k"))  # null ids last
+    found = simhash.near_duplicates(keyed.select(row.alias("row"), "text"), "row", words_per_shingle=3, max_bits=3)
+    copies = found.where(F.col("component_id") != F.col("row")).select(F.col("row.id").alias(f"{key}_id"), F.col("row.k").alias(f"{key}_k"))
+    same = F.col("doc_id").eqNullSafe(F.col(f"{key}_id")) & (F.col(key) == F.col(f"{key}_k"))
+    return keyed.join(copies, same, "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated passages out; n_chars follows the new text. A document that loses its last word goes."""
-    return substring.without_repeats(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return substring.without_repeats(docs, null_ids=True).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
