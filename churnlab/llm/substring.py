@@ -10,8 +10,12 @@
    that keeps each of them (the smallest id). A digest that a third of all
    documents hold is one row of that table, and the join that marks its copies
    can be split by adaptive execution.
-3. Per document, neighbouring marked chunks form runs; a run of at least
-   ``MIN_WORDS`` words is a repeated passage.
+3. Per document, neighbouring shared chunks form runs, and a run gives its
+   windows: the chunks from one chunk on (or up to one) that reach ``MIN_WORDS``
+   words. Windows are digested and grouped by smallest id as the chunks are. Only
+   a window that one earlier document holds whole is repeated; windows that
+   overlap or touch are one passage. Lines that are frequent each for itself make
+   no passage by standing side by side.
 
 Chunks are 33 bytes on average. A passage of 50 words or more (some 300 bytes)
 loses less than two chunks at either end and so always leaves a run; shared
@@ -94,7 +98,8 @@ CHUNKS = "id {id}, k long, d0 long, d1 long, at int, length int, words int"
 
 
 def chunk_table(docs: DataFrame) -> DataFrame:
-    """One row per chunk of (id, k, text): id, k, digest (d0, d1), offset and length in bytes, words that begin in it."""
+    """One row per chunk of (id, k, text): id, k, digest (d0, d1), offset and length in bytes, and
+    twice the words that begin in it, plus 1 if it begins inside a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -110,36 +115,99 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 digests = np.frombuffer(b"".join([digest(raw[a:b]) for a, b in zip(cuts.tolist(), ends.tolist())]), "<i8").reshape(-1, 2)
                 solid = ~_SPACE[data] & (data != 0)
                 opens = np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
+                joined = (cuts > start[row]) & solid[cuts] & solid[cuts - 1]
                 columns = [digests[:, 0].copy(), digests[:, 1].copy(), (cuts - start[row]).astype(np.int32),
-                           (ends - cuts).astype(np.int32), (opens[ends] - opens[cuts]).astype(np.int32)]
+                           (ends - cuts).astype(np.int32), (2 * (opens[ends] - opens[cuts]) + joined).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(row)) for c in ("id", "k")], *map(pa.array, columns)],
                                                  ["id", "k", "d0", "d1", "at", "length", "words"])
 
     return map_arrow(docs, run, CHUNKS.format(id=docs.schema["id"].dataType.simpleString()))
 
 
-def _held_before(rows: DataFrame, null_ids: bool) -> DataFrame:
-    """The rows whose digest (d0, d1) a document with a smaller id holds too, with the smallest such id (``first``).
+def _holders(rows: DataFrame, null_ids: bool) -> DataFrame:
+    """The rows whose digest (d0, d1) several documents hold, with the smallest such id (``first``).
 
     With ``null_ids``, rows without an id come after all others, in the order of
-    their numbers ``k``; ``first`` is null where no row with an id holds the digest.
+    their numbers ``k`` (``first_row``: the smallest); ``first`` is null where no
+    row with an id holds the digest.
     """
     found = [F.min("id").alias("first"), F.max("id").alias("last")]
-    shared, later = F.col("first") != F.col("last"), F.col("id") != F.col("first")
+    shared = F.col("first") != F.col("last")
     if null_ids:
         number = F.when(F.col("id").isNull(), F.col("k"))
         found += [F.min(number).alias("first_row"), F.max(number).alias("last_row")]
         shared = F.coalesce(shared, F.lit(False)) | (F.col("first_row") != F.col("last_row")) | (F.col("first").isNotNull() & F.col("first_row").isNotNull())
-        later = F.when(F.col("id").isNotNull(), later).otherwise(F.col("first").isNotNull() | (F.col("k") != F.col("first_row")))
     held = rows.groupBy("d0", "d1").agg(*found).where(shared).drop("last", "last_row")
-    return rows.join(held, ["d0", "d1"]).where(later)
+    return rows.join(held, ["d0", "d1"])
+
+
+def _later(null_ids: bool) -> F.Column:
+    """True for the rows of ``_holders`` that stand behind a document that holds the digest too."""
+    later = F.col("id") != F.col("first")
+    return F.when(F.col("id").isNotNull(), later).otherwise(F.col("first").isNotNull() | (F.col("k") != F.col("first_row"))) if null_ids else later
+
+
+WINDOWS = "id {id}, k long, d0 long, d1 long, at int, stop int, opens int, closes int, least {id}"
+
+
+def window_places(words: np.ndarray, joined: np.ndarray, min_words: int) -> np.ndarray:
+    """(first, last) chunk of the least windows with ``min_words`` words that begin or end at each chunk of one run.
+
+    The first word of a window counts even if the document goes on with it from
+    the chunk before (``joined``), so equal chunks make equal windows everywhere.
+    Every run with enough words is the union of its windows.
+    """
+    n = len(words)
+    upto = np.concatenate(([0], np.cumsum(words)))
+    before = upto[:-1] - joined  # words(i..j) = upto[j + 1] - before[i], and before never falls
+    last = np.searchsorted(upto[1:], before + min_words)  # least j for each i
+    first = np.searchsorted(before, upto[1:] - min_words, "right") - 1  # greatest i for each j
+    ahead, behind = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
+    pairs = np.concatenate((np.stack((ahead, np.maximum(ahead, last[ahead])), 1), np.stack((np.minimum(first[behind], behind), behind), 1)))
+    return np.unique(pairs, axis=0)
+
+
+def window_table(chunks: DataFrame, min_words: int) -> DataFrame:
+    """Windows of ``min_words`` words within runs of neighbouring shared chunks: place, digest, and the words of the
+    document's shared chunks before its beginning (``opens``) and its end (``closes``), ``first`` of its
+    chunks (``least``)."""
+    # A document's shared chunks are bounded by its own text.
+    per_doc = chunks.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "length", "words", "d0", "d1", "first"))).alias("chunks"))
+    kind = chunks.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            for i, rows in enumerate(batch.column("chunks")):
+                part = rows.values
+                at, one = np.unique(part.field("at").to_numpy(), return_index=True)  # rows that repeat an id and its text
+                length, counted, d0, d1 = (part.field(c).to_numpy()[one] for c in ("length", "words", "d0", "d1"))
+                firsts = part.field("first").take(pa.array(one)).to_pylist()
+                words, joined, raw = (counted >> 1).astype(np.int64), counted & 1, np.stack((d0, d1), 1)
+                if words.sum() + 1 < min_words:
+                    continue
+                begin = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + length[:-1])))
+                pairs = np.concatenate([a + window_places(words[a:b], joined[a:b], min_words) for a, b in zip(begin, np.append(begin[1:], len(at)))])
+                if not len(pairs):
+                    continue
+                a, b = pairs.T
+                digests = np.frombuffer(b"".join([digest(raw[x: y + 1].tobytes()) for x, y in pairs.tolist()]), "<i8").reshape(-1, 2)
+                upto = np.concatenate(([0], np.cumsum(words)))
+                columns = [digests[:, 0].copy(), digests[:, 1].copy(), *[c.astype(np.int32) for c in (at[a], at[b] + length[b], upto[a], upto[b + 1])]]
+                own = pa.array(np.full(len(pairs), i))
+                least = [min((f for f in firsts[x: y + 1] if f is not None), default=None) for x, y in pairs.tolist()]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("id", "k")], *map(pa.array, columns), pa.array(least, batch.column("id").type)],
+                                                 [f.split()[0] for f in WINDOWS.split(", ")])
+
+    return map_arrow(per_doc, run, WINDOWS.format(id=kind))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage that goes: id, start and length (bytes of the UTF-8 text), words, first_id.
 
-    A chunk goes where a document with a smaller id holds it too; first_id is
-    the smallest such id of the passage's chunks. Repetition inside one document
+    A chunk goes where a document with a smaller id holds a window of
+    ``min_words`` words around it too; first_id is the smallest such id of the
+    passage's chunks. Repetition inside one document
     stays. Null and empty texts and rows without an id have no passages; rows
     that repeat an id and its text are one document, those that repeat an id
     with another text one each; empty tables give no rows; other columns are
@@ -151,9 +219,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keyed_passages(docs: DataFrame, min_words: int = MIN_WORDS, null_ids: bool = False) -> DataFrame:
     """``repeated_passages`` of (id, k, text) with ``row_keys`` k: id, k, start, length, words, first_id."""
-    marked = _held_before(chunk_table(docs), null_ids)
-    # A document's marked chunks are bounded by its own text.
-    per_doc = marked.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "length", "words", "first"))).alias("chunks"))
+    windows = window_table(_holders(chunk_table(docs), null_ids), min_words)
+    marked = _holders(windows, null_ids).where(_later(null_ids))
+    per_doc = marked.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "stop", "opens", "closes", "least"))).alias("windows"))
     kind = docs.schema["id"].dataType.simpleString()
     schema = f"id {kind}, k long, start long, length long, words long, first_id {kind}"
     id_type = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
@@ -161,10 +229,10 @@ def keyed_passages(docs: DataFrame, min_words: int = MIN_WORDS, null_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, key, rows in zip(batch.column("id").to_pylist(), batch.column("k").to_pylist(), batch.column("chunks")):
+            for doc, key, rows in zip(batch.column("id").to_pylist(), batch.column("k").to_pylist(), batch.column("windows")):
                 part = rows.values
-                out += [(doc, key, *p) for p in passages(part.field("at").to_numpy(), part.field("length").to_numpy(),
-                                                    part.field("words").to_numpy(), part.field("first").to_pylist(), min_words)]
+                places = (part.field(c).to_numpy() for c in ("at", "stop", "opens", "closes"))
+                out += [(doc, key, *p) for p in passages(*places, part.field("least").to_pylist(), min_words)]
             if out:
                 ids, *numbers, first = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, id_type), *[pa.array(c, pa.int64()) for c in numbers], pa.array(first, id_type)],
@@ -173,17 +241,18 @@ def keyed_passages(docs: DataFrame, min_words: int = MIN_WORDS, null_ids: bool =
     return map_arrow(per_doc, run, schema)
 
 
-def passages(at: np.ndarray, length: np.ndarray, words: np.ndarray, first: list, min_words: int) -> list[tuple]:
-    """(start, length, words, smallest first id) of the runs of neighbouring chunks with enough words (sorted input)."""
-    at, one = np.unique(at, return_index=True)  # rows that repeat an id and its text
-    length, words, first = length[one], words[one], [first[i] for i in one]
+def passages(at: np.ndarray, stop: np.ndarray, opens: np.ndarray, closes: np.ndarray, least: list, min_words: int) -> list[tuple]:
+    """(start, length, words, smallest first id) of the unions of touching windows with enough words (sorted input)."""
     if not len(at):
         return []
-    begin = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + length[:-1])))
-    end = np.append(begin[1:], len(at)) - 1
-    total = np.add.reduceat(words.astype(np.int64), begin)
-    return [(int(at[a]), int(at[b] + length[b] - at[a]), int(n), min((f for f in first[a: b + 1] if f is not None), default=None))
-            for a, b, n in zip(begin, end, total) if n >= min_words]
+    begin = np.flatnonzero(np.concatenate(([True], at[1:] > np.maximum.accumulate(stop)[:-1])))
+    end = np.append(begin[1:], len(at))
+    out = []
+    for a, b in zip(begin.tolist(), end.tolist()):
+        words = int(closes[a:b].max() - opens[a])
+        if words >= min_words:
+            out.append((int(at[a]), int(stop[a:b].max() - at[a]), words, min((f for f in least[a:b] if f is not None), default=None)))
+    return out
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
