@@ -1,5 +1,5 @@
 """Model recipes, training flow, tuning, stacking and importances
-(survey L7-L29, EV13-EV17, A40, IO8).
+(survey L7-L28, EV13-EV17, A40, IO8).
 
 Estimators are Spark ML (distributed tree/LR training). A recipe names a
 feature set, an estimator with parameters, a class-weight rule and a threshold
@@ -347,7 +347,7 @@ def lr_coefficients(result: TrainResult) -> DataFrame:
 
 def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds: int = 3, metric: str = "f1",
                    overrides: dict | None = None, seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, TrainResult]:
-    """Grid search on the training part alone; (params, mean metric per point; refit of the best point).
+    """Grid search on the training part alone; (params, mean metric per point; refit of the best point).
 
     The preprocessor is fitted inside each fold. A grid key is a Spark parameter, ``C`` or ``weight`` (rules as in
     ``Recipe``). ``metric``: ``f1`` or ``f2`` of class 1 at 0.5, or ``auc``. The first

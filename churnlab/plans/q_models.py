@@ -1,4 +1,4 @@
-"""Catalogue: model preparation and model recipes (survey L1-L29, EV13-EV17, A40, IO8/IO9, R6/R7, N10 and P3 with a
+"""Catalogue: model preparation and model recipes (survey L1-L28, EV13-EV17, A40, IO8/IO9, R6/R7, N10 and P3 with a
 model).
 
 The recipes train with the reference's parameters. A model's own figures have no SQL twin; the queries return what
