@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from churnlab.llm import decontaminate, embeddings, langid, licenses, packing, records, simhash, substring, toxicity, warc
+from churnlab.llm import decontaminate, embeddings, infill, langid, licenses, mixing, packing, records, simhash, substring, toxicity, warc, whitening
 from churnlab.llm.common import held_out, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,59 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of every document: 3-word shingles, 3 bits."""
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), words_per_shingle=3, max_bits=3)
     return found.select("doc_id", simhash.fingerprint_hex("fingerprint").alias("fingerprint"), "component_id")
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error: 8 components of every usable vector."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), components=8, scale=1024, shift=100_000)
+
+
+@query
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document, range-sorted by its first training position."""
+    mix = mixing.assign(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), repeats=3, share=1.0)
+    first = F.get("copies", F.lit(0))["position"]
+    return mix.withColumn("first", first).repartitionByRange("first", "doc_id").sortWithinPartitions("first", "doc_id").select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLE["op12_source_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)) NULLS LAST, doc_id NULLS LAST, size
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+      FROM d GROUP BY source),
+r AS (SELECT *, source_size * 3 AS most, (SELECT sum(source_size) FROM s) AS whole,
+             coalesce(sum(source_size * 3) OVER (ORDER BY source_size * 3e0 / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+             sum(weight) OVER (ORDER BY source_size * 3e0 / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM s),
+l AS (SELECT max(CAST(whole - used AS DOUBLE) / CAST(rest AS DOUBLE)) AS level FROM r WHERE most > weight * (CAST(whole - used AS DOUBLE) / CAST(rest AS DOUBLE))),
+t AS (SELECT source, source_size, CASE WHEN most <= weight * coalesce(level, 'inf'::DOUBLE) THEN CAST(most AS DOUBLE) ELSE weight * level END AS target FROM r, l)
+SELECT doc_id, size, source_size, target,
+       CAST(greatest(0, least(size, floor(target + 0.5) - start)) + greatest(0, least(size, floor(target + 0.5) - start - source_size))
+            + greatest(0, least(size, floor(target + 0.5) - start - 2 * source_size)) AS BIGINT) AS taken
+FROM p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+"""
+
+
+@query
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256 of every document."""
+    out = infill.transform(read_table(spark, sf_dir, "documents"), seed=42)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(infill.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+ORACLE["op13_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+             CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2, CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (SELECT *, len(u) AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                  WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+"""
