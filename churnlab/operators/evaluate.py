@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlab.operators.ranking import prefix_sums
+from churnlab.operators.ranking import prefix_sums, previous_in_group
 
 EPS = 1e-12
 # Threshold sweep used by the metric-at-thresholds report.
@@ -100,11 +100,25 @@ def cumulative_counts(df: DataFrame, label: str = "label", score: str = "score",
                .select("score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"), "P", "N"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", score_digits: int | None = None) -> DataFrame:
-    """EV7: (threshold, fpr, tpr) at every distinct score."""
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", score_digits: int | None = None,
+              drop_intermediate: bool = True) -> DataFrame:
+    """EV7: (threshold, fpr, tpr) at the distinct scores, led by (infinity, 0, 0).
+
+    ``drop_intermediate`` leaves out the points on a straight line between their neighbours: a point stays if it is the
+    first or the last one, or if the next lower score holds another number of positives or negatives than its own.
+    """
     c = cumulative_counts(df, label, score, score_digits)
-    return c.select(F.col("score").alias("threshold"), F.round(_div(F.col("fp"), F.col("N")), 6).alias("fpr"),
-                    F.round(_div(F.col("tp"), F.col("P")), 6).alias("tpr"))
+    if drop_intermediate:
+        # The next lower score is the previous one in rising order: a lag that crosses range partitions.
+        both = previous_in_group(c.withColumn("all", F.lit(1)), "all", ["score"], ["pos", "neg"], prefix="next_")
+        first = (F.col("tp") == F.col("pos")) & (F.col("fp") == F.col("neg"))
+        bends = F.col("next_pos").isNull() | (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
+        c = both.where(first | bends)
+    curve = c.select(F.col("score").alias("threshold"), F.round(_div(F.col("fp"), F.col("N")), 6).alias("fpr"),
+                     F.round(_div(F.col("tp"), F.col("P")), 6).alias("tpr"))
+    zero = F.lit(0.0)
+    start = c.limit(1).select(F.lit(float("inf")).alias("threshold"), zero.alias("fpr"), zero.alias("tpr"))
+    return start.unionByName(curve)
 
 
 def pr_curve(df: DataFrame, label: str = "label", score: str = "score", score_digits: int | None = None) -> DataFrame:

@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from churnlab.functions import features as fx
+from churnlab.operators import boosting
 from churnlab.operators import evaluate as ev
+from churnlab.operators import trees
 from churnlab.session import materialize
 from churnlab.operators.clean import LEAKAGE_COLUMNS
 from churnlab.operators.clean import inf_to_zero
@@ -122,9 +124,10 @@ class Recipe:
     zero_fill: bool = False             # missing and infinite values become 0 before the split
 
 
-# The recipes of the reference. A tree without a depth limit takes Spark's limit of 30; a minimum of 5 rows
-# to split a node has no counterpart in Spark and is left out; boosted trees stand in for the boosting libraries.
+# The recipes of the reference. A tree without a depth limit takes Spark's limit of 30; boosted trees stand
+# in for the boosting libraries. ``minRowsToSplit`` is no parameter of Spark: the fitted trees are pruned to it.
 NO_LIMIT = 30
+MIN_SPLIT = "minRowsToSplit"
 _QUARTER = (("test", 0.25), ("train", 0.75))
 RECIPES = {r.name: r for r in [
     Recipe("main", "gbt", "main", {"stepSize": 0.05, "maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255},
@@ -136,8 +139,8 @@ RECIPES = {r.name: r for r in [
     Recipe("gbt_claims", "gbt", "claims", {"maxIter": 500, "stepSize": 0.01, "maxDepth": 6}, weight=("fixed", 3.0),
            threshold=("fixed", 0.44)),
     Recipe("rf_dummies", "rf", "dummies", {"numTrees": 100, "maxDepth": NO_LIMIT}, weight=("fixed", 3.0)),
-    Recipe("rf_derived", "rf", "derived", {"numTrees": 200, "maxDepth": 12}, weight=("fixed", 5.0)),
-    Recipe("rf_numeric", "rf", "numeric_derived", {"numTrees": 300, "maxDepth": 12}, weight=("fixed", 4.0),
+    Recipe("rf_derived", "rf", "derived", {"numTrees": 200, "maxDepth": 12, MIN_SPLIT: 5}, weight=("fixed", 5.0)),
+    Recipe("rf_numeric", "rf", "numeric_derived", {"numTrees": 300, "maxDepth": 12, MIN_SPLIT: 5}, weight=("fixed", 4.0),
            threshold=("fixed", 0.45), zero_fill=True),
     Recipe("gbt_deep", "gbt", "numeric_derived", {"maxIter": 200, "stepSize": 0.1, "maxDepth": 10}, weight=("fixed", 4.0),
            threshold=("fixed", 0.45)),
@@ -149,6 +152,8 @@ RECIPES = {r.name: r for r in [
     Recipe("rf_balanced", "rf", "numeric", {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 30,
                                             "featureSubsetStrategy": "sqrt"}, weight=("balanced",)),
     Recipe("gbt_ratio", "gbt", "numeric", {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}, weight=("ratio", 1.0)),
+    # The learner of the early-stopped model has the defaults of the main model's.
+    Recipe("gbt_stopped", "gbt", "numeric", {"maxIter": 5000, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255}),
     *[Recipe(f"{name}_{kind}", kind, name, params, split=_QUARTER)
       for name in ("tenure", "contacts")
       for kind, params in (("lr", {"maxIter": 5000}), ("rf", {"numTrees": 200, "maxDepth": NO_LIMIT}),
@@ -168,8 +173,7 @@ STACKS = {
 
 
 def make_estimator(recipe: Recipe, weighted: bool, overrides: dict | None = None):
-    params = dict(recipe.params)
-    params.update(overrides or {})
+    params = {k: v for k, v in {**recipe.params, **(overrides or {})}.items() if k != MIN_SPLIT}
     common = {"featuresCol": "features", "labelCol": "label"}
     if weighted:
         common["weightCol"] = "weight"
@@ -201,6 +205,8 @@ def fit(recipe: Recipe, train: DataFrame, nums: Sequence[str], cats: Sequence[st
         est = make_estimator(recipe, recipe.weight is not None, overrides).fit(data)
     finally:
         data.unpersist()
+    if least := {**recipe.params, **(overrides or {})}.get(MIN_SPLIT):
+        est = trees.reduced(est, train.sparkSession, min_split=least)
     return PipelineModel(stages=list(pre.stages) + [est])
 
 
@@ -261,12 +267,17 @@ def labelled_frame(recipe: Recipe, df: DataFrame) -> tuple[DataFrame, list[str],
     return x.withColumn("label", F.col(LABEL).cast("double")), nums, cats
 
 
+#: A fitted model ranks churners better than this; a constant score has 0.5.
+LEAST_AUC = 0.53
+
+
 def record_check(result: TrainResult) -> DataFrame:
     """The record's sizes, and how many of its own figures contradict each other: what holds for any model.
 
     One row: test_size, actual_positive, matrix_total (cells of the confusion matrix), bad_scores (probabilities
     outside [0, 1] or missing), bad_metrics (accuracy, precision, recall, F1 and F2 that differ from the matrix by over
-    1e-6, or an AUC outside [0, 1]).
+    1e-6, or an AUC outside [0, 1]), separates (the AUC of the scores, counted anew from the ranks, is the record's and
+    lies above 0.5 by more than the ties of a constant or random score would give).
     """
     r = {m.metric: m.value for m in result.record.collect()}  # 15 rows
     tp, fp, tn, fn = (r[k] for k in ("tp", "fp", "tn", "fn"))
@@ -276,8 +287,10 @@ def record_check(result: TrainResult) -> DataFrame:
             "f1": share(2 * p * q, p + q), "f2": share(5 * p * q, 4 * p + q)}
     bad = sum(abs(r[k] - v) > 1e-6 for k, v in want.items()) + sum(not 0 <= r[k] <= 1 for k in ("roc_auc", "pr_auc"))
     s = F.col("score")
+    auc = ev.auc_scores(result.test_scores).first()["roc_auc"]
+    separates = auc is not None and abs(auc - r["roc_auc"]) <= 1e-6 and auc > LEAST_AUC
     return result.test_scores.agg(
-        F.count("*").alias("test_size"), F.count_if(F.col("label") == 1).alias("actual_positive"),
+        F.lit(bool(separates)).alias("separates"), F.count("*").alias("test_size"), F.count_if(F.col("label") == 1).alias("actual_positive"),
         F.lit(int(tp + fp + tn + fn)).cast("long").alias("matrix_total"),
         F.count_if(s.isNull() | F.isnan(s) | (s < 0) | (s > 1)).alias("bad_scores"),
         F.lit(int(bad)).cast("long").alias("bad_metrics"))
@@ -293,49 +306,79 @@ def tree_importances(result: TrainResult, k: int | None = None) -> DataFrame:
     return df.where(F.col("rank") <= k) if k else df
 
 
+def importance_differences(result: TrainResult) -> DataFrame:
+    """EV13: (feature, importance, counted): Spark's importance next to the one counted from the node table."""
+    spark = result.test_scores.sparkSession
+    counted = trees.save_trees(result.model.stages[-1], spark).importances()
+    given = result.model.stages[-1].featureImportances.toArray().tolist()
+    slots = spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(zip(result.feature_names, given))], "slot int, feature string, importance double")
+    return slots.join(counted.withColumnRenamed("importance", "counted"), "slot", "left").select(
+        "feature", "importance", F.coalesce("counted", F.lit(0.0)).alias("counted"))
+
+
 def rank_label(top: int = 7):
     """EV14: the rank as text, or that it lies outside the top."""
     return F.when(F.col("rank") <= top, F.col("rank").cast("string")).otherwise(F.lit(f"outside top {top}"))
 
 
+def _stopped(recipe: Recipe, train: DataFrame, nums: Sequence[str], cats: Sequence[str], most: int, patience: int, valid: float,
+             seed: int) -> PipelineModel:
+    """Preprocessor and boosted trees on ``train``, a share of which only decides when to stop."""
+    inner = materialize(stratified_split(train, [("valid", valid), ("fit", 1 - valid)], label=LABEL, seed=seed + 1))
+    pre = fit_preprocessor(train, nums, cats)
+    part = lambda name: pre.transform(inner.where(F.col("split") == name)).select("features", "label")
+    params = {k: v for k, v in recipe.params.items() if k not in ("maxIter", "stepSize")}
+    model = boosting.boost_until(part("fit"), part("valid"), most, patience, recipe.params["stepSize"], params, seed).model
+    return PipelineModel(stages=list(pre.stages) + [model])
+
+
 def early_stopping(df: DataFrame, recipe: Recipe, most: int = 5000, patience: int = 20, valid: float = 0.2,
                    seed: int = 42) -> TrainResult:
-    """Boosting that stops after ``patience`` rounds without a better validation loss.
-
-    The loss of every round of one fit is known (``evaluateEachIteration``), so rounds are fitted in runs that double
-    until a run holds ``patience`` rounds behind its best one, or ``most`` rounds. The model keeps the rounds up to the
-    best one.
-    """
+    """Boosting that stops after ``patience`` rounds without a better loss on a fifth of the training part, and keeps
+    the rounds up to the best one."""
     x, nums, cats = labelled_frame(recipe, df)
     parts = materialize(stratified_split(x, [("test", 0.2), ("train", 0.8)], label=LABEL, seed=seed))
-    train, test = (parts.where(F.col("split") == name) for name in ("train", "test"))
-    inner = materialize(stratified_split(train.drop("split"), [("valid", valid), ("fit", 1 - valid)], label=LABEL, seed=seed + 1))
-    pre = fit_preprocessor(train, nums, cats)
-    fit_on = pre.transform(inner.where(F.col("split") == "fit")).select("features", "label").persist()
-    held = pre.transform(inner.where(F.col("split") == "valid")).select("features", "label").persist()
-    base = {k: v for k, v in recipe.params.items() if k != "maxIter"}
-    rounds = min(most, 4 * patience)
-    while True:
-        model = GBTClassifier(seed=seed, labelCol="label", featuresCol="features", maxIter=rounds, **base).fit(fit_on)
-        loss = list(model.evaluateEachIteration(held))
-        best = stop = 0
-        for i, v in enumerate(loss):
-            if v < loss[best]:
-                best = i
-            stop = i
-            if i - best >= patience:
-                break
-        if stop - best >= patience or rounds >= most:
-            break
-        rounds = min(most, 2 * rounds)
-    if best + 1 < len(loss):
-        model = GBTClassifier(seed=seed, labelCol="label", featuresCol="features", maxIter=best + 1, **base).fit(fit_on)
-    fit_on.unpersist(), held.unpersist()
-    whole = PipelineModel(stages=list(pre.stages) + [model])
+    train, test = (parts.where(F.col("split") == name).drop("split") for name in ("train", "test"))
+    whole = _stopped(recipe, train, nums, cats, most, patience, valid, seed)
     scores = materialize(probability(whole, test))
     return TrainResult(whole, 0.5, ev.evaluation_record(scores, 0.5), scores, feature_names(whole.transform(test.limit(1))))
 
 
+def stratified_folds(df: DataFrame, folds: int, seed: int = 42) -> DataFrame:
+    """``df`` with ``fold``: the rows of each class are dealt out in turn, in the order of a seeded hash."""
+    from churnlab.operators.ranking import rank_within_groups
+    h = F.md5(F.concat(F.col("customer_id").cast("string"), F.lit(str(seed))))
+    ranked = rank_within_groups(df.withColumn("_h", h), LABEL, [F.col("_h"), F.col("customer_id")], "_rk")
+    return ranked.withColumn("fold", ((F.col("_rk") - 1) % folds).cast("int")).drop("_h", "_rk")
+
+
+def cross_validated_report(df: DataFrame, recipe: Recipe, folds: int = 5, most: int = 5000, patience: int = 20, valid: float = 0.2,
+                           seed: int = 42, parallelism: int = 5) -> tuple[DataFrame, list[DataFrame]]:
+    """F1 (at 0.5) and ROC-AUC of the early-stopped model on the training and the test part of each fold of the
+    training part, and their means (fold null); the scored test parts come with it.
+
+    The folds are independent fits, submitted together; each holds out a fifth of its own rows to know when to stop.
+    """
+    x, nums, cats = labelled_frame(recipe, df)
+    train = stratified_split(x, [("test", 0.2), ("train", 0.8)], label=LABEL, seed=seed).where(F.col("split") == "train").drop("split")
+    dealt = materialize(stratified_folds(train, folds, seed))
+
+    def one(k: int) -> tuple[tuple, DataFrame]:
+        inner, outer = dealt.where(F.col("fold") != k).drop("fold"), dealt.where(F.col("fold") == k).drop("fold")
+        model, out, scored = _stopped(recipe, inner, nums, cats, most, patience, valid, seed), [], None
+        for part in (inner, outer):
+            scored = materialize(probability(model, part))
+            row = scored.transform(lambda s: ev.threshold_metrics(s, 0.5)).crossJoin(ev.auc_scores(scored)).first()
+            out += [row["f1"], row["roc_auc"]]
+        return (k, *map(float, out), model.stages[-1].getNumTrees), scored
+
+    done = _at_once(one, range(folds), parallelism)
+    table = df.sparkSession.createDataFrame(
+        [row for row, _ in done], "fold int, train_f1 double, train_auc double, test_f1 double, test_auc double, rounds int")
+    means = table.agg(F.lit(None).cast("int").alias("fold"), *[F.avg(c).alias(c) for c in table.columns[1:5]], F.lit(None).cast("int").alias("rounds"))
+    return table.unionByName(means), [scored for _, scored in done]
+
+
 def lr_coefficients(result: TrainResult) -> DataFrame:
     """Coefficient per feature with its absolute value rank."""
     est = result.model.stages[-1]
@@ -345,49 +388,80 @@ def lr_coefficients(result: TrainResult) -> DataFrame:
     return df.withColumn("abs_rank", F.row_number().over(Window.orderBy(F.abs("coefficient").desc(), "feature")))
 
 
+#: Grid keys that a fit with the largest value serves for all values, and how a smaller value is cut out of it.
+_FAMILY = {"rf": {"numTrees": "trees", "maxDepth": "max_depth", MIN_SPLIT: "min_split"}, "gbt": {"maxIter": "trees"}, "lr": {}}
+
+
+def families(estimator: str, grid: dict[str, list]) -> list[tuple[dict, list[tuple[dict, dict]]]]:
+    """Fits that a grid needs: (parameters of the fit, [(grid point, limits that cut it out of the fit)]).
+
+    The first trees of a boosted fit are the fit with fewer rounds. The trees of a forest are grown independently of each
+    other, and a split depends on the rows of its node: a forest with fewer trees, a smaller depth or more rows to split is
+    a part of the largest one. Weights are fitted one by one.
+    """
+    names = [k for k in grid if k != "weight"]
+    derived = {k: limit for k, limit in _FAMILY[estimator].items() if k in grid}
+    largest = {k: max(grid[k]) for k in derived if k != MIN_SPLIT}
+    fits: dict[tuple, tuple[dict, list]] = {}
+    for values in product(*[grid[k] for k in names]):
+        point = dict(zip(names, values))
+        own = {k: v for k, v in point.items() if k not in derived}
+        limits = {limit: point[k] for k, limit in derived.items() if k == MIN_SPLIT and point[k] > 2 or k != MIN_SPLIT and point[k] != largest[k]}
+        fits.setdefault(tuple(own.values()), ({**own, **largest}, []))[1].append((point, limits))
+    return list(fits.values())
+
+
 def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds: int = 3, metric: str = "f1",
-                   overrides: dict | None = None, seed: int = 42, parallelism: int = 4) -> tuple[DataFrame, TrainResult]:
+                   overrides: dict | None = None, seed: int = 42, parallelism: int = 8) -> tuple[DataFrame, TrainResult]:
     """Grid search on the training part alone; (params, mean metric per point; refit of the best point).
 
-    The preprocessor is fitted inside each fold. A grid key is a Spark parameter, ``C`` or ``weight`` (rules as in
-    ``Recipe``). ``metric``: ``f1`` or ``f2`` of class 1 at 0.5, or ``auc``. The first
-    of the best points is fitted to the whole training part and evaluated on the test part.
+    The preprocessor is fitted inside each fold. A grid key is a Spark parameter, ``C``, ``weight`` (rules as in
+    ``Recipe``) or ``minRowsToSplit``. ``metric``: ``f1`` or ``f2`` of class 1 at 0.5, or ``auc``. Points that differ only
+    in what can be cut out of one fitted ensemble share it (``families``). The first of the best points is fitted to the
+    whole training part and evaluated on the test part.
     """
     x, nums, cats = labelled_frame(recipe, df)
     parts = materialize(stratified_split(x, list(recipe.split), label=LABEL, seed=seed))
     train = parts.where(F.col("split") != "test").withColumn(
         "fold", F.pmod(F.xxhash64("customer_id", F.lit(seed)), F.lit(folds)).cast("int"))
     rules = grid.get("weight", [recipe.weight])
-    points = [dict(zip([k for k in grid if k != "weight"], values))
-              for values in product(*[v for k, v in grid.items() if k != "weight"])]
+    fits = [(w, *family) for w in range(len(rules)) for family in families(recipe.estimator, {k: v for k, v in grid.items() if k != "weight"})]
     if metric == "auc":
         evaluator = BinaryClassificationEvaluator(metricName="areaUnderROC")
     else:
         evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=float(metric[1:]), metricLabel=1.0)
-    sums = {(w, i): 0.0 for w in range(len(rules)) for i in range(len(points))}
+    data = {}
     for k in range(folds):
         inner = train.where(F.col("fold") != k)
         pre = fit_preprocessor(inner, nums, cats, scale=recipe.scale)
-        vectors = pre.transform(inner).select("features", "label").persist()
+        vectors = materialize(pre.transform(inner).select("features", "label"))
         held = pre.transform(train.where(F.col("fold") == k)).select("features", "label").persist()
-        n = vectors.count()
-        for w, rule in enumerate(rules):
-            own = replace(recipe, weight=rule)
-            fit_on = _with_weights(vectors, own)
-
-            def value(point: dict, own=own, rule=rule, fit_on=fit_on, held=held, n=n) -> float:
-                est = make_estimator(own, rule is not None, {**(overrides or {}), **_spark_params(point, n)})
-                return evaluator.evaluate(est.fit(fit_on).transform(held))
-
-            for i, v in enumerate(_at_once(value, points, parallelism)):
-                sums[w, i] += v
-        vectors.unpersist(), held.unpersist()
-    described = lambda w, i: ", ".join(f"{k}={v}" for k, v in sorted(
-        {**points[i], **({"weight": rules[w]} if "weight" in grid else {})}.items()))
-    rows = [(described(w, i), total / folds) for (w, i), total in sums.items()]
-    table = df.sparkSession.createDataFrame(rows, "params string, mean_metric double")
-    w, i = max(sums, key=lambda key: (sums[key], -key[0], -key[1]))
-    params = _spark_params(points[i], train.count())
+        weighted = [_with_weights(vectors, replace(recipe, weight=rule)).persist() for rule in rules]
+        data[k] = (weighted, held, vectors.count())
+
+    def values(job: tuple) -> list[tuple[int, dict, float]]:
+        k, (w, params, points) = job
+        weighted, held, n = data[k]
+        est = make_estimator(replace(recipe, weight=rules[w]), rules[w] is not None, {**(overrides or {}), **_spark_params(params, n)})
+        fitted = est.fit(weighted[w])
+        saved = trees.save_trees(fitted, df.sparkSession) if any(limits for _, limits in points) else None
+        return [(w, point, evaluator.evaluate((saved.reduced(**limits).load() if limits else fitted).transform(held))) for point, limits in points]
+
+    found: dict[tuple, float] = {}
+    for k, (weighted, held, _) in data.items():
+        for part in _at_once(values, [(k, f) for f in fits], parallelism):
+            for w, point, value in part:
+                key = (w, tuple(point.items()))
+                found[key] = found.get(key, 0.0) + value / folds
+        for frame in (*weighted, held):
+            frame.unpersist()
+    order = {key: i for i, key in enumerate((w, tuple(zip([n for n in grid if n != "weight"], v))) for w in range(len(rules))
+                                            for v in product(*[v for n, v in grid.items() if n != "weight"]))}
+    described = lambda w, point: ", ".join(f"{k}={v}" for k, v in sorted(
+        {**dict(point), **({"weight": rules[w]} if "weight" in grid else {})}.items()))
+    table = df.sparkSession.createDataFrame([(described(*key), found[key]) for key in order], "params string, mean_metric double")
+    w, point = max(found, key=lambda key: (found[key], -order[key]))
+    params = _spark_params(dict(point), train.count())
     tuned = replace(recipe, weight=rules[w], params={**recipe.params, **(overrides or {}), **params})
     return table, train_evaluate(tuned, df, seed=seed)
 
@@ -398,23 +472,27 @@ def _spark_params(point: dict, rows: int) -> dict:
     return {k: v for k, v in point.items() if k != "C"} | ({"regParam": 1.0 / (point["C"] * rows)} if "C" in point else {})
 
 
-# The search grids of the reference (recipe, grid, folds, metric). Solvers that reach the same optimum and the
-# minimum of rows to split a node have no counterpart in Spark.
+# The search grids of the reference (base estimator, grid, folds, metric). Solvers that reach the same optimum
+# are left out.
 _LR_GRID = {"C": [0.01, 0.1, 1.0, 10.0], "weight": [None, ("fixed", 2.0), ("fixed", 3.0)]}
-_RF_GRID = {"numTrees": [100, 200], "maxDepth": [10, 15, NO_LIMIT], "featureSubsetStrategy": ["sqrt", "log2"]}
+_RF_GRID = {"numTrees": [100, 200], "maxDepth": [10, 15, NO_LIMIT], MIN_SPLIT: [2, 5, 10], "featureSubsetStrategy": ["sqrt", "log2"]}
 _GBT_GRID = {"maxIter": [100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.05, 0.1], "subsamplingRate": [0.8, 1.0],
              "featureSubsetStrategy": ["0.8", "all"]}
+_FOREST = {name: Recipe(f"grid_{name}_rf", "rf", name, weight=("fixed", 3.0), split=split) for name, split in
+           (("claims", (("test", 0.2), ("train", 0.8))), ("tenure", _QUARTER), ("contacts", _QUARTER))}
 GRIDS = {
-    "tenure_lr": ("tenure_lr", _LR_GRID, 3, "f1"), "contacts_lr": ("contacts_lr", _LR_GRID, 3, "f1"),
-    "claims_rf": ("rf_claims", _RF_GRID, 3, "f1"), "tenure_rf": ("tenure_rf", _RF_GRID, 3, "f1"),
-    "contacts_rf": ("contacts_rf", _RF_GRID, 3, "f1"),
-    "balanced_rf": ("rf_balanced", {"numTrees": [100, 150, 200, 250, 300, 350, 400], "maxDepth": [10, 15, 20],
-                                    "minInstancesPerNode": [10, 20, 30], "featureSubsetStrategy": ["sqrt", "log2"]}, 5, "f1"),
-    "dummies_rf_f2": ("rf_dummies", {"numTrees": [100, 200], "maxDepth": [10, 15, NO_LIMIT],
-                                     "weight": [("fixed", 3.0), ("fixed", 5.0)]}, 5, "f2"),
-    "lockin_gbt": ("lockin_2", {"maxIter": [200, 300], "stepSize": [0.03, 0.05], "maxDepth": [4, 5, 6],
-                                "weight": [("ratio", 1.5), ("ratio", 2.0), ("ratio", 2.5)]}, 3, "f1"),
-    "tenure_gbt": ("tenure_gbt", _GBT_GRID, 3, "f1"), "contacts_gbt": ("contacts_gbt", _GBT_GRID, 3, "f1"),
+    "tenure_lr": (RECIPES["tenure_lr"], _LR_GRID, 3, "f1"), "contacts_lr": (RECIPES["contacts_lr"], _LR_GRID, 3, "f1"),
+    "claims_rf": (_FOREST["claims"], _RF_GRID, 3, "f1"), "tenure_rf": (_FOREST["tenure"], _RF_GRID, 3, "f1"),
+    "contacts_rf": (_FOREST["contacts"], _RF_GRID, 3, "f1"),
+    "balanced_rf": (RECIPES["rf_balanced"], {"numTrees": [100, 150, 200, 250, 300, 350, 400], "maxDepth": [10, 15, 20],
+                                             "minInstancesPerNode": [10, 20, 30], "featureSubsetStrategy": ["sqrt", "log2"]}, 5, "f1"),
+    "dummies_rf_f2": (Recipe("grid_dummies_rf", "rf", "dummies"),
+                      {"numTrees": [100, 200], "maxDepth": [10, 15, NO_LIMIT], MIN_SPLIT: [2, 5, 10],
+                       "weight": [("fixed", 3.0), ("fixed", 5.0)]}, 5, "f2"),
+    "lockin_gbt": (RECIPES["lockin_2"], {"maxIter": [200, 300], "stepSize": [0.03, 0.05], "maxDepth": [4, 5, 6],
+                                         "weight": [("ratio", 1.5), ("ratio", 2.0), ("ratio", 2.5)]}, 3, "f1"),
+    "tenure_gbt": (Recipe("grid_tenure_gbt", "gbt", "tenure", split=_QUARTER), _GBT_GRID, 3, "f1"),
+    "contacts_gbt": (Recipe("grid_contacts_gbt", "gbt", "contacts", split=_QUARTER), _GBT_GRID, 3, "f1"),
 }
 
 
@@ -465,7 +543,7 @@ def stacking(df: DataFrame, base: Sequence[Recipe], folds: int = 3, threshold: t
 
 def permutation_importance(result: TrainResult, test: DataFrame, columns: Sequence[str], repeats: int = 5,
                            seed: int = 42) -> DataFrame:
-    """EV15/EV16: mean drop of average precision when one column is shuffled.
+    """EV15/EV16: mean drop of average precision when one column is shuffled, and its spread over the repeats.
 
     Rows are numbered once in a seeded hash order (range-partitioned numbering,
     no single-task window). A shuffle is the bijection r -> (a*r + b) mod n with
@@ -494,13 +572,21 @@ def permutation_importance(result: TrainResult, test: DataFrame, columns: Sequen
     # Decimal product: a * r exceeds a long beyond some three billion rows.
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     target = ((wide("_a") * (wide("_r") - 1) + wide("_b")) % F.lit(n)).cast("long") + 1
-    moved = numbered.select(F.col("_r").alias("_t"), F.struct(*columns).alias("_s"))
-    fan = numbered.crossJoin(F.broadcast(shuffles)).withColumn("_t", target).join(moved, "_t")
-    fan = fan.withColumns({c: F.when(F.col("_c") == c, F.col(f"_s.{c}")).otherwise(F.col(c)) for c in columns})
+    # Only (row number, column, one value) is shuffled for each copy of a row; the rows themselves are shuffled once.
+    kind = {c: numbered.schema[c].dataType for c in columns}
+    text = [c for c in columns if not isinstance(kind[c], NumericType)]
+    cell = lambda c: F.struct(F.lit(c).alias("c"), (F.lit(None) if c in text else F.col(c)).cast("double").alias("d"),
+                              (F.col(c) if c in text else F.lit(None)).cast("string").alias("s"))
+    values = numbered.select(F.col("_r").alias("_t"), F.explode(F.array(*[cell(c) for c in columns])).alias("v")).select("_t", "v.*")
+    asked = numbered.select("_r").crossJoin(F.broadcast(shuffles)).select("_r", "_g", "_c", target.alias("_t"))
+    moved = asked.join(values, (asked["_t"] == values["_t"]) & (asked["_c"] == values["c"])).select("_r", "_g", "_c", "d", "s")
+    fan = numbered.join(moved, "_r").withColumns(
+        {c: F.when(F.col("_c") == c, F.col("s" if c in text else "d").cast(kind[c])).otherwise(F.col(c)) for c in columns})
     ap = grouped_average_precision(probability(result.model, fan, keep=("_g", "label")), "_g")
     base = average_precision(result, numbered)
+    drop = F.lit(base) - F.col("ap")
     drops = shuffles.join(ap, "_g").groupBy(F.col("_c").alias("feature")).agg(
-        F.avg(F.lit(base) - F.col("ap")).alias("importance_mean"))
+        F.avg(drop).alias("importance_mean"), F.stddev_pop(drop).alias("importance_std"))
     return drops.withColumn("rank", F.row_number().over(Window.orderBy(F.col("importance_mean").desc(), "feature")))
 
 
@@ -524,17 +610,36 @@ def grouped_average_precision(scored: DataFrame, group: str) -> DataFrame:
     return running.join(F.broadcast(totals), group).groupBy(group).agg(F.sum(term).alias("ap"))
 
 
-def logistic_trend(df: DataFrame, column: str) -> DataFrame:
-    """One-feature logistic fit of the label, predicted over the distinct
-    values of the feature (a curve table)."""
-    x = df.select(F.col(column).cast("double").alias("x"), F.col(LABEL).cast("double").alias("label")) \
-          .where(F.col("x").isNotNull())
-    asm = VectorAssembler(inputCols=["x"], outputCol="features")
-    model = LogisticRegression(featuresCol="features", labelCol="label").fit(asm.transform(x))
-    grid = x.select("x").distinct()
-    pred = model.transform(asm.transform(grid))
-    return pred.select(F.lit(column).alias("feature"), F.col("x").alias("value"),
-                       F.round(vector_to_array(F.col("probability"))[1], 6).alias("churn_probability"))
+#: Newton steps of the one-feature fit: from zero it is at rest long before.
+TREND_STEPS = 25
+
+
+def logistic_trend(df: DataFrame, column: str, label: str = LABEL) -> DataFrame:
+    """One-feature logistic fit of the label with intercept, at the distinct values of the feature (a curve table).
+
+    The rows are read once: (value, rows, positives) are sufficient for the fit. Weighted Newton steps run over that
+    table, each an aggregate of five sums; a step stops the fit where the curvature or the change has vanished (one value
+    only, or groups that the label separates).
+    """
+    x, y = F.col(column).cast("double"), F.col(label).cast("double")
+    held = materialize(df.where(x.isNotNull() & y.isNotNull()).groupBy(x.alias("value")).agg(F.count("*").alias("n"), F.sum(y).alias("pos")))
+    a = b = 0.0
+    curve = lambda: 1.0 / (1.0 + F.exp(-(F.lit(a) + F.lit(b) * F.col("value"))))
+    for _ in range(TREND_STEPS):
+        p, v = curve(), F.col("value")
+        off, weight = F.col("pos") - F.col("n") * p, F.col("n") * p * (1.0 - p)
+        g0, g1, h00, h01, h11 = held.agg(F.sum(off), F.sum(off * v), F.sum(weight), F.sum(weight * v), F.sum(weight * v * v)).first()
+        det = (h00 or 0.0) * (h11 or 0.0) - (h01 or 0.0) ** 2
+        if not det > 1e-9 * (h00 or 0.0) * (h11 or 0.0):
+            if a == b == 0.0 and h00:  # one value: its rate
+                a = g0 / h00
+                continue
+            break
+        step = ((h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det)
+        a, b = a + step[0], b + step[1]
+        if max(map(abs, step)) < 1e-12:
+            break
+    return held.select(F.lit(column).alias("feature"), "value", F.round(curve(), 6).alias("churn_probability"))
 
 
 def stage_comparison(records: dict[str, DataFrame], metrics: Sequence[str] = ("roc_auc", "f2", "recall", "threshold")) -> DataFrame:

@@ -108,12 +108,23 @@ def q_ev05(spark, d):
     return ev.auc_scores(labelled(spark, d))
 
 
+_ROC_POINT = f"score AS threshold, round({_d('fp', 'N')}, 6) AS fpr, round({_d('tp', 'P')}, 6) AS tpr"
+_ROC_START = "SELECT CAST('inf' AS DOUBLE) AS threshold, 0.0e0 AS fpr, 0.0e0 AS tpr FROM (SELECT 1 FROM cum LIMIT 1)"
+
+
 @register("ev07_roc_curve", E(
-    f"SELECT score AS threshold, round({_d('fp', 'N')}, 6) AS fpr, round({_d('tp', 'P')}, 6) AS tpr FROM cum", CUM))
+    f"{_ROC_START} UNION ALL SELECT {_ROC_POINT} FROM (SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg,"
+    " row_number() OVER w AS place FROM cum WINDOW w AS (ORDER BY score DESC))"
+    " WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg", CUM))
 def q_ev07(spark, d):
     return ev.roc_curve(labelled(spark, d))
 
 
+@register("ev07_roc_curve_all_points", E(f"{_ROC_START} UNION ALL SELECT {_ROC_POINT} FROM cum", CUM))
+def q_ev07a(spark, d):
+    return ev.roc_curve(labelled(spark, d), drop_intermediate=False)
+
+
 _PR_RAW = ("SELECT score AS threshold, p AS precision, r AS recall, 5 * (p * r) / (4 * p + r + 1e-12) AS f2"
            f" FROM (SELECT score, CAST(tp AS DOUBLE) / (tp + fp) AS p, {_d('tp', 'P')} AS r FROM cum)")
 _PR = ("SELECT score AS threshold, round(p, 6) AS precision, round(r, 6) AS recall,"

@@ -11,7 +11,7 @@ from churnlab.operators.whatif import linear_probability
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import AGE_BAND_SQL, q, tier_sql
-from churnlab.session import materialize, memo_key
+from churnlab.session import materialize, memo, memo_key
 from churnlab.sources.fixture import POLICYHOLDER_COLUMNS, policyholders
 
 STRING_COLS = {"region_name", "age_band", "marital_status", "policy_type", "payment_frequency"}
@@ -61,7 +61,7 @@ def _completed_sql() -> str:
 COMPLETED_CTE = f"completed AS ({_completed_sql()})"
 
 
-_BASE: dict = {}
+_BASE: dict = memo()
 
 
 def base(spark, d):

@@ -9,10 +9,10 @@ from churnlab.operators import scoring as so
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import q, scored_cte
-from churnlab.session import materialize, memo_key
+from churnlab.session import materialize, memo, memo_key
 from churnlab.sources.fixture import policyholders
 
-_SCORED: dict = {}
+_SCORED: dict = memo()
 
 
 def scored(spark, d):
@@ -207,3 +207,17 @@ def q_io04(spark, d):
 def q_c14t(spark, d):
     from churnlab.operators.clean import distinct_values
     return distinct_values(scored(spark, d), "risk_tier_ko")
+
+
+@register("r07_incremental_priority", with_ctes(
+    "SELECT customer_id, batch, row_number() OVER (ORDER BY churn_probability_true DESC, customer_id) AS coupon_priority"
+    " FROM (SELECT *, CAST('0x' || substr(md5(customer_id), 1, 7) AS BIGINT) % 3 AS batch FROM policyholders)"))
+def q_r07i(spark, d):
+    """Three batches written one after the other; priorities of all rows from the merged score histograms."""
+    from churnlab.sources import io
+    from churnlab.streaming import rescoring
+    sink, p = io.scratch_path(spark, "refresh"), policyholders(spark, d)
+    number = F.conv(F.substring(F.md5("customer_id"), 1, 7), 16, 10).cast("long") % 3
+    for batch in range(3):
+        rescoring.write_batch(p.where(number == batch), batch, sink)
+    return rescoring.priorities(spark, sink).select("customer_id", F.col("batch").cast("long").alias("batch"), "coupon_priority")

@@ -13,11 +13,11 @@ from churnlab.operators.rates import default_customer_value
 from churnlab.plans.oracle_base import with_ctes
 from churnlab.plans.registry import register
 from churnlab.plans.sql_fragments import F1_SQL, q
-from churnlab.session import materialize, memo_key
+from churnlab.session import materialize, memo, memo_key
 from churnlab.sources.fixture import policyholders
 
 T = DEFAULT_THRESHOLD
-_FAN: dict = {}
+_FAN: dict = memo()
 # Besides the scenario inputs, the checked consumers read only these (F1 inputs).
 CARRY = ["payment_frequency", "policy_type"]
 

@@ -78,19 +78,36 @@ def materialize(df: DataFrame) -> DataFrame:
     get column pruning (ReadSchema), pushed filters and file statistics for AQE.
     """
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/churnlab-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "churnlab")
     df.write.parquet(path)
-    _TABLES.append(path)
     return spark.read.parquet(path)
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder name under the shared checkpoint directory; ``clear_tables`` deletes it."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _TABLES.append(path)
+    return path
+
+
 _TABLES: list[str] = []
 
 
+_MEMOS: list[dict] = []
+
+
+def memo() -> dict:
+    """A dictionary for results that read scratch tables: emptied when these are deleted."""
+    _MEMOS.append({})
+    return _MEMOS[-1]
+
+
 def clear_tables(spark: SparkSession) -> None:
-    """Delete the tables that ``materialize`` has written. For the end of a job: frames that read them stop working."""
+    """Delete the scratch folders of this session (``materialize``, ``scratch_folder``) and forget the results that read
+    them; the next query builds them anew. For the end of a job: frames that read the tables stop working."""
     jvm = spark._jvm
+    for held in _MEMOS:
+        held.clear()
     while _TABLES:
         path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

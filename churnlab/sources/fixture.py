@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from churnlab.operators.ranking import previous_in_group
 from churnlab.sources.tables import read_table
+from churnlab.session import memo
 
 # Fixed values of the fixture definition (FIXTURES.md §1).
 AS_OF = dt.date(2001, 8, 1)
@@ -220,7 +221,7 @@ def build_policyholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return step5.select(*POLICYHOLDER_COLUMNS)
 
 
-_CACHE: dict[tuple[int, str], DataFrame] = {}
+_CACHE: dict[tuple[int, str], DataFrame] = memo()
 
 
 def policyholders(spark: SparkSession, sf_dir: str) -> DataFrame:

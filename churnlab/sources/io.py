@@ -9,7 +9,6 @@ local scratch folder only with a local master).
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DoubleType, IntegerType, StringType, StructField, StructType)
 
 from churnlab.operators.clean import load_level
-from churnlab.session import ensure_checkpoint_dir
+from churnlab.session import scratch_folder
 from churnlab.sources.fixture import POLICYHOLDER_COLUMNS
 
 _STRING = {"customer_id", "as_of_date", "region_name", "age_band", "marital_status", "policy_type",
@@ -36,8 +35,7 @@ DICTIONARY_SCHEMA = StructType([StructField("column", StringType(), True),
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    root = ensure_checkpoint_dir(spark)
-    return os.path.join(root, f"churnlab-{name}-{uuid.uuid4().hex[:12]}")
+    return scratch_folder(spark, f"churnlab-{name}")
 
 
 def read_policyholders_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -19,7 +19,7 @@ def main(name: str, sf_dir: str = "/root/testdata/sf0.01") -> None:
     table = policyholders(get_spark(), sf_dir)
     if name in ml.GRIDS:
         recipe, grid, folds, metric = ml.GRIDS[name]
-        points, result = ml.cross_validate(ml.RECIPES[recipe], table, grid, folds, metric)
+        points, result = ml.cross_validate(recipe, table, grid, folds, metric)
         points.orderBy("mean_metric", ascending=False).show(1000, False)
     elif name in ml.STACKS:
         base, folds, threshold = ml.STACKS[name]
