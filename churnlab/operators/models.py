@@ -444,8 +444,9 @@ def cross_validate(recipe: Recipe, df: DataFrame, grid: dict[str, list], folds:
         weighted, held, n = data[k]
         est = make_estimator(replace(recipe, weight=rules[w]), rules[w] is not None, {**(overrides or {}), **_spark_params(params, n)})
         fitted = est.fit(weighted[w])
-        saved = trees.save_trees(fitted, df.sparkSession) if any(limits for _, limits in points) else None
-        return [(w, point, evaluator.evaluate((saved.reduced(**limits).load() if limits else fitted).transform(held))) for point, limits in points]
+        cut = [limits for _, limits in points if limits]
+        made = iter(trees.save_trees(fitted, df.sparkSession).reduced_each(cut) if cut else [])
+        return [(w, point, evaluator.evaluate((next(made).load() if limits else fitted).transform(held))) for point, limits in points]
 
     found: dict[tuple, float] = {}
     for k, (weighted, held, _) in data.items():

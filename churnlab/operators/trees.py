@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 
 from churnlab.session import scratch_folder
 
-_NODE = ("id int, prediction double, impurity double, impurityStats array<double>, rawCount long, gain double, leftChild int, rightChild int, "
-         "split struct<featureIndex: int, leftCategoriesOrThreshold: array<double>, numCategories: int>")
 _KINDS = {"GBTClassificationModel": GBTClassificationModel, "RandomForestClassificationModel": RandomForestClassificationModel}
 
 
@@ -99,35 +97,46 @@ class SavedTrees:
     def load(self):
         return _KINDS[self.kind].load(self.path)
 
-    def reduced(self, trees: int | None = None, max_depth: int | None = None, min_split: int = 0, max_leaves: int | None = None) -> "SavedTrees":
-        """The ensemble with the first ``trees`` trees, each pruned."""
-        nodes, weights, metadata = self.nodes(), self.weights(), self.metadata
-        n = metadata["numTrees"]
-        if trees is not None and trees < n:
-            nodes, weights, n = nodes.where(F.col("tree") < trees), weights.where(F.col("tree") < trees), trees
-        if max_depth is not None or min_split or max_leaves is not None:
-            merge = self.kind == "RandomForestClassificationModel"
-
-            def prune(tree: pd.DataFrame) -> pd.DataFrame:
-                tree = tree.sort_values("id")
-                left, right = tree["leftChild"].to_numpy(), tree["rightChild"].to_numpy()
-                kept, splits = reduced_tree(left, right, tree["rawCount"].to_numpy(), tree["gain"].to_numpy(), tree["prediction"].to_numpy(),
-                                            max_depth, min_split, max_leaves, merge)
-                number = np.full(len(tree), -1)
-                number[kept] = np.arange(len(kept))
-                out, leaf = tree.iloc[kept].copy(), ~splits[kept]
-                out["id"] = np.arange(len(kept))
-                out["leftChild"] = np.where(leaf, -1, number[left[kept]])
-                out["rightChild"] = np.where(leaf, -1, number[right[kept]])
-                out["gain"] = np.where(leaf, -1.0, out["gain"])
-                out["split"] = [{"featureIndex": -1, "leftCategoriesOrThreshold": [], "numCategories": -1} if end else split
-                                for end, split in zip(leaf, out["split"])]
-                return out
-
-            nodes = nodes.groupBy("tree").applyInPandas(prune, f"tree int, {_NODE}")
-        count = "maxIter" if self.kind == "GBTClassificationModel" else "numTrees"
-        metadata["paramMap"][count] = metadata["numTrees"] = n
-        return write_trees(self.spark, self.kind, metadata, nodes, weights)
+    def reduced(self, **limits) -> "SavedTrees":
+        """The ensemble with the first ``trees`` trees, each pruned to ``max_depth``, ``min_split`` and ``max_leaves``."""
+        return self.reduced_each([limits])[0]
+
+    def reduced_each(self, limits: list[dict]) -> list["SavedTrees"]:
+        """One reduced ensemble for each set of limits, from one pass over the nodes: tasks get the shape of a tree and
+        return which nodes stay in which variant, and one write per table puts each variant into a folder of its own."""
+        nodes, n = self.nodes(), self.metadata["numTrees"]
+        merge, cut = self.kind == "RandomForestClassificationModel", [{k: v for k, v in some.items() if k != "trees"} for some in limits]
+        counts = [min(some.get("trees") or n, n) for some in limits]
+
+        def prune(tree: pd.DataFrame) -> pd.DataFrame:
+            tree = tree.sort_values("id")
+            shape = [tree[c].to_numpy() for c in ("leftChild", "rightChild", "rawCount", "gain", "prediction")]
+            number, out = int(tree["tree"].iloc[0]), []
+            for variant, some in enumerate(cut):
+                if number >= counts[variant]:
+                    continue
+                kept, splits = reduced_tree(*shape, merge=merge, **some) if some else (np.arange(len(tree)), shape[0] >= 0)
+                new = np.full(len(tree), -1)
+                new[kept] = np.arange(len(kept))
+                left, right = (np.where(splits[kept], new[child[kept]], -1) for child in shape[:2])
+                out.append(pd.DataFrame({"variant": variant, "tree": number, "id": kept, "new": new[kept], "l": left, "r": right}))
+            return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int32") for c in ("variant", "tree", "id", "new", "l", "r")})
+
+        shapes = nodes.select("tree", "id", "leftChild", "rightChild", "rawCount", "gain", "prediction")
+        stays = shapes.groupBy("tree").applyInPandas(prune, "variant int, tree int, id int, new int, l int, r int")
+        leaf, no_split = F.col("l") < 0, F.expr("named_struct('featureIndex', -1, 'leftCategoriesOrThreshold', cast(array() as array<double>), 'numCategories', -1)")
+        kept = stays.join(nodes, ["tree", "id"]).select(
+            "variant", "tree", F.col("new").alias("id"), "prediction", "impurity", "impurityStats", "rawCount",
+            F.when(leaf, -1.0).otherwise(F.col("gain")).alias("gain"), F.col("l").alias("leftChild"), F.col("r").alias("rightChild"),
+            F.when(leaf, no_split).otherwise(F.col("split")).alias("split"))
+        wanted = self.spark.createDataFrame(list(enumerate(counts)), "variant int, n int")
+        weights = self.weights().crossJoin(F.broadcast(wanted)).where("tree < n").drop("n")
+        lines = []
+        for count in counts:
+            metadata = self.metadata if not lines else json.loads(lines[0])
+            metadata["numTrees"] = metadata["paramMap"]["maxIter" if self.kind == "GBTClassificationModel" else "numTrees"] = count
+            lines.append(json.dumps(metadata))
+        return write_trees(self.spark, self.kind, lines, kept, weights)
 
     def importances(self) -> DataFrame:
         """EV13: (slot, importance): the impurity that the splits on a feature remove, times their rows, as a share of all.
@@ -149,13 +158,24 @@ def save_trees(model, spark: SparkSession) -> SavedTrees:
     return SavedTrees(spark, path, type(model).__name__)
 
 
-def write_trees(spark: SparkSession, kind: str, metadata: dict, nodes: DataFrame, weights: DataFrame) -> SavedTrees:
-    path = scratch_folder(spark, "trees")
+def write_trees(spark: SparkSession, kind: str, metadata: list[str], nodes: DataFrame, weights: DataFrame) -> list[SavedTrees]:
+    """A saved ensemble for each metadata line; ``nodes`` and ``weights`` name theirs in ``variant``."""
+    root = scratch_folder(spark, "trees")
     node = F.struct("id", "prediction", "impurity", "impurityStats", "rawCount", "gain", "leftChild", "rightChild", "split")
-    nodes.select(F.col("tree").alias("treeID"), node.alias("nodeData")).write.parquet(f"{path}/data")
-    weights.select(F.col("tree").alias("_1"), F.col("metadata").alias("_2"), F.col("weight").alias("_3")).write.parquet(f"{path}/treesMetadata")
-    spark.createDataFrame([(json.dumps(metadata),)], "value string").coalesce(1).write.text(f"{path}/metadata")
-    return SavedTrees(spark, path, kind)
+    tables = {"data": nodes.select("variant", F.col("tree").alias("treeID"), node.alias("nodeData")),
+              "treesMetadata": weights.select("variant", F.col("tree").alias("_1"), F.col("metadata").alias("_2"), F.col("weight").alias("_3")),
+              "metadata": spark.createDataFrame(list(enumerate(metadata)), "variant int, value string")}
+    for name, table in tables.items():
+        out = table.repartition("variant").write.partitionBy("variant")
+        (out.text if name == "metadata" else out.parquet)(f"{root}/all/{name}")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for i in range(len(metadata)):
+        fs.mkdirs(path(f"{root}/{i}"))
+        for name in tables:
+            if not fs.rename(path(f"{root}/all/{name}/variant={i}"), path(f"{root}/{i}/{name}")):
+                raise OSError(f"{name} of variant {i} can't be moved below {root}")
+    return [SavedTrees(spark, f"{root}/{i}", kind) for i in range(len(metadata))]
 
 
 def reduced(model, spark: SparkSession, **limits):
