@@ -7,6 +7,7 @@ limit (or one document, if that is larger), not the batch or the partition.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,9 +57,16 @@ def map_arrow(df: DataFrame, fn: Callable, schema, cache: str = "") -> DataFrame
 
 
 def release_caches(keep: str = "") -> None:
+    """Empty the caches but one, and hand free memory of this process back to the machine: workers live on through all
+    operators of a job, and an allocator keeps what the last one needed."""
     for name, empty in WORKER_CACHES.items():
         if name != keep:
             empty()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another libc
+        pass
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -18,8 +18,9 @@ import numpy as np
 
 from churnlab.llm.common import WORKER_CACHES, ragged
 
-#: Distinct pieces that a worker keeps; beyond that it starts afresh.
-MAX_PIECES = 750_000
+#: Distinct pieces that a worker keeps (some 200 bytes each); beyond that it starts afresh. Most of them are rare words that
+#: don't come again; the frequent ones are learned anew within one slice. Ids never depend on the cache.
+MAX_PIECES = 200_000
 #: Bytes of text that are encoded at once.
 TEXT_BYTES = 2 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
