@@ -107,18 +107,24 @@ def held_out(doc_id, modulus: int, remainder: int):
 def row_keys(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = True) -> DataFrame:
     """All rows with a long ``key`` that tells rows of one id apart by their text.
 
-    A row with an id gets the XXH64 of its text: rows that repeat an id and its
-    text have one key. Rows without an id are numbered, each for itself, and
+    A row whose id occurs once gets 0, which costs nothing in a shuffle; one whose
+    id occurs again gets the XXH64 of its text, so rows that repeat an id and its
+    text have one key. The repeated ids are written before they are joined: Spark
+    knows their size. Rows without an id are numbered, each for itself, and
     written once, so that every plan over the result sees the same numbers; with
     ``null_ids`` off they get the XXH64 too.
     """
     from pyspark.sql import functions as F
 
-    digest = F.xxhash64(F.col(text_col))
+    digest, again = F.xxhash64(F.col(text_col)), f"{key}_again"
+    named = docs.where(F.col(id_col).isNotNull())
+    repeated = materialize(named.groupBy(F.col(id_col).alias(again)).agg(F.count("*").alias("n")).where("n > 1").select(again))
+    told = named.join(repeated, F.col(id_col) == F.col(again), "left").withColumn(
+        key, F.when(F.col(again).isNull(), F.lit(0).cast("long")).otherwise(digest)).drop(again)
+    nameless = docs.where(F.col(id_col).isNull())
     if not null_ids:
-        return docs.withColumn(key, digest)
-    numbered = materialize(docs.where(F.col(id_col).isNull()).withColumn(key, F.monotonically_increasing_id()))
-    return docs.where(F.col(id_col).isNotNull()).withColumn(key, digest).unionByName(numbered)
+        return told.unionByName(nameless.withColumn(key, digest))
+    return told.unionByName(materialize(nameless.withColumn(key, F.monotonically_increasing_id())))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
