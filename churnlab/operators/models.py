@@ -632,10 +632,10 @@ def logistic_trend(df: DataFrame, column: str, label: str = LABEL) -> DataFrame:
         g0, g1, h00, h01, h11 = held.agg(F.sum(off), F.sum(off * v), F.sum(weight), F.sum(weight * v), F.sum(weight * v * v)).first()
         det = (h00 or 0.0) * (h11 or 0.0) - (h01 or 0.0) ** 2
         if not det > 1e-9 * (h00 or 0.0) * (h11 or 0.0):
-            if a == b == 0.0 and h00:  # one value: its rate
-                a = g0 / h00
-                continue
-            break
+            if b != 0.0 or not h00 or abs(g0 / h00) < 1e-12:
+                break
+            a += g0 / h00  # one value: its rate
+            continue
         step = ((h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det)
         a, b = a + step[0], b + step[1]
         if max(map(abs, step)) < 1e-12:

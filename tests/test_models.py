@@ -87,7 +87,7 @@ def test_permutation_importance_in_one_pass(ph):
 
 
 def test_early_stopping_keeps_the_best_round(ph):
-    res = ml.early_stopping(ph, ml.RECIPES["gbt_ratio"], most=12, patience=3)
+    res = ml.early_stopping(ph, ml.RECIPES["gbt_stopped"], most=12, patience=3)
     assert 1 <= res.model.stages[-1].getNumTrees <= 12
     assert ml.record_check(res).first().bad_metrics == 0
 
@@ -126,6 +126,7 @@ def test_recipes_hold_the_reference_parameters():
         "rf_dummies": ("rf", 100, 30, 3.0, None), "rf_derived": ("rf", 200, 12, 5.0, None), "rf_numeric": ("rf", 300, 12, 4.0, None),
         "gbt_deep": ("gbt", 200, 10, 4.0, 0.1), "gbt_subsample": ("gbt", 300, 6, 1.5, 0.05), "lockin_1": ("gbt", 200, 6, 2.5, 0.05),
         "lockin_2": ("gbt", 300, 5, 2.5, 0.03), "rf_balanced": ("rf", 100, 10, None, None), "gbt_ratio": ("gbt", 100, 6, 1.0, 0.1),
+        "gbt_stopped": ("gbt", 5000, 5, None, 0.1),
         "tenure_lr": ("lr", 5000, None, None, None), "tenure_rf": ("rf", 200, 30, None, None), "tenure_gbt": ("gbt", 200, 5, None, 0.05),
         "contacts_lr": ("lr", 5000, None, None, None), "contacts_rf": ("rf", 200, 30, None, None),
         "contacts_gbt": ("gbt", 200, 5, None, 0.05)}
@@ -136,6 +137,53 @@ def test_recipes_hold_the_reference_parameters():
         "rf_claimants_anger": 0.4, "gbt_claims": 0.44, "rf_numeric": 0.45, "gbt_deep": 0.45, "gbt_subsample": 0.45}
 
 
+def test_a_constant_score_fails_the_record_check(ph):
+    """What every model query compares with SQL turns red if a model gives everybody the same score."""
+    from dataclasses import replace
+    from churnlab.operators import evaluate as ev
+    res = ml.train_evaluate(ml.RECIPES["tenure_lr"], ph, {"maxIter": 20})
+    flat = res.test_scores.withColumn("score", F.lit(0.5))
+    assert ml.record_check(res).first().separates is True
+    assert ml.record_check(replace(res, test_scores=flat, record=ev.evaluation_record(flat, 0.5))).first().separates is False
+    assert ml.record_check(replace(res, test_scores=flat)).first().separates is False  # another model's record
+
+
+def test_trend_equals_the_two_rates_and_handles_edges(spark):
+    rows = [(0, 0)] * 30 + [(0, 1)] * 10 + [(1, 0)] * 5 + [(1, 1)] * 15 + [(None, 1), (1, None)]
+    df = spark.createDataFrame(rows, "x int, churn_flag int")
+    assert {r.value: r.churn_probability for r in ml.logistic_trend(df, "x").collect()} == {0.0: 0.25, 1.0: 0.75}
+    one = spark.createDataFrame([(3, 1), (3, 0), (3, 0), (3, 0)], "x int, churn_flag int")
+    assert [tuple(r) for r in ml.logistic_trend(one, "x").collect()] == [("x", 3.0, 0.25)]
+    apart = {r.value: r.churn_probability for r in ml.logistic_trend(spark.createDataFrame([(0, 0), (1, 1)] * 9, "x int, churn_flag int"), "x").collect()}
+    assert apart[0.0] < 1e-4 and apart[1.0] > 1 - 1e-4
+    assert ml.logistic_trend(spark.createDataFrame([], "x int, churn_flag int"), "x").collect() == []
+
+
+def test_preprocessor_values(spark):
+    """L2, L3: medians between the middle values, population scaling, the mode with the smallest name, one-hot slots by name."""
+    train = spark.createDataFrame([("b", 1.0), ("a", 4.0), ("b", None), (None, 2.0), ("a", 9.0)], "c string, x double")
+    rows = lambda scale: [r[0].toArray().tolist() for r in prep.fit_preprocessor(train, ["x"], ["c"], scale=scale).transform(train).select("features").collect()]
+    assert rows(False) == [[1.0, 0.0, 1.0], [4.0, 1.0, 0.0], [3.0, 0.0, 1.0], [2.0, 1.0, 0.0], [9.0, 1.0, 0.0]]
+    x = [1.0, 4.0, 3.0, 2.0, 9.0]
+    mean = sum(x) / 5
+    std = (sum((v - mean) ** 2 for v in x) / 5) ** 0.5
+    assert all(abs(r[0] - (v - mean) / std) < 1e-12 for r, v in zip(rows(True), x))
+
+
+def test_columns_that_a_table_may_lack(ph):
+    """An optional column makes its feature, a missing one is tolerated."""
+    from churnlab.functions import features as fx
+    from churnlab.operators import clean
+    with_six = ph.withColumn("num_claims_6m", F.lit(2))
+    got = fx.recent_activity_ratio(with_six).select("recent_activity_ratio", (F.lit(2) / (F.col("num_claims_12m") / 2 + 0.1)).alias("want")).collect()
+    assert all(a is None and b is None or abs(a - b) < 1e-12 for a, b in got) and "recent_activity_ratio" not in fx.recent_activity_ratio(ph).columns
+    _, nums, _ = ml.model_frame(with_six, "derived")
+    assert "recent_activity_ratio" in nums
+    few = ph.drop("as_of_date", "avg_claim_amount")
+    for drop in (clean.drop_unused, clean.drop_redundant):
+        assert drop(few).columns == [c for c in drop(ph).columns if c in few.columns]
+
+
 def test_any_beta_has_its_own_threshold(spark):
     from churnlab.operators import evaluate as ev
     import random
