@@ -25,7 +25,7 @@ def con():
 
 
 # Long trainings run in the correctness check at the larger folder; test_models.py covers their code.
-LONG = ("l07", "l12", "l16", "l17", "l18", "l19", "l21", "l22", "l23_tenure_gbt", "l24_contacts_gbt", "l26", "l28", "ev13", "ev14", "ev15",
+LONG = ("l07", "l12", "l16", "l17", "l18", "l19", "l21", "l22", "l23_tenure_gbt", "l24_contacts_gbt", "l26", "l28", "l29", "ev13", "ev14", "ev15",
         "ev16", "ev17", "r06_model", "n10_model", "p03_profile_model", "io08")
 
 
