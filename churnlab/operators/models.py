@@ -27,6 +27,7 @@ from pyspark.sql.types import NumericType
 from churnlab.functions import features as fx
 from churnlab.operators import boosting
 from churnlab.operators import evaluate as ev
+from churnlab.operators import newton
 from churnlab.operators import trees
 from churnlab.session import materialize
 from churnlab.operators.clean import LEAKAGE_COLUMNS
@@ -114,7 +115,7 @@ def _with_derived(df: DataFrame, cols: list[str]) -> tuple[DataFrame, list[str]]
 @dataclass(frozen=True)
 class Recipe:
     name: str
-    estimator: str                      # gbt | rf | lr
+    estimator: str                      # gbt | newton (operators/newton.py) | rf | lr
     feature_set: str
     params: dict = field(default_factory=dict)
     weight: tuple | None = None         # ("fixed", w) | ("balanced",) | ("ratio", k)
@@ -129,8 +130,10 @@ class Recipe:
 NO_LIMIT = 30
 MIN_SPLIT = "minRowsToSplit"
 _QUARTER = (("test", 0.25), ("train", 0.75))
+# Defaults of a learner that grows by depth: no limit of leaves, single rows as leaves, 256 bins, L2 term 1.
+_BY_DEPTH = {"maxLeaves": None, "minInstancesPerNode": 1, "maxBins": 256, "l2": 1.0}
 RECIPES = {r.name: r for r in [
-    Recipe("main", "gbt", "main", {"stepSize": 0.05, "maxIter": 400, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255},
+    Recipe("main", "newton", "main", {"stepSize": 0.05, "maxIter": 400, "maxLeaves": 31, "minInstancesPerNode": 20, "maxBins": 255, "l2": 0.0},
            threshold=("fbeta", 2.0, 0.3, 0.85), split=(("test", 0.2), ("valid", 0.2), ("train", 0.6))),
     Recipe("price_lr", "lr", "price", {"maxIter": 2000}, scale=True),
     Recipe("rf_claims", "rf", "claims", {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 5}, weight=("fixed", 3.0)),
@@ -142,10 +145,11 @@ RECIPES = {r.name: r for r in [
     Recipe("rf_derived", "rf", "derived", {"numTrees": 200, "maxDepth": 12, MIN_SPLIT: 5}, weight=("fixed", 5.0)),
     Recipe("rf_numeric", "rf", "numeric_derived", {"numTrees": 300, "maxDepth": 12, MIN_SPLIT: 5}, weight=("fixed", 4.0),
            threshold=("fixed", 0.45), zero_fill=True),
-    Recipe("gbt_deep", "gbt", "numeric_derived", {"maxIter": 200, "stepSize": 0.1, "maxDepth": 10}, weight=("fixed", 4.0),
+    Recipe("gbt_deep", "newton", "numeric_derived", {"maxIter": 200, "stepSize": 0.1, "maxDepth": 10, "maxLeaves": 31, "minInstancesPerNode": 20,
+                                                     "maxBins": 255, "l2": 1.5}, weight=("fixed", 4.0),
            threshold=("fixed", 0.45)),
-    Recipe("gbt_subsample", "gbt", "numeric_derived",
-           {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+    Recipe("gbt_subsample", "newton", "numeric_derived",
+           {"maxIter": 300, "stepSize": 0.05, "maxDepth": 6, "subsamplingRate": 0.8, "columnsPerTree": 0.8, **_BY_DEPTH},
            weight=("ratio", 1.5), threshold=("fixed", 0.45)),
     Recipe("lockin_1", "gbt", "lockin_1", {"maxIter": 200, "stepSize": 0.05, "maxDepth": 6}, weight=("ratio", 2.5)),
     Recipe("lockin_2", "gbt", "lockin_2", {"maxIter": 300, "stepSize": 0.03, "maxDepth": 5}, weight=("ratio", 2.5)),
@@ -153,12 +157,11 @@ RECIPES = {r.name: r for r in [
                                             "featureSubsetStrategy": "sqrt"}, weight=("balanced",)),
     Recipe("gbt_ratio", "gbt", "numeric", {"maxIter": 100, "stepSize": 0.1, "maxDepth": 6}, weight=("ratio", 1.0)),
     # The learner of the early-stopped model has the defaults of the main model's.
-    Recipe("gbt_stopped", "gbt", "numeric", {"maxIter": 5000, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, "maxBins": 255}),
-    *[Recipe(f"{name}_{kind}", kind, name, params, split=_QUARTER)
+    Recipe("gbt_stopped", "newton", "numeric", {"maxIter": 5000, "stepSize": 0.1, "maxLeaves": 31, "minInstancesPerNode": 20, "maxBins": 255, "l2": 0.0}),
+    *[Recipe(f"{name}_{kind}", "newton" if kind == "gbt" else kind, name, params, split=_QUARTER)
       for name in ("tenure", "contacts")
       for kind, params in (("lr", {"maxIter": 5000}), ("rf", {"numTrees": 200, "maxDepth": NO_LIMIT}),
-                           ("gbt", {"maxIter": 200, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8,
-                                    "featureSubsetStrategy": "0.8"}))],
+                           ("gbt", {"maxIter": 200, "stepSize": 0.05, "maxDepth": 5, "subsamplingRate": 0.8, "columnsPerTree": 0.8, **_BY_DEPTH}))],
 ]}
 
 # The two stacks of the reference (base learners, folds, threshold).
@@ -201,11 +204,15 @@ def fit(recipe: Recipe, train: DataFrame, nums: Sequence[str], cats: Sequence[st
     pre = fit_preprocessor(train, nums, cats, scale=recipe.scale)
     columns = ["features", "label", *(["weight"] if recipe.weight else [])]
     data = _with_weights(pre.transform(train), recipe).select(*columns).persist()  # read once per tree level
+    params = {**recipe.params, **(overrides or {})}
     try:
-        est = make_estimator(recipe, recipe.weight is not None, overrides).fit(data)
+        if recipe.estimator == "newton":
+            est, _ = newton.newton_rounds(data, newton.growth_of(params), params["maxIter"])
+        else:
+            est = make_estimator(recipe, recipe.weight is not None, overrides).fit(data)
     finally:
         data.unpersist()
-    if least := {**recipe.params, **(overrides or {})}.get(MIN_SPLIT):
+    if least := params.get(MIN_SPLIT):
         est = trees.reduced(est, train.sparkSession, min_split=least)
     return PipelineModel(stages=list(pre.stages) + [est])
 
@@ -247,14 +254,15 @@ def train_evaluate(recipe: Recipe, df: DataFrame, overrides: dict | None = None,
     x, nums, cats = labelled_frame(recipe, df)
     parts = materialize(stratified_split(x, list(recipe.split), label=LABEL, seed=seed))
     train, test = (parts.where(F.col("split") == name) for name in ("train", "test"))
+    whole = lambda: fit(recipe, parts.where(F.col("split") != "test"), nums, cats, overrides)
     if recipe.threshold[0] == "fixed":
-        threshold = float(recipe.threshold[1])
+        threshold, model = float(recipe.threshold[1]), whole()
     elif any(n == "valid" for n, _ in recipe.split):
-        first = fit(recipe, train, nums, cats, overrides)
+        # The refit does not need the threshold: both fits run at once.
+        first, model = _at_once(lambda made: made(), [lambda: fit(recipe, train, nums, cats, overrides), whole], 2)
         threshold = choose_threshold(recipe, probability(first, parts.where(F.col("split") == "valid")))
     else:
         raise ValueError(f"{recipe.name}: a threshold rule needs a validation part")
-    model = fit(recipe, parts.where(F.col("split") != "test"), nums, cats, overrides)
     test_scores = materialize(probability(model, test))
     names = feature_names(model.transform(test.limit(1)))
     return TrainResult(model, threshold, ev.evaluation_record(test_scores, threshold), test_scores, names)
@@ -327,8 +335,11 @@ def _stopped(recipe: Recipe, train: DataFrame, nums: Sequence[str], cats: Sequen
     inner = materialize(stratified_split(train, [("valid", valid), ("fit", 1 - valid)], label=LABEL, seed=seed + 1))
     pre = fit_preprocessor(train, nums, cats)
     part = lambda name: pre.transform(inner.where(F.col("split") == name)).select("features", "label")
-    params = {k: v for k, v in recipe.params.items() if k not in ("maxIter", "stepSize")}
-    model = boosting.boost_until(part("fit"), part("valid"), most, patience, recipe.params["stepSize"], params, seed).model
+    if recipe.estimator == "newton":
+        model, _ = newton.newton_rounds(part("fit"), newton.growth_of(recipe.params), most, part("valid"), patience, seed)
+    else:
+        params = {k: v for k, v in recipe.params.items() if k not in ("maxIter", "stepSize")}
+        model = boosting.boost_until(part("fit"), part("valid"), most, patience, recipe.params["stepSize"], params, seed).model
     return PipelineModel(stages=list(pre.stages) + [model])
 
 

@@ -88,7 +88,7 @@ def test_permutation_importance_in_one_pass(ph):
 
 def test_early_stopping_keeps_the_best_round(ph):
     res = ml.early_stopping(ph, ml.RECIPES["gbt_stopped"], most=12, patience=3)
-    assert 1 <= res.model.stages[-1].getNumTrees <= 12
+    assert 2 <= res.model.stages[-1].getNumTrees <= 13  # the constant first tree and the rounds
     assert ml.record_check(res).first().bad_metrics == 0
 
 
@@ -121,18 +121,22 @@ def test_null_labels_raise_and_null_groups_rank(spark):
 def test_recipes_hold_the_reference_parameters():
     """The values of the reference's training cells, as far as Spark has the parameter."""
     want = {
-        "main": ("gbt", 400, 5, None, 0.05), "price_lr": ("lr", 2000, None, None, None), "rf_claims": ("rf", 100, 10, 3.0, None),
+        "main": ("newton", 400, None, None, 0.05), "price_lr": ("lr", 2000, None, None, None), "rf_claims": ("rf", 100, 10, 3.0, None),
         "rf_claimants_anger": ("rf", 100, 10, 3.0, None), "gbt_claims": ("gbt", 500, 6, 3.0, 0.01),
         "rf_dummies": ("rf", 100, 30, 3.0, None), "rf_derived": ("rf", 200, 12, 5.0, None), "rf_numeric": ("rf", 300, 12, 4.0, None),
-        "gbt_deep": ("gbt", 200, 10, 4.0, 0.1), "gbt_subsample": ("gbt", 300, 6, 1.5, 0.05), "lockin_1": ("gbt", 200, 6, 2.5, 0.05),
+        "gbt_deep": ("newton", 200, 10, 4.0, 0.1), "gbt_subsample": ("newton", 300, 6, 1.5, 0.05), "lockin_1": ("gbt", 200, 6, 2.5, 0.05),
         "lockin_2": ("gbt", 300, 5, 2.5, 0.03), "rf_balanced": ("rf", 100, 10, None, None), "gbt_ratio": ("gbt", 100, 6, 1.0, 0.1),
-        "gbt_stopped": ("gbt", 5000, 5, None, 0.1),
-        "tenure_lr": ("lr", 5000, None, None, None), "tenure_rf": ("rf", 200, 30, None, None), "tenure_gbt": ("gbt", 200, 5, None, 0.05),
+        "gbt_stopped": ("newton", 5000, None, None, 0.1),
+        "tenure_lr": ("lr", 5000, None, None, None), "tenure_rf": ("rf", 200, 30, None, None), "tenure_gbt": ("newton", 200, 5, None, 0.05),
         "contacts_lr": ("lr", 5000, None, None, None), "contacts_rf": ("rf", 200, 30, None, None),
-        "contacts_gbt": ("gbt", 200, 5, None, 0.05)}
+        "contacts_gbt": ("newton", 200, 5, None, 0.05)}
     got = {n: (r.estimator, r.params.get("maxIter", r.params.get("numTrees")), r.params.get("maxDepth"),
                r.weight[1] if r.weight and len(r.weight) > 1 else None, r.params.get("stepSize")) for n, r in ml.RECIPES.items()}
     assert got == want
+    # leaves, rows of a leaf, L2 term, columns per tree
+    assert {n: tuple(r.params.get(k) for k in ("maxLeaves", "minInstancesPerNode", "l2", "columnsPerTree")) for n, r in ml.RECIPES.items()
+            if r.estimator == "newton"} == {"main": (31, 20, 0.0, None), "gbt_stopped": (31, 20, 0.0, None), "gbt_deep": (31, 20, 1.5, None),
+                                            "gbt_subsample": (None, 1, 1.0, 0.8), "tenure_gbt": (None, 1, 1.0, 0.8), "contacts_gbt": (None, 1, 1.0, 0.8)}
     assert {n: r.threshold[1] for n, r in ml.RECIPES.items() if r.threshold[0] == "fixed" and r.threshold[1] != 0.5} == {
         "rf_claimants_anger": 0.4, "gbt_claims": 0.44, "rf_numeric": 0.45, "gbt_deep": 0.45, "gbt_subsample": 0.45}
 
