@@ -3,17 +3,20 @@
 One automaton finds all notice phrases and the identifier tag in one pass over
 the words of a text (each padded by spaces, so a phrase matches whole words
 whatever stands between them). Where the tag or a notice opener occurs, the
-expression behind it is read from the raw text and evaluated: ``or`` lets the
-reader take the freer side, ``and`` binds to the stricter, ``with`` an exception
-loosens a copyleft licence.
+expression behind it is read from the raw text up to the end of its line or the
+next tag or opener, and evaluated: ``or`` lets the reader take the freer side,
+``and`` binds to the stricter, ``with`` an exception loosens a copyleft licence.
+An expression is the longest run of tokens that parses; one pass finds its end,
+so the time is linear in the text however long a line is.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -49,8 +52,11 @@ _STRICT = {label: level for label, level in NAMES.values()} | {
     "reserved": 1.0, "proprietary": 1.0, "copyright": 0.9, "creative-commons": 0.3, "public-domain": 0.1, "license": 0.5}
 _PRECEDENCE = {"with": 3, "and": 2, "or": 1}
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*")
-_TAG_TEXT = re.compile(r"SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.I | re.A)
-_OPENER_TEXT = re.compile(r"(?:licensed|released|available|distributed)\s+under\s+([^\r\n]*)", re.I | re.A)
+#: What the raw text must hold where the automaton finds a tag or an opener; the expression begins behind it.
+_TAG_TEXT = re.compile(rb"SPDX-License-Identifier[ \t]*:[ \t]*", re.I)
+_OPENER_TEXT = re.compile(rb"(?:licensed|released|available|distributed)\s+under\s+", re.I)
+_LINE_END = re.compile(rb"[\r\n]")
+_NUMBER = re.compile(r"[\d.]+")
 _FILLER = {"the", "a", "an", "either", "terms", "of", "gnu", "license", "licence", "version", "v", "your", "choice"}
 
 
@@ -112,25 +118,50 @@ def evaluate(postfix: list[str]) -> tuple[set[str], float]:
     return stack[0]
 
 
-def expression(raw: str, notice: bool = False) -> tuple[set[str], float] | None:
-    """Evaluate the licence expression a line begins with; None without one. A notice skips filler words and ends at
-    the first word that is neither a licence name nor an operator."""
-    tokens = _TOKEN.findall(raw)
-    if notice:
-        kept = []
-        for token in tokens:
-            if token.lower().rstrip(".") in _FILLER or re.fullmatch(r"[\d.]+", token):
+def complete_length(tokens: Iterable[str]) -> tuple[list[str], int]:
+    """(tokens read, how many of them are the longest prefix that is a whole expression). Reading ends at the first token
+    that no expression can go on with."""
+    read, best, depth, want_operand = [], 0, 0, True
+    for token in tokens:
+        if token == "(":
+            if not want_operand:
+                break
+            depth += 1
+        elif token == ")":
+            if want_operand or not depth:
+                break
+            depth -= 1
+        elif token.lower() in _PRECEDENCE:
+            if want_operand:
+                break
+            want_operand = True
+        else:
+            if not want_operand:
+                break
+            want_operand = False
+        read.append(token)
+        if not depth and not want_operand:
+            best = len(read)
+    return read, best
+
+
+def expression_tokens(raw: str, notice: bool) -> Iterator[str]:
+    """Tokens of a text. A notice skips filler words and ends at the first word that is neither a licence name nor an
+    operator."""
+    for match in _TOKEN.finditer(raw):
+        token = match[0]
+        if notice:
+            if token.lower().rstrip(".") in _FILLER or _NUMBER.fullmatch(token):
                 continue
             if token not in "()" and token.lower() not in _PRECEDENCE and not license_name(token):
-                break
-            kept.append(token)
-        tokens = kept
-    while tokens:
-        try:
-            return evaluate(parse(tokens))
-        except BadExpression:
-            tokens = tokens[:-1]  # prose behind the expression
-    return None
+                return
+        yield token
+
+
+def expression(raw: str, notice: bool = False) -> tuple[set[str], float] | None:
+    """Evaluate the licence expression that a text begins with; None without one. What stands behind it is prose."""
+    tokens, length = complete_length(expression_tokens(raw, notice))
+    return evaluate(parse(tokens[:length])) if length else None
 
 
 @lru_cache(maxsize=1)
@@ -151,39 +182,53 @@ def automaton():
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def expression_texts(raw: bytes, flat: bytes, openers: list[tuple[int, bool]]) -> Iterator[tuple[str, bool]]:
+    """(text that an expression may begin, whether it is a notice's) behind each tag or opener, given by its first word:
+    up to the end of the line or the next tag or opener. ``flat`` has the bytes of ``raw`` with blanks outside words."""
+    if not openers:
+        return
+    blank = np.frombuffer(flat, np.uint8) == 32
+    word_starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
+    found = []
+    for word, notice in sorted(openers):
+        match = (_OPENER_TEXT if notice else _TAG_TEXT).match(raw, int(word_starts[word]))
+        if match:
+            found.append((match.start(), match.end(), notice))
+    ends = [start for start, _, _ in found[1:]] + [len(raw)]
+    for (_, begin, notice), end in zip(found, ends):
+        line = _LINE_END.search(raw, begin, max(begin, end))
+        yield raw[begin: line.start() if line else max(begin, end)].decode("utf-8"), notice
+
+
 def scan_text(text: str) -> tuple[int, int, int | None, int | None, str, str, float]:
     """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
-    words = text.encode("utf-8").translate(_WORD_BYTES).split(b" ")
-    words = [w for w in words if w]
+    raw = text.encode("utf-8")
+    flat = raw.translate(_WORD_BYTES)
+    words = [w for w in flat.split(b" ") if w]
     padded = " " + b" ".join(words).decode("utf-8") + " "
-    starts, base, labels, strict = [], set(), set(), 0.0
-    tag = opener = False
+    starts, base, labels, openers = [], set(), set(), []
     seen, spaces = 0, 0
     for end, values in automaton().iter(padded):
         for kind, label, size in values:
+            if kind == "notice":
+                labels.add(label)
+                continue
+            at = end - size + 1
+            # Matches come by their ends; the phrases are short, so stepping back is cheap.
+            spaces += padded.count(" ", seen, at) if at >= seen else -padded.count(" ", at, seen)
+            seen = at
             if kind == "base":
-                at = end - size + 1
-                # Matches come by their ends; the phrases are short, so stepping back is cheap.
-                spaces += padded.count(" ", seen, at) if at >= seen else -padded.count(" ", at, seen)
-                seen = at
                 starts.append(spaces)
                 base.add(label)
-            elif kind == "notice":
-                labels.add(label)
-            elif kind == "tag":
-                tag = True
             else:
-                opener = True
+                openers.append((spaces, kind == "opener"))
     labels |= base
     strict = max((_STRICT.get(x, 0.5) for x in labels), default=0.0)
-    if tag or opener:
-        pattern = ((_TAG_TEXT, False),) * tag + ((_OPENER_TEXT, True),) * opener
-        for regex, notice in pattern:
-            for match in regex.finditer(text):
-                result = expression(match[1], notice)
-                if result and (result[0] or not notice):
-                    labels |= result[0] or {"license"}
-                    strict = max(strict, result[1])
+    for part, notice in expression_texts(raw, flat, openers):
+        result = expression(part, notice)
+        if result and (result[0] or not notice):
+            labels |= result[0] or {"license"}
+            strict = max(strict, result[1])
     return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
             ",".join(sorted(labels)), round(strict, 6))
 
