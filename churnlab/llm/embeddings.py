@@ -2,11 +2,13 @@
 
 1. Equal vectors collapse to one class by digest (partial aggregate), so a
    vector that a third of all rows share is one row of the index.
-2. A bounded sample gives ``PIVOTS`` reference vectors that lie apart from each
-   other. Every class is described by its ``NEAREST`` nearest pivots in order.
-3. The inverted lists are kept per set of ``SHARED`` pivots: two vectors meet
-   in a list exactly if they share that many of their nearest pivots. Lists of
-   one vector drop out.
+2. A bounded sample of each vector length gives ``PIVOTS`` reference vectors that
+   lie apart from each other. Every class is described by its ``NEAREST`` nearest
+   pivots in order. Pivots are files in the shared folder that tasks read, so
+   neither the driver nor a plan holds anything per length.
+3. The inverted lists are kept per length and set of ``SHARED`` pivots: two
+   vectors of a length meet in a list exactly if they share that many of their
+   nearest pivots. Lists of one vector drop out.
 4. A list of more than ``BLOCK`` vectors is dealt out in blocks, one task unit
    per pair of blocks. A pair that shares more pivots meets in several lists
    and is verified in the one of its lowest shared pivots alone, so it counts
@@ -25,16 +27,23 @@ from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from churnlab.llm.common import map_arrow, materialize
+from churnlab.llm.common import map_arrow, materialize, remove_folder, shared_folder
 from churnlab.llm.components import component_roots
+from churnlab.llm.files import new_file, open_folder
 
 #: Reference vectors (at most 128: two mask words), how many describe a vector, how many a pair must share.
 PIVOTS, NEAREST, SHARED = 128, 6, 3
-#: Rows that the pivots are chosen from (a bounded sample by hash), and the cosine above which two pivots are too close.
+#: Vectors of a length that its pivots are chosen from (all, or about this many by hash), and the cosine above which two
+#: pivots are too close.
 PIVOT_SAMPLE, PIVOT_APART = 4096, 0.7
+#: A list key is a vector length and ``SHARED`` digits, each a pivot's number plus one (0: a length with fewer pivots).
+DIGITS, KEY_BITS = PIVOTS + 1, 24
+#: Lengths whose pivots a task keeps while it describes vectors.
+KEPT_LENGTHS = 8
 #: Vectors of one list that are compared in one block; lists up to ``SHORT`` are compared list-wise in bulk.
 BLOCK, SHORT = 512, 16
 
@@ -73,42 +82,75 @@ def vector_table(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return map_arrow(given, run, "id long, digest binary, dim int, vec binary")
 
 
-def describe(classes: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(rep, n, vec, m0, m1, keys): the pivot mask of each class and the keys of its inverted lists."""
-    nearest, shared = min(NEAREST, len(pivots)), min(SHARED, len(pivots))
-    picks = np.array(list(combinations(range(nearest), shared)))
+def pivot_files(classes: DataFrame, folder: str) -> DataFrame:
+    """(dim, file): the pivots of each vector length, chosen by one task per length from about ``PIVOT_SAMPLE`` classes of
+    the smallest hashes. Only files that the returned table names are read."""
+    sizes = classes.groupBy("dim").agg(F.count("*").alias("of_dim"))
+    low = F.col("rep").cast("double") < F.lit(-float(1 << 63)) + F.lit(float(1 << 64) * PIVOT_SAMPLE) / F.col("of_dim")
+    sample = classes.select("dim", "rep", "vec").join(sizes, "dim").where((F.col("of_dim") <= PIVOT_SAMPLE) | low).drop("of_dim")
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        pivots = choose_pivots(unit(group.sort_values("rep")["vec"].tolist()))
+        name, out = new_file(folder, ".pivots")
+        with out:
+            out.write(pivots.tobytes())
+        return pd.DataFrame({"dim": [group["dim"].iloc[0]], "file": [name]})
+
+    return materialize(sample.groupBy("dim").applyInPandas(choose, "dim int, file string"))
+
+
+def describe(classes: DataFrame, folder: str) -> DataFrame:
+    """(rep, n, vec, m0, m1, keys) of classes (rep, n, dim, vec, file): the pivot mask of each class and the keys of its
+    inverted lists."""
+    def lists(raw: list[bytes], dim: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        nearest, shared = min(NEAREST, len(pivots)), min(SHARED, len(pivots))
+        near = np.argsort(-(unit(raw) @ pivots.T), axis=1, kind="stable")[:, :nearest]
+        bits = np.zeros((len(near), 2), np.uint64)
+        for k in range(nearest):
+            bits[np.arange(len(near)), near[:, k] // 64] |= np.uint64(1) << (near[:, k] % 64).astype(np.uint64)
+        members = np.sort(near, axis=1)[:, np.array(list(combinations(range(nearest), shared)))]  # row, list, rising pivots
+        digits = np.zeros(members.shape[:2], np.int64)
+        for k in range(shared):
+            digits = digits * DIGITS + members[:, :, k] + 1
+        return bits, digits + (dim << KEY_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = open_folder(folder)
+        held: dict[str, np.ndarray] = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = np.argsort(-(unit(batch.column("vec").to_pylist()) @ pivots.T), axis=1, kind="stable")[:, :nearest]
-            bits = np.zeros((len(near), 2), np.uint64)
-            for k in range(nearest):
-                bits[np.arange(len(near)), near[:, k] // 64] |= np.uint64(1) << (near[:, k] % 64).astype(np.uint64)
-            members = np.sort(near, axis=1)[:, picks]  # row, list, pivots of the list in rising order
-            keys = np.zeros(members.shape[:2], np.int64)
-            for k in range(shared):
-                keys = keys * PIVOTS + members[:, :, k]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(near) + 1) * len(picks), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("n"), batch.column("vec"),
-                                              *[pa.array(bits[:, w].copy().view(np.int64)) for w in (0, 1)], lists],
-                                             ["rep", "n", "vec", "m0", "m1", "keys"])
+            names, dims = np.array(batch.column("file").to_pylist(), object), batch.column("dim").to_numpy()
+            for name in dict.fromkeys(names):
+                part = batch.take(pa.array(np.flatnonzero(names == name)))
+                dim = int(part.column("dim")[0].as_py())
+                if name not in held:
+                    if len(held) >= KEPT_LENGTHS:
+                        held.pop(next(iter(held)))
+                    with fs.open_input_file(f"{path}/{name}") as f:
+                        held[name] = np.frombuffer(f.read(), np.float64).reshape(-1, dim)
+                bits, keys = lists(part.column("vec").to_pylist(), dim, held[name])
+                at = pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("n"), part.column("vec"),
+                                                  *[pa.array(bits[:, w].copy().view(np.int64)) for w in (0, 1)],
+                                                  pa.ListArray.from_arrays(at, pa.array(keys.ravel()))],
+                                                 ["rep", "n", "vec", "m0", "m1", "keys"])
 
     return map_arrow(classes, run, "rep long, n long, vec binary, m0 long, m1 long, keys array<long>")
 
 
-def _key_masks(keys: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+def _key_masks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Per key: mask words of its pivots, and of all pivots up to its highest."""
-    own, upto, rest = np.zeros((len(keys), 2), np.uint64), np.zeros((len(keys), 2), np.uint64), keys.copy()
-    for k in range(shared):
-        pivot, rest = rest % PIVOTS, rest // PIVOTS
-        own[np.arange(len(keys)), pivot // 64] |= np.uint64(1) << (pivot % 64).astype(np.uint64)
-        if k == 0:  # the last one written is the highest
-            high = pivot // 64 == 1
-            low_bits = ((np.uint64(2) << (pivot % 64).astype(np.uint64)) - np.uint64(1))
-            upto[:, 0] = np.where(high, np.uint64(2**64 - 1), low_bits)
-            upto[:, 1] = np.where(high, low_bits, np.uint64(0))
+    own, upto = np.zeros((len(keys), 2), np.uint64), np.zeros((len(keys), 2), np.uint64)
+    rest = keys & ((1 << KEY_BITS) - 1)
+    for k in range(SHARED):
+        digit, rest = rest % DIGITS, rest // DIGITS
+        at = np.flatnonzero(digit)
+        pivot = digit[at] - 1
+        bit = np.uint64(1) << (pivot % 64).astype(np.uint64)
+        own[at, pivot // 64] |= bit
+        if k == 0:  # the last digit is the highest pivot
+            high, low_bits = pivot >= 64, bit | (bit - np.uint64(1))
+            upto[at, 0] = np.where(high, np.uint64(2**64 - 1), low_bits)
+            upto[at, 1] = np.where(high, low_bits, np.uint64(0))
     return own, upto
 
 
@@ -127,7 +169,7 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(units: DataFrame, threshold: float, shared: int) -> DataFrame:
+def _verify(units: DataFrame, threshold: float) -> DataFrame:
     """Links of the list blocks: rows (a, b, null) connect, rows (a, null, w) add w links to a."""
     def rows_of(batch: pa.RecordBatch) -> dict:
         out = {c: batch.column(c).to_numpy() for c in ("key", "bi", "bj", "b", "rep", "n")}
@@ -139,7 +181,7 @@ def _verify(units: DataFrame, threshold: float, shared: int) -> DataFrame:
         same = (r["key"][1:] == r["key"][:-1]) & (r["bi"][1:] == r["bi"][:-1]) & (r["bj"][1:] == r["bj"][:-1])
         start = np.concatenate(([0], np.flatnonzero(~same) + 1, [len(r["key"])]))
         size = np.diff(start)
-        own, upto = _key_masks(r["key"], shared)
+        own, upto = _key_masks(r["key"])
         weight, edges = np.zeros(len(r["key"]), np.int64), []
         short = (size <= SHORT) & (r["bi"][start[:-1]] == r["bj"][start[:-1]])
         is_short, group = np.repeat(short, size), np.repeat(np.arange(len(size)), size)
@@ -176,16 +218,22 @@ def _verify(units: DataFrame, threshold: float, shared: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the list that may go on in the next batch
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            r = rows_of(batch)
-            if held is not None:
-                r = {k: np.concatenate((held[k], r[k])) for k in r}
-            last = (r["key"] == r["key"][-1]) & (r["bi"] == r["bi"][-1]) & (r["bj"] == r["bj"][-1])
-            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
-            held = {k: v[cut:] for k, v in r.items()}
-            if cut:
-                yield links({k: v[:cut] for k, v in r.items()})
+            dims = batch.column("key").to_numpy() >> KEY_BITS  # sorted by key: vectors of one length lie together
+            ends = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            for a, b in zip(ends, ends[1:]):
+                if a == b:
+                    continue
+                r = rows_of(batch.slice(a, b - a))
+                if held is not None and held["key"][0] >> KEY_BITS != dims[a]:
+                    yield links(held)
+                    held = None
+                if held is not None:
+                    r = {k: np.concatenate((held[k], r[k])) for k in r}
+                last = (r["key"] == r["key"][-1]) & (r["bi"] == r["bi"][-1]) & (r["bj"] == r["bj"][-1])
+                cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+                held = {k: v[cut:] for k, v in r.items()}
+                if cut:
+                    yield links({k: v[:cut] for k, v in r.items()})
         if held is not None:
             yield links(held)
 
@@ -195,41 +243,39 @@ def _verify(units: DataFrame, threshold: float, shared: int) -> DataFrame:
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept.
 
-    Two vectors are linked where their cosine is at least ``threshold``. Null
-    and zero vectors, vectors with null or non-finite components, of another
-    length than most, or without an id have no links and are components of
-    their own. Rows that repeat an id are vectors of their own with that id.
+    Two vectors of one length are linked where their cosine is at least
+    ``threshold``; vectors of different lengths are not. Null and zero vectors,
+    vectors with null or non-finite components or without an id have no links and
+    are components of their own. Rows that repeat an id are vectors of their own
+    with that id.
     An empty table gives no rows; other columns are ignored.
     """
     table = materialize(vector_table(vectors, id_col, vec_col))
-    common = table.where("dim is not null").groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    dim = common["dim"] if common else 0
-    usable = table.where(F.col("dim") == dim)
+    usable = table.where("dim is not null")
     # Rows that repeat an id may hold different vectors: a class is named by its smallest id and its digest.
     classes = usable.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    one = usable.select("digest", F.col("id").alias("least"), "vec").dropDuplicates(["digest", "least"])
+    one = usable.select("digest", F.col("id").alias("least"), "dim", "vec").dropDuplicates(["digest", "least"])
     classes = materialize(classes.join(one, ["digest", "least"]).withColumn("rep", F.xxhash64("digest")))
-    sample = classes.orderBy("rep").limit(PIVOT_SAMPLE).select("vec").collect()
-    pivots = choose_pivots(unit([r.vec for r in sample])) if sample else np.zeros((0, 1))
-    found = described_links(classes, pivots, threshold)
+    found = described_links(classes, threshold)
     weights = found.where("w is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("w"))
     roots = component_roots(found.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
     named = classes.select("digest", "least", "n", "rep").join(weights, "rep", "left").join(roots, "rep", "left")
     named = named.withColumn("root", F.coalesce("root", "rep"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     facts = named.join(least, "root").select("digest", (F.col("n") - 1 + F.coalesce("w", F.lit(0))).alias("n_links"), "component_id")
-    out = table.select("id", F.when(F.col("dim") == dim, F.col("digest")).alias("digest")).join(facts, "digest", "left")
+    out = table.select("id", "digest").join(facts, "digest", "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def described_links(classes: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+def described_links(classes: DataFrame, threshold: float) -> DataFrame:
     """Retrieve through the inverted lists and verify; see ``_verify`` for the rows."""
     spark = classes.sparkSession
-    if not len(pivots):
-        return spark.createDataFrame([], "a long, b long, w long")
-    index = materialize(describe(classes.select("rep", "n", "vec"), pivots))
+    folder = shared_folder(spark, "pivots")
+    described = classes.select("rep", "n", "dim", "vec").join(pivot_files(classes, folder), "dim")
+    index = materialize(describe(described, folder))
+    remove_folder(spark, folder)
     posted = index.select(F.explode("keys").alias("key"), "rep")
     lists = posted.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -240,7 +286,7 @@ def described_links(classes: DataFrame, pivots: np.ndarray, threshold: float) ->
         "key", "rep", "b", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"))
     units = units.join(index.select("rep", "n", "vec", "m0", "m1"), "rep")
     units = units.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    return materialize(_verify(units, threshold, min(SHARED, len(pivots))))
+    return materialize(_verify(units, threshold))
 
 
 def recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
@@ -250,16 +296,17 @@ def recall(vectors: DataFrame, result: DataFrame, id_col: str = "vec_id", vec_co
     table = vector_table(vectors, id_col, vec_col).where("digest is not null")
     queries = table.where(F.col("id") % every == 0)
     total = 0
-    wanted = queries.select("id", "vec").toPandas()
-    for a in range(0, len(wanted), 4096):
-        q = unit(wanted.vec.iloc[a: a + 4096].tolist())
-
-        def count(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = unit(batch.column("vec").to_pylist())
-                    yield pa.RecordBatch.from_arrays([pa.array([int((x @ q.T >= threshold).sum())])], ["n"])
-
-        total += (map_arrow(table.select("vec"), count, "n long").agg(F.sum("n")).first()[0] or 0) - len(q)
+    wanted = queries.select("dim", "vec").toPandas()
+    for dim, of_dim in wanted.groupby("dim"):
+        for a in range(0, len(of_dim), 4096):
+            q = unit(of_dim.vec.iloc[a: a + 4096].tolist())
+
+            def count(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    if batch.num_rows:
+                        x = unit(batch.column("vec").to_pylist())
+                        yield pa.RecordBatch.from_arrays([pa.array([int((x @ q.T >= threshold).sum())])], ["n"])
+
+            total += (map_arrow(table.where(F.col("dim") == int(dim)).select("vec"), count, "n long").agg(F.sum("n")).first()[0] or 0) - len(q)
     found = result.where(F.col(id_col) % every == 0).agg(F.sum("n_links")).first()[0] or 0
     return found / total if total else 1.0

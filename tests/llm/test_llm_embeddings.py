@@ -14,9 +14,7 @@ COLUMNS = "vec_id long, embedding array<double>, digest int, n int"
 
 def brute(rows, threshold=0.95):
     """{(id, links, component)} of (id, vector or None) rows, each a vector of its own."""
-    dims = [len(v) for _, v in rows if v]
-    dim = max(sorted(set(dims)), key=dims.count) if dims else 0
-    ok = [i is not None and v is not None and len(v) == dim and None not in v and np.isfinite(np.array(v, float)).all() and any(v) for i, v in rows]
+    ok = [i is not None and v is not None and None not in v and np.isfinite(np.array(v, float)).all() and any(v) for i, v in rows]
     unit = lambda v: (v / abs(v).max()) / np.linalg.norm(v / abs(v).max())
     x = [unit(np.array(v, float)) if o else None for (_, v), o in zip(rows, ok)]
     top = list(range(len(rows)))
@@ -29,7 +27,7 @@ def brute(rows, threshold=0.95):
 
     for a in range(len(rows)):
         for b in range(a):
-            if ok[a] and ok[b] and x[a] @ x[b] >= threshold:
+            if ok[a] and ok[b] and len(x[a]) == len(x[b]) and x[a] @ x[b] >= threshold:
                 links[a] += 1
                 links[b] += 1
                 top[root(a)] = root(b)
@@ -98,3 +96,30 @@ def test_recall_on_many_pairs_at_the_threshold():
     near = [np.argsort(-(x @ pivots.T), axis=1)[:, : embeddings.NEAREST] for x in (v, other)]
     shared = np.array([len(set(a) & set(b)) for a, b in zip(*near)])
     assert len(pivots) == embeddings.PIVOTS and (shared >= embeddings.SHARED).mean() >= 0.97
+
+
+def test_every_vector_length_has_links_of_its_own(spark, monkeypatch):
+    """Many lengths, one of them frequent, one with a single vector, some with fewer pivots than a pair must share."""
+    monkeypatch.setattr(embeddings, "KEPT_LENGTHS", 2)
+    rng, rows = np.random.default_rng(2), []
+    for dim, groups in ((1, 3), (2, 4), (3, 9), (16, 30), (40, 5), (7, 1)):
+        for _ in range(groups):
+            centre = rng.normal(size=dim)
+            rows += [centre + 0.01 * rng.normal(size=dim) for _ in range(int(rng.integers(2, 9)))]
+    rows += [rows[-1], rows[0], rng.normal(size=11)]
+    rows = [(int(i), rows[k].tolist()) for i, k in enumerate(rng.permutation(len(rows)))] + [(900, [1.0, 2.0, 3.0]), (901, [1.0, 2.0, 3.0])]
+    result = embeddings.near_duplicates(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], COLUMNS).repartition(3))
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in result.collect()), key=str)
+    want = brute(rows)
+    assert [(i, c) for i, _, c in got] == [(i, c) for i, _, c in want]
+    assert all(g[1] <= w[1] for g, w in zip(got, want)) and sum(n for _, n, _ in got) >= 0.98 * sum(n for _, n, _ in want)
+    given = spark.createDataFrame([(i, v, 0, 0) for i, v in rows], COLUMNS)
+    assert 0.9 <= embeddings.recall(given, result) <= 1.0
+
+
+def test_pivots_come_from_a_bounded_sample(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PIVOT_SAMPLE", 40)
+    rows = clusters()
+    result = embeddings.near_duplicates(spark.createDataFrame([(i, v, 0, 0) for i, v in rows], COLUMNS)).collect()
+    want = {i: n for i, n, _ in brute(rows)}
+    assert all(r.n_links <= want[r.vec_id] for r in result) and sum(r.n_links for r in result) >= 0.9 * sum(want.values())
