@@ -27,9 +27,9 @@ from churnlab.llm.common import map_arrow, slices, utf8
 ORDERS = (3, 5)
 HASHES = 3
 ROWS_LOG2 = 20
-#: Languages that a mask has bits for; the most frequent ones are learned.
-MAX_LANGUAGES = 64
-#: Labelled documents that are learned from, per language (a bounded sample, by hash of the id).
+#: Bits of a mask word where there are more languages than one word has bits; fewer get the smallest word that holds them.
+WORD_BITS = 64
+#: Labelled documents that are learned from, per language (about this many, by hash of id and text).
 SAMPLE_PER_LANGUAGE = 2000
 #: N-grams that enter the filter, per language and order (the most frequent ones).
 GRAMS_PER_LANGUAGE = 60_000
@@ -65,9 +65,15 @@ def filter_rows(codes: np.ndarray, order: int, rows_log2: int) -> list[np.ndarra
     return [(mixed * m) >> np.uint64(64 - rows_log2) for m in _MIX[1: HASHES + 1]]
 
 
+def language_bit(masks: np.ndarray, k: int) -> np.ndarray:
+    """0 or 1 per row of mask words: the bit of language ``k``."""
+    one = masks.dtype.type(1)
+    return (masks[:, k // WORD_BITS] >> masks.dtype.type(k % WORD_BITS)) & one
+
+
 @dataclass(frozen=True)
 class Filters:
-    """Languages (bit 0 first), filter rows as bit masks, chance of a false answer per language."""
+    """Languages (bit 0 of word 0 first), filter rows as mask words (row, word), chance of a false answer per language."""
 
     languages: tuple[str, ...]
     rows: np.ndarray
@@ -81,7 +87,7 @@ class Filters:
         votes, grams = np.zeros((texts, n)), np.zeros(texts, np.int64)
         for order in self.orders:
             codes = gram_codes(data, order)
-            known = np.full(len(codes), np.array(-1).astype(self.rows.dtype))
+            known = np.full((len(codes), self.rows.shape[1]), np.iinfo(self.rows.dtype).max, self.rows.dtype)
             for row in filter_rows(codes, order, self.rows_log2):
                 known &= self.rows[row]
             first, last = np.minimum(at[:-1], len(codes)), np.clip(at[1:] - order + 1, 0, len(codes))
@@ -89,7 +95,7 @@ class Filters:
             size = last - first
             grams += size
             for k in range(n):
-                upto = np.concatenate(([0], np.cumsum((known >> self.rows.dtype.type(k)) & self.rows.dtype.type(1), dtype=np.int64)))
+                upto = np.concatenate(([0], np.cumsum(language_bit(known, k), dtype=np.int64)))
                 false = self.false_rate[k]
                 votes[:, k] += np.maximum(0.0, (upto[last] - upto[first] - size * false) / (1 - false))
         return votes, grams
@@ -99,21 +105,22 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           sample_per_language: int = SAMPLE_PER_LANGUAGE, rows_log2: int = ROWS_LOG2) -> Filters:
     """Fit the filters on a bounded sample of the rows with a language.
 
-    The sample keeps the rows whose hashed id falls below bound / rows of the
-    language. Only n-grams of the sample, at most ``GRAMS_PER_LANGUAGE`` per
-    language and order, reach the driver.
+    The sample keeps the rows whose hashed id and text fall below bound / rows of
+    the language, so rows that share an id are drawn one by one (equal rows
+    together). All languages are learned. Only n-grams of the sample, at most
+    ``GRAMS_PER_LANGUAGE`` per language and order, reach the driver; the filter
+    has ``2**rows_log2`` rows of a bit per language.
     """
     labelled = docs.where(F.col(lang_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = tuple(sorted(r.lang for r in counts))
+    counts = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())  # a row per language
+    languages = tuple(lang for lang, _ in counts)
     if not languages:
-        return Filters((), np.zeros(1 << rows_log2, np.uint8), np.zeros(0), rows_log2, ORDERS)
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample_per_language / r["count"])).otherwise(share)
-    number = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang")).cast("int") - 1
-    sample = labelled.where((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)) < share).select("text", number.alias("k"))
+        return Filters((), np.zeros((1 << rows_log2, 1), np.uint8), np.zeros(0), rows_log2, ORDERS)
+    facts = docs.sparkSession.createDataFrame(
+        [(lang, k, min(1.0, sample_per_language / n)) for k, (lang, n) in enumerate(counts)], "lang string, k int, share double")
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) / float(1 << 20)
+    sample = labelled.join(F.broadcast(facts), "lang").where(drawn < F.col("share")).select("text", "k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,17 +140,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     grams = map_arrow(sample, run, "k int, o int, code long, n long").groupBy("k", "o", "code").agg(F.sum("n").alias("n"))
     grams = grams.where(~F.col("code").isin([int("20" * order, 16) for order in ORDERS]))  # white space alone
     total = grams.groupBy("k", "o").agg(F.sum("n").alias("total"))
-    rate = grams.join(F.broadcast(total), ["k", "o"]).withColumn("rate", F.col("n") / F.col("total"))  # at most 64 x 2 rows
+    rate = grams.join(F.broadcast(total), ["k", "o"]).withColumn("rate", F.col("n") / F.col("total"))  # a row per language and order
     highest = rate.groupBy("o", "code").agg(F.max("rate").alias("highest"))
     held = rate.join(highest, ["o", "code"]).where((F.col("rate") >= CONTAINED_SHARE * F.col("highest")) & (F.col("n") > 1))
     place = F.row_number().over(Window.partitionBy("k", "o").orderBy(F.desc("n"), "code"))  # over a bounded sample
     chosen = held.withColumn("place", place).where(F.col("place") <= GRAMS_PER_LANGUAGE).select("k", "o", "code").toPandas()
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-    rows = np.zeros(1 << rows_log2, kind)
+    kind = next((t for t in (np.uint8, np.uint16, np.uint32) if np.dtype(t).itemsize * 8 >= len(languages)), np.uint64)
+    rows = np.zeros((1 << rows_log2, -(-len(languages) // WORD_BITS)), kind)
     for (k, order), part in chosen.groupby(["k", "o"]):
         for row in filter_rows(part.code.to_numpy().astype(np.int64).view(np.uint64), int(order), rows_log2):
-            rows[row] |= kind(1) << kind(k)
-    fill = np.array([np.count_nonzero(rows >> kind(k) & kind(1)) / len(rows) for k in range(len(languages))])
+            rows[row, k // WORD_BITS] |= kind(1) << kind(k % WORD_BITS)
+    fill = np.array([np.count_nonzero(language_bit(rows, k)) / len(rows) for k in range(len(languages))])
     return Filters(languages, rows, fill ** HASHES, rows_log2, ORDERS)
 
 

@@ -58,11 +58,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document; learned from rows with crc32(doc_id) mod 3 other than 1."""
+    """doc_id, held_out, lang_pred, score of every document; learned from rows with crc32(doc_id) mod 3 other than 1.
+    A row without an id is neither held out nor learned from."""
     docs = read_table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 3, 1)
     found = langid.predict(docs, langid.learn(docs.where(~held)))
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 @query
@@ -75,11 +76,12 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document; learned from rows with crc32(doc_id) mod 4 other than 2."""
+    """doc_id, held_out, score, predicted of every document; learned from rows with crc32(doc_id) mod 4 other than 2.
+    A row without an id is neither held out nor learned from."""
     docs = read_table(spark, sf_dir, "documents")
     held = held_out(F.col("doc_id"), 4, 2)
     model = toxicity.learn(docs.where(~held), read_table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 @query

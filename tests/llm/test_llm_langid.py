@@ -51,7 +51,52 @@ def test_filter_answers_for_all_languages():
     for k, text in enumerate((b" abc ", b" abd ")):
         for row in langid.filter_rows(langid.gram_codes(np.frombuffer(text, np.uint8), 3), 3, 12):
             rows[row] |= 1 << k
-    filters = langid.Filters(("x", "y"), rows, np.zeros(2), 12, (3,))
+    filters = langid.Filters(("x", "y"), rows[:, None], np.zeros(2), 12, (3,))
     votes, grams = filters.votes(data, at)
     assert grams.tolist() == [3, 0, 7]
     assert votes[0].tolist() == [3, 1] and votes[1].tolist() == [0, 0]
+
+
+def _words(k, n, seed=1):
+    """Text of a made-up language: words over three letters of its own order."""
+    rng = np.random.default_rng(seed * 1000 + k)
+    letters = np.random.default_rng(k).permutation(list("abcdefghijklmnopqrstuvwxyz"))[:5]
+    return " ".join("".join(rng.choice(letters, 6)) for _ in range(n))
+
+
+def test_more_languages_than_a_word_has_bits(spark):
+    languages = [f"l{k:02d}" for k in range(70)]
+    train = [(100 * k + i, _words(k, 60, i + 2), lang) for k, lang in enumerate(languages) for i in range(6)]
+    filters = langid.learn(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    assert filters.languages == tuple(languages) and filters.rows.shape == (1 << langid.ROWS_LOG2, 2)
+    docs = spark.createDataFrame([(k, _words(k, 80)) for k in range(70)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(docs, filters).collect()} == dict(enumerate(languages))
+
+
+def test_mask_words_answer_for_their_languages():
+    """Votes from two mask words equal those of one language at a time."""
+    data = np.frombuffer(b" some bytes of a text ", np.uint8)
+    at = np.array([0, 10, len(data)])
+    rows = np.random.default_rng(0).integers(0, 2 ** 63, (1 << 8, 2), np.uint64) * np.uint64(2)
+    whole, grams = langid.Filters(tuple(map(str, range(128))), rows, np.full(128, 0.1), 8, (3,)).votes(data, at)
+    for k in (0, 1, 63, 64, 65, 127):
+        single = langid.language_bit(rows, k)[:, None].astype(np.uint8)
+        votes, same = langid.Filters(("x",), single, np.full(1, 0.1), 8, (3,)).votes(data, at)
+        assert (votes[:, 0] == whole[:, k]).all() and (same == grams).all()
+
+
+def test_rows_that_share_an_id_are_drawn_one_by_one(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(langid, "map_arrow", lambda df, *a, **k: (seen.append(df.count()), real(df, *a, **k))[1])
+    from churnlab.llm.common import map_arrow as real
+    docs = spark.createDataFrame([(7, _words(1, 8, i), "x") for i in range(3000)] + [(i, _words(2, 8, i), "y") for i in range(40)],
+                                 "doc_id long, text string, lang string")
+    langid.learn(docs, sample_per_language=200)
+    assert 140 + 40 <= seen[0] <= 260 + 40
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    rows = [(None, "the cat and the dog of the house", "en")] * 2 + [(i, f"the cat {i} and the dog of the house", "en") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["op5_language_id"](spark, str(tmp_path)).collect()
+    assert [r.held_out for r in got if r.doc_id is None] == [False, False] and len(got) == 32
