@@ -252,7 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Two thirds of them (by hash of the id) teach the lexicon, one third the
     calibration. Rows without a label or id are ignored; a document with several
-    labels counts as toxic if one of them says so. Without a toxic or a clean
+    labels counts as toxic if one of them says so. At most about ``LEARN_ROWS``
+    ids, and of their rows as many different texts, are drawn by hash; equal rows
+    of an id are drawn together and calibrate once. Without a toxic or a clean
     document the lexicon is empty and all scores are equal.
     """
     label = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
@@ -260,9 +262,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = min(1.0, LEARN_ROWS / max(1, label.count()))
     chosen = label.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
     joined = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    # An id may have any number of rows: what is drawn is bounded by different rows, not by ids.
+    joined = joined.withColumn("h", F.xxhash64("text"))
+    share = min(1.0, LEARN_ROWS / max(1, joined.select("id", "h").distinct().count()))
+    joined = joined.where(F.pmod(F.xxhash64("id", "h", F.lit("row")), F.lit(1 << 20)) < int(share * (1 << 20)))
     third = F.pmod(F.xxhash64("id", F.lit("calibration")), F.lit(3)) == 0
-    insults = learn_lexicon(joined.where(~third))
-    rows = raw_scores(joined.where(third), insults, ["toxic"]).toPandas()
+    insults = learn_lexicon(joined.where(~third).drop("h"))
+    rows = raw_scores(joined.where(third), insults, ["id", "h", "toxic"]).dropDuplicates(["id", "h"]).toPandas()
     if not len(rows):
         return Model(insults, (0.0, 0.0, 0.0))
     x = np.column_stack(features(rows.raw.to_numpy(), rows.words.to_numpy()))

@@ -77,3 +77,24 @@ def test_edge_rows(spark):
     empty = toxicity.learn(docs, labels)
     assert empty.insults == {} and {r.score for r in toxicity.score(docs, empty).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), model).collect() == []
+
+
+def test_learning_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled id with any number of rows: different texts are drawn, equal rows calibrate once."""
+    seen = []
+    real = toxicity.fit_logistic
+    monkeypatch.setattr(toxicity, "LEARN_ROWS", 300)
+    monkeypatch.setattr(toxicity, "fit_logistic", lambda x, y: (seen.append(len(y)), real(x, y))[1])
+    rows = [(i, f"you are a zonk {k} today") for i in (1, 2, 3, 4) for k in range(1500)] + [(5, "a quiet day"), (6, "a quiet day")] * 2000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 5)) for i in range(1, 7)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels)
+    assert sum(seen) <= 400
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    docs = [(None, "you moron"), (None, None)] + [(i, f"plain text {i}") for i in range(30)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(30)] + [(None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = QUERIES["op7_toxicity"](spark, str(tmp_path)).collect()
+    assert [r.held_out for r in got if r.doc_id is None] == [False, False] and len(got) == 32
