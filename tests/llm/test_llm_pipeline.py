@@ -35,7 +35,7 @@ def rows(df):
 
 def test_entry_has_all_queries():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")}
     assert names["pipeline"] is pipeline.run and set(ORACLE) <= set(entry.oracle_sql()) and set(QUERIES) <= set(names)
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "simhash_near_dedup", "substring_dedup", "decontamination", "best_fit_packing"]
 
