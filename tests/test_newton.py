@@ -136,3 +136,30 @@ def test_recipes_that_grow_by_newton_rounds(ph):
         assert model.getNumTrees == most + 1
         assert all(t.numNodes <= 2 * (recipe.params["maxLeaves"] or 1 << 20) - 1 for t in model.trees)
         assert all(t.depth <= recipe.params.get("maxDepth", newton.DEEPEST) for t in model.trees)
+
+
+def test_rows_are_binned_once_for_all_rounds(rows, monkeypatch):
+    """Rounds pass over cached bins: Spark's tree fit, which looks for thresholds and bins all rows anew, isn't called per round."""
+    fits, fit = [], newton.DecisionTreeRegressor.fit
+    monkeypatch.setattr(newton.DecisionTreeRegressor, "fit", lambda self, *a, **k: fits.append(self.getMaxDepth()) or fit(self, *a, **k))
+    model, _ = newton.newton_rounds(rows, newton.Growth(leaves=4), 3)
+    assert model.getNumTrees == 4 and fits == [0]
+
+
+def test_gradient_rounds_are_the_boosted_fit(rows):
+    """The rounds on bins score all rows as Spark's classifier does."""
+    from pyspark.ml.classification import GBTClassifier
+    spark_fit = GBTClassifier(weightCol="weight", maxIter=4, maxDepth=3, stepSize=0.3, maxBins=512).fit(rows)
+    growth = newton.Growth(step=0.3, leaves=None, depth=3, least_rows=1, bins=512)
+    assert np.allclose(margins(newton.gradient_rounds(rows, growth, 4), rows), margins(spark_fit, rows), atol=1e-6)
+
+
+def test_thresholds_are_spread_over_the_rows():
+    from churnlab.operators import histograms
+    few = histograms.thresholds(np.array([1.0, 2.0, 4.0]), np.array([5, 1, 1]), 255)
+    assert few.tolist() == [1.5, 3.0]
+    many = histograms.thresholds(np.arange(1000.0), np.ones(1000, int), 10)
+    assert len(many) == 9 and max(np.diff(many)) < 110
+    parts = [[histograms._shorter(*np.unique(np.random.default_rng(k).normal(size=9000), return_counts=True))] for k in range(3)]
+    values, counts = histograms._merged(histograms._merged(parts[0], parts[1]), parts[2])[0]
+    assert counts.sum() == 27000 and len(values) <= histograms.SUMMARY and abs(np.interp(13500, np.cumsum(counts), values)) < 0.05
