@@ -5,7 +5,9 @@
    first. A cut depends on the bytes around it alone, so an insertion moves the
    cuts next to it and no others, and chunks are whole words where a text has
    words.
-2. Chunks travel as 128-bit digests with their place, never as text. A partial
+2. Chunks travel as digests with their place, never as text: 128 bits where a
+   chunk may make up most of a window, 64 bits otherwise, so that every window
+   stands for 128 bits at least and the shuffled rows are small. A partial
    aggregate finds the digests that several documents hold and the document
    that keeps each of them (the smallest id). A digest that a third of all
    documents hold is one row of that table, and the join that marks its copies
@@ -97,9 +99,13 @@ def cut_places(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nd
 CHUNKS = "id {id}, k long, d0 long, d1 long, at int, length int, words int"
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
+def chunk_table(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per chunk of (id, k, text): id, k, digest (d0, d1), offset and length in bytes, and
-    twice the words that begin in it, plus 1 if it begins inside a word."""
+    twice the words that begin in it, plus 1 if it begins inside a word.
+
+    ``d1`` is 0 in chunks that hold less than half the words of a window: such a
+    window has several chunks, whose digests are compared together.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
@@ -116,8 +122,10 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                 solid = ~_SPACE[data] & (data != 0)
                 opens = np.concatenate(([0], np.cumsum(solid & ~np.concatenate(([False], solid[:-1])))))
                 joined = (cuts > start[row]) & solid[cuts] & solid[cuts - 1]
-                columns = [digests[:, 0].copy(), digests[:, 1].copy(), (cuts - start[row]).astype(np.int32),
-                           (ends - cuts).astype(np.int32), (2 * (opens[ends] - opens[cuts]) + joined).astype(np.int32)]
+                words = opens[ends] - opens[cuts]
+                second = np.where(2 * (words + joined) < min_words, 0, digests[:, 1])
+                columns = [digests[:, 0].copy(), second, (cuts - start[row]).astype(np.int32),
+                           (ends - cuts).astype(np.int32), (2 * words + joined).astype(np.int32)]
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(pa.array(row)) for c in ("id", "k")], *map(pa.array, columns)],
                                                  ["id", "k", "d0", "d1", "at", "length", "words"])
 
@@ -219,7 +227,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def keyed_passages(docs: DataFrame, min_words: int = MIN_WORDS, null_ids: bool = False) -> DataFrame:
     """``repeated_passages`` of (id, k, text) with ``row_keys`` k: id, k, start, length, words, first_id."""
-    windows = window_table(_holders(chunk_table(docs), null_ids), min_words)
+    windows = window_table(_holders(chunk_table(docs, min_words), null_ids), min_words)
     marked = _holders(windows, null_ids).where(_later(null_ids))
     per_doc = marked.groupBy("id", "k").agg(F.array_sort(F.collect_list(F.struct("at", "stop", "opens", "closes", "least"))).alias("windows"))
     kind = docs.schema["id"].dataType.simpleString()

@@ -126,3 +126,17 @@ def test_edge_rows_and_cut_texts(spark):
     assert all(len(t) < 80 for t in by_id.get(6, []))
     assert substring.repeated_passages(docs.limit(0)).collect() == [] and substring.without_repeats(docs.limit(0)).collect() == []
     assert substring.without_repeats(docs).columns == docs.columns
+
+
+def test_digests_are_long_only_where_a_chunk_may_be_half_a_window(spark):
+    words = " ".join(f"word{i * 7919 % 1000}" for i in range(60))
+    letters = "a" + " a" * 40  # one chunk of 41 words
+    docs = [(1, 0, f"{words}. {letters}"), (2, 0, f"{letters} {words}"), (3, 0, letters), (4, 0, letters)]
+    frame = spark.createDataFrame(docs, "id long, k long, text string")
+    rows = substring.chunk_table(frame, 25).collect()
+    few = [r for r in rows if r.words // 2 + r.words % 2 < 12.5]
+    assert few and all(r.d1 == 0 for r in few)  # these make up the shuffle
+    assert {r.d1 != 0 for r in rows if r not in few} == {True}
+    assert sum(r not in few for r in rows) >= 4
+    found = substring.repeated_passages(frame.select(frame.id.alias("doc_id"), "text"), min_words=25).collect()
+    assert {(r.doc_id, r.first_id) for r in found} >= {(2, 1), (4, 2)}
