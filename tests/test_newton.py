@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from churnlab.operators import models as ml, newton, trees
+from churnlab.operators import histograms, models as ml, newton, trees
 from churnlab.operators.prep import fit_preprocessor
 
 
@@ -163,3 +165,22 @@ def test_thresholds_are_spread_over_the_rows():
     parts = [[histograms._shorter(*np.unique(np.random.default_rng(k).normal(size=9000), return_counts=True))] for k in range(3)]
     values, counts = histograms._merged(histograms._merged(parts[0], parts[1]), parts[2])[0]
     assert counts.sum() == 27000 and len(values) <= histograms.SUMMARY and abs(np.interp(13500, np.cumsum(counts), values)) < 0.05
+
+
+def test_rounds_of_one_partition_run_in_its_task(spark, monkeypatch):
+    """Few rows: no job per pass. The trees are those that the driver grows pass by pass."""
+    rng = random.Random(8)
+    rows = [(Vectors.dense([x := rng.randrange(9), y := rng.randrange(5)]), float(rng.random() < 0.2 + 0.5 * (x > 5) * (y > 1))) for _ in range(400)]
+    train = spark.createDataFrame(rows, ["features", "label"])
+    grown = newton.Growth(leaves=6, least_rows=5, rows=0.8)
+    near = newton.newton_rounds(train, grown, 6, train.limit(100))
+    made = histograms.Rounds.count
+    passes = []
+    monkeypatch.setattr(histograms.Rounds, "count", lambda self, *a, **k: passes.append(1) or made(self, *a, **k))
+    newton.newton_rounds(train, grown, 6)
+    assert not passes
+    monkeypatch.setattr(histograms, "TASK", 50)
+    far = newton.newton_rounds(train, grown, 6, train.limit(100))
+    assert len(passes) > 6
+    assert all(abs(a - b) < 1e-9 for a, b in zip(near[1], far[1])) and len(near[1]) == len(far[1])
+    assert near[0].toDebugString.splitlines()[1:] == far[0].toDebugString.splitlines()[1:] or near[0].totalNumNodes == far[0].totalNumNodes
