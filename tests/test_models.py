@@ -196,3 +196,21 @@ def test_any_beta_has_its_own_threshold(spark):
     df = spark.createDataFrame(rows, "label int, score double")
     cuts = [ev.choose_threshold_fbeta(df, b).first().threshold for b in (0.25, 0.5, 1.0, 2.0, 4.0)]
     assert cuts == sorted(cuts, reverse=True) and len(set(cuts)) > 2
+
+
+def test_shuffled_copies_are_scored_in_several_tasks(ph, monkeypatch):
+    """A test part of one file: its copies don't all go through the task that reads it."""
+    res = ml.train_evaluate(ml.RECIPES["tenure_lr"], ph)
+    x, nums, _ = ml.labelled_frame(ml.RECIPES["tenure_lr"], ph)
+    made, tasks = ml.probability, []
+
+    def counted(model, df, keep=("customer_id", "label")):
+        if "_c" in df.columns:
+            tasks.append(df.rdd.getNumPartitions())
+        return made(model, df, keep)
+
+    monkeypatch.setattr(ml, "probability", counted)
+    monkeypatch.setattr(ml, "COPIES", 100, raising=False)
+    found = ml.permutation_importance(res, x.limit(60), nums[:4], 3).count()
+    assert found == 4 and tasks == [7]
+    assert ml.copy_tasks(50, 8) == 1 and ml.copy_tasks(10 ** 9, 8) == -(-10 ** 9 // ml.MOST_COPIES)
