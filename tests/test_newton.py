@@ -184,3 +184,22 @@ def test_rounds_of_one_partition_run_in_its_task(spark, monkeypatch):
     assert len(passes) > 6
     assert all(abs(a - b) < 1e-9 for a, b in zip(near[1], far[1])) and len(near[1]) == len(far[1])
     assert near[0].toDebugString.splitlines()[1:] == far[0].toDebugString.splitlines()[1:] or near[0].totalNumNodes == far[0].totalNumNodes
+
+
+def test_rows_of_a_task_go_on_from_their_nodes(monkeypatch):
+    """A pass inside a task doesn't walk all rows down from the root again, and finds the nodes that it would find there."""
+    rng, began, made = np.random.default_rng(3), [], histograms.Grown.node
+    bins = rng.integers(0, 8, (3, 500)).astype(np.uint8)
+    label = (rng.random(500) < 0.2 + 0.5 * (bins[0] > 4) * (bins[1] > 2)).astype(float)
+    block = histograms.Block(bins, label, np.ones(500), np.zeros(500, np.int64), np.zeros(500, bool), np.zeros(500))
+
+    def node(self, bins, *start):
+        began.append(bool(start) and start[0] is not None)
+        out = made(self, bins, *start)
+        assert (out == made(self, bins)).all()
+        return out
+
+    monkeypatch.setattr(histograms.Grown, "node", node)
+    work = histograms.InTask([block], [np.arange(7) + 0.5] * 3, newton.Growth(leaves=8, least_rows=5), True, 42, 10)
+    fitted, _ = newton._loop(work, 3, 3, False, 20, (1, 1, 30))
+    assert len(fitted) == 3 and all(len(nodes) > 3 for nodes in fitted) and sum(began) > 3
