@@ -105,3 +105,19 @@ def test_edge_rows_pass_all_stages(spark):
     for _, stage in pipeline.STAGES:
         docs = materialize(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_batches_between_spark_and_python_are_small(spark):
+    """Executors hold the buffers of a batch beside the heap, and their allocator keeps them: 2 MB and a row at most."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from churnlab.llm.common import map_arrow
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], ["size"])
+
+    texts = spark.range(0, 160, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))  # 16 MB
+    found = [r.size for r in map_arrow(texts, sizes, "size long").collect()]
+    assert sum(found) >= 16_000_000 and max(found) <= (2 << 20) + 110_000
