@@ -114,3 +114,20 @@ def test_recipes_of_forests_leave_no_node_on_the_driver(ph):
     assert 0.0 <= s[0] < s[1] <= 1.0
     importances = ml.tree_importances(done).collect()
     assert len(importances) == len(done.feature_names) and abs(sum(r.importance for r in importances) - 1) < 1e-9
+
+
+def test_points_of_one_fit_are_measured_in_one_job(spark, rows):
+    """F measures of all limited forests are those of the evaluator, and take one job on the held-out rows."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    limits = [{}, {"max_depth": 1}, {"trees": 3, "min_split": 20}, {"max_depth": 3, "min_split": 5}]
+    held = rows.select("features", "label").limit(150).persist()
+    for whole in (1 << 22, 30):
+        old, forests.WHOLE = forests.WHOLE, whole
+        try:
+            forest = forests.fit_forest(rows, forests.Forest(6, 6))
+        finally:
+            forests.WHOLE = old
+        for beta in (1.0, 2.0):
+            evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=beta, metricLabel=1.0)
+            want = [evaluator.evaluate(forest.limited(**some).transform(held)) for some in limits]
+            assert ml.forest_f_measures(forest, held, limits, beta) == want
