@@ -159,6 +159,8 @@ def find_regions(index: Index, data: np.ndarray, at: np.ndarray) -> list[tuple[i
     where = np.minimum(np.searchsorted(index.hashes, hashes[hit]), len(index.hashes) - 1)
     true = index.hashes[where] == hashes[hit]
     hit, where = hit[true], where[true]
+    if not len(hit):  # the flags alone matched
+        return []
     text = np.searchsorted(at, hit, "right") - 1
     n = index.count[where]
     place = index.places[ragged(index.first[where], n)]

@@ -103,6 +103,12 @@ def test_planted_leaks_with_edits(spark):
     assert dc.without_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_flags_that_match_without_a_q_gram():
+    index = dc.build_index([1], ["a passage of the benchmark that is long enough to be looked for"])
+    index.flags[:] = True  # every q-gram passes the first stage, none the second
+    assert dc.find_regions(index, *dc.normalize(pa.array(["some other words, none of them shared"]))) == []
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     docs, items = read_table(spark, SF, "documents"), read_table(spark, SF, "benchmark")
     pairs = lambda: {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, items).collect()}
