@@ -18,9 +18,9 @@ import numpy as np
 
 from churnlab.llm.common import WORKER_CACHES, ragged
 
-#: Distinct pieces that a worker keeps (some 200 bytes each); beyond that it starts afresh. Most of them are rare words that
-#: don't come again; the frequent ones are learned anew within one slice. Ids never depend on the cache.
-MAX_PIECES = 200_000
+#: Distinct pieces that a worker keeps (some 250 bytes each), and ids of all of them together (a piece may be a long text);
+#: beyond either, the pieces that came only once go. Ids never depend on the cache.
+MAX_PIECES, MAX_IDS = 400_000, 4_000_000
 #: Bytes of text that are encoded at once.
 TEXT_BYTES = 2 << 20
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -66,6 +66,18 @@ class Encoder:
     def _reset(self) -> None:
         self.pieces, self.ids = _Pieces(), np.zeros(0, np.int32)
         self.start, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.uses = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the pieces that came again since the last time, the most used ones if these are too many."""
+        keep = np.flatnonzero(self.uses > 1)
+        keep = keep[np.argsort(-self.uses[keep], kind="stable")[: MAX_PIECES // 2]]
+        keep = np.sort(keep[np.cumsum(self.length[keep]) <= MAX_IDS // 2])
+        pieces, start, length, ids = list(self.pieces), self.start[keep], self.length[keep], self.ids
+        self._reset()
+        self.pieces.update(zip([pieces[i] for i in keep.tolist()], range(len(keep))))
+        self.ids, self.start, self.length = ids[ragged(start, length)], np.cumsum(length) - length, length
+        self.uses = np.ones(len(keep), np.int64)
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -74,8 +86,8 @@ class Encoder:
         if not self.split:
             rows = self._plain(texts)
             return np.array([i for r in rows for i in r], np.int32), np.array([len(r) for r in rows], np.int64)
-        if len(self.pieces) > MAX_PIECES:
-            self._reset()
+        if len(self.pieces) > MAX_PIECES or len(self.ids) > MAX_IDS:
+            self._forget()
         number, counts, rows = self.pieces.__getitem__, [], []
         for text in texts:
             if "<|" in text:  # a special token's string must reach the library whole
@@ -90,6 +102,7 @@ class Encoder:
             counts.append(len(tail) + 1)
         self._learn()
         at = np.array(rows, np.int64)
+        self.uses = np.bincount(at, minlength=len(self.pieces)) + np.pad(self.uses, (0, len(self.pieces) - len(self.uses)))
         lengths = self.length[at]
         ids = self.ids[ragged(self.start[at], lengths)]
         ends = np.concatenate(([0], np.cumsum(lengths)))[np.cumsum([0, *counts])]

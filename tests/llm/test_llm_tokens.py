@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from churnlab.llm import packing, records
+from churnlab.llm import packing, records, tokens
 from churnlab.llm.common import read_table
 from churnlab.llm.queries import QUERIES
 from churnlab.llm.tokens import Encoder, tokenizer_path
@@ -39,6 +39,21 @@ def test_encoder_equals_whole_texts(spark, direct):
     assert enc.encode([])[1].tolist() == []
 
 
+def test_a_full_cache_keeps_what_came_again(direct, monkeypatch):
+    monkeypatch.setattr(tokens, "MAX_PIECES", 40)
+    enc, rare = Encoder(tokenizer_path()), iter(range(10_000))
+    for _ in range(12):
+        batch = [f"start the same words, the same again {next(rare)} x{next(rare)}  y {next(rare)}" for _ in range(9)] + ODD[:-1]
+        ids, counts = enc.encode(batch)
+        assert [c.tolist() for c in np.split(ids, np.cumsum(counts)[:-1])] == [direct(t) for t in batch]
+        assert len(enc.start) == len(enc.length) == len(enc.uses) == len(enc.pieces)
+    enc.encode([])  # the cache is over its bound here
+    assert {"the", "same", "again", ("start",)} <= set(enc.pieces) and len(enc.pieces) <= 20
+    monkeypatch.setattr(tokens, "MAX_IDS", 0)  # long texts count by their ids
+    ids, _ = enc.encode(["the same again"])
+    assert ids.tolist() == direct("the same again") and len(enc.pieces) == 3
+
+
 def test_op6_reads_back_every_id(spark, direct):
     docs = sorted((r.doc_id, r.text) for r in read_table(spark, SF, "documents").select("doc_id", "text").collect())
     want, start = [], 0
