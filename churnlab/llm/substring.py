@@ -158,21 +158,46 @@ def _later(null_ids: bool) -> F.Column:
 WINDOWS = "id {id}, k long, d0 long, d1 long, at int, stop int, opens int, closes int, least {id}"
 
 
-def window_places(words: np.ndarray, joined: np.ndarray, min_words: int) -> np.ndarray:
-    """(first, last) chunk of the least windows with ``min_words`` words that begin or end at each chunk of one run.
+def window_places(words: np.ndarray, joined: np.ndarray, min_words: int, begin: np.ndarray | None = None) -> np.ndarray:
+    """(first, last) chunk of the least windows with ``min_words`` words that begin or end at each chunk of its run, in
+    order; runs begin at the chunks ``begin`` (one run if it is left out).
 
     The first word of a window counts even if the document goes on with it from
     the chunk before (``joined``), so equal chunks make equal windows everywhere.
     Every run with enough words is the union of its windows.
     """
     n = len(words)
-    upto = np.concatenate(([0], np.cumsum(words)))
-    before = upto[:-1] - joined  # words(i..j) = upto[j + 1] - before[i], and before never falls
-    last = np.searchsorted(upto[1:], before + min_words)  # least j for each i
-    first = np.searchsorted(before, upto[1:] - min_words, "right") - 1  # greatest i for each j
-    ahead, behind = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
-    pairs = np.concatenate((np.stack((ahead, np.maximum(ahead, last[ahead])), 1), np.stack((np.minimum(first[behind], behind), behind), 1)))
-    return np.unique(pairs, axis=0)
+    begin = np.zeros(min(n, 1), np.int64) if begin is None else begin
+    size = np.diff(begin, append=n)
+    low, high = np.repeat(begin, size), np.repeat(begin + size, size)  # each chunk's run
+    gap = 2 * np.repeat(np.arange(len(begin)), size)  # keeps the counts of a run above those of the runs before it
+    upto = np.cumsum(words) + gap
+    before = upto - words - joined  # words(i..j) = upto[j] - before[i], and before never falls
+    last = np.searchsorted(upto, before + min_words)  # least j for each i
+    first = np.searchsorted(before, upto - min_words, "right") - 1  # greatest i for each j
+    ahead, behind = np.flatnonzero(last < high), np.flatnonzero(first >= low)
+    pairs = np.concatenate((ahead * n + np.maximum(ahead, last[ahead]), np.minimum(first[behind], behind) * n + behind))
+    return np.stack(np.divmod(np.unique(pairs), max(n, 1)), 1)
+
+
+def least_within(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least of ``values[first[i]]`` to ``values[last[i]]`` for each i, from the least of 1, 2, 4 ... values."""
+    out, level = np.empty(len(first), values.dtype), np.frexp(last - first + 1)[1] - 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        at, size = np.flatnonzero(level == k), 1 << k
+        out[at] = np.minimum(values[first[at]], values[last[at] - size + 1])
+        values = np.minimum(values[:-size], values[size:])
+    return out
+
+
+def ranks(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(rank of each value among the distinct ones, the distinct ones in order with a null behind them)."""
+    coded = column.dictionary_encode()
+    values = coded.dictionary.to_pylist()
+    order = sorted(range(len(values)), key=values.__getitem__)
+    rank = np.empty(len(values) + 1, np.int64)
+    rank[[*order, len(values)]] = np.arange(len(values) + 1)
+    return rank[pc.fill_null(coded.indices, len(values)).to_numpy(zero_copy_only=False)], pa.array([*[values[i] for i in order], None], column.type)
 
 
 def window_table(chunks: DataFrame, min_words: int) -> DataFrame:
@@ -186,26 +211,30 @@ def window_table(chunks: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            for i, rows in enumerate(batch.column("chunks")):
-                part = rows.values
-                at, one = np.unique(part.field("at").to_numpy(), return_index=True)  # rows that repeat an id and its text
-                length, counted, d0, d1 = (part.field(c).to_numpy()[one] for c in ("length", "words", "d0", "d1"))
-                firsts = part.field("first").take(pa.array(one)).to_pylist()
-                words, joined, raw = (counted >> 1).astype(np.int64), counted & 1, np.stack((d0, d1), 1)
-                if words.sum() + 1 < min_words:
-                    continue
-                begin = np.flatnonzero(np.concatenate(([True], at[1:] > at[:-1] + length[:-1])))
-                pairs = np.concatenate([a + window_places(words[a:b], joined[a:b], min_words) for a, b in zip(begin, np.append(begin[1:], len(at)))])
-                if not len(pairs):
-                    continue
-                a, b = pairs.T
-                digests = np.frombuffer(b"".join([digest(raw[x: y + 1].tobytes()) for x, y in pairs.tolist()]), "<i8").reshape(-1, 2)
-                upto = np.concatenate(([0], np.cumsum(words)))
-                columns = [digests[:, 0].copy(), digests[:, 1].copy(), *[c.astype(np.int32) for c in (at[a], at[b] + length[b], upto[a], upto[b + 1])]]
-                own = pa.array(np.full(len(pairs), i))
-                least = [min((f for f in firsts[x: y + 1] if f is not None), default=None) for x, y in pairs.tolist()]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("id", "k")], *map(pa.array, columns), pa.array(least, batch.column("id").type)],
-                                                 [f.split()[0] for f in WINDOWS.split(", ")])
+            rows = batch.column("chunks")
+            doc, part = pc.list_parent_indices(rows).to_numpy(), rows.flatten()
+            if not len(doc):
+                continue
+            at = part.field("at").to_numpy()
+            one = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))))  # rows that repeat an id and its text
+            doc, at = doc[one], at[one]
+            length, counted, d0, d1 = (part.field(c).to_numpy()[one] for c in ("length", "words", "d0", "d1"))
+            words, joined = (counted >> 1).astype(np.int64), counted & 1
+            new = np.concatenate(([True], doc[1:] != doc[:-1]))
+            begin = np.flatnonzero(new | np.concatenate(([True], at[1:] > at[:-1] + length[:-1])))
+            a, b = window_places(words, joined, min_words, begin).T
+            if not len(a):
+                continue
+            raw = np.stack((d0, d1), 1).tobytes()
+            digests = np.frombuffer(b"".join([digest(raw[x:y]) for x, y in zip((16 * a).tolist(), (16 * b + 16).tolist())]), "<i8").reshape(-1, 2)
+            upto = np.concatenate(([0], np.cumsum(words)))
+            start = upto[:-1][new][np.cumsum(new) - 1]  # words before each chunk's document
+            firsts, values = ranks(part.field("first").take(pa.array(one)))
+            columns = [digests[:, 0].copy(), digests[:, 1].copy(),
+                       *[c.astype(np.int32) for c in (at[a], at[b] + length[b], upto[a] - start[a], upto[b + 1] - start[a])]]
+            own = pa.array(doc[a])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in ("id", "k")], *map(pa.array, columns), values.take(pa.array(least_within(firsts, a, b)))],
+                                             [f.split()[0] for f in WINDOWS.split(", ")])
 
     return map_arrow(per_doc, run, WINDOWS.format(id=kind))
 
