@@ -7,7 +7,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
@@ -203,3 +203,48 @@ def test_rows_of_a_task_go_on_from_their_nodes(monkeypatch):
     work = histograms.InTask([block], [np.arange(7) + 0.5] * 3, newton.Growth(leaves=8, least_rows=5), True, 42, 10)
     fitted, _ = newton._loop(work, 3, 3, False, 20, (1, 1, 30))
     assert len(fitted) == 3 and all(len(nodes) > 3 for nodes in fitted) and sum(began) > 3
+
+
+def test_rows_of_some_partitions_are_grown_in_one_task(spark, monkeypatch):
+    """25,000 rows fill more than one partition while they are binned; no pass over them is a job."""
+    x, y = F.pmod(F.xxhash64("id"), F.lit(50)).cast("double"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(9)).cast("double")
+    label = ((F.pmod(F.xxhash64("id", F.lit(2)), F.lit(10)) < F.when((x > 30) & (y < 4), 7).otherwise(2))).cast("double")
+    train = spark.range(25_000).select(array_to_vector(F.array(x, y)).alias("features"), label.alias("label"))
+    passes, made = [], histograms.Rounds.count
+    monkeypatch.setattr(histograms.Rounds, "count", lambda self, *a, **k: passes.append(1) or made(self, *a, **k))
+    model, _ = newton.newton_rounds(train, newton.Growth(leaves=4), 3)
+    assert not passes and model.getNumTrees == 4
+    root = model.trees[1].toDebugString
+    assert "feature 0 <= 30.5" in root and "feature 1 <= 3.5" in root
+
+
+@pytest.mark.parametrize("by_newton", [True, False])
+def test_columns_counted_together_are_those_counted_alone(by_newton):
+    """Counts, sums and squares per node and bin, of drawn rows and columns, against sums over the rows."""
+    rng, sizes, n = np.random.default_rng(1), [2, 2, 300, 5, 2, 7], 6000
+    bins = np.array([rng.integers(0, k, n) for k in sizes], np.uint16)
+    label = (rng.random(n) < 0.3).astype(float)
+    assert sum(len(some) for some in histograms.together(sizes)) == 5
+    tree = histograms.Grown(np.array([0, -1, -1]), np.zeros(3, int), np.array([1, -1, -1]), np.array([2, -1, -1]))
+    for weight in (np.where(label == 1, 3.0, 1.0), 1 + rng.random(n)):
+        b = histograms.Block(bins, label, weight, np.arange(n), rng.random(n) < 0.2, rng.normal(size=n), histograms._cells(bins, sizes))
+        for columns in (tuple(range(6)), (1, 2, 5)):
+            about = histograms.Round(3, by_newton, 42, 0.7, columns, True)
+            a, w = about.statistics(b)
+            for on, asked in ((histograms.Grown(*(np.array([v]) for v in (-1, 0, -1, -1))), [0]), (tree, [2])):
+                out, squares, held = histograms._count(b, on, np.array(asked), sizes, about, True)
+                rows = about.drawn(b) & (on.node(b.bins) == asked[0])
+                want = [[v[rows & (bins[j] == k)].sum() for j in columns for k in range(sizes[j])] for v in (np.ones(n), a, w, a * a / w)]
+                assert np.allclose(out[:, 0], want) and np.isclose(squares[0], (a * a / w)[rows].sum()) and held[1] == b.held.sum()
+
+
+def test_squares_of_the_last_level_are_those_of_its_rows():
+    """A depth ends growth: leaves that no pass counted still have the impurity of their rows."""
+    rng = np.random.default_rng(2)
+    bins = rng.integers(0, 8, (3, 700)).astype(np.uint8)
+    label = (rng.random(700) < 0.2 + 0.5 * (bins[0] > 4) * (bins[1] > 2)).astype(float)
+    block = histograms.Block(bins, label, np.ones(700), np.zeros(700, np.int64), np.zeros(700, bool), np.zeros(700))
+    work = histograms.InTask([block], [np.arange(7) + 0.5] * 3, newton.Growth(leaves=None, depth=2, least_rows=1), False, 42, 10)
+    (nodes,), _ = newton._loop(work, 3, 1, False, 20, (1, 1, 30))
+    leaves = [r for r in nodes if r[6] < 0]
+    assert len(leaves) == 4 and sum(r[3][2] for r in leaves) == 700.0 and all(r[3][2] == r[4] for r in leaves)
