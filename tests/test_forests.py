@@ -131,3 +131,32 @@ def test_points_of_one_fit_are_measured_in_one_job(spark, rows):
             evaluator = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", beta=beta, metricLabel=1.0)
             want = [evaluator.evaluate(forest.limited(**some).transform(held)) for some in limits]
             assert ml.forest_f_measures(forest, held, limits, beta) == want
+
+
+def test_a_row_goes_down_a_tree_once_for_all_limits(rows):
+    """Where a row stops under a limit is a node of its way down the least limited tree."""
+    x, bins, label, weight, edges = arrays(rows)
+    part = forests.grow(bins, label, weight, np.ones(len(x), np.uint8), forests.Forest(1, 9, columns="all"), edges, np.random.default_rng(0))
+    for limits in ([(None, 0), (3, 0), (None, 40), (5, 9)], [(3, 0), (2, 60)], [(0, 0)]):
+        cuts = [part.cut(*some) for some in limits]
+        loosest, stops = part.stops(cuts)
+        ends = part.find(loosest, x)
+        assert len({*ends.tolist()}) > (8 if (None, 0) in limits else 0)
+        for cut, stop in zip(cuts, stops):
+            assert (stop[ends] == part.find(cut, x)).all()
+
+
+def test_memory_of_a_growing_tree_is_small(rows):
+    """Of a drawn row its number, class and draws take one number and its node another: less than 60 bytes a row at the peak."""
+    import tracemalloc
+    rng, n = np.random.default_rng(0), 60_000
+    bins = rng.integers(0, 32, (n, 9)).astype(np.uint8)
+    label = (rng.random(n) < 0.1 + 0.5 * (bins[:, 0] > 20)).astype(np.uint8)
+    drawn, weight = forests._drawn(forests.Forest(), 0, (0, 0), n), np.where(label == 1, 3.0, 1.0)
+    tracemalloc.start()
+    try:
+        tree = forests.grow(bins, label, weight, drawn, forests.Forest(2, 30, columns="sqrt"), [np.arange(31) + 0.5] * 9, rng)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(tree.feature) > n // 6 and peak < 60 * n
