@@ -224,3 +224,16 @@ def test_shuffled_copies_are_scored_in_several_tasks(ph, monkeypatch):
     found = ml.permutation_importance(res, x.limit(60), nums[:4], 3).count()
     assert found == 4 and tasks == [7]
     assert ml.copy_tasks(50, 8) == 1 and ml.copy_tasks(10 ** 9, 8) == -(-10 ** 9 // ml.MOST_COPIES)
+
+
+def test_stages_are_trained_at_once(spark, monkeypatch):
+    """EV17: each of the four trainings waits until the others have begun."""
+    from threading import Barrier
+
+    from churnlab.plans import q_models
+    met = Barrier(4, timeout=20)
+    monkeypatch.setattr(q_models, "policyholders", lambda *a: None)
+    monkeypatch.setattr(q_models, "searched", lambda spark, d, name: met.wait() >= 0 and (None, name))
+    monkeypatch.setattr(q_models, "trained", lambda spark, d, name: met.wait() >= 0 and name)
+    assert q_models._stages(spark, "x") == {"1 baseline": ("rf_claims", 0.5), "2 tuned": ("claims_rf", 0.5), "3 claimants": ("rf_claimants_anger", 0.5),
+                                            "4 lower threshold": ("rf_claimants_anger", 0.4), "5 boosted": ("gbt_claims", 0.44)}
